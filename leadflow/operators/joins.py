@@ -118,6 +118,14 @@ def user_event_types(members: DataFrame, types: DataFrame) -> DataFrame:
     return types.join(m, "owner_uri")
 
 
+def user_event_types_left(members: DataFrame, types: DataFrame) -> DataFrame:
+    """Event types with owner name/e-mail where the owner is a member."""
+    m = members.select(F.col("user_uri").alias("owner_uri"),
+                       F.col("name").alias("owner_name"),
+                       F.col("email").alias("owner_email"))
+    return types.join(m, "owner_uri", "left")
+
+
 def members_with_types(members: DataFrame, types: DataFrame) -> DataFrame:
     return members.join(types.select(F.col("owner_uri").alias("user_uri")), "user_uri", "left_semi")
 
