@@ -42,8 +42,11 @@ def items_to_wide(items: DataFrame, columns: list[str] | None = None,
         return items.select(F.col("id").alias("item_id"), F.col("name").alias("item_name"),
                             *keep).limit(0)
     cv = F.col("column_values")
-    picks = [F.try_element_at(F.filter(cv, lambda x, c=c: x["id"] == F.lit(c)), F.lit(-1))["text"].alias(c)
-             for c in columns]
+
+    def pick(c: str):
+        same_id = F.filter(cv, lambda x: x["id"] == F.lit(c))
+        return F.try_element_at(same_id, F.lit(-1))["text"].alias(c)
+    picks = [pick(c) for c in columns]
     return items.select(F.col("id").alias("item_id"), F.col("name").alias("item_name"),
                         *picks, *keep)
 
