@@ -188,3 +188,21 @@ def limit_items(spark, sf_dir):
 
 
 __all__ = ["SQL_LEADS_ORIGIN"]
+
+
+@register("filt_date_range", sql_with(("leads",)) +
+          f"SELECT item_id, date_created FROM leads WHERE {duck.in_range('date_created', '1996-03-01', '1996-09-30')}")
+def filt_date_range(spark, sf_dir):
+    return T.filter_by_date(fixture(spark, sf_dir, "leads"), "date_created", "1996-03-01", "1996-09-30").select(
+        "item_id", "date_created")
+
+
+@register("set_union_stages", sql_with(("leads",)) +
+          "SELECT item_id, stage, deal_value FROM leads WHERE stage = 'won' UNION ALL "
+          "SELECT item_id, stage, NULL AS deal_value FROM leads WHERE stage <> 'won'")
+def set_union_stages(spark, sf_dir):
+    leads = fixture(spark, sf_dir, "leads")
+    won = leads.filter("stage = 'won'").select("item_id", "stage", "deal_value")
+    others = [leads.filter(F.col("stage") == s).select("item_id", "stage")
+              for s in ("scheduled", "unqualified", "cancelled", "noshow", "proposal", "lost")]
+    return T.union_stages([won] + others)
