@@ -22,6 +22,13 @@ def _precedence_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "origin string, precedence int")
 
 
+def _spread_null_key(c: str):
+    """Join key where a null becomes a unique never-matching text, so rows
+    without a key spread over all partitions instead of hashing to one."""
+    return F.coalesce(F.col(c), F.concat(F.lit("\u0000no-key:"),
+                                         F.monotonically_increasing_id().cast("string")))
+
+
 def annotate_origins(leads: DataFrame, bookings: DataFrame,
                      lead_email: str = "email",
                      booking_email: str = "invitee_email",
@@ -33,7 +40,10 @@ def annotate_origins(leads: DataFrame, bookings: DataFrame,
     ``cold-calling``; else ``default``. Null e-mails never match.
 
     Bookings collapse to one row per e-mail (max precedence) before the join,
-    so the join is many-to-one and never multiplies leads.
+    so the join is many-to-one and never multiplies leads. Leads without an
+    e-mail get a unique never-matching key, so a large null group does not
+    land in one partition; a hot real e-mail is split by AQE's skew join
+    (the bookings side holds one row for it).
     """
     spark = leads.sparkSession
     prec = F.broadcast(_precedence_table(spark))
@@ -46,9 +56,10 @@ def annotate_origins(leads: DataFrame, bookings: DataFrame,
                          .withColumnRenamed("origin", "_label")
                          .withColumnRenamed("precedence", "_prec"))
     best = best.join(labels, "_prec").select("_email", "_label")
-    out = leads.join(best, leads[lead_email] == best["_email"], "left")
+    keyed = leads.withColumn("_jk", _spread_null_key(lead_email))
+    out = keyed.join(best, keyed["_jk"] == best["_email"], "left")
     return (out.withColumn("origin", F.coalesce(F.col("_label"), F.lit(default)))
-               .drop("_email", "_label"))
+               .drop("_email", "_label", "_jk"))
 
 
 def annotate_origins_binary(leads: DataFrame, bookings: DataFrame,
@@ -60,9 +71,10 @@ def annotate_origins_binary(leads: DataFrame, bookings: DataFrame,
     emails = (bookings.select(F.col(booking_email).alias("_email"))
                       .filter(F.col("_email").isNotNull()).distinct()
                       .withColumn("_hit", F.lit(True)))
-    out = leads.join(emails, leads[lead_email] == emails["_email"], "left")
+    keyed = leads.withColumn("_jk", _spread_null_key(lead_email))
+    out = keyed.join(emails, keyed["_jk"] == emails["_email"], "left")
     return (out.withColumn("origin", F.when(F.col("_hit"), F.lit(hit)).otherwise(F.lit(miss)))
-               .drop("_email", "_hit"))
+               .drop("_email", "_hit", "_jk"))
 
 
 STATUS_ORDER = ("active", "canceled")
