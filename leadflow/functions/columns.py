@@ -7,6 +7,7 @@ Every helper takes and returns a ``Column`` so it composes inside
 from __future__ import annotations
 
 import datetime as _dt
+import functools
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +31,22 @@ def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _memo_on_names(fn):
+    """Reuse the built Column when every argument is a plain value (column
+    names, dates): expression trees are immutable, and building them costs
+    one JVM round trip per node."""
+    cached = functools.lru_cache(maxsize=512)(fn)
+
+    @functools.wraps(fn)
+    def wrapper(*args):
+        try:
+            return cached(*args)
+        except TypeError:           # a Column argument: not hashable
+            return fn(*args)
+    return wrapper
+
+
+@_memo_on_names
 def coerce_date(c: ColumnOrName) -> Column:
     """Mixed-format text -> ``DateType``; unparsable text -> null.
 
@@ -45,6 +62,7 @@ def coerce_date(c: ColumnOrName) -> Column:
              .when(t.rlike(SLASH_ISO_DATE_RE), F.try_to_date(t, "yyyy/M/d")))
 
 
+@_memo_on_names
 def in_date_range(c: ColumnOrName, start, end) -> Column:
     """Inclusive range test on the coerced date; null dates are outside."""
     d = coerce_date(c)
@@ -68,6 +86,7 @@ def extract_date(c: ColumnOrName) -> Column:
     return F.nullif(F.regexp_extract(_col(c), EMBEDDED_DATE_RE, 0), F.lit(""))
 
 
+@_memo_on_names
 def to_number(c: ColumnOrName) -> Column:
     """Text -> double; non-numbers, blanks, nulls and NaN -> 0.0.
 

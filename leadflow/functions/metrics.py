@@ -54,6 +54,12 @@ class MetricRegistry:
         return iter(self._metrics.values())
 
     def columns(self, resolve: Callable[[str], Column] = F.col) -> list[Column]:
+        if resolve is F.col:
+            key = tuple(self._metrics)
+            if getattr(self, "_cols_key", None) != key:
+                self._cols = [m.producer(resolve).alias(m.name) for m in self]
+                self._cols_key = key
+            return list(self._cols)
         return [m.producer(resolve).alias(m.name) for m in self]
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadflow.functions.columns import month_of, weekday_of
+from leadflow.session import literal_table
 
 
 # --- A11 / O2 -------------------------------------------------------------
@@ -140,7 +141,7 @@ def origin_breakdown(leads: DataFrame) -> DataFrame:
 def event_origin_counts(events: DataFrame, labels) -> DataFrame:
     """Events per origin label; labels without events appear with 0."""
     spark = events.sparkSession
-    lab = spark.createDataFrame([(x,) for x in labels], "origin string")
+    lab = literal_table(spark, [(x,) for x in labels], "origin string")
     counts = events.groupBy("origin").agg(F.count(F.lit(1)).alias("count"))
     return F.broadcast(lab).join(counts, "origin", "left").fillna(0, subset=["count"])
 

@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from leadflow.session import literal_table
 from leadflow.schemas import (ORIGIN_COLD_CALLING, ORIGIN_COLD_EMAIL, ORIGIN_LINKEDIN,
                               ORIGIN_PRECEDENCE)
 
 
 def _precedence_table(spark: SparkSession) -> DataFrame:
     rows = sorted(ORIGIN_PRECEDENCE.items(), key=lambda kv: kv[1])
-    return spark.createDataFrame(rows, "origin string, precedence int")
+    return literal_table(spark, rows, "origin string, precedence int")
 
 
 def _spread_null_key(c: str):
@@ -45,17 +46,16 @@ def annotate_origins(leads: DataFrame, bookings: DataFrame,
     land in one partition; a hot real e-mail is split by AQE's skew join
     (the bookings side holds one row for it).
     """
-    spark = leads.sparkSession
-    prec = F.broadcast(_precedence_table(spark))
-    best = (bookings.select(F.col(booking_email).alias("_email"), "origin")
-                    .filter(F.col("_email").isNotNull())
-                    .join(prec, "origin")
+    rank = F.lit(None).cast("int")
+    label = F.lit(None).cast("string")
+    for origin, p in ORIGIN_PRECEDENCE.items():
+        rank = F.when(F.col("origin") == F.lit(origin), F.lit(p)).otherwise(rank)
+        label = F.when(F.col("_prec") == F.lit(p), F.lit(origin)).otherwise(label)
+    best = (bookings.select(F.col(booking_email).alias("_email"), rank.alias("_rank"))
+                    .filter(F.col("_email").isNotNull() & F.col("_rank").isNotNull())
                     .groupBy("_email")
-                    .agg(F.max("precedence").alias("_prec")))
-    labels = F.broadcast(_precedence_table(spark)
-                         .withColumnRenamed("origin", "_label")
-                         .withColumnRenamed("precedence", "_prec"))
-    best = best.join(labels, "_prec").select("_email", "_label")
+                    .agg(F.max("_rank").alias("_prec"))
+                    .select("_email", label.alias("_label")))
     keyed = leads.withColumn("_jk", _spread_null_key(lead_email))
     out = keyed.join(best, keyed["_jk"] == best["_email"], "left")
     return (out.withColumn("origin", F.coalesce(F.col("_label"), F.lit(default)))
@@ -172,7 +172,7 @@ def on_spine(keys: DataFrame, agg: DataFrame, key: str, fill=0) -> DataFrame:
 
 
 def stage_mapping(spark: SparkSession, mapping: dict) -> DataFrame:
-    return spark.createDataFrame(sorted(mapping.items()), "group_id string, stage string")
+    return literal_table(spark, sorted(mapping.items()), "group_id string, stage string")
 
 
 def window_first_per_key(df: DataFrame, key: str, order_cols: list) -> DataFrame:

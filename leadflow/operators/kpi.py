@@ -104,18 +104,27 @@ def raw_kpis(leads: DataFrame, rspec: ReportSpec, start, end,
     sd = sales_date_col if sales_date_col in leads.columns else date_col
     in_f = in_date_range(date_col, start, end)
     in_s = in_date_range(sd, start, end)
-    in_taken = in_s if rspec.taken_uses_sales_date else in_f
-    in_unq = in_s if rspec.unqualified_uses_sales_date else in_f
-    in_p = in_s
     stage = F.col("stage")
     chan = rspec.channel_filter
-    booked = in_f & chan if chan is not None else in_f
 
     def money(c):
         s = F.sum(c)
         return F.round(s, money_scale) if money_scale is not None else s
 
     amount = to_number(F.col("deal_value")) if "deal_value" in leads.columns else F.lit(0.0)
+    # Narrow projection first: each coerced date and the amount are computed
+    # once per row, and the aggregate works on plain boolean/double columns.
+    chan_conds = [F.coalesce(ch.cond, F.lit(False)) for ch in rspec.channels if ch.cond is not None]
+    rows = (leads.filter(F.col(key).isNotNull() & stage.isin(*BOOKED_STAGES))
+                 .select(key, "stage", in_f.alias("_f"), in_s.alias("_s"), amount.alias("_amt"),
+                         F.coalesce(chan, F.lit(False)).alias("_chan") if chan is not None else F.lit(True).alias("_chan"),
+                         *[c.alias(f"_ch{i}") for i, c in enumerate(chan_conds)]))
+    in_f, in_s = F.col("_f"), F.col("_s")
+    in_taken = in_s if rspec.taken_uses_sales_date else in_f
+    in_unq = in_s if rspec.unqualified_uses_sales_date else in_f
+    in_p = in_s
+    booked = in_f & F.col("_chan")
+    amount = F.col("_amt")
     aggs = [
         F.count_if(booked).alias("new_calls_booked"),
         F.count_if(stage.isin(*TAKEN_STAGES) & in_taken).alias("sales_call_taken"),
@@ -124,18 +133,22 @@ def raw_kpis(leads: DataFrame, rspec: ReportSpec, start, end,
         F.count_if(stage.isin(*PROPOSAL_STAGES) & in_p).alias("proposals"),
         F.count_if((stage == "won") & in_p).alias("won"),
     ]
+    n_cond = 0
     for ch in rspec.channels:
-        cond = booked if ch.cond is None else (in_f & ch.cond)
-        aggs.append(F.count_if(F.coalesce(cond, F.lit(False))).alias(ch.name))
+        if ch.cond is None:
+            cond = booked
+        else:
+            cond = in_f & F.col(f"_ch{n_cond}")
+            n_cond += 1
+        aggs.append(F.count_if(cond).alias(ch.name))
     aggs += [
         F.count_if((stage == "won") & in_p).alias("close"),
         money(F.when((stage == "won") & in_f, amount).otherwise(F.lit(0.0))).alias("closed_revenue"),
         money(F.when((stage == "proposal") & in_f, amount).otherwise(F.lit(0.0))).alias("pipeline_revenue"),
     ]
     if chan is not None:
-        aggs.append(F.count_if(F.coalesce(chan, F.lit(False))).alias("_in_channel"))
+        aggs.append(F.count_if(F.col("_chan")).alias("_in_channel"))
 
-    rows = leads.filter(F.col(key).isNotNull() & stage.isin(*BOOKED_STAGES))
     kpi = rows.groupBy(key).agg(*aggs)
     if chan is not None:
         kpi = kpi.filter(F.col("_in_channel") > 0).drop("_in_channel")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leadflow.functions.columns import coerce_date, in_date_range, to_number
 from leadflow.schemas import TRACKING_FIELDS
+from leadflow.session import literal_table
 
 
 # --- P1 / P2 / P3: board items -------------------------------------------
@@ -18,37 +19,62 @@ def first_item_column_ids(items: DataFrame, order_cols=("page", "pos")) -> list[
     ordered = [c for c in order_cols if c in items.columns]
     first = (items.orderBy(*ordered) if ordered else items).select(
         F.transform("column_values", lambda x: x["id"]).alias("ids")).limit(1).collect()
-    if not first or not first[0]["ids"]:
-        return []
+    return _dedup(first[0]["ids"] if first and first[0]["ids"] else [])
+
+
+def _dedup(ids) -> list[str]:
     seen, out = set(), []
-    for i in first[0]["ids"]:
+    for i in ids or []:
         if i not in seen:
             seen.add(i)
             out.append(i)
     return out
 
 
+def group_column_ids(items: DataFrame, group_col: str = "group_id",
+                     order_cols=("page", "pos")) -> DataFrame:
+    """Per group, the column ids of its first item (``min_by`` aggregate,
+    one row per group)."""
+    order = F.struct(*[F.col(c) for c in order_cols if c in items.columns])
+    ids = F.transform("column_values", lambda x: x["id"])
+    return items.groupBy(group_col).agg(F.min_by(ids, order).alias("_ids"))
+
+
 def items_to_wide(items: DataFrame, columns: list[str] | None = None,
-                  keep: tuple = ()) -> DataFrame:
+                  keep: tuple = (), group_col: str = "group_id") -> DataFrame:
     """Entity-attribute-value items -> one column per column id.
 
-    ``columns`` defaults to the first item's ids (extra ids of later items
-    are dropped, missing ones are null); for a repeated id the last value
-    wins. ``keep`` carries extra input columns (e.g. the group id).
+    Without ``columns``, each board group takes its column set from its own
+    first item (later extra ids are dropped, missing ones are null) and the
+    output holds the union of those sets in first-seen order; one small
+    aggregate action over the groups finds it. For a repeated id the last
+    value wins. ``keep`` carries extra input columns (e.g. the group id).
     """
+    per_group = None
     if columns is None:
-        columns = first_item_column_ids(items)
+        if group_col in items.columns:
+            per_group = group_column_ids(items, group_col)
+            firsts = per_group.orderBy(group_col).collect()
+            columns = _dedup([i for r in firsts for i in (r["_ids"] or [])])
+        else:
+            columns = first_item_column_ids(items)
     if not columns:
         return items.select(F.col("id").alias("item_id"), F.col("name").alias("item_name"),
                             *keep).limit(0)
+    src = items
+    if per_group is not None:
+        src = items.join(per_group, group_col, "left")
     cv = F.col("column_values")
 
     def pick(c: str):
         same_id = F.filter(cv, lambda x: x["id"] == F.lit(c))
-        return F.try_element_at(same_id, F.lit(-1))["text"].alias(c)
+        v = F.try_element_at(same_id, F.lit(-1))["text"]
+        if per_group is not None:
+            v = F.when(F.array_contains(F.col("_ids"), F.lit(c)), v)
+        return v.alias(c)
     picks = [pick(c) for c in columns]
-    return items.select(F.col("id").alias("item_id"), F.col("name").alias("item_name"),
-                        *picks, *keep)
+    return src.select(F.col("id").alias("item_id"), F.col("name").alias("item_name"),
+                      *picks, *keep)
 
 
 def rename_columns(df: DataFrame, mapping: dict) -> DataFrame:
@@ -62,7 +88,7 @@ def tag_stage(items: DataFrame, mapping: dict, group_col: str = "group_id") -> D
     The mapping is configuration (seven rows), so it is broadcast.
     """
     spark = items.sparkSession
-    m = spark.createDataFrame(sorted(mapping.items()), f"{group_col} string, stage string")
+    m = literal_table(spark, sorted(mapping.items()), f"{group_col} string, stage string")
     return items.join(F.broadcast(m), group_col)
 
 

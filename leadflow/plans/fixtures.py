@@ -96,8 +96,18 @@ FIXTURE_TYPE_ORIGINS = {
 CLOCK_DIVISOR = 3000
 
 
+_BASE_CACHE: dict = {}
+
+
 def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Reader DataFrame of one base table (plan only, no data cached); reused
+    per session so the file listing and footer read happen once."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), spark.sparkContext.applicationId, path)
+    df = _BASE_CACHE.get(key)
+    if df is None:
+        df = _BASE_CACHE[key] = spark.read.parquet(path)
+    return df
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.schemas import LEAD_COLUMN_BY_ID, STAGE_BY_GROUP
+from leadflow.session import literal_table
 
 
 def land_collection(df: DataFrame, path: str, stream: Column, page: Column, order: Column,
@@ -82,7 +83,7 @@ def land_board_groups(leads: DataFrame, path: str) -> str:
     for stage, gid in GROUP_OF_STAGE.items():
         grp = F.when(F.col("stage") == stage, F.lit(gid)).otherwise(grp)
     g = leads.select(grp.alias("id")).filter("id IS NOT NULL AND id <> 'new_group64021__1'").distinct()
-    g = g.unionByName(leads.sparkSession.createDataFrame([("archive_group",)], "id string"))
+    g = g.unionByName(literal_table(leads.sparkSession, [("archive_group",)], "id string"))
     doc = g.agg(F.array_sort(F.collect_list(F.struct("id", F.upper("id").alias("title")))).alias("groups")).select(
         F.lit("groups").alias("stream"), F.lit(1).cast("long").alias("page"),
         F.struct(F.array(F.struct("groups")).alias("boards")).alias("data"))

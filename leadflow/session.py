@@ -77,3 +77,20 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.abspath(path)
+
+
+def literal_table(spark: SparkSession, rows, schema: str):
+    """Small constant table built JVM-side (``inline`` over one generated
+    row), so no Python worker is needed to scan it.
+
+    ``schema`` is a DDL string such as ``"origin string, precedence int"``.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import _parse_datatype_string
+
+    st = _parse_datatype_string(schema)
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in st.fields])
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, st.fields)])
+               for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))

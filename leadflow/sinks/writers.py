@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leadflow.session import literal_table
+
 RUN_FORMAT = "%Y%m%d_%H%M%S"
 
 
@@ -75,7 +77,7 @@ def chunk_index(df: DataFrame, order_cols, size: int) -> DataFrame:
     for pid in sorted(counts):
         offsets[pid] = acc
         acc += counts[pid]
-    off = spark.createDataFrame(sorted(offsets.items()), "_pid int, _off long")
+    off = literal_table(spark, sorted(offsets.items()), "_pid int, _off long")
     w_mono = F.monotonically_increasing_id() - (F.col("_pid").cast("long") * F.lit(1 << 33))
     idx = srt.withColumn("_local", w_mono).join(F.broadcast(off), "_pid")
     return (idx.withColumn("chunk_number", (F.floor((F.col("_off") + F.col("_local")) / size) + 1).cast("long"))

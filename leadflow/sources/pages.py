@@ -85,7 +85,7 @@ def page_errors(pages: DataFrame) -> DataFrame:
 
 
 def assert_no_page_errors(pages: DataFrame, max_messages: int = 20) -> DataFrame:
-    """Raise if any page carries errors; returns ``pages`` otherwise.
+    """Eager check: raise if any page carries errors; returns ``pages``.
 
     Only the first ``max_messages`` messages go into the exception text.
     """
@@ -95,6 +95,16 @@ def assert_no_page_errors(pages: DataFrame, max_messages: int = 20) -> DataFrame
     return pages
 
 
+def fail_on_page_errors(pages: DataFrame) -> DataFrame:
+    """Lazy check in the same scan: the job fails on the first page that
+    carries errors, with that page's messages joined by newline."""
+    errs = F.coalesce(F.col("errors"), F.array())
+    msg = F.concat(F.lit("board pages returned errors:\n"),
+                   F.array_join(F.transform(errs, lambda e: e["message"]), "\n"))
+    check = F.when(F.size(errs) > 0, F.raise_error(msg))
+    return pages.filter(F.coalesce(check.cast("boolean"), F.lit(True)))
+
+
 def read_board_items(spark: SparkSession, path: str, check_errors: bool = True,
                      multi_line: bool = False) -> DataFrame:
     """Cursor-paged board items, first-page and next-page shapes alike.
@@ -103,7 +113,7 @@ def read_board_items(spark: SparkSession, path: str, check_errors: bool = True,
     """
     pages = read_board_page_frame(spark, path, multi_line)
     if check_errors:
-        assert_no_page_errors(pages)
+        pages = fail_on_page_errors(pages)
     first = F.get(F.get(F.col("data.boards"), 0)["groups"], 0)["items_page"]["items"]
     items = F.coalesce(first, F.col("data.next_items_page.items"))
     x = pages.select(F.col("stream").alias("group_id"), "page", F.posexplode(items).alias("_p", "_it"))
@@ -112,8 +122,7 @@ def read_board_items(spark: SparkSession, path: str, check_errors: bool = True,
 
 def read_board_groups(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Board groups ``(id, title)``; errors, no boards or no groups fail."""
-    pages = read_board_page_frame(spark, path, multi_line)
-    assert_no_page_errors(pages)
+    pages = fail_on_page_errors(read_board_page_frame(spark, path, multi_line))
     groups = pages.select(F.explode(F.get(F.col("data.boards"), 0)["groups"]).alias("g"))
     out = groups.select(F.col("g.id").alias("id"), F.col("g.title").alias("title"))
     if not out.take(1):

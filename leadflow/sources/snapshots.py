@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadflow.functions.columns import RUN_FILE_RE
+from leadflow.session import literal_table
 
 
 def read_grouped_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -73,7 +74,7 @@ def latest_snapshot(spark: SparkSession, glob: str, family_re: str = RUN_DIR_FAM
 def snapshot_status(spark: SparkSession, glob: str, families) -> DataFrame:
     """Per expected family: exists, file name, size in KB (2 dp), modified."""
     latest = latest_snapshot(spark, glob)
-    exp = spark.createDataFrame([(x,) for x in families], "family string")
+    exp = literal_table(spark, [(x,) for x in families], "family string")
     j = F.broadcast(exp).join(latest, "family", "left")
     return j.select("family", F.col("path").isNotNull().alias("exists"), "file_name",
                     F.round(F.col("length") / 1024.0, 2).alias("size_kb"),
