@@ -105,3 +105,18 @@ def test_union_stages_fills_missing(spark):
     assert got == {"1": "x", "2": None}
     f = F.col("id")
     assert T.union_stages([a, b]).filter(f == "2").count() == 1
+
+
+def test_items_to_wide_per_group_column_sets(spark):
+    schema = ("id string, name string, group_id string, page int, pos int, "
+              "column_values array<struct<id:string,text:string>>")
+    items = spark.createDataFrame([
+        ("1", "one", "g1", 1, 1, [("a", "1a")]),
+        ("2", "two", "g1", 1, 2, [("a", "2a"), ("b", "2b")]),    # b not in g1's first item: dropped
+        ("3", "three", "g2", 1, 1, [("b", "3b")]),
+        ("4", "four", "g2", 2, 1, [("a", "4a"), ("b", "4b")]),   # a not in g2's first item: dropped
+    ], schema)
+    w = T.items_to_wide(items, keep=("group_id",))
+    assert w.columns == ["item_id", "item_name", "a", "b", "group_id"]
+    got = {r.item_id: (r.a, r.b) for r in w.collect()}
+    assert got == {"1": ("1a", None), "2": ("2a", None), "3": (None, "3b"), "4": (None, "4b")}

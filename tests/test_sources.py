@@ -52,8 +52,11 @@ def test_board_pages_shapes_and_errors(spark):
     items = S.read_board_items(spark, _write([first, nxt]))
     assert sorted(r.id for r in items.collect()) == ["1", "2"]
     bad = {"stream": "topics", "page": 3, "errors": [{"message": "m1"}, {"message": "m2"}]}
-    with pytest.raises(RuntimeError, match="m1\nm2"):
-        S.read_board_items(spark, _write([first, bad]))
+    # The check runs inside the scan: the job fails with the page's messages.
+    with pytest.raises(Exception, match="m1\nm2"):
+        S.read_board_items(spark, _write([first, bad])).collect()
+    with pytest.raises(RuntimeError, match="m1"):
+        S.assert_no_page_errors(S.read_board_page_frame(spark, _write([first, bad])))
     with pytest.raises(RuntimeError):
         S.read_board_groups(spark, _write([{"stream": "g", "page": 1, "data": {"boards": [{"groups": []}]}}]))
 
