@@ -10,11 +10,14 @@ Parallel plan
 The fold is sequential per key, but a bucket idle for 61 s or more is full
 again whatever it held (``61 * L / 60 > L`` even after rounding), so a key's
 requests split exactly into independent *sessions* at such gaps. Sessions
-are found with a running window, hash-distributed by (key, session), sorted
+are found without gathering a key in one task (each key's time range is
+cut into slices sized from its request count, plus one summary row per
+slice, see :func:`with_sessions`), then hash-distributed by (key, session), sorted
 inside each partition, and folded by ``mapInPandas`` that streams Arrow
 batches and carries the bucket across batch boundaries, so memory stays
 bounded however long a session is. Sessions of one key run in parallel on
-different tasks; only one continuous session is inherently sequential.
+different tasks; only one continuous session (no 61 s pause) is inherently
+sequential and stays in one task.
 """
 
 from __future__ import annotations
@@ -72,28 +75,64 @@ def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             "allowed": allowed, "tokens_after": after})
 
 
-def with_sessions(requests: DataFrame, key: str, clock: str, rid: str) -> DataFrame:
-    """Adds ``_session``: running count of >= 61 s gaps per key."""
-    w = Window.partitionBy(key).orderBy(clock, rid)
+SLICE_TARGET_ROWS = 2_000_000
+
+
+def with_sessions(requests: DataFrame, key: str, clock: str, rid: str,
+                  target_rows: int = SLICE_TARGET_ROWS) -> DataFrame:
+    """Adds ``_session``: the clock of the session's first request, where a
+    session ends at a gap of 61 s or more between a key's requests.
+
+    No step gathers a key in one task. Each key's time range is cut into
+    *slices* of about ``target_rows`` requests (width from a per-key count,
+    so a hot key gets many slices); gaps are found inside each slice, and one
+    summary row per slice links it to the previous slice of its key. Slice
+    ids are a pure function of the data, so every branch of the plan (and
+    every task retry) agrees on them.
+    """
+    stats = (requests.groupBy(key)
+                     .agg(F.count(F.lit(1)).alias("_n"), F.min(clock).alias("_c0"),
+                          F.max(clock).alias("_c1")))
+    n_slices = F.ceil(F.col("_n") / F.lit(target_rows))
+    width = F.greatest(F.lit(1), F.ceil((F.col("_c1") - F.col("_c0") + 1) / n_slices)).cast("long")
+    stats = stats.select(key, "_c0", width.alias("_w"))
+    r = requests.join(stats, key).withColumn(
+        "_slice", F.floor((F.col(clock) - F.col("_c0")) / F.col("_w")).cast("long")).drop("_c0", "_w")
+    w = Window.partitionBy(key, "_slice").orderBy(clock, rid)
     gap = F.col(clock) - F.lag(clock).over(w)
-    new = F.when(gap.isNull() | (gap >= SESSION_GAP_US), 1).otherwise(0)
-    return requests.withColumn("_new", new).withColumn(
-        "_session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    r = r.withColumn("_new", F.when(gap.isNotNull(), gap >= SESSION_GAP_US))   # null: first of slice
+    # One summary row per (key, slice).
+    sl = r.groupBy(key, "_slice").agg(F.min(clock).alias("_first"), F.max(clock).alias("_last"),
+                                      F.max(F.when(F.col("_new"), F.col(clock))).alias("_last_start"))
+    bw = Window.partitionBy(key).orderBy("_slice")
+    prev_last = F.lag("_last").over(bw)
+    sl = sl.withColumn("_first_new", prev_last.isNull() | ((F.col("_first") - prev_last) >= SESSION_GAP_US))
+    cand = F.coalesce(F.col("_last_start"), F.when(F.col("_first_new"), F.col("_first")))
+    sl = sl.withColumn("_end_start", F.last(cand, ignorenulls=True).over(
+        bw.rowsBetween(Window.unboundedPreceding, 0)))
+    sl = sl.withColumn("_begin_start", F.when(F.col("_first_new"), F.col("_first"))
+                                        .otherwise(F.lag("_end_start").over(bw)))
+    r = r.join(sl.select(key, "_slice", "_first_new", "_begin_start"), [key, "_slice"])
+    is_new = F.coalesce(F.col("_new"), F.col("_first_new"))
+    running = F.last(F.when(is_new, F.col(clock)), ignorenulls=True).over(
+        w.rowsBetween(Window.unboundedPreceding, 0))
+    return (r.withColumn("_session", F.coalesce(running, F.col("_begin_start")))
+             .drop("_slice", "_new", "_first_new", "_begin_start"))
 
 
 def rate_limit(requests: DataFrame, key: str = "key_hash", clock: str = "clock_us",
                limit: str = "rate_limit", rid: str = "request_id",
-               partitions: int | None = None) -> DataFrame:
+               partitions: int | None = None, target_rows: int = SLICE_TARGET_ROWS) -> DataFrame:
     """Decide each request: ``(request_id, allowed, tokens_after)``.
 
     ``requests`` holds only the requests that reached the bucket (they
     passed the key checks), with the key's ``limit`` on every row and an
     integer microsecond ``clock``.
     """
-    s = with_sessions(requests.select(key, clock, limit, rid), key, clock, rid)
+    n = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = with_sessions(requests.select(key, clock, limit, rid), key, clock, rid, target_rows)
     s = s.select(F.col(key).alias("_k"), F.col("_session").alias("_s"), F.col(clock).alias("_t"),
                  F.col(limit).alias("_l"), F.col(rid).cast("long").alias("_id"))
-    n = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     s = s.repartition(n, "_k", "_s").sortWithinPartitions("_k", "_s", "_t", "_id")
     return s.mapInPandas(_fold_partition, RESULT_SCHEMA)
 
