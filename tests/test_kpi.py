@@ -81,3 +81,22 @@ def test_utm_rollup_no_date_column(spark):
     df = leads(spark, ROWS).drop("date_created")
     got = {r["utm_campaign"]: (r["count"], r["total_deal_value"]) for r in K.utm_rollup(df, "utm_campaign", "2024-01-01", "2024-01-31").collect()}
     assert got == {"c1": (2, 150.0), "c2": (2, 0.0), "c3": (1, 5.0)}
+
+
+def test_one_key_no_lead_in_range_and_no_proposals(spark):
+    rows = [r for r in ROWS if r[3] == "ann"]
+    one = by_key(K.kpi_overview(leads(spark, rows), "2024-01-01", "2024-01-31"))
+    assert set(one) == {"ann", "Total"} and one["Total"]["close_rate"] == one["ann"]["close_rate"]
+    none_in_range = by_key(K.kpi_overview(leads(spark, ROWS), "2030-01-01", "2030-12-31"))
+    assert all(v["new_calls_booked"] == 0 for v in none_in_range.values())
+    assert set(none_in_range) == {"ann", "bob", "cat", "Total"}           # keys come from all dates
+    no_prop = [r for r in ROWS if r[2] not in ("proposal",)]
+    np_ = by_key(K.kpi_overview(leads(spark, no_prop), "2024-01-01", "2024-01-31"))
+    assert np_["ann"]["pipeline_revenue"] == 0.0 and np_["ann"]["proposals"] == 1   # the won row
+
+
+def test_total_row_only_sums_raw_metrics(spark):
+    out = by_key(K.kpi_google_ads(leads(spark, ROWS), "2024-01-01", "2024-01-31"))
+    groups = [v for k, v in out.items() if k != "Total"]
+    assert out["Total"]["google_ads"] == pytest.approx(sum(g["google_ads"] for g in groups) / len(groups))
+    assert out["Total"]["won"] == sum(g["won"] for g in groups)
