@@ -96,15 +96,16 @@ def first_per_key(df: DataFrame, key: str, order_cols: list) -> DataFrame:
 
 
 def first_invitee(invitees: DataFrame, event_key: str = "event_uri",
-                  pos_col: str = "pos") -> DataFrame:
+                  pos_cols=("page", "pos")) -> DataFrame:
     """First invitee per event: status ``active`` before ``canceled`` (other
-    statuses ignored), then page position."""
+    statuses ignored), then page position (the ``pos_cols`` present)."""
     rank = F.array_position(F.array(*[F.lit(s) for s in STATUS_ORDER]), F.col("status"))
+    pos = [c for c in pos_cols if c in invitees.columns]
     cand = (invitees.filter(rank > 0)
-                    .select(event_key, rank.alias("_rank"), pos_col,
+                    .select(event_key, rank.alias("_rank"), *pos,
                             F.col("name").alias("invitee_name"),
                             F.col("email").alias("invitee_email")))
-    best = first_per_key(cand, event_key, ["_rank", pos_col])
+    best = first_per_key(cand, event_key, ["_rank", *pos])
     return best.select(event_key, "invitee_name", "invitee_email")
 
 

@@ -16,7 +16,7 @@ from leadflow.operators import joins as J
 from leadflow.operators import kpi as K
 from leadflow.operators import transform as T
 from leadflow.plans import duck
-from leadflow.plans.common import END, START, sql_with
+from leadflow.plans.common import END, START, sql_leads_origin_with, sql_with
 from leadflow.plans.fixtures import fixture
 from leadflow.plans.landing import (BOARD_COLUMNS, GROUP_OF_STAGE, TITLE_ID, land_board_groups,
                                     land_board_pages, land_collection)
@@ -367,3 +367,30 @@ def src_latest_snapshot(spark, sf_dir):
 def src_snapshot_status(spark, sf_dir):
     root = _two_runs(spark, sf_dir)
     return SN.snapshot_status(spark, f"{root}/*/run=*/*", ["combined", "grouped", "invitees"])
+
+
+# --- end-to-end refresh (S1 + P1-P3 + S3/S6/S7 + J3 + J1 + K1-K3) -------------
+
+def _land_invitees(spark, sf_dir):
+    inv = fixture(spark, sf_dir, "invitees")
+    row = F.struct("uri", "email", "name", "status", "timezone")
+    path = scratch_path(spark, "invitee-pages")
+    return land_collection(inv, path, F.col("event_uri"), F.lit(1), F.col("pos"), row)
+
+
+def _land_events(spark, sf_dir):
+    b = fixture(spark, sf_dir, "bookings").withColumn("_id", F.substring_index("uri", "/", -1).cast("long"))
+    row = F.struct("uri", "name", "status", F.date_format("start_time", ISO_SPARK).alias("start_time"), "event_type")
+    path = scratch_path(spark, "event-pages")
+    return land_collection(b, path, F.col("status"), F.floor(F.col("_id") / 100) + 1, F.col("_id"), row)
+
+
+@register("flow_full_refresh", sql_leads_origin_with() +
+          "SELECT item_id, stage, owner, email, deal_value, origin FROM leads_origin")
+def flow_full_refresh(spark, sf_dir):
+    from leadflow.plans import refresh as R
+    from leadflow.plans.fixtures import FIXTURE_TYPE_ORIGINS
+    board = land_board_pages(fixture(spark, sf_dir, "leads"), scratch_path(spark, "board-pages"))
+    out = R.refresh(spark, board, _land_events(spark, sf_dir), _land_invitees(spark, sf_dir),
+                    FIXTURE_TYPE_ORIGINS, out_root=scratch_path(spark, "refresh"), run_ts=RUN_TS)
+    return out.select("item_id", "stage", "owner", "email", "deal_value", "origin")

@@ -152,10 +152,12 @@ def scheduled_events(rows: DataFrame) -> DataFrame:
 
 def invitees(rows: DataFrame, events: DataFrame | None = None,
              event_uri_col: str = "stream") -> DataFrame:
-    """Typed invitees carrying the parent event uri (the page stream) and,
-    when ``events`` is given, its name; event type fields are constants."""
+    """Typed invitees carrying the parent event uri (the page stream), their
+    page position (``page``, ``pos``) and, when ``events`` is given, the
+    event name; event type fields are constants."""
+    position = [c for c in ("page", "pos") if c in rows.columns]
     out = rows.select(
-        F.col(event_uri_col).alias("event_uri"),
+        F.col(event_uri_col).alias("event_uri"), *position,
         *[_s(c) for c in ("uri", "email", "name", "status")],
         F.coalesce("questions_and_answers", F.array().cast(INVITEE_ROW["questions_and_answers"].dataType))
          .alias("questions_and_answers"),
