@@ -267,9 +267,19 @@ def distinct_keys(df: DataFrame, col: str, order_col: str = "seq") -> DataFrame:
 
 
 def key_order(leads: DataFrame, key: str, order_col: str = "seq") -> DataFrame:
-    """First-seen key order over stages in the report order, then rows."""
+    """First-seen position of each key: stages in report order
+    (cancelled, lost, noshow, proposal, scheduled, unqualified, won), then
+    rows by ``order_col``; one partial aggregate."""
     from leadflow.schemas import STAGE_ORDER
     rank = F.array_position(F.array(*[F.lit(s) for s in STAGE_ORDER]), F.col("stage"))
     return (leads.filter(F.col(key).isNotNull() & (rank > 0))
                  .groupBy(key)
-                 .agg(F.min(F.struct(rank.alias("r"), F.col(order_col).alias("o"))).alias("_first")))
+                 .agg(F.min(F.struct(rank.alias("r"), F.col(order_col).alias("o"))).alias("_ord")))
+
+
+def display_order(report: DataFrame, leads: DataFrame, key: str, order_col: str = "seq") -> DataFrame:
+    """The report sorted for display: keys in first-seen order, ``Total``
+    last (reports are bags; use this only to present them)."""
+    ordered = report.join(key_order(leads, key, order_col), key, "left")
+    return (ordered.orderBy(F.col(key) == F.lit(TOTAL_LABEL), F.col("_ord").asc_nulls_last())
+                   .drop("_ord"))

@@ -100,3 +100,11 @@ def test_total_row_only_sums_raw_metrics(spark):
     groups = [v for k, v in out.items() if k != "Total"]
     assert out["Total"]["google_ads"] == pytest.approx(sum(g["google_ads"] for g in groups) / len(groups))
     assert out["Total"]["won"] == sum(g["won"] for g in groups)
+
+
+def test_display_order_first_seen_total_last(spark):
+    df = leads(spark, ROWS)
+    rep = K.kpi_overview(df, "2024-01-01", "2024-01-31")
+    keys = [r.owner for r in K.display_order(rep, df, "owner").collect()]
+    # cancelled stage first (bob), then lost (owner null), proposal (ann), ..., unqualified (cat)
+    assert keys == ["bob", "ann", "cat", "Total"]
