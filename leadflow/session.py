@@ -41,6 +41,25 @@ def get_spark(master: str | None = None, app: str = "leadflow",
     return spark
 
 
+# Settings the library's results depend on (wall-clock conversions in UTC)
+# or that its plans are designed around (AQE coalescing and skew splits).
+_RUNTIME_CONF = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+
+
+def apply_session_defaults(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings above to an existing session (one built by
+    someone else) and make sure a checkpoint folder is known."""
+    for k, v in _RUNTIME_CONF.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only when
     the session has none (tests, single machine).
