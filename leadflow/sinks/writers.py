@@ -61,7 +61,7 @@ def write_grouped_json(leads: DataFrame, root: str, ts: _dt.datetime) -> str:
     return path
 
 
-def chunk_index(df: DataFrame, order_cols, size: int) -> DataFrame:
+def chunk_index(df: DataFrame, order_cols, size: int, with_total: bool = False):
     """Adds ``chunk_number`` (1-based): consecutive runs of ``size`` rows in
     ``order_cols`` order.
 
@@ -80,23 +80,24 @@ def chunk_index(df: DataFrame, order_cols, size: int) -> DataFrame:
     off = literal_table(spark, sorted(offsets.items()), "_pid int, _off long")
     w_mono = F.monotonically_increasing_id() - (F.col("_pid").cast("long") * F.lit(1 << 33))
     idx = srt.withColumn("_local", w_mono).join(F.broadcast(off), "_pid")
-    return (idx.withColumn("chunk_number", (F.floor((F.col("_off") + F.col("_local")) / size) + 1).cast("long"))
-               .drop("_pid", "_off", "_local"))
+    out = (idx.withColumn("chunk_number", (F.floor((F.col("_off") + F.col("_local")) / size) + 1).cast("long"))
+              .drop("_pid", "_off", "_local"))
+    return (out, acc) if with_total else out
 
 
 def write_chunked_json(df: DataFrame, base: str, order_cols, size: int = 10000) -> tuple[str, str]:
     """Records in files of at most ``size`` records (``chunk_number=<n>``
     directories) plus a manifest dataset ``(chunk_number, total_chunks,
     chunk_size)``. Returns (data path, manifest path)."""
-    chunked = chunk_index(df, order_cols, size)
+    chunked, n_rows = chunk_index(df, order_cols, size, with_total=True)
     data = f"{base.rstrip('/')}/chunks"
     (chunked.write.mode("overwrite").option("maxRecordsPerFile", size)
             .partitionBy("chunk_number").json(data))
-    per = chunked.groupBy("chunk_number").agg(F.count(F.lit(1)).alias("chunk_size"))
-    total = per.agg(F.max("chunk_number").alias("total_chunks"))
+    total_chunks = -(-n_rows // size)      # known from the per-partition counts
+    per = (chunked.groupBy("chunk_number").agg(F.count(F.lit(1)).alias("chunk_size"))
+                  .withColumn("total_chunks", F.lit(total_chunks).cast("long")))
     manifest = f"{base.rstrip('/')}/manifest"
-    # One row per chunk; the total is a one-row aggregate broadcast to them.
-    per.join(F.broadcast(total), how="left").write.mode("overwrite").json(manifest)
+    per.write.mode("overwrite").json(manifest)
     return data, manifest
 
 
