@@ -139,19 +139,23 @@ def user_event_types_left(members: DataFrame, types: DataFrame) -> DataFrame:
     return types.join(m, "owner_uri", "left")
 
 
+def _type_owners(types: DataFrame) -> DataFrame:
+    """Distinct owners (partial aggregation first, so an owner with a huge
+    number of types costs one row per task in the shuffle)."""
+    return types.select(F.col("owner_uri").alias("user_uri")).distinct()
+
+
 def members_with_types(members: DataFrame, types: DataFrame) -> DataFrame:
-    return members.join(types.select(F.col("owner_uri").alias("user_uri")), "user_uri", "left_semi")
+    return members.join(_type_owners(types), "user_uri", "left_semi")
 
 
 def members_without_types(members: DataFrame, types: DataFrame) -> DataFrame:
-    return members.join(types.select(F.col("owner_uri").alias("user_uri")), "user_uri", "left_anti")
+    return members.join(_type_owners(types), "user_uri", "left_anti")
 
 
 def member_type_coverage(members: DataFrame, types: DataFrame) -> DataFrame:
     """One row: members, members with / without types and success rate %."""
-    flagged = members.join(
-        types.select(F.col("owner_uri").alias("user_uri")).distinct()
-             .withColumn("_has", F.lit(True)), "user_uri", "left")
+    flagged = members.join(_type_owners(types).withColumn("_has", F.lit(True)), "user_uri", "left")
     n = F.count(F.lit(1))
     ok = F.count_if(F.col("_has").isNotNull())
     return flagged.agg(n.alias("total_members"), ok.alias("members_with_types"),
