@@ -14,13 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leadflow.session import literal_table
-from leadflow.schemas import (ORIGIN_COLD_CALLING, ORIGIN_COLD_EMAIL, ORIGIN_LINKEDIN,
-                              ORIGIN_PRECEDENCE)
-
-
-def _precedence_table(spark: SparkSession) -> DataFrame:
-    rows = sorted(ORIGIN_PRECEDENCE.items(), key=lambda kv: kv[1])
-    return literal_table(spark, rows, "origin string, precedence int")
+from leadflow.schemas import ORIGIN_COLD_EMAIL, ORIGIN_LINKEDIN, ORIGIN_PRECEDENCE
 
 
 def _spread_null_key(c: str):
@@ -185,6 +179,3 @@ def window_first_per_key(df: DataFrame, key: str, order_cols: list) -> DataFrame
     w = Window.partitionBy(key).orderBy(*order_cols)
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + [
-    "ORIGIN_COLD_CALLING"]

@@ -10,7 +10,7 @@ from leadflow.operators import analytics as A
 from leadflow.operators import joins as J
 from leadflow.operators import transform as T
 from leadflow.plans import duck
-from leadflow.plans.common import (SQL_ENRICHED, SQL_FIRST_INVITEE, SQL_LEADS_ORIGIN, SQL_ORIGIN_CASE,
+from leadflow.plans.common import (SQL_ENRICHED, SQL_FIRST_INVITEE, SQL_ORIGIN_CASE,
                                    SQL_TYPED_BOOKINGS, TARGET_TYPES, enriched_bookings,
                                    leads_with_origin, sql_leads_origin_with, sql_with, typed_bookings)
 from leadflow.plans.fixtures import FIXTURE_TYPE_ORIGINS, fixture
@@ -187,8 +187,6 @@ def limit_items(spark, sf_dir):
     return T.first_items(fixture(spark, sf_dir, "leads"), 10, "seq").select("item_id", "item_name")
 
 
-__all__ = ["SQL_LEADS_ORIGIN"]
-
 
 @register("filt_date_range", sql_with(("leads",)) +
           f"SELECT item_id, date_created FROM leads WHERE {duck.in_range('date_created', '1996-03-01', '1996-09-30')}")

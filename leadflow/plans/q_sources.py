@@ -16,7 +16,7 @@ from leadflow.operators import joins as J
 from leadflow.operators import kpi as K
 from leadflow.operators import transform as T
 from leadflow.plans import duck
-from leadflow.plans.common import END, START, sql_leads_origin_with, sql_with
+from leadflow.plans.common import sql_leads_origin_with, sql_with
 from leadflow.plans.fixtures import fixture
 from leadflow.plans.landing import (BOARD_COLUMNS, GROUP_OF_STAGE, TITLE_ID, land_board_groups,
                                     land_board_pages, land_collection)

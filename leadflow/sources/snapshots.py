@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,6 +71,12 @@ def latest_snapshot(spark: SparkSession, glob: str, family_re: str = RUN_DIR_FAM
                        F.try_to_timestamp(F.col("b._stamp"), F.lit("yyyyMMdd_HHmmss")).alias("run_timestamp"))
 
 
+def latest_flat_snapshot(spark: SparkSession, glob: str) -> DataFrame:
+    """:func:`latest_snapshot` for flat ``<family>_<yyyyMMdd_HHmmss>.<ext>``
+    file names (e.g. ``combined_output_20240102_030405.csv``)."""
+    return latest_snapshot(spark, glob, FILE_FAMILY_RE, RUN_FILE_RE)
+
+
 def snapshot_status(spark: SparkSession, glob: str, families) -> DataFrame:
     """Per expected family: exists, file name, size in KB (2 dp), modified."""
     latest = latest_snapshot(spark, glob)
@@ -80,5 +86,3 @@ def snapshot_status(spark: SparkSession, glob: str, families) -> DataFrame:
                     F.round(F.col("length") / 1024.0, 2).alias("size_kb"),
                     F.col("modificationTime").alias("modified"))
 
-
-__all__ = ["RUN_FILE_RE", "Window"]

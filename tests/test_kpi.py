@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from leadflow.operators import kpi as K
 

@@ -1,6 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from leadflow.operators import keys as K
 from leadflow.operators import ratelimit as RL

@@ -68,3 +68,16 @@ def test_grouped_document_reader(spark):
     rec = T.StructType([T.StructField("item_id", T.StringType())])
     got = sorted((r.stage, r.item_id) for r in SN.read_grouped_document(spark, d, rec).collect())
     assert got == [("lost", "3"), ("won", "1"), ("won", "2")]
+
+
+def test_latest_flat_snapshot(spark):
+    d = tempfile.mkdtemp(prefix="leadflow-snap-")
+    for name, mtime in [("combined_output_20240101_000000.csv", 100), ("combined_output_20240102_000000.csv", 200),
+                        ("won_20240101_000000.csv", 300)]:
+        path = os.path.join(d, name)
+        with open(path, "w") as f:
+            f.write("a\n1\n")
+        os.utime(path, (mtime, mtime))
+    got = {r.family: (r.file_name, str(r.run_timestamp)) for r in SN.latest_flat_snapshot(spark, f"{d}/*.csv").collect()}
+    assert got == {"combined_output": ("combined_output_20240102_000000.csv", "2024-01-02 00:00:00"),
+                   "won": ("won_20240101_000000.csv", "2024-01-01 00:00:00")}
