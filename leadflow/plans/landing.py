@@ -19,7 +19,7 @@ def land_collection(df: DataFrame, path: str, stream: Column, page: Column, orde
     """Write ``{stream, page, collection, pagination, error}`` JSON lines."""
     x = df.select(stream.alias("stream"), page.cast("long").alias("page"),
                   F.struct(order.alias("o"), row.alias("r")).alias("_e"))
-    pages = x.groupBy("stream", "page").agg(F.array_sort(F.collect_list("_e")).alias("_es"))
+    pages = x.groupBy("stream", "page").agg(F.sort_array(F.collect_list("_e")).alias("_es"))
     pages = pages.select("stream", "page", F.transform("_es", lambda e: e["r"]).alias("collection"))
     nxt = F.concat(F.col("stream"), F.lit("?page="), (F.col("page") + 1).cast("string"))
     pages = pages.withColumn("pagination", F.struct(nxt.alias("next_page")))
@@ -58,7 +58,7 @@ def land_board_pages(leads: DataFrame, path: str, page_size: int = 50,
     """Write board item pages: each group's first page in the nested first
     shape, later pages in the ``next_items_page`` shape."""
     x = board_items_frame(leads, page_size)
-    pages = x.groupBy("group_id", "page").agg(F.array_sort(F.collect_list(F.struct("o", "item"))).alias("_es"))
+    pages = x.groupBy("group_id", "page").agg(F.sort_array(F.collect_list(F.struct("o", "item"))).alias("_es"))
     firsts = pages.groupBy("group_id").agg(F.min("page").alias("_fp"))
     pages = pages.join(firsts, "group_id").withColumn("_first", F.col("page") == F.col("_fp"))
     items = F.transform("_es", lambda e: e["item"])
@@ -84,7 +84,7 @@ def land_board_groups(leads: DataFrame, path: str) -> str:
         grp = F.when(F.col("stage") == stage, F.lit(gid)).otherwise(grp)
     g = leads.select(grp.alias("id")).filter("id IS NOT NULL AND id <> 'new_group64021__1'").distinct()
     g = g.unionByName(literal_table(leads.sparkSession, [("archive_group",)], "id string"))
-    doc = g.agg(F.array_sort(F.collect_list(F.struct("id", F.upper("id").alias("title")))).alias("groups")).select(
+    doc = g.agg(F.sort_array(F.collect_list(F.struct("id", F.upper("id").alias("title")))).alias("groups")).select(
         F.lit("groups").alias("stream"), F.lit(1).cast("long").alias("page"),
         F.struct(F.array(F.struct("groups")).alias("boards")).alias("data"))
     doc.write.mode("overwrite").json(path)

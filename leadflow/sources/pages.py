@@ -42,18 +42,26 @@ def read_collection_pages(spark: SparkSession, path: str, row_schema: T.StructTy
 
 
 def prefix_until_error(pages: DataFrame, stream: str = "stream", page: str = "page",
-                       error: str = "error") -> DataFrame:
-    """Keep, per stream, the pages before the first failed page.
+                       error: str = "error", next_page: str | None = "next_page") -> DataFrame:
+    """Keep, per stream, the pages a client walking the cursor would have
+    read: those before the first failed page, and none after the first page
+    without a ``next_page`` link.
 
-    The first error page per stream is a partial aggregate (one row per
+    The cut-off pages per stream are one partial aggregate (one row per
     stream) joined back, rather than a window that would sort each stream's
     pages inside one task.
     """
-    first_err = (pages.filter(F.col(error).isNotNull())
-                      .groupBy(stream).agg(F.min(page).alias("_first_err")))
-    out = pages.join(first_err, stream, "left")
-    return (out.filter(F.col("_first_err").isNull() | (F.col(page) < F.col("_first_err")))
-               .drop("_first_err"))
+    aggs = [F.min(F.when(F.col(error).isNotNull(), F.col(page))).alias("_first_err")]
+    has_next = next_page is not None and next_page in pages.columns
+    if has_next:
+        aggs.append(F.min(F.when(F.col(next_page).isNull() & F.col(error).isNull(), F.col(page)))
+                     .alias("_last"))
+    cut = pages.groupBy(stream).agg(*aggs)
+    out = pages.join(cut, stream, "left")
+    keep = F.col("_first_err").isNull() | (F.col(page) < F.col("_first_err"))
+    if has_next:
+        keep = keep & (F.col("_last").isNull() | (F.col(page) <= F.col("_last")))
+    return out.filter(keep).drop("_first_err", "_last")
 
 
 def pages_to_rows(pages: DataFrame, keep=("stream", "page")) -> DataFrame:

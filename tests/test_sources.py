@@ -18,9 +18,9 @@ def _write(lines):
     return d
 
 
-def _page(stream, page, uris, error=None):
+def _page(stream, page, uris, error=None, last=False):
     doc = {"stream": stream, "page": page, "collection": [{"uri": u, "status": stream} for u in uris],
-           "pagination": {"next_page": None}}
+           "pagination": {"next_page": None if last else f"{stream}?page={page + 1}"}}
     if error:
         doc["error"] = error
         doc["collection"] = []
@@ -31,15 +31,16 @@ def test_prefix_until_error(spark):
     path = _write([
         _page("a", 1, ["a1"], error="HTTP 500"), _page("a", 2, ["a2"]),          # error on page 1
         _page("b", 1, ["b1"]), _page("b", 2, [], error="boom"), _page("b", 3, ["b3"]),  # mid-stream
-        _page("c", 1, ["c1", "c2"]), _page("c", 2, ["c3"]),                       # no error
+        _page("c", 1, ["c1", "c2"]), _page("c", 2, ["c3"], last=True),            # no error
+        _page("d", 1, ["d1"], last=True), _page("d", 2, ["d2"]),                  # nothing after the last link
     ])
     rows = S.read_collection_rows(spark, path, SCHEDULED_EVENT_ROW)
-    assert sorted(r.uri for r in rows.collect()) == ["b1", "c1", "c2", "c3"]
+    assert sorted(r.uri for r in rows.collect()) == ["b1", "c1", "c2", "c3", "d1"]
     assert [r.pos for r in rows.filter("stream = 'c'").orderBy("page", "pos").collect()] == [1, 2, 1]
 
 
 def test_scheduled_event_defaults(spark):
-    path = _write([{"stream": "active", "page": 1, "collection": [{"uri": "e1"}]}])
+    path = _write([{"stream": "active", "page": 1, "collection": [{"uri": "e1"}], "pagination": {}}])
     ev = S.scheduled_events(S.read_collection_rows(spark, path, SCHEDULED_EVENT_ROW)).collect()[0]
     assert (ev.name, ev.status, ev.location, ev.event_memberships) == ("", "", {}, [])
 
