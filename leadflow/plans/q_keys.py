@@ -212,11 +212,31 @@ def stream_audit(spark, sf_dir):
     return spark.read.parquet(sink)
 
 
+def _landed_requests_in_time_order(spark, sf_dir, n_files: int = 4):
+    """Request log landed as ``n_files`` successive files, each holding a
+    later time range (as an arriving log would be), so a stream reading one
+    file per trigger sees the requests in time order."""
+    import time as _time
+    log = fixture(spark, sf_dir, "request_log")
+    lo, hi = log.agg(F.min("ts"), F.max("ts")).first()
+    step = (hi - lo) / n_files
+    path = scratch_path(spark, "request-log-ordered")
+    for i in range(n_files):
+        a = lo + step * i
+        part = log.filter(F.col("ts") >= F.lit(a))
+        if i < n_files - 1:
+            part = part.filter(F.col("ts") < F.lit(a + step))
+        part.coalesce(1).write.mode("append").parquet(path)
+        _time.sleep(1.1)            # distinct modification times keep the file order
+    return path, spark.read.parquet(path).schema
+
+
 @register("stream_rate_limit")
 def stream_rate_limit(spark, sf_dir):
-    """Stream bucket decisions; tests check they equal ``batch_rate_limit``."""
-    path, schema = _landed_requests(spark, sf_dir)
-    stream = spark.readStream.schema(schema).parquet(path)
+    """Stream bucket decisions over several micro-batches (one landed file
+    per trigger); tests check they equal ``batch_rate_limit``."""
+    path, schema = _landed_requests_in_time_order(spark, sf_dir)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     cl = ST.classify_stream(stream, registry(spark, sf_dir)).filter(F.col("status") == K.STATUS_PENDING)
     out = ST.rate_limit_stream(ST.with_clock(cl, clock()))
     sink, ck = scratch_path(spark, "bucket-sink"), scratch_path(spark, "bucket-ck")
