@@ -111,9 +111,14 @@ def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Build one fixture DataFrame from the base tables in ``sf_dir``."""
-    tables = {t: base_table(spark, sf_dir, t) for t in FIXTURE_TABLES[name]}
-    return spark.sql(SPARK_FIXTURE_SQL.get(name, FIXTURE_SQL[name]), **tables)
+    """Build one fixture DataFrame from the base tables in ``sf_dir`` (the
+    analyzed plan is reused per session; no data is cached)."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), "fixture:" + name)
+    df = _BASE_CACHE.get(key)
+    if df is None:
+        tables = {t: base_table(spark, sf_dir, t) for t in FIXTURE_TABLES[name]}
+        df = _BASE_CACHE[key] = spark.sql(SPARK_FIXTURE_SQL.get(name, FIXTURE_SQL[name]), **tables)
+    return df
 
 
 def duck_fixture_cte(*names: str) -> str:
