@@ -17,7 +17,8 @@ inside each partition, and folded by ``mapInPandas`` that streams Arrow
 batches and carries the bucket across batch boundaries, so memory stays
 bounded however long a session is. Sessions of one key run in parallel on
 different tasks; only one continuous session (no 61 s pause) is inherently
-sequential and stays in one task.
+sequential and stays in one task. Ordinary keys skip the session step and
+are folded whole after a single shuffle (:func:`rate_limit`).
 """
 
 from __future__ import annotations
@@ -120,6 +121,17 @@ def with_sessions(requests: DataFrame, key: str, clock: str, rid: str,
              .drop("_slice", "_new", "_first_new", "_begin_start"))
 
 
+# Keys with more requests than this are "hot": their sessions are found per
+# slice and folded in parallel; at most MAX_HOT_KEYS are listed on the driver.
+MAX_HOT_KEYS = 10_000
+
+
+def _fold(s: DataFrame, n: int) -> DataFrame:
+    """Hash by (key, session), sort, stream-fold each partition."""
+    s = s.repartition(n, "_k", "_s").sortWithinPartitions("_k", "_s", "_t", "_id")
+    return s.mapInPandas(_fold_partition, RESULT_SCHEMA)
+
+
 def rate_limit(requests: DataFrame, key: str = "key_hash", clock: str = "clock_us",
                limit: str = "rate_limit", rid: str = "request_id",
                partitions: int | None = None, target_rows: int = SLICE_TARGET_ROWS) -> DataFrame:
@@ -128,13 +140,30 @@ def rate_limit(requests: DataFrame, key: str = "key_hash", clock: str = "clock_u
     ``requests`` holds only the requests that reached the bucket (they
     passed the key checks), with the key's ``limit`` on every row and an
     integer microsecond ``clock``.
+
+    Keys are split by size first (one partial count per key, the hot ones
+    listed on the driver, at most ``MAX_HOT_KEYS``): ordinary keys are folded
+    whole in one shuffle; hot keys are cut into sessions first so their
+    sessions fold in parallel. Both paths give the same decisions.
     """
     n = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = with_sessions(requests.select(key, clock, limit, rid), key, clock, rid, target_rows)
-    s = s.select(F.col(key).alias("_k"), F.col("_session").alias("_s"), F.col(clock).alias("_t"),
-                 F.col(limit).alias("_l"), F.col(rid).cast("long").alias("_id"))
-    s = s.repartition(n, "_k", "_s").sortWithinPartitions("_k", "_s", "_t", "_id")
-    return s.mapInPandas(_fold_partition, RESULT_SCHEMA)
+    req = requests.select(key, clock, limit, rid)
+    counts = req.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = [r[key] for r in counts.filter(F.col("_n") > target_rows).select(key)
+           .limit(MAX_HOT_KEYS + 1).collect()]
+
+    def cols(df, session):
+        return df.select(F.col(key).alias("_k"), session.alias("_s"), F.col(clock).alias("_t"),
+                         F.col(limit).alias("_l"), F.col(rid).cast("long").alias("_id"))
+
+    if len(hot) > MAX_HOT_KEYS:          # too many to list: every key takes the sliced path
+        return _fold(cols(with_sessions(req, key, clock, rid, target_rows), F.col("_session")), n)
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    plain = _fold(cols(req.filter(~is_hot), F.lit(0).cast("long")), n)
+    if not hot:
+        return plain
+    sliced = with_sessions(req.filter(is_hot), key, clock, rid, target_rows)
+    return plain.unionByName(_fold(cols(sliced, F.col("_session")), n))
 
 
 def micros_clock(ts: Column | str, divisor: int = 1) -> Column:

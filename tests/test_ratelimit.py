@@ -43,8 +43,10 @@ def test_bucket_cases_match_brute_force(spark):
         rows.append((rid, "dense", i * 700_000 + (i // 100) * 90 * S, 5)); rid += 1
     got = run(spark, rows)
     assert got == brute_force(rows)
-    # Tiny slices: a key is cut into many slices, sessions still link exactly.
+    # Tiny slices: every key is hot and cut into many slices; sessions still link exactly.
     assert run(spark, rows, target_rows=7) == got
+    # Mixed: only the dense key is hot.
+    assert run(spark, rows, target_rows=50) == got
     assert [got[i] for i in range(4)] == [True, True, True, False]
 
 
