@@ -47,7 +47,7 @@ def _land_bookings(spark, sf_dir):
 SQL_BOOKING_PAGES = ("bpages AS (SELECT status AS stream, CAST(substr(uri, 8) AS BIGINT) // 100 + 1 AS page, "
                      "CAST(substr(uri, 8) AS BIGINT) AS id, uri, name, status, event_type, "
                      f"strftime(start_time, '{ISO_DUCK}') AS start_time FROM bookings), "
-                     "brows AS (SELECT *, row_number() OVER (PARTITION BY stream, page ORDER BY id) AS pos, "
+                     "brows AS (SELECT *, CAST(row_number() OVER (PARTITION BY stream, page ORDER BY id) AS INTEGER) AS pos, "
                      "(stream = 'canceled' AND page % 7 = 3) AS err FROM bpages)")
 
 
@@ -169,7 +169,7 @@ SQL_BOARD = (f"bitems AS (SELECT {_sql_group_case()} AS group_id, seq // 50 + 1
 
 
 @register("src_board_items", sql_with(("leads",), SQL_BOARD) +
-          "SELECT group_id, page, row_number() OVER (PARTITION BY group_id, page ORDER BY seq) AS pos, item_id AS id, "
+          "SELECT group_id, page, CAST(row_number() OVER (PARTITION BY group_id, page ORDER BY seq) AS INTEGER) AS pos, item_id AS id, "
           f"item_name AS name, CAST({len(BOARD_COLUMNS)} + CASE WHEN seq % 11 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_values FROM bitems")
 def src_board_items(spark, sf_dir):
     path = land_board_pages(fixture(spark, sf_dir, "leads"), scratch_path(spark, "board-pages"))
