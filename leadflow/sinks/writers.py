@@ -150,6 +150,20 @@ def export_members_json(members: DataFrame, base: str, ts: _dt.datetime,
     return data, mpath
 
 
+def export_profile_json(profile: DataFrame, base: str, ts: _dt.datetime) -> str:
+    """User profile rows as JSON documents ``{metadata, user}`` (one per
+    profile row: extraction time and organization id beside the profile)."""
+    from leadflow.functions.columns import uri_tail
+    path = f"{base.rstrip('/')}/profile"
+    org = uri_tail("current_organization") if "current_organization" in profile.columns else F.lit(None)
+    doc = profile.select(
+        F.struct(F.lit(ts.isoformat()).alias("extraction_timestamp"),
+                 org.cast("string").alias("organization_id")).alias("metadata"),
+        F.struct(*[F.col(c) for c in profile.columns]).alias("user"))
+    doc.write.mode("overwrite").json(path)
+    return path
+
+
 def extraction_manifest(parts: dict, ts: _dt.datetime, base: str) -> tuple[str, DataFrame]:
     """Run summary document: per-part row counts, timestamp and success.
 

@@ -82,3 +82,14 @@ def test_latest_flat_snapshot(spark):
     got = {r.family: (r.file_name, str(r.run_timestamp)) for r in SN.latest_flat_snapshot(spark, f"{d}/*.csv").collect()}
     assert got == {"combined_output": ("combined_output_20240102_000000.csv", "2024-01-02 00:00:00"),
                    "won": ("won_20240101_000000.csv", "2024-01-01 00:00:00")}
+
+
+def test_profile_json_export_round_trip(spark):
+    import datetime as dt
+    from leadflow.sinks import writers as W
+    prof = spark.createDataFrame([("Ann", "a@x", "users/1", "https://api.example/organizations/ORG1")],
+                                 "name string, email string, uri string, current_organization string")
+    base = tempfile.mkdtemp(prefix="leadflow-prof-")
+    path = W.export_profile_json(prof, base, dt.datetime(2024, 1, 1))
+    r = spark.read.json(path).collect()[0]
+    assert (r.metadata.organization_id, r.user.email) == ("ORG1", "a@x")
