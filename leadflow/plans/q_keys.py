@@ -70,11 +70,16 @@ def batch_rate_limit(spark, sf_dir):
     return RL.rate_limit(pending).select("request_id", "allowed")
 
 
-_AUDIT_SQL = ("SELECT ts AS timestamp, 'key_validation' AS action, CASE WHEN final_status = 'invalid' THEN NULL ELSE key_id END AS key_id, "
-              "'unknown' AS user, '' AS ip_address, final_status = 'ok' AS success, "
-              "CASE final_status WHEN 'invalid' THEN 'Invalid key attempted' WHEN 'revoked' THEN 'Revoked key used' "
-              "WHEN 'expired' THEN 'Expired key used' WHEN 'rate_limited' THEN 'Rate limited: limited' "
-              "ELSE 'Key validated successfully' END AS details, request_id FROM checked")
+def _audit_sql(status: str, src: str, where: str = "") -> str:
+    """Audit rows (SQL twin of ``keys.audit_rows``) from a checked table."""
+    return (f"SELECT ts AS timestamp, 'key_validation' AS action, CASE WHEN {status} = 'invalid' THEN NULL ELSE key_id END AS key_id, "
+            f"'unknown' AS user, '' AS ip_address, {status} = 'ok' AS success, "
+            f"CASE {status} WHEN 'invalid' THEN 'Invalid key attempted' WHEN 'revoked' THEN 'Revoked key used' "
+            "WHEN 'expired' THEN 'Expired key used' WHEN 'rate_limited' THEN 'Rate limited: limited' "
+            f"ELSE 'Key validated successfully' END AS details, request_id FROM {src}{where}")
+
+
+_AUDIT_SQL = _audit_sql("final_status", "checked")
 
 
 @register("batch_audit", _with(SQL_BUCKET) + _AUDIT_SQL)
@@ -198,9 +203,7 @@ def stream_classify(spark, sf_dir):
     return spark.read.parquet(sink)
 
 
-@register("stream_audit", _with(SQL_BUCKET) + _AUDIT_SQL.replace(
-    "CASE WHEN final_status = 'invalid' THEN NULL ELSE key_id END", "CASE WHEN status = 'invalid' THEN NULL ELSE key_id END"
-).replace("final_status", "status").replace("FROM checked", "FROM classified WHERE status <> 'pending'"))
+@register("stream_audit", _with() + _audit_sql("status", "classified", " WHERE status <> 'pending'"))
 def stream_audit(spark, sf_dir):
     """Audit rows of the requests rejected by rules 1-3, from the stream."""
     path, schema = _landed_requests(spark, sf_dir)
