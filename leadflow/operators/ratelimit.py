@@ -47,21 +47,46 @@ def bucket_step(tokens: float, last: int, t: int, limit: int) -> tuple[float, bo
 def fold_sorted(keys: np.ndarray, sessions: np.ndarray, clocks: np.ndarray,
                 limits: np.ndarray, state: dict) -> tuple[np.ndarray, np.ndarray]:
     """Fold rows sorted by (key, session, clock, id). ``state`` carries the
-    open bucket ``(key, session, tokens, last)`` across calls."""
+    open bucket ``(key, session, tokens, last)`` across calls.
+
+    Vectorized fast path: a run (key, session) starts full, so its first
+    request leaves ``L - 1`` tokens; while every following request comes
+    after a pause that refills at least one token, the bucket is back at
+    ``L`` before each of them (bit for bit: ``min(L, L - 1 + r) == L`` for
+    ``r >= 1``), so they are all allowed with ``L - 1`` left. Only the rows
+    after a run's first short pause go through the sequential loop.
+    """
     n = len(clocks)
-    allowed = np.empty(n, dtype=bool)
-    after = np.empty(n, dtype=np.float64)
-    cur_k, cur_s = state.get("key"), state.get("session")
+    allowed = np.ones(n, dtype=bool)
+    limits_f = limits.astype(np.float64)
+    after = limits_f - 1.0
+    if n == 0:
+        return allowed, after
+    same_as_prev = np.zeros(n, dtype=bool)
+    same_as_prev[1:] = (keys[1:] == keys[:-1]) & (sessions[1:] == sessions[:-1])
+    continues = state.get("key") is not None and keys[0] == state.get("key") and sessions[0] == state.get("session")
+    refill = np.zeros(n)
+    refill[1:] = ((clocks[1:] - clocks[:-1]).astype(np.float64) / 1e6) * (limits_f[1:] / 60.0)
+    short = same_as_prev & (refill < 1.0)
+    run_id = np.cumsum(~same_as_prev)
+    # rows at or after the first short pause of their run
+    short_before = np.cumsum(short)
+    run_start_count = np.zeros(n, dtype=np.int64)
+    starts = np.flatnonzero(~same_as_prev)
+    run_start_count[starts] = short_before[starts] - short[starts]
+    base = np.maximum.accumulate(np.where(~same_as_prev, np.arange(n), 0))
+    slow = (short_before - run_start_count[base]) > 0
+    if continues:
+        slow |= run_id == run_id[0]          # first run continues a bucket from the last batch
     tokens, last = state.get("tokens", 0.0), state.get("last", 0)
-    for i in range(n):
-        k, s, t, lim = keys[i], sessions[i], int(clocks[i]), int(limits[i])
-        if k != cur_k or s != cur_s:
-            cur_k, cur_s, tokens, last = k, s, float(lim), t
-        tokens, ok = bucket_step(tokens, last, t, lim)
-        last = t
-        allowed[i] = ok
-        after[i] = tokens
-    state.update(key=cur_k, session=cur_s, tokens=tokens, last=last)
+    for i in np.flatnonzero(slow):
+        t, lim = int(clocks[i]), int(limits[i])
+        if i == 0 or not same_as_prev[i]:
+            prev_tokens, prev_last = (tokens, last) if (i == 0 and continues) else (float(lim), t)
+        else:
+            prev_tokens, prev_last = after[i - 1], int(clocks[i - 1])
+        after[i], allowed[i] = bucket_step(prev_tokens, prev_last, t, lim)
+    state.update(key=keys[-1], session=sessions[-1], tokens=float(after[-1]), last=int(clocks[-1]))
     return allowed, after
 
 
