@@ -107,7 +107,15 @@ def agg_key_usage(spark, sf_dir):
     return K.key_usage(registry(spark, sf_dir), checked(spark, sf_dir))
 
 
-@register("agg_key_stats")
+@register("agg_key_stats", _with(SQL_BUCKET) +
+          "SELECT g.key_id, g.name, g.permission, g.is_active, g.expires_at, g.rate_limit, "
+          "CAST(coalesce(u.n, 0) AS BIGINT) AS usage_count, u.last_used, "
+          "CAST(floor(coalesce(b.tokens, CAST(g.rate_limit AS DOUBLE))) AS INTEGER) AS rate_limit_remaining, "
+          "g.is_active AND NOT coalesce(TIMESTAMP '2024-02-15 00:00:00' > g.expires_at, false) AS is_valid "
+          "FROM registry g "
+          "LEFT JOIN (SELECT key_id, count(*) AS n, max(ts) AS last_used FROM checked WHERE final_status = 'ok' GROUP BY key_id) u "
+          "ON g.key_id = u.key_id "
+          "LEFT JOIN (SELECT key_hash, arg_max(tokens, rn) AS tokens FROM walk GROUP BY key_hash) b ON g.key_hash = b.key_hash")
 def agg_key_stats(spark, sf_dir):
     reg = registry(spark, sf_dir)
     c = classified(spark, sf_dir).withColumn("clock_us", clock())
@@ -234,7 +242,8 @@ def _landed_requests_in_time_order(spark, sf_dir, n_files: int = 4):
     return path, spark.read.parquet(path).schema
 
 
-@register("stream_rate_limit")
+@register("stream_rate_limit", _with(SQL_BUCKET) +
+          "SELECT request_id, allowed FROM checked WHERE status = 'pending'")
 def stream_rate_limit(spark, sf_dir):
     """Stream bucket decisions over several micro-batches (one landed file
     per trigger); tests check they equal ``batch_rate_limit``."""

@@ -333,19 +333,26 @@ def sink_entity_csv(spark, sf_dir):
     return back.select("uri", "status", tr["utm_source"].alias("utm_source"), tr["utm_campaign"].alias("utm_campaign"))
 
 
-@register("sink_members_json")
+@register("sink_members_json", sql_with(("members",)) +
+          "SELECT '2024-01-31T06:00:00' AS extraction_timestamp, 'organizations/1' AS organization_uri, "
+          "CAST(count(*) AS BIGINT) AS total_members FROM members")
 def sink_members_json(spark, sf_dir):
     data, meta = W.export_members_json(fixture(spark, sf_dir, "members"), scratch_path(spark, "members-json"),
                                        RUN_TS, "organizations/1")
     return spark.read.json(meta).select("metadata.*")
 
 
-@register("sink_manifest")
+@register("sink_manifest", sql_with(("bookings", "invitees", "members")) +
+          "SELECT '2024-01-31T06:00:00' AS timestamp, true AS success, "
+          "(SELECT CAST(count(*) AS BIGINT) FROM bookings) AS events, "
+          "(SELECT CAST(count(*) AS BIGINT) FROM invitees) AS invitees, "
+          "(SELECT CAST(count(*) AS BIGINT) FROM members) AS members")
 def sink_manifest(spark, sf_dir):
     parts = {"events": fixture(spark, sf_dir, "bookings"), "invitees": fixture(spark, sf_dir, "invitees"),
              "members": fixture(spark, sf_dir, "members")}
     path, _ = W.extraction_manifest(parts, RUN_TS, scratch_path(spark, "manifest"))
-    return spark.read.json(path)
+    doc = spark.read.json(path)
+    return doc.select("timestamp", "success", *[F.col(f"summary.{p}").alias(p) for p in parts])
 
 
 def _two_runs(spark, sf_dir):
