@@ -211,13 +211,14 @@ def stream_classify(spark, sf_dir):
     return spark.read.parquet(sink)
 
 
-@register("stream_audit", _with() + _audit_sql("status", "classified", " WHERE status <> 'pending'"))
+@register("stream_audit", _with(SQL_BUCKET) + _AUDIT_SQL)
 def stream_audit(spark, sf_dir):
-    """Audit rows of the requests rejected by rules 1-3, from the stream."""
-    path, schema = _landed_requests(spark, sf_dir)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(path)
-    cl = ST.classify_stream(stream, registry(spark, sf_dir)).filter(F.col("status") != K.STATUS_PENDING)
-    out = ST.audit_stream(cl)
+    """Audit rows of every request, from the stream running all four rules
+    (rules 1-3 stateless, the bucket stateful), over a log arriving in time
+    order."""
+    path, schema = _landed_requests_in_time_order(spark, sf_dir)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = ST.audit_stream(ST.validate_stream(stream, registry(spark, sf_dir), clock()))
     sink, ck = scratch_path(spark, "audit-sink"), scratch_path(spark, "audit-ck")
     ST.run_available_now(out, sink, ck)
     return spark.read.parquet(sink)

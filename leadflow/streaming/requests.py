@@ -4,6 +4,7 @@
 * :func:`rate_limit_stream` - the token bucket per key, state kept by
   ``applyInPandasWithState``; a bucket idle for 61 s is full again, so its
   state expires on an event-time timeout and is dropped.
+* :func:`validate_stream` - both together: one status per request.
 * :func:`audit_stream` - audit rows from the checked stream.
 
 Late rows (older than the watermark) are dropped by Spark before they
@@ -26,6 +27,7 @@ from leadflow.operators.ratelimit import SESSION_GAP_US, bucket_step
 
 STATE_SCHEMA = "tokens double, last long"
 OUT_SCHEMA = "request_id long, allowed boolean, tokens_after double"
+CARRY = ("key_id", "ts")            # carried through the bucket when present
 
 
 def classify_stream(requests: DataFrame, registry: DataFrame, **kw) -> DataFrame:
@@ -50,22 +52,44 @@ def _bucket_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator
     state.update((tokens, int(last)))
     # Bucket full again 61 s after the last request: state can go.
     state.setTimeoutTimestamp(int(last // 1000) + SESSION_GAP_US // 1000)
-    yield pd.DataFrame({"request_id": rows["request_id"].astype("int64").to_numpy(),
+    out = pd.DataFrame({"request_id": rows["request_id"].astype("int64").to_numpy(),
                         "allowed": allowed, "tokens_after": after})
+    for c in CARRY:
+        if c in rows.columns:
+            out[c] = rows[c].to_numpy()
+    yield out
 
 
 def rate_limit_stream(pending: DataFrame, watermark: str = "10 minutes",
                       key: str = "key_hash") -> DataFrame:
     """Token bucket over pending requests (columns request_id, key_hash,
-    rate_limit, clock_us)."""
-    ev = pending.select("request_id", key, "rate_limit", "clock_us",
+    rate_limit, clock_us; ``key_id`` and ``ts`` are carried along when
+    present)."""
+    carry = [c for c in CARRY if c in pending.columns]
+    ev = pending.select("request_id", key, "rate_limit", "clock_us", *carry,
                         F.timestamp_micros("clock_us").alias("clock_ts"))
+    schema = OUT_SCHEMA + "".join(
+        f", {c} {'timestamp' if c == 'ts' else 'string'}" for c in carry)
     return (ev.withWatermark("clock_ts", watermark)
               .groupBy(key)
-              .applyInPandasWithState(_bucket_fn, OUT_SCHEMA, STATE_SCHEMA, "append",
+              .applyInPandasWithState(_bucket_fn, schema, STATE_SCHEMA, "append",
                                       GroupStateTimeout.EventTimeTimeout))
 
 
+def validate_stream(requests: DataFrame, registry: DataFrame, clock: Column,
+                    watermark: str = "10 minutes", **kw) -> DataFrame:
+    """All four key rules on a stream: rejections by rules 1-3 pass straight
+    through, the rest go through the stateful bucket; one output row per
+    request with ``status`` (same values as the batch job)."""
+    cl = classify_stream(requests, registry, **kw).withColumn("clock_us", clock)
+    cols = ["request_id", "key_id", "ts", "status"]
+    rejected = cl.filter(F.col("status") != K.STATUS_PENDING).select(*cols)
+    decided = rate_limit_stream(cl.filter(F.col("status") == K.STATUS_PENDING), watermark)
+    decided = decided.withColumn("status", F.when(F.col("allowed"), F.lit(K.STATUS_OK))
+                                            .otherwise(F.lit(K.STATUS_LIMITED))).select(*cols)
+    return rejected.unionByName(decided)
+
+
 def audit_stream(checked: DataFrame, **kw) -> DataFrame:
     return K.audit_rows(checked, **kw)
 
