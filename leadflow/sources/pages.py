@@ -4,8 +4,11 @@ Landing contract: every page document is one JSON object (JSON lines; set
 ``multi_line=True`` for one pretty-printed document per file) holding the
 API's body plus two landing fields, ``stream`` (what was asked for: a
 status, an event uri, a board group) and ``page`` (1-based request order).
-Files are read with an explicit schema, so there is no inference pass, and
-only the referenced fields are materialized.
+Raw API bodies without those fields work too when landed as
+``<stream>/page-<n>.json``: the stream comes from the folder name and the
+page from the number in the file name. Files are read with an explicit
+schema, so there is no inference pass, and only the referenced fields are
+materialized.
 """
 
 from __future__ import annotations
@@ -26,9 +29,20 @@ def _with_landing(schema: T.StructType) -> T.StructType:
     return T.StructType(LANDING_FIELDS + list(schema.fields))
 
 
+PAGE_NUMBER_RE = r"(\d+)\.json[^/]*$"
+
+
 def read_pages(spark: SparkSession, path: str, schema: T.StructType,
                multi_line: bool = False) -> DataFrame:
-    return spark.read.schema(_with_landing(schema)).option("multiLine", multi_line).json(path)
+    """Page documents with ``stream``/``page`` (from the document, else from
+    the file path)."""
+    df = spark.read.schema(_with_landing(schema)).option("multiLine", multi_line).json(path)
+    fp = F.col("_metadata.file_path")
+    folder = F.element_at(F.split(fp, "/"), -2)
+    num = F.nullif(F.regexp_extract(fp, PAGE_NUMBER_RE, 1), F.lit("")).cast("long")
+    return df.select(F.coalesce(F.col("stream"), folder).alias("stream"),
+                     F.coalesce(F.col("page"), num).alias("page"),
+                     *[F.col(f.name) for f in schema.fields])
 
 
 # --- S3 / S4: generic collection pages ------------------------------------

@@ -93,3 +93,16 @@ def test_profile_json_export_round_trip(spark):
     path = W.export_profile_json(prof, base, dt.datetime(2024, 1, 1))
     r = spark.read.json(path).collect()[0]
     assert (r.metadata.organization_id, r.user.email) == ("ORG1", "a@x")
+
+
+def test_raw_api_pages_take_stream_and_page_from_path(spark):
+    root = tempfile.mkdtemp(prefix="leadflow-raw-")
+    for stream, pages in {"active": [["a1", "a2"], ["a3"]], "canceled": [["c1"]]}.items():
+        os.makedirs(os.path.join(root, stream))
+        for n, uris in enumerate(pages, 1):
+            with open(os.path.join(root, stream, f"page-{n}.json"), "w") as f:
+                json.dump({"collection": [{"uri": u} for u in uris],
+                           "pagination": {"next_page": "x" if n < len(pages) else None}}, f)
+    rows = S.read_collection_rows(spark, f"{root}/*/*.json", SCHEDULED_EVENT_ROW)
+    got = sorted((r.stream, r.page, r.pos, r.uri) for r in rows.collect())
+    assert got == [("active", 1, 1, "a1"), ("active", 1, 2, "a2"), ("active", 2, 1, "a3"), ("canceled", 1, 1, "c1")]
