@@ -61,3 +61,57 @@ def test_extract_date_and_run_timestamp(spark):
     r = df.orderBy("i").select(LF.extract_date("v"), LF.run_timestamp_from_name("v")).collect()
     assert r[0][0] == "2024-13-45" and r[1][0] is None
     assert r[2][1] == dt.datetime(2024, 1, 2, 3, 4, 5)
+
+
+def test_to_number_matches_python_rule_on_generated_texts(spark):
+    """Property check: random number-like texts against a plain Python rule."""
+    import random
+    import re
+
+    from leadflow.functions.columns import PLAIN_NUMBER_RE, SPECIAL_NUMBER_RE
+
+    rnd = random.Random(11)
+    parts = ["", "+", "-", "1", "07", "12", ".", ".5", "e", "E", "e-", "3", "inf", "NaN", " ", ",", "x", "d", "_"]
+    texts = sorted({"".join(rnd.choice(parts) for _ in range(rnd.randint(1, 5))) for _ in range(400)})
+
+    def rule(s):
+        t = s.strip()
+        if re.search(PLAIN_NUMBER_RE, t) or re.search(SPECIAL_NUMBER_RE, t):
+            v = float(t)
+            return 0.0 if v != v else v
+        return 0.0
+    got = dict(_one_col(spark, texts).select("v", LF.to_number("v").alias("n")).collect())
+    bad = {t: (got[t], rule(t)) for t in texts if got[t] != rule(t)}
+    assert not bad
+
+
+def test_coerce_date_matches_python_rule_on_generated_texts(spark):
+    import random
+    import re
+
+    from leadflow.functions.columns import ISO_DATE_RE, SLASH_ISO_DATE_RE, US_DATE_RE
+
+    rnd = random.Random(5)
+    texts = set()
+    for _ in range(300):
+        y, m, d = rnd.choice([1999, 2024, 2023]), rnd.randint(0, 13), rnd.randint(0, 32)
+        texts.add(rnd.choice([f"{y}-{m:02d}-{d:02d}", f"{m}/{d}/{y}", f"{y}/{m}/{d}", f"{m:02d}/{d:02d}/{y}",
+                              f"{y}-{m:02d}-{d:02d}T10:11:12Z", f"{y}-{m:02d}-{d:02d} 10:11",
+                              f"{y}-{m:02d}-{d:02d}T10:11:12.5+01:00", f"{y}-{m}-{d}", f"{y}{m:02d}{d:02d}"]))
+    texts = sorted(texts)
+
+    def rule(s):
+        t = s.strip()
+        try:
+            if re.search(ISO_DATE_RE, t):
+                return dt.date.fromisoformat(t[:10])
+            if re.search(US_DATE_RE, t):
+                return dt.datetime.strptime(t, "%m/%d/%Y").date()
+            if re.search(SLASH_ISO_DATE_RE, t):
+                return dt.datetime.strptime(t, "%Y/%m/%d").date()
+        except ValueError:
+            return None
+        return None
+    got = dict(_one_col(spark, texts).select("v", LF.coerce_date("v").alias("d")).collect())
+    bad = {t: (got[t], rule(t)) for t in texts if got[t] != rule(t)}
+    assert not bad
