@@ -107,3 +107,14 @@ def test_display_order_first_seen_total_last(spark):
     keys = [r.owner for r in K.display_order(rep, df, "owner").collect()]
     # cancelled stage first (bob), then lost (owner null), proposal (ann), ..., unqualified (cat)
     assert keys == ["bob", "ann", "cat", "Total"]
+
+
+def test_missing_utm_source_column(spark):
+    df = leads(spark, ROWS).drop("utm_source")
+    with pytest.raises(Exception):
+        K.kpi_google_ads(df, "2024-01-01", "2024-01-31").collect()        # channel column required
+    out = by_key(K.kpi_by_campaign(df, "2024-01-01", "2024-01-31"), "utm_campaign")
+    assert set(out) == {"c1", "c2", "c3", "Total"}                       # no channel filter then
+    assert out["c2"]["new_calls_booked"] == 1                            # scheduled row in range
+    with pytest.raises(ValueError):
+        K.kpi_overview(leads(spark, ROWS).drop("owner"), "2024-01-01", "2024-01-31")
