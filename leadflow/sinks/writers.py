@@ -86,13 +86,17 @@ def chunk_index(df: DataFrame, order_cols, size: int, with_total: bool = False):
 
 
 def write_chunked_json(df: DataFrame, base: str, order_cols, size: int = 10000) -> tuple[str, str]:
-    """Records in files of at most ``size`` records (``chunk_number=<n>``
-    directories) plus a manifest dataset ``(chunk_number, total_chunks,
-    chunk_size)``. Returns (data path, manifest path)."""
+    """Records in files of at most ``size`` records, each record carrying its
+    ``chunk_number`` (consecutive runs of ``size`` records in ``order_cols``
+    order), plus a manifest dataset ``(chunk_number, total_chunks,
+    chunk_size)``. Returns (data path, manifest path).
+
+    Chunks are a column rather than one directory each, so the layout stays
+    flat however many chunks there are.
+    """
     chunked, n_rows = chunk_index(df, order_cols, size, with_total=True)
     data = f"{base.rstrip('/')}/chunks"
-    (chunked.write.mode("overwrite").option("maxRecordsPerFile", size)
-            .partitionBy("chunk_number").json(data))
+    chunked.write.mode("overwrite").option("maxRecordsPerFile", size).json(data)
     total_chunks = -(-n_rows // size)      # known from the per-partition counts
     per = (chunked.groupBy("chunk_number").agg(F.count(F.lit(1)).alias("chunk_size"))
                   .withColumn("total_chunks", F.lit(total_chunks).cast("long")))

@@ -106,3 +106,19 @@ def test_raw_api_pages_take_stream_and_page_from_path(spark):
     rows = S.read_collection_rows(spark, f"{root}/*/*.json", SCHEDULED_EVENT_ROW)
     got = sorted((r.stream, r.page, r.pos, r.uri) for r in rows.collect())
     assert got == [("active", 1, 1, "a1"), ("active", 1, 2, "a2"), ("active", 2, 1, "a3"), ("canceled", 1, 1, "c1")]
+
+
+def test_chunked_json_files_and_numbering(spark):
+    import glob
+
+    from leadflow.sinks import writers as W
+    df = spark.range(0, 50, numPartitions=3).selectExpr("id", "concat('r', lpad(cast(id AS string), 3, '0')) AS k")
+    base = tempfile.mkdtemp(prefix="leadflow-chunks-")
+    data, manifest = W.write_chunked_json(df, base, "k", size=7)
+    for f in glob.glob(f"{data}/part-*.json"):
+        with open(f) as fh:
+            assert sum(1 for _ in fh) <= 7
+    got = {r.id: r.chunk_number for r in spark.read.json(data).collect()}
+    assert got == {i: i // 7 + 1 for i in range(50)}
+    man = sorted((r.chunk_number, r.chunk_size, r.total_chunks) for r in spark.read.json(manifest).collect())
+    assert man == [(c, 7 if c < 8 else 1, 8) for c in range(1, 9)]
