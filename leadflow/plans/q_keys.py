@@ -15,6 +15,8 @@ from leadflow.session import scratch_path
 from leadflow.streaming import requests as ST
 
 NOW = dt.datetime(2024, 2, 15)
+# State partitions of the fixture-sized stream queries (a deployment sets its own).
+STREAM_PARTITIONS = 8
 
 
 def registry(spark, sf_dir):
@@ -220,7 +222,7 @@ def stream_audit(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     out = ST.audit_stream(ST.validate_stream(stream, registry(spark, sf_dir), clock()))
     sink, ck = scratch_path(spark, "audit-sink"), scratch_path(spark, "audit-ck")
-    ST.run_available_now(out, sink, ck)
+    ST.run_available_now(out, sink, ck, state_partitions=STREAM_PARTITIONS)
     return spark.read.parquet(sink)
 
 
@@ -253,5 +255,5 @@ def stream_rate_limit(spark, sf_dir):
     cl = ST.classify_stream(stream, registry(spark, sf_dir)).filter(F.col("status") == K.STATUS_PENDING)
     out = ST.rate_limit_stream(ST.with_clock(cl, clock()))
     sink, ck = scratch_path(spark, "bucket-sink"), scratch_path(spark, "bucket-ck")
-    ST.run_available_now(out, sink, ck)
+    ST.run_available_now(out, sink, ck, state_partitions=STREAM_PARTITIONS)
     return spark.read.parquet(sink).select("request_id", "allowed")

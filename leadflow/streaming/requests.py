@@ -95,11 +95,25 @@ def audit_stream(checked: DataFrame, **kw) -> DataFrame:
 
 
 def run_available_now(df: DataFrame, sink: str, checkpoint: str, fmt: str = "parquet",
-                      mode: str = "append", timeout_s: int = 600) -> None:
-    """Run a streaming frame over everything available, then stop."""
-    q = (df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", checkpoint)
-           .trigger(availableNow=True).start(sink))
-    q.awaitTermination(timeout_s)
+                      mode: str = "append", timeout_s: int = 600,
+                      state_partitions: int | None = None) -> None:
+    """Run a streaming frame over everything available, then stop.
+
+    ``state_partitions``: shuffle/state partitions of a *new* stateful query
+    (Spark fixes them in the checkpoint at the first batch); the session
+    setting is restored afterwards.
+    """
+    spark = df.sparkSession
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    if state_partitions is not None:
+        spark.conf.set(key, str(state_partitions))
+    try:
+        q = (df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", checkpoint)
+               .trigger(availableNow=True).start(sink))
+        q.awaitTermination(timeout_s)
+    finally:
+        spark.conf.set(key, before)
     if q.isActive:
         q.stop()
         raise TimeoutError("streaming query did not finish")
