@@ -105,7 +105,7 @@ SLICE_TARGET_ROWS = 2_000_000
 
 
 def with_sessions(requests: DataFrame, key: str, clock: str, rid: str,
-                  target_rows: int = SLICE_TARGET_ROWS) -> DataFrame:
+                  target_rows: int = SLICE_TARGET_ROWS, few_keys: bool = False) -> DataFrame:
     """Adds ``_session``: the clock of the session's first request, where a
     session ends at a gap of 61 s or more between a key's requests.
 
@@ -114,7 +114,9 @@ def with_sessions(requests: DataFrame, key: str, clock: str, rid: str,
     so a hot key gets many slices); gaps are found inside each slice, and one
     summary row per slice links it to the previous slice of its key. Slice
     ids are a pure function of the data, so every branch of the plan (and
-    every task retry) agrees on them.
+    every task retry) agrees on them. ``few_keys`` (the caller knows the
+    number of keys is small, e.g. a bounded hot-key list) broadcasts the
+    per-key widths instead of shuffling the requests for them.
     """
     stats = (requests.groupBy(key)
                      .agg(F.count(F.lit(1)).alias("_n"), F.min(clock).alias("_c0"),
@@ -122,7 +124,7 @@ def with_sessions(requests: DataFrame, key: str, clock: str, rid: str,
     n_slices = F.ceil(F.col("_n") / F.lit(target_rows))
     width = F.greatest(F.lit(1), F.ceil((F.col("_c1") - F.col("_c0") + 1) / n_slices)).cast("long")
     stats = stats.select(key, "_c0", width.alias("_w"))
-    r = requests.join(stats, key).withColumn(
+    r = requests.join(F.broadcast(stats) if few_keys else stats, key).withColumn(
         "_slice", F.floor((F.col(clock) - F.col("_c0")) / F.col("_w")).cast("long")).drop("_c0", "_w")
     w = Window.partitionBy(key, "_slice").orderBy(clock, rid)
     gap = F.col(clock) - F.lag(clock).over(w)
@@ -187,7 +189,8 @@ def rate_limit(requests: DataFrame, key: str = "key_hash", clock: str = "clock_u
     plain = _fold(cols(req.filter(~is_hot), F.lit(0).cast("long")), n)
     if not hot:
         return plain
-    sliced = with_sessions(req.filter(is_hot), key, clock, rid, target_rows)
+    # At most MAX_HOT_KEYS keys here, so their per-key widths are broadcast.
+    sliced = with_sessions(req.filter(is_hot), key, clock, rid, target_rows, few_keys=True)
     return plain.unionByName(_fold(cols(sliced, F.col("_session")), n))
 
 
