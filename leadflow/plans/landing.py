@@ -30,6 +30,18 @@ def land_collection(df: DataFrame, path: str, stream: Column, page: Column, orde
     return path
 
 
+_LANDED: dict = {}
+
+
+def landed_once(spark, sf_dir: str, name: str, build):
+    """Land one fixture's pages once per application and data set; later
+    queries read the same files (pages land once and are read many times)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    if key not in _LANDED:
+        _LANDED[key] = build()
+    return _LANDED[key]
+
+
 TITLE_ID = {v: k for k, v in LEAD_COLUMN_BY_ID.items()}
 GROUP_OF_STAGE = {v: k for k, v in STAGE_BY_GROUP.items()}
 

@@ -11,6 +11,7 @@ from leadflow.operators import ratelimit as RL
 from leadflow.plans.common import sql_with
 from leadflow.plans.fixtures import CLOCK_DIVISOR, fixture
 from leadflow.plans.registry import register
+from leadflow.plans.landing import landed_once
 from leadflow.session import scratch_path
 from leadflow.streaming import requests as ST
 
@@ -198,6 +199,10 @@ def win_audit_retain(spark, sf_dir):
 
 def _landed_requests(spark, sf_dir):
     """Request log landed as parquet files in a shared scratch folder."""
+    return landed_once(spark, sf_dir, "request-log", lambda: _land_requests_now(spark, sf_dir))
+
+
+def _land_requests_now(spark, sf_dir):
     path = scratch_path(spark, "request-log")
     fixture(spark, sf_dir, "request_log").repartition(4).write.parquet(path)
     return path, spark.read.parquet(path).schema
@@ -230,6 +235,11 @@ def _landed_requests_in_time_order(spark, sf_dir, n_files: int = 4):
     """Request log landed as ``n_files`` successive files, each holding a
     later time range (as an arriving log would be), so a stream reading one
     file per trigger sees the requests in time order."""
+    return landed_once(spark, sf_dir, f"request-log-ordered-{n_files}",
+                       lambda: _land_requests_in_time_order_now(spark, sf_dir, n_files))
+
+
+def _land_requests_in_time_order_now(spark, sf_dir, n_files):
     import time as _time
     log = fixture(spark, sf_dir, "request_log")
     lo, hi = log.agg(F.min("ts"), F.max("ts")).first()

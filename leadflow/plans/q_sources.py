@@ -19,7 +19,7 @@ from leadflow.plans import duck
 from leadflow.plans.common import sql_leads_origin_with, sql_with
 from leadflow.plans.fixtures import fixture
 from leadflow.plans.landing import (BOARD_COLUMNS, GROUP_OF_STAGE, TITLE_ID, land_board_groups,
-                                    land_board_pages, land_collection)
+                                    land_board_pages, land_collection, landed_once)
 from leadflow.plans.registry import register
 from leadflow.schemas import (EVENT_TYPE_ROW, INVITEE_ROW, LEAD_COLUMN_BY_ID, MEMBERSHIP_ROW,
                               SCHEDULED_EVENT_ROW, STAGE_BY_GROUP)
@@ -35,6 +35,10 @@ ISO_DUCK = "%Y-%m-%dT%H:%M:%S.%fZ"
 
 
 def _land_bookings(spark, sf_dir):
+    return landed_once(spark, sf_dir, "bookings-pages", lambda: _land_bookings_now(spark, sf_dir))
+
+
+def _land_bookings_now(spark, sf_dir):
     b = fixture(spark, sf_dir, "bookings").withColumn("_id", F.substring_index("uri", "/", -1).cast("long"))
     page = F.floor(F.col("_id") / 100) + 1
     row = F.struct("uri", "name", "status", F.date_format("start_time", ISO_SPARK).alias("start_time"), "event_type")
@@ -164,6 +168,11 @@ def _sql_group_case():
     return "CASE stage " + " ".join(f"WHEN {duck.q(s)} THEN {duck.q(g)}" for s, g in GROUP_OF_STAGE.items()) + " END"
 
 
+def _board_pages(spark, sf_dir):
+    return landed_once(spark, sf_dir, "board-pages", lambda: land_board_pages(
+        fixture(spark, sf_dir, "leads"), scratch_path(spark, "board-pages")))
+
+
 SQL_BOARD = (f"bitems AS (SELECT {_sql_group_case()} AS group_id, seq // 50 + 1 AS page, seq, item_id, item_name, "
              + ", ".join(BOARD_COLUMNS) + " FROM leads)")
 
@@ -172,7 +181,7 @@ SQL_BOARD = (f"bitems AS (SELECT {_sql_group_case()} AS group_id, seq // 50 + 1
           "SELECT group_id, page, CAST(row_number() OVER (PARTITION BY group_id, page ORDER BY seq) AS INTEGER) AS pos, item_id AS id, "
           f"item_name AS name, CAST({len(BOARD_COLUMNS)} + CASE WHEN seq % 11 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_values FROM bitems")
 def src_board_items(spark, sf_dir):
-    path = land_board_pages(fixture(spark, sf_dir, "leads"), scratch_path(spark, "board-pages"))
+    path = _board_pages(spark, sf_dir)
     items = S.read_board_items(spark, path)
     return items.select("group_id", "page", "pos", "id", "name", F.size("column_values").alias("n_values"))
 
@@ -180,7 +189,7 @@ def src_board_items(spark, sf_dir):
 @register("proj_items_wide", sql_with(("leads",), SQL_BOARD) +
           "SELECT item_id, item_name, group_id, " + ", ".join(f"{c} AS {TITLE_ID[c]}" for c in BOARD_COLUMNS) + " FROM bitems")
 def proj_items_wide(spark, sf_dir):
-    path = land_board_pages(fixture(spark, sf_dir, "leads"), scratch_path(spark, "board-pages"))
+    path = _board_pages(spark, sf_dir)
     items = S.read_board_items(spark, path)
     return T.items_to_wide(items, keep=("group_id",))
 
@@ -188,14 +197,14 @@ def proj_items_wide(spark, sf_dir):
 @register("proj_rename", sql_with(("leads",), SQL_BOARD) +
           "SELECT item_id, item_name, " + ", ".join(BOARD_COLUMNS) + " FROM bitems")
 def proj_rename(spark, sf_dir):
-    path = land_board_pages(fixture(spark, sf_dir, "leads"), scratch_path(spark, "board-pages"))
+    path = _board_pages(spark, sf_dir)
     wide = T.items_to_wide(S.read_board_items(spark, path), [TITLE_ID[c] for c in BOARD_COLUMNS])
     return T.rename_columns(wide, LEAD_COLUMN_BY_ID)
 
 
 @register("proj_tag_stage", sql_with(("leads",)) + "SELECT item_id, stage FROM leads")
 def proj_tag_stage(spark, sf_dir):
-    path = land_board_pages(fixture(spark, sf_dir, "leads"), scratch_path(spark, "board-pages"))
+    path = _board_pages(spark, sf_dir)
     items = S.read_board_items(spark, path).select(F.col("id").alias("item_id"), "group_id")
     return T.tag_stage(items, STAGE_BY_GROUP).select("item_id", "stage")
 
@@ -204,7 +213,8 @@ def proj_tag_stage(spark, sf_dir):
           "SELECT DISTINCT group_id AS stream, page, 'complexity budget exhausted on page ' || CAST(page AS VARCHAR) AS message "
           "FROM bitems WHERE page % 4 = 0")
 def src_page_errors(spark, sf_dir):
-    path = land_board_pages(fixture(spark, sf_dir, "leads"), scratch_path(spark, "board-error-pages"), error_every=4)
+    path = landed_once(spark, sf_dir, "board-error-pages", lambda: land_board_pages(
+        fixture(spark, sf_dir, "leads"), scratch_path(spark, "board-error-pages"), error_every=4))
     return S.page_errors(S.read_board_page_frame(spark, path))
 
 
@@ -214,7 +224,8 @@ _SQL_GROUPS = ("groups AS (SELECT DISTINCT " + _sql_group_case() + " AS id FROM
 
 @register("src_board_groups", sql_with(("leads",), _SQL_GROUPS) + "SELECT id, upper(id) AS title FROM groups")
 def src_board_groups(spark, sf_dir):
-    path = land_board_groups(fixture(spark, sf_dir, "leads"), scratch_path(spark, "board-groups"))
+    path = landed_once(spark, sf_dir, "board-groups", lambda: land_board_groups(
+        fixture(spark, sf_dir, "leads"), scratch_path(spark, "board-groups")))
     return S.read_board_groups(spark, path)
 
 
@@ -222,7 +233,8 @@ def src_board_groups(spark, sf_dir):
           "SELECT m.group_id, m.stage FROM (VALUES " + ", ".join(f"({duck.q(g)}, {duck.q(s)})" for g, s in STAGE_BY_GROUP.items()) +
           ") m(group_id, stage) WHERE m.group_id NOT IN (SELECT id FROM groups)")
 def join_missing_groups(spark, sf_dir):
-    path = land_board_groups(fixture(spark, sf_dir, "leads"), scratch_path(spark, "board-groups"))
+    path = landed_once(spark, sf_dir, "board-groups", lambda: land_board_groups(
+        fixture(spark, sf_dir, "leads"), scratch_path(spark, "board-groups")))
     return J.missing_groups(J.stage_mapping(spark, STAGE_BY_GROUP), S.read_board_groups(spark, path))
 
 
@@ -397,7 +409,7 @@ def _land_events(spark, sf_dir):
 def flow_full_refresh(spark, sf_dir):
     from leadflow.plans import refresh as R
     from leadflow.plans.fixtures import FIXTURE_TYPE_ORIGINS
-    board = land_board_pages(fixture(spark, sf_dir, "leads"), scratch_path(spark, "board-pages"))
+    board = _board_pages(spark, sf_dir)
     out = R.refresh(spark, board, _land_events(spark, sf_dir), _land_invitees(spark, sf_dir),
                     FIXTURE_TYPE_ORIGINS, out_root=scratch_path(spark, "refresh"), run_ts=RUN_TS)
     return out.select("item_id", "stage", "owner", "email", "deal_value", "origin")
