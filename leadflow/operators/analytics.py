@@ -26,8 +26,41 @@ def value_counts(df: DataFrame, col: str, n: int | None = None,
     return out.limit(n) if n is not None else out
 
 
+def distributions(df: DataFrame, dims) -> DataFrame:
+    """Several value counts of one frame in one pass.
+
+    ``dims`` is a list of ``(dimension, column, top_n or None)`` over
+    distinct columns. One ``GROUPING SETS`` aggregate counts every dimension
+    (one scan of ``df``, one shuffle of partial counts); the top-n cut is a
+    ``row_number`` over the aggregated rows of each dimension. Null values
+    are not counted. Output: ``(dimension, value, count)``.
+    """
+    cols = [c for _, c, _ in dims]
+    if len(set(cols)) != len(cols):
+        raise ValueError("one column per dimension")
+    agg = (df.groupingSets([[F.col(c)] for c in cols], *[F.col(c) for c in cols])
+             .agg(F.count(F.lit(1)).alias("count"),
+                  *[F.grouping(c).alias(f"_g{i}") for i, c in enumerate(cols)]))
+    dim = F.lit(None).cast("string")
+    value = F.lit(None).cast("string")
+    top = F.lit(None).cast("int")
+    for i, (name, c, n) in enumerate(dims):
+        in_set = F.col(f"_g{i}") == 0
+        dim = F.when(in_set, F.lit(name)).otherwise(dim)
+        value = F.when(in_set, F.col(c).cast("string")).otherwise(value)
+        top = F.when(in_set, F.lit(n).cast("int")).otherwise(top)
+    rows = agg.select(dim.alias("dimension"), value.alias("value"), "count", top.alias("_top"))
+    rows = rows.filter(F.col("value").isNotNull())
+    rank = F.row_number().over(Window.partitionBy("dimension").orderBy(F.col("count").desc(), F.col("value").asc()))
+    return (rows.withColumn("_rk", rank)
+                .filter(F.col("_top").isNull() | (F.col("_rk") <= F.col("_top")))
+                .drop("_rk", "_top"))
+
+
 def tagged_counts(parts) -> DataFrame:
-    """Union of ``(dimension, value, count)`` frames from value_counts."""
+    """Union of ``(dimension, value, count)`` frames from value_counts (for
+    parts from different frames; see :func:`distributions` for several
+    dimensions of one frame)."""
     frames = [value_counts(df, col, n).select(F.lit(dim).alias("dimension"),
                                                F.col("value").cast("string").alias("value"),
                                                "count")
@@ -64,9 +97,8 @@ def event_statistics(types: DataFrame) -> DataFrame:
 
 def event_distributions(types: DataFrame) -> DataFrame:
     """kind, type and source distributions plus the top-10 owners."""
-    return tagged_counts([("kind", types, "kind", None), ("type", types, "type", None),
-                          ("source", types, "source", None),
-                          ("top_users", types, "owner_name", 10)])
+    return distributions(types, [("kind", "kind", None), ("type", "type", None),
+                                 ("source", "source", None), ("top_users", "owner_name", 10)])
 
 
 # --- A14 .. A16: invitees -------------------------------------------------
@@ -81,9 +113,8 @@ def invitee_summary(inv: DataFrame) -> DataFrame:
 
 def invitee_distributions(inv: DataFrame) -> DataFrame:
     """Status; event popularity (top 20); time zones (top 10)."""
-    return tagged_counts([("status", inv, "status", None),
-                          ("event_popularity", inv, "event_name", 20),
-                          ("timezone", inv, "timezone", 10)])
+    return distributions(inv, [("status", "status", None), ("event_popularity", "event_name", 20),
+                               ("timezone", "timezone", 10)])
 
 
 def bookings_by_month(inv: DataFrame, col: str = "created_at") -> DataFrame:
@@ -96,9 +127,8 @@ def bookings_by_weekday(inv: DataFrame, col: str = "created_at") -> DataFrame:
 
 
 def invitee_utm(inv: DataFrame) -> DataFrame:
-    return tagged_counts([("sources", inv, "utm_source", None),
-                          ("campaigns", inv, "utm_campaign", None),
-                          ("mediums", inv, "utm_medium", None)])
+    return distributions(inv, [("sources", "utm_source", None), ("campaigns", "utm_campaign", None),
+                               ("mediums", "utm_medium", None)])
 
 
 def _first_positions(qa_long: DataFrame) -> DataFrame:
