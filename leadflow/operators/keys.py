@@ -195,8 +195,15 @@ def retained_count(n: int, cap: int = 10000, keep: int = 5000) -> int:
 
 
 def retain_tail(log: DataFrame, cap: int = 10000, keep: int = 5000, ts_col: str = "timestamp",
-                tie: str = "request_id") -> DataFrame:
+                tie: str = "request_id", materialize: bool = False) -> DataFrame:
     """The rows the bounded audit log would still hold (one count action,
-    then a global top-k; no unpartitioned window)."""
+    then a global top-k; no unpartitioned window).
+
+    ``materialize``: for a derived (not stored) log, ``checkpoint()`` it
+    first (reliable, in the shared checkpoint folder) so the count and the
+    top-k read it once instead of computing it twice.
+    """
+    if materialize:
+        log = log.checkpoint()
     m = retained_count(log.count(), cap, keep)
     return log.orderBy(F.col(ts_col).desc(), F.col(tie).desc()).limit(m)

@@ -192,7 +192,7 @@ CAP, KEEP = 1000, 500
           "(SELECT *, row_number() OVER (ORDER BY timestamp DESC, request_id DESC) AS rn, count(*) OVER () AS n FROM audit) t "
           f"WHERE rn <= CASE WHEN n <= {CAP} THEN n ELSE {KEEP} + (n - {CAP} - 1) % ({CAP} - {KEEP} + 1) END")
 def win_audit_retain(spark, sf_dir):
-    return K.retain_tail(K.audit_rows(checked(spark, sf_dir)), CAP, KEEP)
+    return K.retain_tail(K.audit_rows(checked(spark, sf_dir)), CAP, KEEP, materialize=True)
 
 
 # --- streams -----------------------------------------------------------------
