@@ -120,3 +120,12 @@ def test_items_to_wide_per_group_column_sets(spark):
     assert w.columns == ["item_id", "item_name", "a", "b", "group_id"]
     got = {r.item_id: (r.a, r.b) for r in w.collect()}
     assert got == {"1": ("1a", None), "2": ("2a", None), "3": (None, "3b"), "4": (None, "4b")}
+
+
+def test_distributions_one_pass_nulls_and_top_n(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", None), ("b", "y"), ("c", "y"), (None, "y"), ("b", "z")],
+                               "s string, t string")
+    got = sorted((r.dimension, r.value, r["count"]) for r in
+                 A.distributions(df, [("s", "s", None), ("t", "t", 2)]).collect())
+    # nulls are not counted; top-2 of t: y (3) then x/z tie broken by value
+    assert got == [("s", "a", 2), ("s", "b", 2), ("s", "c", 1), ("t", "x", 1), ("t", "y", 3)]
