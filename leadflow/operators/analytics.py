@@ -147,6 +147,12 @@ def question_counts(qa_long: DataFrame) -> DataFrame:
     return _first_positions(qa_long)
 
 
+def question_total(qa_long: DataFrame) -> DataFrame:
+    """One row: the number of distinct non-empty questions."""
+    q = qa_long.filter(F.col("question").isNotNull() & (F.col("question") != ""))
+    return q.agg(F.count_distinct("question").alias("total_unique_questions"))
+
+
 def question_answers(qa_long: DataFrame) -> DataFrame:
     """Answer distribution of each question, taken at its lowest position."""
     first = _first_positions(qa_long).select(

@@ -227,6 +227,12 @@ def agg_question_counts(spark, sf_dir):
     return A.question_counts(T.explode_qa(qa_nested(spark, sf_dir), "conv_id"))
 
 
+@register("agg_question_total", sql_with(("qa",), SQL_QA_LONG, _QA_FIRST) +
+          "SELECT CAST(count(*) AS BIGINT) AS total_unique_questions FROM first_pos")
+def agg_question_total(spark, sf_dir):
+    return A.question_total(T.explode_qa(qa_nested(spark, sf_dir), "conv_id"))
+
+
 @register("agg_question_answers", sql_with(("qa",), SQL_QA_LONG, _QA_FIRST) +
           "SELECT l.question, l.answer, CAST(count(*) AS BIGINT) AS count FROM qa_long l JOIN first_pos f "
           "ON l.question = f.question AND l.position = f.p WHERE l.answer IS NOT NULL GROUP BY l.question, l.answer")
