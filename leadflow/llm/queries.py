@@ -59,3 +59,32 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leadflow.llm.quality import quality_rules
     return quality_rules(table(spark, sf_dir, "documents")).drop("lang", "source")
+
+
+def _model() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leadflow.llm.piece_codec import digests
+    return digests(table(spark, sf_dir, "documents"), _model())
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leadflow.llm.piece_count import token_counts
+    return token_counts(table(spark, sf_dir, "documents"), _model())
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leadflow.llm.langid import language_id
+    return language_id(table(spark, sf_dir, "documents"), modulus=5, remainder=0)
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leadflow.llm.mixing import mix
+    return mix(table(spark, sf_dir, "documents"))
