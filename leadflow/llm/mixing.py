@@ -14,8 +14,8 @@ The running sum is taken in two steps, over bins of the ranking and within the o
 where it ends, so no task sorts a whole source.
 
 Edge cases: a null text has size 0 and is taken in rank order like any other, which
-adds no words; a source of size 0 has target 0; repeated rows and equal ids are ranked by
-size as well; null ids hash alike; all-empty tables give targets 0; an empty table gives
+adds no words; a source of size 0 has target 0; rows of equal (or
+null) ids are ranked by size and a hash of their text as well; all-empty tables give targets 0; an empty table gives
 an empty result; further columns are kept out.
 """
 
@@ -76,7 +76,7 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: Sequence[float]
     keep = keep or ["doc_id"]
     sized = stored(docs.select(*keep, F.col("source").cast("string").alias("_source"), word_count("text").alias("size"),
                                F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_h"),
-                               F.spark_partition_id().alias("_part")), "mix-sizes")
+                               F.xxhash64("text").alias("_t")), "mix-sizes")
     # One row per source; their number, not the documents', bounds what the driver sees.
     per = (sized.groupBy("_source").agg(F.sum("size").alias("n"), F.sum(F.when(F.col("size") < SHORT, F.col("size")).otherwise(0)).alias("short"))
            .collect())
@@ -101,7 +101,7 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: Sequence[float]
     dealt = ranked.join(starts, F.col("s").eqNullSafe(F.col("b_s")) & F.col("_bin").eqNullSafe(F.col("b_bin")))
     # Only a bin where the need ends is put in order; other bins are whole in or out.
     ends_here = F.col("_bin").isNotNull() & (F.col("before") < F.col("need")) & (F.col("before") + F.col("words") >= F.col("need"))
-    order = Window.partitionBy("s", "_bin").orderBy("_q", "_h", "size", "_part")
+    order = Window.partitionBy("s", "_bin").orderBy("_q", "_h", "size", "_t")
     inner = (dealt.filter(ends_here)
              .withColumn("_upto", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
              .withColumn("_more", (F.col("_upto") - F.col("size") / 2.0) <= F.col("need")).drop("_upto"))

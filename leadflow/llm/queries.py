@@ -88,3 +88,23 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leadflow.llm.mixing import mix
     return mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leadflow.llm.embed_dedup import embedding_dedup
+    return embedding_dedup(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+ORACLE["op8_embedding_dedup"] = r"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+        AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.r AS a, b.r AS b, a.vec_id AS va, b.vec_id AS vb FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+        AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT va, vb FROM l UNION SELECT reach.a, l.vb FROM reach JOIN l ON reach.b = l.va),
+c AS (SELECT a AS vec_id, min(b) AS m FROM reach GROUP BY a),
+n AS (SELECT a AS r, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(c.m, v.vec_id)) AS component_id,
+       v.vec_id = least(v.vec_id, coalesce(c.m, v.vec_id)) AS kept
+FROM v LEFT JOIN n USING (r) LEFT JOIN c ON c.vec_id = v.vec_id"""
