@@ -108,3 +108,19 @@ n AS (SELECT a AS r, count(*) AS n FROM l GROUP BY a)
 SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(c.m, v.vec_id)) AS component_id,
        v.vec_id = least(v.vec_id, coalesce(c.m, v.vec_id)) AS kept
 FROM v LEFT JOIN n USING (r) LEFT JOIN c ON c.vec_id = v.vec_id"""
+
+
+@query
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leadflow.llm.lm import lm_scores
+    return lm_scores(table(spark, sf_dir, "documents"), modulus=7, remainder=2)
+
+
+@query
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leadflow.llm import chat
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(chat.PROBE_ID).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(chat.PROBE_TEXT).alias("text"))
+        for i, role in enumerate(("user", "assistant"))])))
+    return chat.read_back(chat.packs(rows.unionByName(probe)))
