@@ -57,7 +57,7 @@ def format_turn(role: str, text: str) -> str:
 
 
 def conversations(rows: DataFrame) -> DataFrame:
-    """(conv_id, roles, texts, path): turns in order; path is a hash of each prefix."""
+    """(conv_id, roles, texts, path): turns in order; path holds a hash of each turn."""
     turns = F.array_sort(F.collect_list(F.struct(F.col("turn").cast("long").alias("n"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("r"),
                                                  F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))))
     return (rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(turns.alias("turns"))
