@@ -25,11 +25,11 @@ is unknown; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +42,9 @@ BUCKETS = CLASSES * MEMBERS
 START = BUCKETS
 PAIRS = 1 << 13
 END = b" "  # no word holds a space
-BLOCK_DOCS, BLOCK_TOKENS = 8192, 1_000_000
+BLOCK_DOCS, BLOCK_TOKENS = 8192, 2_000_000
+#: Sums of this many documents are held by a task before they are passed on.
+HELD_SUMS = 1 << 22
 ROUNDS = 3
 STEP, DAMP = 1.5, 30.0
 BATCH = 8192
@@ -54,7 +56,13 @@ PIECE = 1 << 15
 
 
 def bucket(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word if len(word) <= 4 else word[-3:]) % BUCKETS
+    return zlib.crc32(word if len(word) <= 4 else word[-3:]) % BUCKETS
+
+
+def bucket_column(word: str) -> F.Column:
+    """`bucket` of a string column."""
+    raw = F.col(word).cast("binary")
+    return F.pmod(F.crc32(F.when(F.octet_length(word) <= 4, raw).otherwise(F.substring(raw, -3, 3))), F.lit(BUCKETS)).cast("int")
 
 
 def _binaries(values: np.ndarray, lens: np.ndarray) -> pa.Array:
@@ -63,7 +71,8 @@ def _binaries(values: np.ndarray, lens: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 
 
-BLOCK_SCHEMA = ("block long, word string, bucket int, n_train long, docs binary, times binary, "
+#: postings: (document of the block, times) in pairs of uint16.
+BLOCK_SCHEMA = ("block long, word string, n_train long, postings binary, "
                 "doc_ids binary, nulls binary, held binary, lens binary, toks binary")
 _NAMES = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
 
@@ -77,20 +86,25 @@ def _block_rows(number: int, ids: list[int | None], held: list[bool], texts: lis
     doc = np.repeat(np.arange(len(texts)), lens)
     key, times = np.unique(seen * BLOCK_DOCS + doc, return_counts=True)
     word, at = key // BLOCK_DOCS, key % BLOCK_DOCS
-    n = np.bincount(word, minlength=len(place))
     train = np.bincount(word, times * ~held_[at], len(place)).astype(np.int64)
-    docs, many = _binaries(at.astype(np.uint16), n), _binaries(times.astype(np.int32), n)
+    # A word more frequent than a uint16 holds has its posting repeated.
+    parts = 1 + (times - 1) // 65535
+    pair = np.empty((int(parts.sum()), 2), np.uint16)
+    pair[:, 0] = np.repeat(at, parts)
+    pair[:, 1] = 65535
+    pair[np.cumsum(parts) - 1, 1] = times - (parts - 1) * 65535
+    n = np.bincount(word, parts, len(place)).astype(np.int64)
+    postings = _binaries(pair.view(np.uint32).ravel(), n)
     words = pa.array(list(place), pa.binary()).cast(pa.string())
     v = len(place)
     for lo in range(0, v, 1 << 16):
         m = min(1 << 16, v - lo)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(m, number)), words.slice(lo, m), pa.array(buckets[lo:lo + m]), pa.array(train[lo:lo + m]), docs.slice(lo, m), many.slice(lo, m),
-             *[pa.nulls(m, pa.binary())] * 5], _NAMES)
+            [pa.array(np.full(m, number)), words.slice(lo, m), pa.array(train[lo:lo + m]), postings.slice(lo, m), *[pa.nulls(m, pa.binary())] * 5], _NAMES)
     null = np.array([i is None for i in ids], bool)
     whole = [np.array([i or 0 for i in ids], np.int64), null, held_, lens.astype(np.int32), buckets[seen].astype(np.uint16)]
     yield pa.RecordBatch.from_arrays(
-        [pa.array([number]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.binary())] * 2,
+        [pa.array([number]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
          *[pa.array([x.tobytes()], pa.binary()) for x in whole]], _NAMES)
 
 
@@ -210,28 +224,31 @@ def _round(table: DataFrame, number: int, totals: np.ndarray, flat: np.ndarray)
                     model.learn(toks[pick], lens[~held])
                     seen += int(pick.sum())
         if seen:
-            step = (mine - start) * np.float32(seen)
+            step = (mine - start).astype(np.float16)  # half the bytes; a step's rounding is far below its noise
             for k, lo in enumerate(range(0, SIZE, PIECE)):
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([seen]), pa.array([step[lo:lo + PIECE].tobytes()], pa.binary())], ["piece", "seen", "step"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list] = {}
-        for b in batches:
-            for k, n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                v = np.frombuffer(x, np.float32)
-                if k in sums:
-                    sums[k][0] += n
-                    sums[k][1] += v
-                else:
-                    sums[k] = [n, v.astype(np.float64)]
-        for k, (n, v) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([n]), pa.array([v.astype(np.float32).tobytes()], pa.binary())], ["piece", "seen", "step"])
+    def add(kind: type):
+        """Sum the steps of a piece, weighted by the tokens they rest on (once)."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, list] = {}
+            for b in batches:
+                for k, m, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    v = np.frombuffer(x, kind).astype(np.float64) * (m if kind is np.float16 else 1)
+                    if k in sums:
+                        sums[k][0] += m
+                        sums[k][1] += v
+                    else:
+                        sums[k] = [m, v]
+            for k, (m, v) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([m]), pa.array([v.astype(np.float32).tobytes()], pa.binary())], ["piece", "seen", "step"])
+        return run
 
     schema = "piece long, seen long, step binary"
     part = (table.filter(F.col("word").isNull() & (F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == number)).select("lens", "held", "toks")
             .mapInArrow(steps, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
-            .repartition("piece", "salt").select("piece", "seen", "step").mapInArrow(add, schema)
-            .repartition("piece").mapInArrow(add, schema))
+            .repartition("piece", "salt").select("piece", "seen", "step").mapInArrow(add(np.float16), schema)
+            .repartition("piece").mapInArrow(add(np.float32), schema))
     out = flat.copy()
     for r in part.collect():  # SIZE weights in all
         x = np.frombuffer(r.step, np.float32)
@@ -244,8 +261,8 @@ def lm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFram
     documents whose crc32 of the id mod ``modulus`` is not ``remainder``."""
     table = stored(blocks(docs, in_fold("doc_id", modulus, remainder)), "lm-blocks")
     index = table.filter(F.col("word").isNotNull())
-    counts = stored(index.groupBy("word").agg(F.sum("n_train").alias("c"), F.first("bucket").alias("bucket")).filter("c > 0"), "lm-counts")
-    by_bucket = counts.groupBy("bucket").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()  # BUCKETS rows
+    counts = stored(index.groupBy("word").agg(F.sum("n_train").alias("c")).filter("c > 0"), "lm-counts")
+    by_bucket = counts.groupBy(bucket_column("word").alias("bucket")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()  # BUCKETS rows
     n, v = sum(r.c for r in by_bucket), sum(r.v for r in by_bucket)
     totals = np.ones(BUCKETS)
     for r in by_bucket:
@@ -254,24 +271,46 @@ def lm_scores(docs: DataFrame, modulus: int = 7, remainder: int = 2) -> DataFram
     for k in range(ROUNDS):
         flat = _round(table, k, totals, flat)
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sum over this task's words, per document: postings shrink to sums before the shuffle."""
+        sums: dict[int, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for k, (log, known) in sums.items():
+                at = np.flatnonzero(known)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k]), *[pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.uint16), log[at], known[at].astype(np.int64))]], ["b", "at", "log", "known"])
+            sums.clear()
+
+        for b in batches:
+            size = np.fromiter(map(len, cells := b.column(2).to_pylist()), np.int64, b.num_rows) // 4
+            pair = np.frombuffer(b"".join(cells), np.uint16).reshape(-1, 2)
+            at, times = pair[:, 0].astype(np.int64), pair[:, 1].astype(np.float64)
+            which, inverse = np.unique(b.column(0).to_numpy(), return_inverse=True)
+            at += np.repeat(inverse, size) * BLOCK_DOCS
+            log = np.bincount(at, times * np.repeat(np.log10(b.column(1).to_numpy() + 1.0), size), len(which) * BLOCK_DOCS).reshape(-1, BLOCK_DOCS)
+            known = np.bincount(at, times, len(which) * BLOCK_DOCS).reshape(-1, BLOCK_DOCS)
+            for k, x, y in zip(which.tolist(), log, known):
+                mine = sums.setdefault(k, np.zeros((2, BLOCK_DOCS)))
+                mine[0] += x
+                mine[1] += y
+            if len(sums) * BLOCK_DOCS > HELD_SUMS:
+                yield from out()
+        yield from out()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            blk, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-            size = np.diff(np.frombuffer(b.column(2).buffers()[1], np.int32)[b.column(2).offset:][:b.num_rows + 1]) // 2
-            at = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).astype(np.int64)
-            times = np.frombuffer(b"".join(b.column(3).to_pylist()), np.int32)
-            blk, c = np.repeat(blk, size), np.repeat(c, size)
-            for k in np.unique(blk):
-                m = blk == k
-                out = sums.setdefault(int(k), np.zeros((2, BLOCK_DOCS)))
-                out[0] += np.bincount(at[m], times[m] * np.log10(c[m] + 1.0), BLOCK_DOCS)
-                out[1] += np.bincount(at[m], times[m], BLOCK_DOCS)
-        for k, out in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([out.tobytes()], pa.binary())], ["b", "sums"])
-
-    known = (index.select("block", "word", "docs", "times").join(counts.select("word", "c"), "word").select("block", "c", "docs", "times")
-             .repartition("block").mapInArrow(gather, "b long, sums binary"))
+            for row in b.to_pylist():
+                at = np.frombuffer(row["at"], np.uint16)
+                mine = sums.setdefault(row["b"], np.zeros((2, BLOCK_DOCS)))
+                mine[0][at] += np.frombuffer(row["log"])
+                mine[1][at] += np.frombuffer(row["known"], np.int64)
+        for k, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([x.tobytes()], pa.binary())], ["b", "sums"])
+
+    known = (index.select("block", "word", "postings").join(counts, "word").select("block", "c", "postings")
+             .mapInArrow(partial, "b long, at binary, log binary, known binary").repartition("b").mapInArrow(total, "b long, sums binary"))
     sent = docs.sparkSession.sparkContext.broadcast((totals, flat))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
