@@ -1,14 +1,15 @@
-"""Derived-metric registry.
+"""Derived KPI ratios.
 
-A metric is a name plus a function from a column resolver to a ``Column``;
-it is evaluated as a projection over the KPI table, so it stays inside
-Catalyst (no Python UDF). Users add metrics by registering new entries.
+A ratio is a row (name, numerator, denominator, kind): ``percent`` gives
+``rate(numerator, denominator)``, ``per`` gives ``revenue_per``. A set of ratios is a plain
+mapping by name; :func:`ratio_columns` turns it into one projection over the KPI table, so
+everything stays inside Catalyst. Users extend the mapping with :func:`with_ratio`.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from typing import Callable
+from collections.abc import Mapping
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,98 +17,42 @@ from pyspark.sql import functions as F
 from leadflow.functions.columns import rate, revenue_per
 
 
-@dataclass(frozen=True)
-class Metric:
-    """``name`` is the output column; ``producer(col)`` builds the Column,
-    where ``col(name)`` resolves a KPI column."""
-    name: str
-    producer: Callable[[Callable[[str], Column]], Column]
+class Ratio(NamedTuple):
+    numerator: str
+    denominator: str
+    kind: str = "percent"
 
 
-def rate_of(numer: str, denom: str) -> Callable:
-    return lambda c: rate(c(numer), c(denom))
-
-
-def revenue_per_of(base: str, revenue: str = "closed_revenue") -> Callable:
-    return lambda c: revenue_per(c(revenue), c(base))
-
-
-class MetricRegistry:
-    """Ordered collection of derived metrics."""
-
-    def __init__(self, metrics=()):
-        self._metrics: dict[str, Metric] = {}
-        for m in metrics:
-            self.register(m)
-
-    def register(self, metric: Metric) -> "MetricRegistry":
-        self._metrics[metric.name] = metric
-        return self
-
-    def copy(self) -> "MetricRegistry":
-        return MetricRegistry(self._metrics.values())
-
-    def names(self) -> list[str]:
-        return list(self._metrics)
-
-    def __iter__(self):
-        return iter(self._metrics.values())
-
-    def columns(self, resolve: Callable[[str], Column] = F.col) -> list[Column]:
-        if resolve is F.col:
-            key = tuple(self._metrics)
-            if getattr(self, "_cols_key", None) != key:
-                self._cols = [m.producer(resolve).alias(m.name) for m in self]
-                self._cols_key = key
-            return list(self._cols)
-        return [m.producer(resolve).alias(m.name) for m in self]
+_KINDS = {"percent": rate, "per": revenue_per}
 
+# Which ratios a report has, and of which columns.
+RATIOS: Mapping[str, Ratio] = {
+    "show_rate": Ratio("sales_call_taken", "new_calls_booked"),
+    "unqualified_rate": Ratio("unqualified", "new_calls_booked"),
+    "cancellation_rate": Ratio("cancelled_calls", "new_calls_booked"),
+    "proposal_rate": Ratio("proposals", "new_calls_booked"),
+    "close_rate": Ratio("close", "new_calls_booked"),
+    "close_rate_show": Ratio("close", "sales_call_taken"),
+    "close_rate_mql": Ratio("close", "proposals"),
+    "revenue_per_call": Ratio("closed_revenue", "new_calls_booked", "per"),
+    "revenue_per_showed_up": Ratio("closed_revenue", "sales_call_taken", "per"),
+    "revenue_per_proposal": Ratio("closed_revenue", "proposals", "per"),
+}
 
-# Raw metrics summed in the total row; every other numeric column is averaged.
+# Columns summed in the total row; every other numeric one is averaged.
 RAW_METRICS = (
     "new_calls_booked", "sales_call_taken", "unqualified", "cancelled_calls",
     "proposals", "won", "cold_emails", "linkedin", "closed_revenue",
     "pipeline_revenue",
 )
 
-DEFAULT_METRICS = MetricRegistry([
-    Metric("show_rate", rate_of("sales_call_taken", "new_calls_booked")),
-    Metric("unqualified_rate", rate_of("unqualified", "new_calls_booked")),
-    Metric("cancellation_rate", rate_of("cancelled_calls", "new_calls_booked")),
-    Metric("proposal_rate", rate_of("proposals", "new_calls_booked")),
-    Metric("close_rate", rate_of("close", "new_calls_booked")),
-    Metric("close_rate_show", rate_of("close", "sales_call_taken")),
-    Metric("close_rate_mql", rate_of("close", "proposals")),
-    Metric("revenue_per_call", revenue_per_of("new_calls_booked")),
-    Metric("revenue_per_showed_up", revenue_per_of("sales_call_taken")),
-    Metric("revenue_per_proposal", revenue_per_of("proposals")),
-])
 
-# Display titles of the report columns (for dashboards that want them).
-DISPLAY_TITLES = {
-    "new_calls_booked": "New Calls Booked",
-    "sales_call_taken": "Sales Call Taken",
-    "unqualified": "Unqualified",
-    "cancelled_calls": "Cancelled Calls",
-    "proposals": "Proposals",
-    "won": "Won",
-    "cold_emails": "Cold Emails",
-    "linkedin": "LinkedIn",
-    "linkedin_leads": "LINKEDIN",
-    "google_ads": "Google Ads",
-    "closed_revenue": "Closed Revenue $",
-    "pipeline_revenue": "Pipeline Revenue $",
-    "show_rate": "Show Rate %",
-    "unqualified_rate": "Unqualified Rate %",
-    "cancellation_rate": "Cancellation Rate %",
-    "proposal_rate": "Proposal Rate %",
-    "close_rate": "Close Rate %",
-    "close_rate_show": "Close Rate(Show) %",
-    "close_rate_mql": "Close Rate(MQL) %",
-    "revenue_per_call": "Revenue Per Call $",
-    "revenue_per_showed_up": "Revenue Per Showed Up $",
-    "revenue_per_proposal": "Revenue Per Proposal $",
-    "owner": "Owner",
-    "utm_campaign": "UTM Campaign",
-    "utm_content": "UTM Content",
-}
+def with_ratio(ratios: Mapping[str, Ratio], name: str, ratio: Ratio) -> dict[str, Ratio]:
+    """A copy of ``ratios`` with ``name`` added, or replaced where it stands."""
+    if ratio.kind not in _KINDS:
+        raise ValueError(f"{name}: kind {ratio.kind!r} is none of {sorted(_KINDS)}")
+    return {**ratios, name: ratio}
+
+
+def ratio_columns(ratios: Mapping[str, Ratio] = RATIOS) -> list[Column]:
+    return [_KINDS[r.kind](F.col(r.numerator), F.col(r.denominator)).alias(name) for name, r in ratios.items()]

@@ -17,11 +17,12 @@ from leadflow.session import literal_table
 from leadflow.schemas import ORIGIN_COLD_EMAIL, ORIGIN_LINKEDIN, ORIGIN_PRECEDENCE
 
 
-def _spread_null_key(c: str):
-    """Join key where a null becomes a unique never-matching text, so rows
-    without a key spread over all partitions instead of hashing to one."""
-    return F.coalesce(F.col(c), F.concat(F.lit("\u0000no-key:"),
-                                         F.monotonically_increasing_id().cast("string")))
+def _spread_null_key(df: DataFrame, c: str):
+    """Join key where a null becomes a never-matching text made from the row's
+    values, so rows without a key spread over all partitions instead of hashing
+    to one, and a retried task gives the same keys."""
+    row = F.to_json(F.struct(*[F.col(x) for x in df.columns]))
+    return F.coalesce(F.col(c), F.concat(F.lit("\u0000no-key:"), F.xxhash64(row).cast("string")))
 
 
 def annotate_origins(leads: DataFrame, bookings: DataFrame,
@@ -36,7 +37,7 @@ def annotate_origins(leads: DataFrame, bookings: DataFrame,
 
     Bookings collapse to one row per e-mail (max precedence) before the join,
     so the join is many-to-one and never multiplies leads. Leads without an
-    e-mail get a unique never-matching key, so a large null group does not
+    e-mail get a never-matching key made from their values, so a large null group does not
     land in one partition; a hot real e-mail is split by AQE's skew join
     (the bookings side holds one row for it).
     """
@@ -50,7 +51,7 @@ def annotate_origins(leads: DataFrame, bookings: DataFrame,
                     .groupBy("_email")
                     .agg(F.max("_rank").alias("_prec"))
                     .select("_email", label.alias("_label")))
-    keyed = leads.withColumn("_jk", _spread_null_key(lead_email))
+    keyed = leads.withColumn("_jk", _spread_null_key(leads, lead_email))
     out = keyed.join(best, keyed["_jk"] == best["_email"], "left")
     return (out.withColumn("origin", F.coalesce(F.col("_label"), F.lit(default)))
                .drop("_email", "_label", "_jk"))
@@ -65,7 +66,7 @@ def annotate_origins_binary(leads: DataFrame, bookings: DataFrame,
     emails = (bookings.select(F.col(booking_email).alias("_email"))
                       .filter(F.col("_email").isNotNull()).distinct()
                       .withColumn("_hit", F.lit(True)))
-    keyed = leads.withColumn("_jk", _spread_null_key(lead_email))
+    keyed = leads.withColumn("_jk", _spread_null_key(leads, lead_email))
     out = keyed.join(emails, keyed["_jk"] == emails["_email"], "left")
     return (out.withColumn("origin", F.when(F.col("_hit"), F.lit(hit)).otherwise(F.lit(miss)))
                .drop("_email", "_hit", "_jk"))
@@ -77,15 +78,17 @@ STATUS_ORDER = ("active", "canceled")
 def first_per_key(df: DataFrame, key: str, order_cols: list) -> DataFrame:
     """Row with the smallest ``order_cols`` per ``key`` (ties: first listed).
 
-    Implemented as a ``min`` over a struct, a partial+final aggregate, so a
+    Implemented as ``min_by``, a partial+final aggregate (payload columns of any
+    type, maps too), so a
     hot key never gathers its rows in one task (a ``row_number`` window
     would sort the whole key group inside one partition).
     """
     payload = [c for c in df.columns if c != key]
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    comparable = [F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in df.dtypes if c != key]
     packed = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)],
-                      *[F.col(c) for c in payload])
-    return (df.groupBy(key).agg(F.min(packed).alias("_best"))
+                      *[c.alias(f"_p{i}") for i, c in enumerate(comparable)])
+    return (df.groupBy(key).agg(F.min_by(F.struct(*payload), packed).alias("_best"))
               .select(key, *[F.col("_best")[c].alias(c) for c in payload]))
 
 

@@ -28,13 +28,14 @@ by_content     content   S      S            google_ads (= booked)
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.functions.columns import in_date_range, to_number
-from leadflow.functions.metrics import DEFAULT_METRICS, RAW_METRICS, MetricRegistry
+from leadflow.functions.metrics import RATIOS, RAW_METRICS, Ratio, ratio_columns
 from leadflow.schemas import (BOOKED_STAGES, ORIGIN_COLD_EMAIL, ORIGIN_LINKEDIN,
                               PROPOSAL_STAGES, TAKEN_STAGES)
 
@@ -162,9 +163,9 @@ def raw_kpis(leads: DataFrame, rspec: ReportSpec, start, end,
     return kpi
 
 
-def with_derived_metrics(kpi: DataFrame, metrics: MetricRegistry = DEFAULT_METRICS) -> DataFrame:
-    """Append the registry's derived metrics as a projection."""
-    return kpi.select("*", *metrics.columns())
+def with_derived_metrics(kpi: DataFrame, metrics: Mapping[str, Ratio] = RATIOS) -> DataFrame:
+    """Append the derived ratios as a projection."""
+    return kpi.select("*", *ratio_columns(metrics))
 
 
 def with_total_row(kpi: DataFrame, key: str, raw_metrics=RAW_METRICS,
@@ -204,7 +205,7 @@ def with_total_row(kpi: DataFrame, key: str, raw_metrics=RAW_METRICS,
 def kpi_report(leads: DataFrame, report: str, start, end,
                date_col: str = "date_created",
                sales_date_col: str | None = "sales_call_date",
-               metrics: MetricRegistry = DEFAULT_METRICS,
+               metrics: Mapping[str, Ratio] = RATIOS,
                total: bool = True) -> DataFrame:
     """One of the six dashboard reports (see module doc)."""
     rspec = spec(report, "utm_source" in leads.columns)

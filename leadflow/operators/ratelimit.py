@@ -17,8 +17,7 @@ inside each partition, and folded by ``mapInPandas`` that streams Arrow
 batches and carries the bucket across batch boundaries, so memory stays
 bounded however long a session is. Sessions of one key run in parallel on
 different tasks; only one continuous session (no 61 s pause) is inherently
-sequential and stays in one task. Ordinary keys skip the session step and
-are folded whole after a single shuffle (:func:`rate_limit`).
+sequential and stays in one task.
 """
 
 from __future__ import annotations
@@ -37,8 +36,9 @@ RESULT_SCHEMA = "request_id long, allowed boolean, tokens_after double"
 
 
 def bucket_step(tokens: float, last: int, t: int, limit: int) -> tuple[float, bool]:
-    """One request against the bucket; returns (tokens after, allowed)."""
-    tokens = min(float(limit), tokens + (float(t - last) / 1e6) * (limit / 60.0))
+    """One request against the bucket; returns (tokens after, allowed). A request
+    older than the refill clock ``last`` refills nothing."""
+    tokens = min(float(limit), tokens + (float(max(0, t - last)) / 1e6) * (limit / 60.0))
     if tokens >= 1.0:
         return tokens - 1.0, True
     return tokens, False
@@ -67,7 +67,11 @@ def fold_sorted(keys: np.ndarray, sessions: np.ndarray, clocks: np.ndarray,
     continues = state.get("key") is not None and keys[0] == state.get("key") and sessions[0] == state.get("session")
     refill = np.zeros(n)
     refill[1:] = ((clocks[1:] - clocks[:-1]).astype(np.float64) / 1e6) * (limits_f[1:] / 60.0)
-    short = same_as_prev & (refill < 1.0)
+    # The fast path needs whole tokens and one limit: a limit under 1, a changed
+    # limit or a short pause sends the rest of the run through the loop.
+    changed = np.zeros(n, dtype=bool)
+    changed[1:] = same_as_prev[1:] & (limits[1:] != limits[:-1])
+    short = (same_as_prev & (refill < 1.0)) | changed | (limits_f < 1.0)
     run_id = np.cumsum(~same_as_prev)
     # rows at or after the first short pause of their run
     short_before = np.cumsum(short)
@@ -105,7 +109,7 @@ SLICE_TARGET_ROWS = 2_000_000
 
 
 def with_sessions(requests: DataFrame, key: str, clock: str, rid: str,
-                  target_rows: int = SLICE_TARGET_ROWS, few_keys: bool = False) -> DataFrame:
+                  target_rows: int = SLICE_TARGET_ROWS) -> DataFrame:
     """Adds ``_session``: the clock of the session's first request, where a
     session ends at a gap of 61 s or more between a key's requests.
 
@@ -114,9 +118,7 @@ def with_sessions(requests: DataFrame, key: str, clock: str, rid: str,
     so a hot key gets many slices); gaps are found inside each slice, and one
     summary row per slice links it to the previous slice of its key. Slice
     ids are a pure function of the data, so every branch of the plan (and
-    every task retry) agrees on them. ``few_keys`` (the caller knows the
-    number of keys is small, e.g. a bounded hot-key list) broadcasts the
-    per-key widths instead of shuffling the requests for them.
+    every task retry) agrees on them.
     """
     stats = (requests.groupBy(key)
                      .agg(F.count(F.lit(1)).alias("_n"), F.min(clock).alias("_c0"),
@@ -124,7 +126,7 @@ def with_sessions(requests: DataFrame, key: str, clock: str, rid: str,
     n_slices = F.ceil(F.col("_n") / F.lit(target_rows))
     width = F.greatest(F.lit(1), F.ceil((F.col("_c1") - F.col("_c0") + 1) / n_slices)).cast("long")
     stats = stats.select(key, "_c0", width.alias("_w"))
-    r = requests.join(F.broadcast(stats) if few_keys else stats, key).withColumn(
+    r = requests.join(stats, key).withColumn(
         "_slice", F.floor((F.col(clock) - F.col("_c0")) / F.col("_w")).cast("long")).drop("_c0", "_w")
     w = Window.partitionBy(key, "_slice").orderBy(clock, rid)
     gap = F.col(clock) - F.lag(clock).over(w)
@@ -148,11 +150,6 @@ def with_sessions(requests: DataFrame, key: str, clock: str, rid: str,
              .drop("_slice", "_new", "_first_new", "_begin_start"))
 
 
-# Keys with more requests than this are "hot": their sessions are found per
-# slice and folded in parallel; at most MAX_HOT_KEYS are listed on the driver.
-MAX_HOT_KEYS = 10_000
-
-
 def _fold(s: DataFrame, n: int) -> DataFrame:
     """Hash by (key, session), sort, stream-fold each partition."""
     s = s.repartition(n, "_k", "_s").sortWithinPartitions("_k", "_s", "_t", "_id")
@@ -168,30 +165,13 @@ def rate_limit(requests: DataFrame, key: str = "key_hash", clock: str = "clock_u
     passed the key checks), with the key's ``limit`` on every row and an
     integer microsecond ``clock``.
 
-    Keys are split by size first (one partial count per key, the hot ones
-    listed on the driver, at most ``MAX_HOT_KEYS``): ordinary keys are folded
-    whole in one shuffle; hot keys are cut into sessions first so their
-    sessions fold in parallel. Both paths give the same decisions.
+    One path for all keys: sessions are found per slice, then folded in
+    parallel (see the module text). Nothing runs while the plan is built.
     """
     n = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    req = requests.select(key, clock, limit, rid)
-    counts = req.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = [r[key] for r in counts.filter(F.col("_n") > target_rows).select(key)
-           .limit(MAX_HOT_KEYS + 1).collect()]
-
-    def cols(df, session):
-        return df.select(F.col(key).alias("_k"), session.alias("_s"), F.col(clock).alias("_t"),
-                         F.col(limit).alias("_l"), F.col(rid).cast("long").alias("_id"))
-
-    if len(hot) > MAX_HOT_KEYS:          # too many to list: every key takes the sliced path
-        return _fold(cols(with_sessions(req, key, clock, rid, target_rows), F.col("_session")), n)
-    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
-    plain = _fold(cols(req.filter(~is_hot), F.lit(0).cast("long")), n)
-    if not hot:
-        return plain
-    # At most MAX_HOT_KEYS keys here, so their per-key widths are broadcast.
-    sliced = with_sessions(req.filter(is_hot), key, clock, rid, target_rows, few_keys=True)
-    return plain.unionByName(_fold(cols(sliced, F.col("_session")), n))
+    sliced = with_sessions(requests.select(key, clock, limit, rid), key, clock, rid, target_rows)
+    return _fold(sliced.select(F.col(key).alias("_k"), F.col("_session").alias("_s"), F.col(clock).alias("_t"),
+                               F.col(limit).alias("_l"), F.col(rid).cast("long").alias("_id")), n)
 
 
 def micros_clock(ts: Column | str, divisor: int = 1) -> Column:

@@ -31,6 +31,10 @@ def _dedup(ids) -> list[str]:
     return out
 
 
+#: At most this many groups' column ids are broadcast.
+MAX_BROADCAST_GROUPS = 1000
+
+
 def group_column_ids(items: DataFrame, group_col: str = "group_id",
                      order_cols=("page", "pos")) -> DataFrame:
     """Per group, the column ids of its first item (``min_by`` aggregate,
@@ -47,7 +51,8 @@ def items_to_wide(items: DataFrame, columns: list[str] | None = None,
     Without ``columns``, each board group takes its column set from its own
     first item (later extra ids are dropped, missing ones are null) and the
     output holds the union of those sets in first-seen order; one small
-    aggregate action over the groups finds it. For a repeated id the last
+    aggregate action over the groups finds it. A group whose first item has no
+    columns gives no rows. For a repeated id the last
     value wins. ``keep`` carries extra input columns (e.g. the group id).
     """
     per_group = None
@@ -63,7 +68,8 @@ def items_to_wide(items: DataFrame, columns: list[str] | None = None,
                             *keep).limit(0)
     src = items
     if per_group is not None:
-        src = items.join(per_group, group_col, "left")
+        few = len(firsts) <= MAX_BROADCAST_GROUPS
+        src = items.join(F.broadcast(per_group) if few else per_group, group_col).filter(F.size("_ids") > 0)
     cv = F.col("column_values")
 
     def pick(c: str):

@@ -56,8 +56,8 @@ SELECT 'types/' || CAST(p_partkey AS STRING) AS uri, p_name AS name, p_size % 3
  CASE WHEN p_partkey % 37 = 0 THEN 'bad' ELSE CAST(CAST('2023-01-01' AS DATE) + CAST(p_partkey % 700 AS INT) AS STRING) || 'T08:00:00Z' END AS created_at
 FROM {part}""",
     "qa": """
-SELECT conv_id, turn, 'Q' || CAST((conv_id + turn) % 6 AS STRING) AS question, 'A' || CAST(length(text) % 4 AS STRING) AS answer
-FROM {conversations} WHERE role = 'user'""",
+SELECT conv_id, turn, 'Q' || CAST((conv_id + turn) % 6 AS STRING) AS question, text AS answer
+FROM {conversations}""",
     "request_log": """
 SELECT event_id AS request_id, ts, 'key-' || CAST(user_id AS STRING) AS presented_key, CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 429 ELSE 200 END AS http_status, value AS response_time
 FROM {events}""",
@@ -65,7 +65,7 @@ FROM {events}""",
 SELECT 'key-' || CAST(c_custkey AS STRING) AS plain_key, c_name AS name, CASE c_custkey % 3 WHEN 0 THEN 'read_only' WHEN 1 THEN 'standard' ELSE 'admin' END AS permission,
  c_acctbal >= 0 AS is_active, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(CAST('2024-01-10' AS DATE) + CAST(c_custkey % 60 AS INT) AS TIMESTAMP) END AS expires_at,
  1 + c_custkey % 3 AS rate_limit
-FROM {customer} WHERE c_custkey < 140""",
+FROM {customer} WHERE c_custkey % 15 <> 7""",
 }
 
 # Spark text of a fixture where it differs from the shared one: the two

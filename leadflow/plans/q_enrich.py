@@ -175,10 +175,10 @@ def agg_value_counts(spark, sf_dir):
 
 @register("topk_events", sql_with(("bookings", "invitees")) +
           "SELECT b.name AS value, CAST(count(*) AS BIGINT) AS count FROM invitees i JOIN bookings b ON i.event_uri = b.uri "
-          "GROUP BY b.name ORDER BY count DESC, value ASC LIMIT 3")
+          "GROUP BY b.name ORDER BY count DESC, value ASC LIMIT 20")
 def topk_events(spark, sf_dir):
     inv = J.event_invitees(fixture(spark, sf_dir, "bookings"), fixture(spark, sf_dir, "invitees"))
-    return A.value_counts(inv, "event_name", 3)
+    return A.value_counts(inv, "event_name", 20)
 
 
 @register("limit_items", sql_with(("leads",)) +

@@ -206,14 +206,17 @@ def proj_qa_long(spark, sf_dir):
     return T.explode_qa(qa_nested(spark, sf_dir), "conv_id")
 
 
-QA_WIDE_N = 3
+# The oracle's columns are fixed: conversations of the test tables have up to 8 turns.
+# The query gives as many as the longest needs, at least these.
+QA_WIDE_N = 8
 
 
 @register("proj_qa_wide", _QA_WITH + "SELECT conv_id, " + ", ".join(
     f"max(CASE WHEN position = {j} THEN question END) AS question_{j}, max(CASE WHEN position = {j} THEN answer END) AS answer_{j}"
     for j in range(1, QA_WIDE_N + 1)) + " FROM qa_long GROUP BY conv_id")
 def proj_qa_wide(spark, sf_dir):
-    return T.flatten_qa(qa_nested(spark, sf_dir), QA_WIDE_N)
+    nested = qa_nested(spark, sf_dir)
+    return T.flatten_qa(nested, max(QA_WIDE_N, T.max_qa_count(nested)))
 
 
 _QA_FIRST = ("per_pos AS (SELECT question, position, count(*) AS n FROM qa_long WHERE question IS NOT NULL AND question <> '' "

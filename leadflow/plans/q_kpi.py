@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leadflow.functions.metrics import DEFAULT_METRICS, RAW_METRICS, Metric, rate_of
+from leadflow.functions.metrics import RATIOS, RAW_METRICS, Ratio, with_ratio
 from leadflow.operators import kpi as K
 from leadflow.plans import duck
 from leadflow.plans.fixtures import fixture
@@ -12,7 +12,7 @@ from leadflow.plans.common import DATE_COL, END, START, leads_with_origin, sql_l
 from leadflow.plans.registry import register
 from leadflow.schemas import BOOKED_STAGES, PROPOSAL_STAGES, TAKEN_STAGES
 
-# SQL twin of the metric registry (name -> (numerator, denominator, kind)).
+# Fixed values, in SQL form: the ratios of a report (name, numerator, denominator, kind).
 _DERIVED_SQL = [
     ("show_rate", "sales_call_taken", "new_calls_booked", "rate"),
     ("unqualified_rate", "unqualified", "new_calls_booked", "rate"),
@@ -132,12 +132,9 @@ def kpi_derived(spark, sf_dir):
     return K.with_derived_metrics(raw).drop("close")
 
 
-_CUSTOM = Metric("won_per_proposal_rate", rate_of("won", "proposals"))
-
-
 @register("kpi_custom_metric", sql_report("overview", extra_metrics=[("won_per_proposal_rate", duck.rate("won", "proposals"))]))
 def kpi_custom_metric(spark, sf_dir):
-    metrics = DEFAULT_METRICS.copy().register(_CUSTOM)
+    metrics = with_ratio(RATIOS, "won_per_proposal_rate", Ratio("won", "proposals"))
     return K.kpi_overview(leads_with_origin(spark, sf_dir), START, END, metrics=metrics)
 
 

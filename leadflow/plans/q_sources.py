@@ -274,28 +274,31 @@ def src_snapshot_csv(spark, sf_dir):
 
 
 @register("sink_stage_csv", sql_with(("leads",)) +
-          "SELECT item_id, owner, NULLIF(deal_value, '') AS deal_value, stage FROM leads WHERE stage = 'won'")
+          "SELECT item_id, owner, NULLIF(deal_value, '') AS deal_value, stage FROM leads")
 def sink_stage_csv(spark, sf_dir):
     root = scratch_path(spark, "snapshots")
     leads = fixture(spark, sf_dir, "leads").select("item_id", "stage", "owner", "deal_value")
     W.write_stage_csvs(leads.filter("stage = 'lost'"), root, RUN_TS)      # previous session
     path = W.write_stage_csvs(leads, root, RUN_TS + dt.timedelta(hours=4))  # replaces it
-    return SN.read_snapshot_csv(spark, path, stage="won").select("item_id", "owner", "deal_value", "stage")
+    return SN.read_snapshot_csv(spark, path, schema=leads.schema).select("item_id", "owner", "deal_value", "stage")
+
+
+GROUPED = "item_id string, owner string, note string, stage string"
 
 
 @register("sink_grouped_json", sql_with(("leads",)) + "SELECT item_id, owner, stage FROM leads")
 def sink_grouped_json(spark, sf_dir):
     root = scratch_path(spark, "snapshots")
     path = W.write_grouped_json(fixture(spark, sf_dir, "leads").select("item_id", "owner", "stage"), root, RUN_TS)
-    return SN.read_grouped_json(spark, path).select("item_id", "owner", "stage")
+    return SN.read_grouped_json(spark, path, GROUPED).select("item_id", "owner", "stage")
 
 
 @register("src_grouped_json", sql_with(("leads",)) +
-          "SELECT stage, item_id, owner FROM leads WHERE stage IN ('won', 'lost')")
+          "SELECT stage, item_id, owner, CAST(NULL AS VARCHAR) AS note FROM leads")
 def src_grouped_json(spark, sf_dir):
     root = scratch_path(spark, "snapshots")
-    path = W.write_grouped_json(fixture(spark, sf_dir, "leads").select("item_id", "owner", "stage"), root, RUN_TS)
-    return SN.read_grouped_json(spark, path).filter(F.col("stage").isin("won", "lost")).select("stage", "item_id", "owner")
+    path = W.write_grouped_json(fixture(spark, sf_dir, "leads").select("item_id", "owner", F.lit(None).cast("string").alias("note"), "stage"), root, RUN_TS)
+    return SN.read_grouped_json(spark, path, GROUPED).select("stage", "item_id", "owner", "note")
 
 
 CHUNK = 1000
@@ -306,7 +309,7 @@ SQL_CHUNKS = f"chunks AS (SELECT uri, (row_number() OVER (ORDER BY uri) - 1) //
 def sink_chunked_json(spark, sf_dir):
     base = scratch_path(spark, "chunks")
     data, _ = W.write_chunked_json(fixture(spark, sf_dir, "invitees").select("uri", "email"), base, "uri", CHUNK)
-    return spark.read.json(data).select("uri", F.col("chunk_number").cast("int"))
+    return spark.read.schema("uri string, chunk_number long").json(data).select("uri", F.col("chunk_number").cast("int"))
 
 
 @register("sink_chunk_manifest", sql_with(("invitees",), SQL_CHUNKS) +
@@ -314,7 +317,7 @@ def sink_chunked_json(spark, sf_dir):
 def sink_chunk_manifest(spark, sf_dir):
     base = scratch_path(spark, "chunks")
     _, manifest = W.write_chunked_json(fixture(spark, sf_dir, "invitees").select("uri", "email"), base, "uri", CHUNK)
-    return spark.read.json(manifest).select("chunk_number", "chunk_size", "total_chunks")
+    return spark.read.schema("chunk_number long, chunk_size long, total_chunks long").json(manifest)
 
 
 _INV_EXPORT = ("SELECT uri, event_uri, email, status, pos FROM invitees")
@@ -335,35 +338,70 @@ def sink_export_parquet(spark, sf_dir):
     return spark.read.parquet(out["parquet"])
 
 
-@register("sink_entity_csv", sql_with(("invitees",)) + "SELECT uri, status, utm_source, utm_campaign FROM invitees")
-def sink_entity_csv(spark, sf_dir):
+def _entity_back(spark, kind, df):
+    """Export all columns of an entity, and read them back as text."""
+    path = W.export_entity_csv(kind, df, scratch_path(spark, "entities"))
+    back = spark.read.schema(", ".join(f"{c} string" for c in df.columns)).option("header", True).csv(path)
+    if back.columns != df.columns:
+        raise AssertionError(f"{kind}: columns {back.columns}")
+    return back
+
+
+@register("sink_entity_csv_invitees", sql_with(("invitees",)) +
+          "SELECT uri, event_uri, CAST(pos AS VARCHAR) AS pos, status, email, name, timezone, utm_source, utm_medium, utm_campaign FROM invitees")
+def sink_entity_csv_invitees(spark, sf_dir):
     inv = fixture(spark, sf_dir, "invitees").withColumn(
-        "tracking", F.struct("utm_source", "utm_medium", "utm_campaign"))
-    path = W.export_entity_csv("invitees", inv, scratch_path(spark, "entities"))
-    back = spark.read.option("header", True).csv(path)
+        "tracking", F.struct("utm_source", "utm_medium", "utm_campaign")).drop("utm_source", "utm_medium", "utm_campaign", "created_at")
     tr = F.from_json("tracking", "utm_source string, utm_medium string, utm_campaign string")
-    return back.select("uri", "status", tr["utm_source"].alias("utm_source"), tr["utm_campaign"].alias("utm_campaign"))
+    return _entity_back(spark, "invitees", inv).select(*[c for c in inv.columns if c != "tracking"], tr["utm_source"].alias("utm_source"),
+                                                       tr["utm_medium"].alias("utm_medium"), tr["utm_campaign"].alias("utm_campaign"))
+
+
+@register("sink_entity_csv_events", sql_with(("event_types",)) +
+          "SELECT uri, name, CAST(active AS VARCHAR) AS active, type, kind, duration, owner_type, owner_uri, created_at FROM event_types")
+def sink_entity_csv_events(spark, sf_dir):
+    return _entity_back(spark, "events", fixture(spark, sf_dir, "event_types"))
+
+
+@register("sink_entity_csv_members", sql_with(("members",)) + "SELECT user_uri, name, email, role, status, organization FROM members")
+def sink_entity_csv_members(spark, sf_dir):
+    return _entity_back(spark, "members", fixture(spark, sf_dir, "members"))
+
+
+MEMBER_SCHEMA = "user_uri string, name string, email string, role string, status string, organization string"
 
 
 @register("sink_members_json", sql_with(("members",)) +
-          "SELECT '2024-01-31T06:00:00' AS extraction_timestamp, 'organizations/1' AS organization_uri, "
-          "CAST(count(*) AS BIGINT) AS total_members FROM members")
+          "SELECT user_uri, name, email, role, status, organization, '2024-01-31T06:00:00' AS extraction_timestamp, "
+          "'organizations/1' AS organization_uri, (SELECT CAST(count(*) AS BIGINT) FROM members) AS total_members FROM members")
 def sink_members_json(spark, sf_dir):
+    """Member rows beside the metadata document, both read back."""
     data, meta = W.export_members_json(fixture(spark, sf_dir, "members"), scratch_path(spark, "members-json"),
                                        RUN_TS, "organizations/1")
-    return spark.read.json(meta).select("metadata.*")
+    about = spark.read.schema("metadata struct<extraction_timestamp:string,organization_uri:string,total_members:long>").json(meta).first().metadata
+    return spark.read.schema(MEMBER_SCHEMA).json(data).select(
+        "*", *[F.lit(about[c]).alias(c) for c in ("extraction_timestamp", "organization_uri", "total_members")])
+
+
+@register("sink_profile_json", sql_with(("members",)) +
+          "SELECT '2024-01-31T06:00:00' AS extraction_timestamp, user_uri AS uri, name, email FROM members")
+def sink_profile_json(spark, sf_dir):
+    prof = fixture(spark, sf_dir, "members").select(F.col("user_uri").alias("uri"), "name", "email")
+    path = W.export_profile_json(prof, scratch_path(spark, "profile-json"), RUN_TS)
+    back = spark.read.schema("metadata struct<extraction_timestamp:string>, user struct<uri:string,name:string,email:string>").json(path)
+    return back.select("metadata.extraction_timestamp", "user.*")
 
 
 @register("sink_manifest", sql_with(("bookings", "invitees", "members")) +
           "SELECT '2024-01-31T06:00:00' AS timestamp, true AS success, "
           "(SELECT CAST(count(*) AS BIGINT) FROM bookings) AS events, "
           "(SELECT CAST(count(*) AS BIGINT) FROM invitees) AS invitees, "
-          "(SELECT CAST(count(*) AS BIGINT) FROM members) AS members")
+          "(SELECT CAST(count(*) AS BIGINT) FROM members) AS members, CAST(0 AS BIGINT) AS nothing")
 def sink_manifest(spark, sf_dir):
     parts = {"events": fixture(spark, sf_dir, "bookings"), "invitees": fixture(spark, sf_dir, "invitees"),
-             "members": fixture(spark, sf_dir, "members")}
+             "members": fixture(spark, sf_dir, "members"), "nothing": fixture(spark, sf_dir, "members").filter("false")}
     path, _ = W.extraction_manifest(parts, RUN_TS, scratch_path(spark, "manifest"))
-    doc = spark.read.json(path)
+    doc = spark.read.schema("timestamp string, success boolean, summary map<string,long>").json(path)
     return doc.select("timestamp", "success", *[F.col(f"summary.{p}").alias(p) for p in parts])
 
 
@@ -376,16 +414,22 @@ def _two_runs(spark, sf_dir):
     return root
 
 
-@register("src_latest_snapshot")
+_RUN2 = "TIMESTAMP '2024-01-31 10:00:00'"
+
+
+@register("src_latest_snapshot", f"SELECT 'combined' AS family, 'run=20240131_100000' AS file_name, {_RUN2} AS run_timestamp "
+          "UNION ALL SELECT 'grouped', 'run=20240131_060000', TIMESTAMP '2024-01-31 06:00:00'")
 def src_latest_snapshot(spark, sf_dir):
     root = _two_runs(spark, sf_dir)
-    return SN.latest_snapshot(spark, f"{root}/*/run=*/*").select("family", "file_name", "run_timestamp")
+    return SN.latest_snapshot(spark, f"{root}/*/run=*").select("family", "file_name", "run_timestamp")
 
 
-@register("src_snapshot_status")
+@register("src_snapshot_status", "SELECT 'combined' AS family, true AS exists, 'run=20240131_100000' AS file_name "
+          "UNION ALL SELECT 'grouped', true, 'run=20240131_060000' UNION ALL SELECT 'invitees', false, NULL")
 def src_snapshot_status(spark, sf_dir):
     root = _two_runs(spark, sf_dir)
-    return SN.snapshot_status(spark, f"{root}/*/run=*/*", ["combined", "grouped", "invitees"])
+    st = SN.snapshot_status(spark, f"{root}/*/run=*", ["combined", "grouped", "invitees"])
+    return st.select("family", "exists", "file_name")
 
 
 # --- end-to-end refresh (S1 + P1-P3 + S3/S6/S7 + J3 + J1 + K1-K3) -------------

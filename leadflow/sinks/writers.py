@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from leadflow.session import literal_table
 
 RUN_FORMAT = "%Y%m%d_%H%M%S"
+#: Writers (and files) per stage of the per-stage CSVs.
+STAGE_WRITERS = 64
 
 
 def run_stamp(ts: _dt.datetime) -> str:
@@ -44,7 +46,9 @@ def write_combined_csv(leads: DataFrame, root: str, ts: _dt.datetime) -> str:
 def write_stage_csvs(leads: DataFrame, root: str, ts: _dt.datetime) -> str:
     """Per-stage CSVs of the current session; the previous session is replaced."""
     path = f"{root.rstrip('/')}/session"
-    (_nested_to_json(leads).withColumn("run", F.lit(run_stamp(ts)))
+    # A task writes a file per stage it holds: rows are dealt by stage and a salt first.
+    salt = F.pmod(F.spark_partition_id(), F.lit(STAGE_WRITERS))
+    (_nested_to_json(leads).withColumn("run", F.lit(run_stamp(ts))).repartition("stage", salt)
         .write.mode("overwrite").option("header", True).partitionBy("stage", "run").csv(path))
     return path
 
@@ -57,7 +61,7 @@ def write_grouped_json(leads: DataFrame, root: str, ts: _dt.datetime) -> str:
     :func:`leadflow.sources.snapshots.read_grouped_json`.)
     """
     path = f"{root.rstrip('/')}/grouped/run={run_stamp(ts)}"
-    leads.write.mode("overwrite").partitionBy("stage").json(path)
+    leads.write.mode("overwrite").option("ignoreNullFields", False).partitionBy("stage").json(path)
     return path
 
 
@@ -122,20 +126,16 @@ def export_formats(df: DataFrame, base: str, formats=("csv", "parquet")) -> dict
     return out
 
 
-ENTITY_COLUMNS = {
-    "events": ("uri", "name", "active", "type", "kind", "duration", "source", "owner_uri",
-               "owner_name", "owner_email", "created_at"),
-    "invitees": ("event_uri", "uri", "email", "name", "status", "timezone", "created_at", "tracking"),
-    "members": ("user_uri", "name", "email", "role", "status"),
-}
+ENTITY_KINDS = ("events", "invitees", "members")
 
 
 def export_entity_csv(kind: str, df: DataFrame, base: str) -> str:
     """Entity CSV export (``events`` = org + user types, ``invitees``,
-    ``members``); nested columns go out as JSON text."""
-    cols = [c for c in ENTITY_COLUMNS[kind] if c in df.columns]
+    ``members``) of all columns; nested columns go out as JSON text."""
+    if kind not in ENTITY_KINDS:
+        raise ValueError(f"unknown entity kind {kind!r}")
     path = f"{base.rstrip('/')}/{kind}"
-    _nested_to_json(df.select(*cols)).write.mode("overwrite").option("header", True).csv(path)
+    _nested_to_json(df).write.mode("overwrite").option("header", True).csv(path)
     return path
 
 
@@ -169,7 +169,8 @@ def export_profile_json(profile: DataFrame, base: str, ts: _dt.datetime) -> str:
 
 
 def extraction_manifest(parts: dict, ts: _dt.datetime, base: str) -> tuple[str, DataFrame]:
-    """Run summary document: per-part row counts, timestamp and success.
+    """Run summary document: per-part row counts (empty parts count 0), timestamp
+    and success, which is written once all parts could be read.
 
     ``parts`` maps a part name to a DataFrame; the counts are one
     aggregate over the union of the parts (one job).
@@ -178,10 +179,12 @@ def extraction_manifest(parts: dict, ts: _dt.datetime, base: str) -> tuple[str,
     u = frames[0]
     for f in frames[1:]:
         u = u.unionByName(f)
-    counts = u.groupBy("part").agg(F.count(F.lit(1)).alias("records"))
+    names = literal_table(frames[0].sparkSession, [(n,) for n in parts], "part string")
+    counts = (names.join(u.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "part", "left")   # an empty part counts 0
+                   .select("part", F.coalesce("n", F.lit(0)).cast("long").alias("records")))
     doc = counts.agg(F.map_from_entries(F.collect_list(F.struct("part", "records"))).alias("summary")).select(
         F.lit(ts.isoformat()).alias("timestamp"), "summary",
-        (F.size("summary") == F.lit(len(parts))).alias("success"))
+        F.lit(True).alias("success"))
     path = f"{base.rstrip('/')}/manifest"
     doc.write.mode("overwrite").json(path)
     return path, doc

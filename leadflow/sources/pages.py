@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadflow.functions.columns import uri_tail
+from leadflow.session import scratch_path
 from leadflow.schemas import (BOARD_ITEM, BOARD_PAGE, EVENT_TYPE_ROW, INVITEE_ROW,
                               MEMBERSHIP_ROW, PROFILE_FIELDS, PROFILE_PAGE,
                               SCHEDULED_EVENT_ROW, collection_page)
@@ -45,6 +46,10 @@ def read_pages(spark: SparkSession, path: str, schema: T.StructType,
                      *[F.col(f.name) for f in schema.fields])
 
 
+#: At most this many failed streams are broadcast.
+MAX_BROADCAST_STREAMS = 100_000
+
+
 # --- S3 / S4: generic collection pages ------------------------------------
 
 def read_collection_pages(spark: SparkSession, path: str, row_schema: T.StructType,
@@ -56,26 +61,30 @@ def read_collection_pages(spark: SparkSession, path: str, row_schema: T.StructTy
 
 
 def prefix_until_error(pages: DataFrame, stream: str = "stream", page: str = "page",
-                       error: str = "error", next_page: str | None = "next_page") -> DataFrame:
-    """Keep, per stream, the pages a client walking the cursor would have
-    read: those before the first failed page, and none after the first page
-    without a ``next_page`` link.
-
-    The cut-off pages per stream are one partial aggregate (one row per
-    stream) joined back, rather than a window that would sort each stream's
-    pages inside one task.
+                       error: str = "error") -> DataFrame:
+    """Keep, per stream, the pages before its first failed page.
+    :func:`pages_cut` gives the others.
+
+    The first failed page per stream is one partial aggregate over the failed
+    pages alone, joined back without moving a stream's pages into one task.
     """
-    aggs = [F.min(F.when(F.col(error).isNotNull(), F.col(page))).alias("_first_err")]
-    has_next = next_page is not None and next_page in pages.columns
-    if has_next:
-        aggs.append(F.min(F.when(F.col(next_page).isNull() & F.col(error).isNull(), F.col(page)))
-                     .alias("_last"))
-    cut = pages.groupBy(stream).agg(*aggs)
-    out = pages.join(cut, stream, "left")
-    keep = F.col("_first_err").isNull() | (F.col(page) < F.col("_first_err"))
-    if has_next:
-        keep = keep & (F.col("_last").isNull() | (F.col(page) <= F.col("_last")))
-    return out.filter(keep).drop("_first_err", "_last")
+    out = _with_first_error(pages, stream, page, error)
+    return out.filter(F.col("_first_err").isNull() | (F.col(page) < F.col("_first_err"))).drop("_first_err")
+
+
+def pages_cut(pages: DataFrame, stream: str = "stream", page: str = "page", error: str = "error") -> DataFrame:
+    """The pages :func:`prefix_until_error` leaves out: each stream's first failed
+    page and all after it."""
+    out = _with_first_error(pages, stream, page, error)
+    return out.filter(F.col(page) >= F.col("_first_err")).drop("_first_err")
+
+
+def _with_first_error(pages: DataFrame, stream: str, page: str, error: str) -> DataFrame:
+    cut = (pages.filter(F.col(error).isNotNull()).groupBy(F.col(stream).alias("_stream"))
+                .agg(F.min(page).alias("_first_err")))
+    # One row per failed stream; beyond the checked size the join is left to Catalyst.
+    few = cut.limit(MAX_BROADCAST_STREAMS + 1).count() <= MAX_BROADCAST_STREAMS
+    return pages.join(F.broadcast(cut) if few else cut, pages[stream] == F.col("_stream"), "left").drop("_stream")
 
 
 def pages_to_rows(pages: DataFrame, keep=("stream", "page")) -> DataFrame:
@@ -106,14 +115,21 @@ def page_errors(pages: DataFrame) -> DataFrame:
                          F.array_join(F.transform("errors", lambda e: e["message"]), "\n").alias("message")))
 
 
-def assert_no_page_errors(pages: DataFrame, max_messages: int = 20) -> DataFrame:
+def assert_no_page_errors(pages: DataFrame, report: str | None = None) -> DataFrame:
     """Eager check: raise if any page carries errors; returns ``pages``.
 
-    Only the first ``max_messages`` messages go into the exception text.
+    Every error row is written to the dataset ``report`` (default: a new folder
+    in the shared scratch folder); the exception names it, the number of pages and
+    the first page's message.
     """
-    bad = page_errors(pages).orderBy("stream", "page").limit(max_messages).collect()
-    if bad:
-        raise RuntimeError("board pages returned errors:\n" + "\n".join(r["message"] for r in bad))
+    path = report or scratch_path(pages.sparkSession, "page-errors")
+    bad = page_errors(pages)
+    bad.write.mode("overwrite").json(path)
+    written = pages.sparkSession.read.schema(bad.schema).json(path)
+    n = written.count()
+    if n:
+        first = written.orderBy("stream", "page").first()["message"]
+        raise RuntimeError(f"{n} board pages returned errors (all in {path}):\n{first}")
     return pages
 
 

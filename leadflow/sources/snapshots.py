@@ -43,7 +43,7 @@ def read_snapshot_csv(spark: SparkSession, path: str, stage: str | None = None,
 
 def file_listing(spark: SparkSession, glob: str) -> DataFrame:
     """File path, size and modification time without reading contents."""
-    return (spark.read.format("binaryFile").load(glob)
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(glob)
                  .select("path", "length", "modificationTime"))
 
 
@@ -54,21 +54,24 @@ FILE_FAMILY_RE = r"([^/]*?)_\d{8}_\d{6}[^/]*$"
 
 def latest_snapshot(spark: SparkSession, glob: str, family_re: str = RUN_DIR_FAMILY_RE,
                     stamp_re: str = RUN_DIR_STAMP_RE) -> DataFrame:
-    """Per snapshot family, the newest file by modification time, with the
+    """Per snapshot family, the newest run by modification time: its path, name,
+    total size of all its files, number of files, newest modification time, and the
     run timestamp parsed from its path.
 
-    Defaults read this library's ``<family>/run=<yyyyMMdd_HHmmss>/`` layout;
-    ``family_re=FILE_FAMILY_RE, stamp_re=RUN_FILE_RE`` read flat
-    ``<family>_<stamp>.csv`` names.
+    Defaults read this library's ``<family>/run=<yyyyMMdd_HHmmss>/`` layout, where a
+    run is a folder; ``family_re=FILE_FAMILY_RE, stamp_re=RUN_FILE_RE`` read flat
+    ``<family>_<stamp>.csv`` names, where it is a file.
     """
-    files = file_listing(spark, glob)
-    f = (files.withColumn("file_name", F.element_at(F.split("path", "/"), -1))
-              .withColumn("family", F.regexp_extract("path", family_re, 1))
-              .withColumn("_stamp", F.nullif(F.regexp_extract("path", stamp_re, 1), F.lit(""))))
-    best = f.groupBy("family").agg(F.max_by(F.struct("path", "file_name", "length", "modificationTime", "_stamp"),
-                                            F.struct("modificationTime", "path")).alias("b"))
-    return best.select("family", "b.path", "b.file_name", "b.length", "b.modificationTime",
-                       F.try_to_timestamp(F.col("b._stamp"), F.lit("yyyyMMdd_HHmmss")).alias("run_timestamp"))
+    folder = F.regexp_extract("path", r"^(.*/run=\d{8}_\d{6})(?:/|$)", 1)
+    f = (file_listing(spark, glob).withColumn("family", F.regexp_extract("path", family_re, 1)).filter("family <> ''")
+              .withColumn("_stamp", F.nullif(F.regexp_extract("path", stamp_re, 1), F.lit("")))
+              .withColumn("path", F.when(folder == "", F.col("path")).otherwise(folder)))
+    runs = f.groupBy("family", "path", "_stamp").agg(F.sum("length").alias("length"), F.count(F.lit(1)).alias("files"),
+                                                     F.max("modificationTime").alias("modificationTime"))
+    best = runs.groupBy("family").agg(F.max_by(F.struct("path", "length", "files", "modificationTime", "_stamp"),
+                                               F.struct("modificationTime", "_stamp", "path")).alias("b"))
+    return best.select("family", "b.path", F.element_at(F.split("b.path", "/"), -1).alias("file_name"), "b.length", "b.files",
+                       "b.modificationTime", F.try_to_timestamp(F.col("b._stamp"), F.lit("yyyyMMdd_HHmmss")).alias("run_timestamp"))
 
 
 def latest_flat_snapshot(spark: SparkSession, glob: str) -> DataFrame:
@@ -78,7 +81,8 @@ def latest_flat_snapshot(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def snapshot_status(spark: SparkSession, glob: str, families) -> DataFrame:
-    """Per expected family: exists, file name, size in KB (2 dp), modified."""
+    """Per expected family: exists, name of the newest run, its size in KB (2 dp),
+    modified."""
     latest = latest_snapshot(spark, glob)
     exp = literal_table(spark, [(x,) for x in families], "family string")
     j = F.broadcast(exp).join(latest, "family", "left")

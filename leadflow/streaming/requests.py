@@ -9,8 +9,9 @@
 
 Late rows (older than the watermark) are dropped by Spark before they
 reach the bucket; within the watermark, rows of one key that arrive in
-different micro-batches out of time order are folded in arrival order, so
-the stream equals the batch job when each key's rows arrive in order.
+different micro-batches out of time order are folded in arrival order (an
+older request refills nothing and leaves the refill clock), so the stream
+equals the batch job when each key's rows arrive in order.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def _bucket_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator
         if tokens is None or t - last >= SESSION_GAP_US:
             tokens, last = float(lim), t
         tokens, ok = bucket_step(tokens, last, t, lim)
-        last = t
+        last = max(last, t)
         allowed.append(ok)
         after.append(tokens)
     state.update((tokens, int(last)))
@@ -95,7 +96,7 @@ def audit_stream(checked: DataFrame, **kw) -> DataFrame:
 
 
 def run_available_now(df: DataFrame, sink: str, checkpoint: str, fmt: str = "parquet",
-                      mode: str = "append", timeout_s: int = 600,
+                      mode: str = "append", timeout_s: int | None = None,
                       state_partitions: int | None = None) -> None:
     """Run a streaming frame over everything available, then stop.
 
@@ -111,7 +112,7 @@ def run_available_now(df: DataFrame, sink: str, checkpoint: str, fmt: str = "par
     try:
         q = (df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", checkpoint)
                .trigger(availableNow=True).start(sink))
-        q.awaitTermination(timeout_s)
+        q.awaitTermination(*([] if timeout_s is None else [timeout_s]))
     finally:
         spark.conf.set(key, before)
     if q.isActive:

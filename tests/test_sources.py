@@ -32,10 +32,10 @@ def test_prefix_until_error(spark):
         _page("a", 1, ["a1"], error="HTTP 500"), _page("a", 2, ["a2"]),          # error on page 1
         _page("b", 1, ["b1"]), _page("b", 2, [], error="boom"), _page("b", 3, ["b3"]),  # mid-stream
         _page("c", 1, ["c1", "c2"]), _page("c", 2, ["c3"], last=True),            # no error
-        _page("d", 1, ["d1"], last=True), _page("d", 2, ["d2"]),                  # nothing after the last link
+        _page("d", 1, ["d1"], last=True), _page("d", 2, ["d2"]),                  # a missing link cuts nothing
     ])
     rows = S.read_collection_rows(spark, path, SCHEDULED_EVENT_ROW)
-    assert sorted(r.uri for r in rows.collect()) == ["b1", "c1", "c2", "c3", "d1"]
+    assert sorted(r.uri for r in rows.collect()) == ["b1", "c1", "c2", "c3", "d1", "d2"]
     assert [r.pos for r in rows.filter("stream = 'c'").orderBy("page", "pos").collect()] == [1, 2, 1]
 
 
