@@ -113,8 +113,9 @@ def training_sample(docs: DataFrame, held_out: Column, per_lang: int) -> DataFra
     ok = docs.filter(~held_out & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (ok.select("lang", "doc_id").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_lang)
-           .select("lang", "doc_id").distinct())
-    rows = ok.select("lang", "doc_id", F.col("text")).join(ids, ["lang", "doc_id"], "left_semi")
+           .select("lang", "doc_id").distinct().limit(per_lang * MAX_LANGS))
+    # At most per_lang * MAX_LANGS ids: broadcast, so texts are not shuffled.
+    rows = ok.select("lang", "doc_id", F.col("text")).join(F.broadcast(ids), ["lang", "doc_id"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

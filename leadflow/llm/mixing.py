@@ -32,6 +32,8 @@ WEIGHTS = (5, 2, 1)
 SHORT = 50
 SHORT_WEIGHT = 0.5
 BINS = 4096
+#: The plan, one row a source, is broadcast up to this many sources.
+MAX_BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: str) -> F.Column:
@@ -84,29 +86,36 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: Sequence[float]
     plan = spark.createDataFrame(
         [(r["_source"], r["n"], goal[r["_source"]], _rate(goal[r["_source"]], r["short"], r["n"] - r["short"], max_repeats)) for r in per],
         "s string, source_size long, target double, rate double")
-    u = (F.expr("_h & 4503599627370495L").cast("double") + 0.5) / F.lit(float(1 << 52))
-    expected = F.least(F.col("rate") * F.when(F.col("size") < SHORT, SHORT_WEIGHT).otherwise(1.0), F.lit(float(max_repeats)))
-    ranked = (sized.join(plan, F.col("_source").eqNullSafe(F.col("s")))
-              .withColumn("_sure", F.floor(expected + F.lit(1e-9)))
-              .withColumn("_p", F.greatest(expected - F.col("_sure"), F.lit(0.0)))
-              .withColumn("_q", F.when(F.col("_p") > 1e-9, (u / (1 - u)) * ((1 - F.col("_p")) / F.col("_p"))))
-              .withColumn("_bin", F.floor(F.col("_q") / (1 + F.col("_q")) * BINS).cast("int")))
-    # Words still to be taken after the certain copies, and the running sum over bins.
-    per_bin = (ranked.groupBy("s", "_bin").agg(F.sum(F.when(F.col("_bin").isNotNull(), F.col("size")).otherwise(0)).alias("words"),
-                                               F.sum(F.col("_sure") * F.col("size")).alias("sure"), F.first("target").alias("t")))
+    few = len(per) <= MAX_BROADCAST_SOURCES
+
+    def ranked(rows: DataFrame, by_source: DataFrame) -> DataFrame:
+        """Rows with their source's plan, the certain copies, the Pareto ratio of the rest and its bin."""
+        u = (F.expr("_h & 4503599627370495L").cast("double") + 0.5) / F.lit(float(1 << 52))
+        expected = F.least(F.col("rate") * F.when(F.col("size") < SHORT, SHORT_WEIGHT).otherwise(1.0), F.lit(float(max_repeats)))
+        return (rows.join(F.broadcast(by_source) if few else by_source, F.col("_source").eqNullSafe(F.col("s")))
+                .withColumn("_sure", F.floor(expected + F.lit(1e-9)))
+                .withColumn("_p", F.greatest(expected - F.col("_sure"), F.lit(0.0)))
+                .withColumn("_q", F.when(F.col("_p") > 1e-9, (u / (1 - u)) * ((1 - F.col("_p")) / F.col("_p"))))
+                .withColumn("_bin", F.floor(F.col("_q") / (1 + F.col("_q")) * BINS).cast("int")))
+
+    # Words still missing after the certain copies, and where the running sum over bins meets them.
+    per_bin = (ranked(sized.select("_source", "size", "_h"), plan).groupBy("s", "_bin")
+               .agg(F.sum(F.when(F.col("_bin").isNotNull(), F.col("size")).otherwise(0)).alias("words"), F.sum(F.col("_sure") * F.col("size")).alias("sure")))
     w = Window.partitionBy("s")
-    starts = (per_bin.withColumn("need", F.first("t").over(w) - F.sum("sure").over(w))
-              .withColumn("before", F.sum("words").over(w.orderBy(F.col("_bin").asc_nulls_first())) - F.col("words"))
-              .select(F.col("s").alias("b_s"), F.col("_bin").alias("b_bin"), "need", "before", "words"))
-    dealt = ranked.join(starts, F.col("s").eqNullSafe(F.col("b_s")) & F.col("_bin").eqNullSafe(F.col("b_bin")))
-    # Only a bin where the need ends is put in order; other bins are whole in or out.
-    ends_here = F.col("_bin").isNotNull() & (F.col("before") < F.col("need")) & (F.col("before") + F.col("words") >= F.col("need"))
+    steps = (per_bin.join(F.broadcast(plan) if few else plan, per_bin["s"].eqNullSafe(plan["s"])).drop(plan["s"])
+             .withColumn("need", F.col("target") - F.sum("sure").over(w))
+             .withColumn("before", F.sum("words").over(w.orderBy(F.col("_bin").asc_nulls_first())) - F.col("words")))
+    open_ = F.col("_bin").isNotNull() & (F.col("before") < F.col("need"))
+    cuts = stored(steps.groupBy("s", "source_size", "target", "rate").agg(
+        F.first("need").alias("need"), F.max(F.when(open_, F.col("_bin"))).alias("cut"), F.max(F.when(open_, F.col("before"))).alias("before")), "mix-cuts")
+    dealt = ranked(sized, cuts)
+    # Bins before the cut are taken whole, those after it not; only the cut's is put in order.
+    in_cut = F.coalesce(F.col("_bin") == F.col("cut"), F.lit(False))
     order = Window.partitionBy("s", "_bin").orderBy("_q", "_h", "size", "_t")
-    inner = (dealt.filter(ends_here)
+    inner = (dealt.filter(in_cut)
              .withColumn("_upto", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
              .withColumn("_more", (F.col("_upto") - F.col("size") / 2.0) <= F.col("need")).drop("_upto"))
-    rest = (dealt.filter(~F.coalesce(ends_here, F.lit(False)))
-            .withColumn("_more", F.coalesce(F.col("_bin").isNotNull() & (F.col("before") + F.col("words") < F.col("need")), F.lit(False))))
+    rest = dealt.filter(~in_cut).withColumn("_more", F.coalesce(F.col("_bin") < F.col("cut"), F.lit(False)))
     return (rest.unionByName(inner)
             .withColumn("copies", F.col("_sure").cast("long") + F.col("_more").cast("long"))
             .select(*keep, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")))

@@ -30,6 +30,8 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Ratios in 1/1000 and the least width of their fence, in the same unit: it keeps
 #: groups whose middle half is one value from rejecting every slight departure.
 RATIOS = {"word_len": 1500, "symbols": 150, "dup_lines": 600, "repeats": 400}
+#: Fences of at most this many groups are broadcast; more are joined by a shuffle.
+MAX_BROADCAST_GROUPS = 50_000
 #: Ratios whose low side is suspicious too.
 TWO_SIDED = {"word_len"}
 
@@ -135,7 +137,9 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None, spread: float
               .join(lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
               .join(F.broadcast(whole), F.lit(1) == F.col("a_one"), "left")
               .select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), F.coalesce("g", "l", "a").alias("fence")))
-    judged = base.join(groups, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
+    groups = stored(groups, "fences")
+    few = groups.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS
+    judged = base.join(F.broadcast(groups) if few else groups, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     inside = F.lit(True)
     for r in RATIOS:
         inside = inside & (F.col(r) <= F.col(f"fence.high_{r}"))
