@@ -14,12 +14,24 @@ from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
 
-# Fixed patterns for the accepted date texts.
-ISO_DATE_RE = (r"^\d{4}-\d{2}-\d{2}"
-               r"([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?"
-               r"(Z|[+-]\d{2}(:?\d{2})?)?$")
-US_DATE_RE = r"^\d{1,2}/\d{1,2}/\d{4}$"
-SLASH_ISO_DATE_RE = r"^\d{4}/\d{1,2}/\d{1,2}$"
+# Patterns for the accepted date texts; a time and offset may follow any of them.
+_OFFSET = r"(?:Z|UTC|[+-]\d{2}(?::?\d{2})?)"
+_TIME = r"(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d{1,9})?)?"
+_MONTH = (r"(?=(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|"
+          r"sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\b)([a-z]{3})[a-z]*\.?")
+ISO_DATE_RE = rf"^\d{{4}}-\d{{2}}-\d{{2}}(?:[T ]{_TIME})?{_OFFSET}?$"
+# Applied in turn, these bring a text to year-month-day.
+DATE_FORMS = (
+    (rf"(?i)[T ] *{_TIME}(?: ?[ap]m)?(?: ?{_OFFSET})?$", ""),
+    (r"(?i)^(?:mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?,? +", ""),
+    (r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})$", "$1-$3-$4"),
+    (r"^(1[3-9]|[2-9]\d)([-/.])(\d{1,2})\2(\d{4})$", "$4-$3-$1"),
+    (r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})$", "$4-$1-$3"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+    (rf"(?i)^{_MONTH} +(\d{{1,2}})(?:st|nd|rd|th)?,? +(\d{{4}})$", "$3-$1-$2"),
+    (rf"(?i)^(\d{{1,2}})(?:st|nd|rd|th)?[ -]{_MONTH},?[ -](\d{{4}})$", "$3-$2-$1"),
+)
+_YMD_RE = r"^\d{4}-(?:\d{1,2}|[A-Za-z]{3})-\d{1,2}$"
 EMBEDDED_DATE_RE = r"\d{4}-\d{2}-\d{2}"
 # Plain decimal / scientific numbers and the special float words.
 PLAIN_NUMBER_RE = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
@@ -50,16 +62,20 @@ def _memo_on_names(fn):
 def coerce_date(c: ColumnOrName) -> Column:
     """Mixed-format text -> ``DateType``; unparsable text -> null.
 
-    Accepted: ISO date with optional time and offset (the *written* wall
-    date is kept, never shifted), ``M/d/yyyy`` (month first) and
-    ``yyyy/M/d``. Impossible calendar dates give null.
+    Accepted: year first (``2024-01-05``, ``2024/1/5``, ``20240105``), year last
+    with ``-``, ``/`` or ``.`` (month first; day first where the first number is over
+    12) and month names (``Jan 5, 2024``, ``5-Jan-2024``), each with an optional
+    weekday before and time and offset after it (the *written* wall date is kept,
+    never shifted). Impossible calendar dates and two-digit years give null.
     Date and timestamp inputs are converted directly.
     """
-    c = _col(c)
-    t = F.trim(c.cast("string"))
+    t = F.trim(_col(c).cast("string"))
+    day = t
+    for pattern, to in DATE_FORMS:
+        day = F.regexp_replace(day, pattern, to)
+    day = F.regexp_extract(day, _YMD_RE, 0)
     return (F.when(t.rlike(ISO_DATE_RE), F.substring(t, 1, 10).try_cast("date"))
-             .when(t.rlike(US_DATE_RE), F.try_to_date(t, "M/d/yyyy"))
-             .when(t.rlike(SLASH_ISO_DATE_RE), F.try_to_date(t, "yyyy/M/d")))
+             .otherwise(F.coalesce(day.try_cast("date"), F.try_to_date(day, "yyyy-MMM-d"))))
 
 
 @_memo_on_names

@@ -26,49 +26,54 @@ def value_counts(df: DataFrame, col: str, n: int | None = None,
     return out.limit(n) if n is not None else out
 
 
-def distributions(df: DataFrame, dims) -> DataFrame:
-    """Several value counts of one frame in one pass.
+#: Shares of a dimension's values that are ranked apart before the final cut.
+RANK_SHARES = 64
 
-    ``dims`` is a list of ``(dimension, column, top_n or None)`` over
-    distinct columns. One ``GROUPING SETS`` aggregate counts every dimension
-    (one scan of ``df``, one shuffle of partial counts); the top-n cut is a
-    ``row_number`` over the aggregated rows of each dimension. Null values
-    are not counted. Output: ``(dimension, value, count)``.
-    """
+
+def _counts(df: DataFrame, dims) -> DataFrame:
+    """``(dimension, value, count)`` of all dimensions by one ``GROUPING SETS`` aggregate."""
     cols = [c for _, c, _ in dims]
-    if len(set(cols)) != len(cols):
-        raise ValueError("one column per dimension")
     agg = (df.groupingSets([[F.col(c)] for c in cols], *[F.col(c) for c in cols])
              .agg(F.count(F.lit(1)).alias("count"),
                   *[F.grouping(c).alias(f"_g{i}") for i, c in enumerate(cols)]))
     dim = F.lit(None).cast("string")
     value = F.lit(None).cast("string")
-    top = F.lit(None).cast("int")
-    for i, (name, c, n) in enumerate(dims):
+    for i, (name, c, _) in enumerate(dims):
         in_set = F.col(f"_g{i}") == 0
         dim = F.when(in_set, F.lit(name)).otherwise(dim)
         value = F.when(in_set, F.col(c).cast("string")).otherwise(value)
-        top = F.when(in_set, F.lit(n).cast("int")).otherwise(top)
-    rows = agg.select(dim.alias("dimension"), value.alias("value"), "count", top.alias("_top"))
-    rows = rows.filter(F.col("value").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("dimension").orderBy(F.col("count").desc(), F.col("value").asc()))
-    return (rows.withColumn("_rk", rank)
-                .filter(F.col("_top").isNull() | (F.col("_rk") <= F.col("_top")))
-                .drop("_rk", "_top"))
-
-
-def tagged_counts(parts) -> DataFrame:
-    """Union of ``(dimension, value, count)`` frames from value_counts (for
-    parts from different frames; see :func:`distributions` for several
-    dimensions of one frame)."""
-    frames = [value_counts(df, col, n).select(F.lit(dim).alias("dimension"),
-                                               F.col("value").cast("string").alias("value"),
-                                               "count")
-              for dim, df, col, n in parts]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    return agg.select(dim.alias("dimension"), value.alias("value"), "count").filter(F.col("value").isNotNull())
+
+
+def distributions(df: DataFrame, dims) -> DataFrame:
+    """Several value counts of one frame.
+
+    ``dims`` is a list of ``(dimension, column, top_n or None)`` over
+    distinct columns. Uncut dimensions are one aggregate and nothing more; cut
+    ones another (each reads its own columns). A cut ranks the counted values
+    within hashed shares of a dimension first, so no task sorts all its
+    values, then the few rows left. Null values are not counted. Output:
+    ``(dimension, value, count)``.
+    """
+    cols = [c for _, c, _ in dims]
+    if len(set(cols)) != len(cols):
+        raise ValueError("one column per dimension")
+    uncut, cut = [d for d in dims if d[2] is None], [d for d in dims if d[2] is not None]
+    parts = [_counts(df, uncut)] if uncut else []
+    if cut:
+        most = max(n for *_, n in cut)
+        best = (F.col("count").desc(), F.col("value").asc())
+        share = F.pmod(F.xxhash64("value"), F.lit(RANK_SHARES))
+        rows = (_counts(df, cut).withColumn("_share", share)
+                .withColumn("_rk", F.row_number().over(Window.partitionBy("dimension", "_share").orderBy(*best)))
+                .filter(F.col("_rk") <= most)
+                .withColumn("_rk", F.row_number().over(Window.partitionBy("dimension").orderBy(*best)))
+                .filter(F.col("_rk") <= most))
+        for name, _, n in cut:
+            if n < most:
+                rows = rows.filter((F.col("dimension") != name) | (F.col("_rk") <= n))
+        parts.append(rows.drop("_share", "_rk"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 # --- A12 / A13: event types ----------------------------------------------

@@ -10,7 +10,6 @@ whose skewed partitions AQE splits.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leadflow.session import literal_table
@@ -175,10 +174,3 @@ def on_spine(keys: DataFrame, agg: DataFrame, key: str, fill=0) -> DataFrame:
 
 def stage_mapping(spark: SparkSession, mapping: dict) -> DataFrame:
     return literal_table(spark, sorted(mapping.items()), "group_id string, stage string")
-
-
-def window_first_per_key(df: DataFrame, key: str, order_cols: list) -> DataFrame:
-    """``row_number`` form of :func:`first_per_key` (kept for comparison)."""
-    w = Window.partitionBy(key).orderBy(*order_cols)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-

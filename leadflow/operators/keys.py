@@ -32,14 +32,6 @@ AUDIT_DETAILS = {
     STATUS_LIMITED: "Rate limited: limited",
     STATUS_OK: "Key validated successfully",
 }
-ERROR_MESSAGES = {
-    STATUS_INVALID: "Invalid API key",
-    STATUS_REVOKED: "API key has been revoked",
-    STATUS_EXPIRED: "API key has expired",
-    STATUS_LIMITED: "Rate limit exceeded",
-    STATUS_OK: "",
-}
-PERMISSIONS = ("read_only", "standard", "admin")
 DEFAULT_RATE_LIMIT = 100
 
 
@@ -74,14 +66,15 @@ def classify_requests(requests: DataFrame, registry: DataFrame, key_col: str = "
 
 def apply_rate_limit(classified: DataFrame, clock: Column, rid: str = "request_id") -> DataFrame:
     """Runs the bucket over pending requests; ``status`` becomes ``ok`` or
-    ``rate_limited`` for them, other rows keep their status."""
+    ``rate_limited`` for them, other rows keep their status. The columns of a
+    pending request go through the bucket with it; the rejected are added after."""
     c = classified.withColumn("clock_us", clock)
-    pending = c.filter(F.col("status") == STATUS_PENDING)
-    decisions = RL.rate_limit(pending, "key_hash", "clock_us", "rate_limit", rid)
-    out = c.join(decisions, rid, "left")
-    status = (F.when(F.col("status") != STATUS_PENDING, F.col("status"))
-               .when(F.col("allowed"), F.lit(STATUS_OK)).otherwise(F.lit(STATUS_LIMITED)))
-    return out.withColumn("status", status)
+    rest = [x for x in c.columns if x not in (rid, "status")]
+    decided = (RL.rate_limit(c.filter(F.col("status") == STATUS_PENDING), "key_hash", "clock_us", "rate_limit", rid, carry=rest)
+               .withColumn("status", F.when(F.col("allowed"), F.lit(STATUS_OK)).otherwise(F.lit(STATUS_LIMITED))))
+    rejected = (c.filter(F.col("status") != STATUS_PENDING)
+                .withColumns({"allowed": F.lit(None).cast("boolean"), "tokens_after": F.lit(None).cast("double")}))
+    return rejected.unionByName(decided)
 
 
 def validate_requests(requests: DataFrame, registry: DataFrame, clock: Column,
@@ -129,11 +122,19 @@ def key_usage(registry: DataFrame, checked: DataFrame, ts_col: str = "ts") -> Da
                     .fillna(0, subset=["usage_count"]))
 
 
-def key_stats(registry: DataFrame, usage: DataFrame, buckets: DataFrame, now) -> DataFrame:
+def key_activity(checked: DataFrame, ts_col: str = "ts", clock: str = "clock_us", rid: str = "request_id") -> DataFrame:
+    """Per key whose requests reached the bucket: ``usage_count``, ``last_used`` (of
+    accepted requests) and the ``tokens`` after its last request."""
+    return (checked.filter(F.col("allowed").isNotNull()).groupBy("key_hash")
+                   .agg(F.count_if("allowed").alias("usage_count"),
+                        F.max(F.when(F.col("allowed"), F.col(ts_col))).alias("last_used"),
+                        F.max_by("tokens_after", F.struct(clock, rid)).alias("tokens")))
+
+
+def key_stats(registry: DataFrame, activity: DataFrame, now) -> DataFrame:
     """Key rows with usage, ``is_valid`` at ``now`` and the whole tokens left
-    (a key without a bucket reports its full limit)."""
-    b = buckets.select("key_hash", "tokens")
-    out = registry.join(usage.drop("name"), "key_id", "left").join(b, "key_hash", "left")
+    (a key without a bucket reports its full limit). ``activity``: `key_activity`."""
+    out = registry.join(activity, "key_hash", "left")
     return out.select("key_id", "name", "permission", "is_active", "expires_at", "rate_limit",
                       F.coalesce("usage_count", F.lit(0)).alias("usage_count"), "last_used",
                       F.floor(F.coalesce(F.col("tokens"), F.col("rate_limit").cast("double")))
@@ -195,15 +196,10 @@ def retained_count(n: int, cap: int = 10000, keep: int = 5000) -> int:
 
 
 def retain_tail(log: DataFrame, cap: int = 10000, keep: int = 5000, ts_col: str = "timestamp",
-                tie: str = "request_id", materialize: bool = False) -> DataFrame:
-    """The rows the bounded audit log would still hold (one count action,
-    then a global top-k; no unpartitioned window).
-
-    ``materialize``: for a derived (not stored) log, ``checkpoint()`` it
-    first (reliable, in the shared checkpoint folder) so the count and the
-    top-k read it once instead of computing it twice.
+                tie: str = "request_id", rows: int | None = None) -> DataFrame:
+    """The rows the bounded audit log would still hold (a global top-k; no
+    unpartitioned window). ``rows``: the log's length where it is known, as it
+    is for an audit log, which has a row per request; else it is counted.
     """
-    if materialize:
-        log = log.checkpoint()
-    m = retained_count(log.count(), cap, keep)
+    m = retained_count(log.count() if rows is None else rows, cap, keep)
     return log.orderBy(F.col(ts_col).desc(), F.col(tie).desc()).limit(m)

@@ -94,10 +94,17 @@ def spec(name: str, utm_source_present: bool = True) -> ReportSpec:
     raise ValueError(f"unknown report {name!r}")
 
 
+def exact_sum(c: Column) -> Column:
+    """Sum of doubles that does not depend on their order: as decimals of nine
+    places; what no such decimal holds (infinities, 1e19 and over) as doubles."""
+    d = c.try_cast("decimal(28,9)")
+    return (F.coalesce(F.sum(d).cast("double"), F.lit(0.0))
+            + F.coalesce(F.sum(F.when(d.isNull(), c)), F.lit(0.0)))
+
+
 def raw_kpis(leads: DataFrame, rspec: ReportSpec, start, end,
              date_col: str = "date_created",
-             sales_date_col: str | None = "sales_call_date",
-             money_scale: int | None = 2) -> DataFrame:
+             sales_date_col: str | None = "sales_call_date") -> DataFrame:
     """Raw metric table (one row per key, plus the hidden ``close``)."""
     key = rspec.key
     if key not in leads.columns:
@@ -108,10 +115,6 @@ def raw_kpis(leads: DataFrame, rspec: ReportSpec, start, end,
     stage = F.col("stage")
     chan = rspec.channel_filter
 
-    def money(c):
-        s = F.sum(c)
-        return F.round(s, money_scale) if money_scale is not None else s
-
     amount = to_number(F.col("deal_value")) if "deal_value" in leads.columns else F.lit(0.0)
     # Narrow projection first: each coerced date and the amount are computed
     # once per row, and the aggregate works on plain boolean/double columns.
@@ -144,8 +147,8 @@ def raw_kpis(leads: DataFrame, rspec: ReportSpec, start, end,
         aggs.append(F.count_if(cond).alias(ch.name))
     aggs += [
         F.count_if((stage == "won") & in_p).alias("close"),
-        money(F.when((stage == "won") & in_f, amount).otherwise(F.lit(0.0))).alias("closed_revenue"),
-        money(F.when((stage == "proposal") & in_f, amount).otherwise(F.lit(0.0))).alias("pipeline_revenue"),
+        exact_sum(F.when((stage == "won") & in_f, amount)).alias("closed_revenue"),
+        exact_sum(F.when((stage == "proposal") & in_f, amount)).alias("pipeline_revenue"),
     ]
     if chan is not None:
         aggs.append(F.count_if(F.col("_chan")).alias("_in_channel"))
@@ -170,14 +173,14 @@ def with_derived_metrics(kpi: DataFrame, metrics: Mapping[str, Ratio] = RATIOS)
 
 def with_total_row(kpi: DataFrame, key: str, raw_metrics=RAW_METRICS,
                    label: str = TOTAL_LABEL, drop=("close",),
-                   mean_scale: int | None = 9, sum_scale: int | None = 2,
+                   mean_scale: int | None = 9,
                    only_if_rows: bool = False) -> DataFrame:
     """Append a ``Total`` row: sum of raw metrics, unweighted mean of every
     other numeric column (so rates are averaged over groups).
 
-    Means are rounded to ``mean_scale`` decimals and money sums to
-    ``sum_scale`` (cents) so the row does not depend on the summation order
-    across partitions. ``only_if_rows`` skips the row
+    Means are rounded to ``mean_scale`` decimals, and money is summed exactly, so
+    the row does not depend on the summation order across partitions.
+    ``only_if_rows`` skips the row
     for an empty table (campaign/content reports).
     """
     types = {f.name: f.dataType.typeName() for f in kpi.schema.fields}
@@ -187,9 +190,7 @@ def with_total_row(kpi: DataFrame, key: str, raw_metrics=RAW_METRICS,
     exprs = []
     for c in numeric:
         if c in raw_metrics:
-            s = F.coalesce(F.sum(c), F.lit(0))
-            if types[c] in ("double", "float") and sum_scale is not None:
-                s = F.round(s, sum_scale)
+            s = exact_sum(F.col(c)) if types[c] in ("double", "float") else F.coalesce(F.sum(c), F.lit(0))
             exprs.append(s.alias(c))
         else:
             m = F.avg(c)
@@ -242,7 +243,7 @@ def kpi_by_content(leads, start, end, date_col="date_created", **kw):
 
 
 def utm_rollup(leads: DataFrame, key: str, start, end,
-               date_col: str = "date_created", money_scale: int | None = 2) -> DataFrame:
+               date_col: str = "date_created") -> DataFrame:
     """``(key, count, total_deal_value)`` over all leads (no channel filter).
 
     A missing date column means no date filter; a missing deal column sums 0.
@@ -252,12 +253,10 @@ def utm_rollup(leads: DataFrame, key: str, start, end,
     if date_col in rows.columns:
         rows = rows.filter(in_date_range(date_col, start, end))
     amount = to_number("deal_value") if "deal_value" in rows.columns else F.lit(0.0)
-    s = F.sum(amount)
     return (rows.filter(F.col(key).isNotNull())
                 .groupBy(key)
                 .agg(F.count(F.lit(1)).alias("count"),
-                     (F.round(s, money_scale) if money_scale is not None else s)
-                     .alias("total_deal_value")))
+                     exact_sum(amount).alias("total_deal_value")))
 
 
 def distinct_keys(df: DataFrame, col: str, order_col: str = "seq") -> DataFrame:

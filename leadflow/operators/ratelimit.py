@@ -10,10 +10,10 @@ Parallel plan
 The fold is sequential per key, but a bucket idle for 61 s or more is full
 again whatever it held (``61 * L / 60 > L`` even after rounding), so a key's
 requests split exactly into independent *sessions* at such gaps. Sessions
-are found without gathering a key in one task (each key's time range is
-cut into slices sized from its request count, plus one summary row per
+are found without gathering a key in one task (the clock is cut into slices,
+with one summary row per key and
 slice, see :func:`with_sessions`), then hash-distributed by (key, session), sorted
-inside each partition, and folded by ``mapInPandas`` that streams Arrow
+inside each partition, and folded by ``mapInArrow`` that streams Arrow
 batches and carries the bucket across batch boundaries, so memory stays
 bounded however long a session is. Sessions of one key run in parallel on
 different tasks; only one continuous session (no 61 s pause) is inherently
@@ -22,18 +22,16 @@ sequential and stays in one task.
 
 from __future__ import annotations
 
-from typing import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # A gap this long refills any bucket to full exactly (see module doc).
 SESSION_GAP_US = 61_000_000
 
-RESULT_SCHEMA = "request_id long, allowed boolean, tokens_after double"
-
 
 def bucket_step(tokens: float, last: int, t: int, limit: int) -> tuple[float, bool]:
     """One request against the bucket; returns (tokens after, allowed). A request
@@ -94,40 +92,31 @@ def fold_sorted(keys: np.ndarray, sessions: np.ndarray, clocks: np.ndarray,
     return allowed, after
 
 
-def _fold_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fold_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns _k, _s, _t, _l, the request id and the carried ones, sorted."""
     state: dict = {}
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        allowed, after = fold_sorted(pdf["_k"].to_numpy(), pdf["_s"].to_numpy(),
-                                     pdf["_t"].to_numpy(), pdf["_l"].to_numpy(), state)
-        yield pd.DataFrame({"request_id": pdf["_id"].to_numpy(dtype=np.int64),
-                            "allowed": allowed, "tokens_after": after})
+    for b in batches:
+        if b.num_rows:
+            allowed, after = fold_sorted(*[b.column(i).to_numpy(zero_copy_only=False) for i in range(4)], state)
+            yield pa.RecordBatch.from_arrays([b.column(4), pa.array(allowed), pa.array(after), *b.columns[5:]],
+                                             [b.schema.names[4], "allowed", "tokens_after", *b.schema.names[5:]])
 
 
-SLICE_TARGET_ROWS = 2_000_000
+#: Width of the clock slices in which pauses are looked for.
+SLICE_US = 3_600_000_000
 
 
-def with_sessions(requests: DataFrame, key: str, clock: str, rid: str,
-                  target_rows: int = SLICE_TARGET_ROWS) -> DataFrame:
+def with_sessions(requests: DataFrame, key: str, clock: str, rid: str, slice_us: int = SLICE_US) -> DataFrame:
     """Adds ``_session``: the clock of the session's first request, where a
     session ends at a gap of 61 s or more between a key's requests.
 
-    No step gathers a key in one task. Each key's time range is cut into
-    *slices* of about ``target_rows`` requests (width from a per-key count,
-    so a hot key gets many slices); gaps are found inside each slice, and one
-    summary row per slice links it to the previous slice of its key. Slice
-    ids are a pure function of the data, so every branch of the plan (and
-    every task retry) agrees on them.
+    No step gathers a key in one task. The clock is cut into *slices* of
+    ``slice_us``; gaps are found inside each (key, slice), and one summary row
+    per slice links it to the previous slice of its key. A slice is a function of
+    the clock alone, so nothing is counted first, and every branch of the plan
+    (and every task retry) agrees on it.
     """
-    stats = (requests.groupBy(key)
-                     .agg(F.count(F.lit(1)).alias("_n"), F.min(clock).alias("_c0"),
-                          F.max(clock).alias("_c1")))
-    n_slices = F.ceil(F.col("_n") / F.lit(target_rows))
-    width = F.greatest(F.lit(1), F.ceil((F.col("_c1") - F.col("_c0") + 1) / n_slices)).cast("long")
-    stats = stats.select(key, "_c0", width.alias("_w"))
-    r = requests.join(stats, key).withColumn(
-        "_slice", F.floor((F.col(clock) - F.col("_c0")) / F.col("_w")).cast("long")).drop("_c0", "_w")
+    r = requests.withColumn("_slice", F.floor(F.col(clock) / F.lit(slice_us)).cast("long"))
     w = Window.partitionBy(key, "_slice").orderBy(clock, rid)
     gap = F.col(clock) - F.lag(clock).over(w)
     r = r.withColumn("_new", F.when(gap.isNotNull(), gap >= SESSION_GAP_US))   # null: first of slice
@@ -150,28 +139,31 @@ def with_sessions(requests: DataFrame, key: str, clock: str, rid: str,
              .drop("_slice", "_new", "_first_new", "_begin_start"))
 
 
-def _fold(s: DataFrame, n: int) -> DataFrame:
-    """Hash by (key, session), sort, stream-fold each partition."""
-    s = s.repartition(n, "_k", "_s").sortWithinPartitions("_k", "_s", "_t", "_id")
-    return s.mapInPandas(_fold_partition, RESULT_SCHEMA)
-
-
 def rate_limit(requests: DataFrame, key: str = "key_hash", clock: str = "clock_us",
                limit: str = "rate_limit", rid: str = "request_id",
-               partitions: int | None = None, target_rows: int = SLICE_TARGET_ROWS) -> DataFrame:
-    """Decide each request: ``(request_id, allowed, tokens_after)``.
+               partitions: int | None = None, slice_us: int = SLICE_US,
+               carry: Sequence[str] = ()) -> DataFrame:
+    """Decide each request: ``(request_id, allowed, tokens_after, *carry)``.
 
     ``requests`` holds only the requests that reached the bucket (they
     passed the key checks), with the key's ``limit`` on every row and an
-    integer microsecond ``clock``.
+    integer microsecond ``clock``. ``carry`` columns go through the fold with
+    their row, so nothing is joined back.
 
-    One path for all keys: sessions are found per slice, then folded in
-    parallel (see the module text). Nothing runs while the plan is built.
+    One path for all keys: sessions are found per slice, then hashed by
+    (key, session), sorted and folded in parallel (see the module text). Nothing
+    runs while the plan is built.
     """
     n = partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sliced = with_sessions(requests.select(key, clock, limit, rid), key, clock, rid, target_rows)
-    return _fold(sliced.select(F.col(key).alias("_k"), F.col("_session").alias("_s"), F.col(clock).alias("_t"),
-                               F.col(limit).alias("_l"), F.col(rid).cast("long").alias("_id")), n)
+    src = requests.select(*dict.fromkeys([key, clock, limit, rid, *carry]))
+    s = with_sessions(src, key, clock, rid, slice_us).select(
+        F.col(key).alias("_k"), F.col("_session").alias("_s"), F.col(clock).alias("_t"),
+        F.col(limit).alias("_l"), F.col(rid).cast("long").alias(rid), *carry)
+    schema = s.select(rid).schema.add("allowed", "boolean").add("tokens_after", "double")
+    for f in s.select(*carry).schema.fields:
+        schema = schema.add(f)
+    s = s.repartition(n, "_k", "_s").sortWithinPartitions("_k", "_s", "_t", rid)
+    return s.mapInArrow(_fold_partition, schema)
 
 
 def micros_clock(ts: Column | str, divisor: int = 1) -> Column:
@@ -179,11 +171,3 @@ def micros_clock(ts: Column | str, divisor: int = 1) -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
     us = F.unix_micros(c.cast("timestamp"))
     return us if divisor == 1 else F.floor(us / F.lit(divisor)).cast("long")
-
-
-def final_buckets(decisions: DataFrame, requests: DataFrame, key: str = "key_hash",
-                  clock: str = "clock_us", rid: str = "request_id") -> DataFrame:
-    """Bucket level after each key's last request: ``(key, tokens, last)``."""
-    j = decisions.join(requests.select(rid, key, clock), rid)
-    last = j.groupBy(key).agg(F.max(F.struct(clock, rid, "tokens_after")).alias("_m"))
-    return last.select(key, F.col("_m.tokens_after").alias("tokens"), F.col(f"_m.{clock}").alias("last_clock"))

@@ -79,11 +79,3 @@ def sql_with(fixtures: tuple, *ctes: str) -> str:
 def sql_leads_origin_with(*extra: str) -> str:
     return sql_with(("leads", "bookings", "invitees"), SQL_TYPED_BOOKINGS,
                     SQL_FIRST_INVITEE, SQL_ENRICHED, SQL_LEADS_ORIGIN, *extra)
-
-
-def col_list(df_cols) -> str:
-    return ", ".join(df_cols)
-
-
-def keep(df: DataFrame, cols) -> DataFrame:
-    return df.select(*[F.col(c) for c in cols])

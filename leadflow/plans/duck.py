@@ -1,13 +1,17 @@
 """DuckDB twins of the column helpers, used only to write oracle SQL.
 
 Each function returns a SQL expression text with the same semantics as the
-Spark helper of the same name in ``leadflow.functions.columns``.
+Spark helper of the same name in ``leadflow.functions.columns``, written out
+independently of it: no pattern is shared.
 """
 
 from __future__ import annotations
 
-from leadflow.functions.columns import (ISO_DATE_RE, PLAIN_NUMBER_RE, SLASH_ISO_DATE_RE,
-                                        SPECIAL_NUMBER_RE, US_DATE_RE)
+_DATE_FORMATS = [
+    "%Y-%m-%d", "%Y/%m/%d", "%Y.%m.%d", "%Y%m%d", "%m/%d/%Y", "%m-%d-%Y", "%m.%d.%Y", "%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y",
+    "%b %d, %Y", "%B %d, %Y", "%b %d %Y", "%B %d %Y", "%d %b %Y", "%d %B %Y", "%d-%b-%Y", "%a, %d %b %Y"]
+_CLOCK = ("(?i)[t ] *([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.][0-9]{1,9})?)?( ?[ap]m)?"
+          "( ?(z|utc|[+-][0-9][0-9](:?[0-9][0-9])?))?$")
 
 
 def q(s: str) -> str:
@@ -15,10 +19,11 @@ def q(s: str) -> str:
 
 
 def coerce_date(c: str) -> str:
-    t = f"trim(CAST({c} AS VARCHAR))"
-    return (f"(CASE WHEN regexp_matches({t}, {q(ISO_DATE_RE)}) THEN TRY_CAST(substr({t}, 1, 10) AS DATE) "
-            f"WHEN regexp_matches({t}, {q(US_DATE_RE)}) THEN CAST(try_strptime({t}, '%m/%d/%Y') AS DATE) "
-            f"WHEN regexp_matches({t}, {q(SLASH_ISO_DATE_RE)}) THEN CAST(try_strptime({t}, '%Y/%m/%d') AS DATE) END)")
+    day = f"regexp_replace(trim(CAST({c} AS VARCHAR)), {q(_CLOCK)}, '')"
+    formats = ", ".join(map(q, _DATE_FORMATS))
+    # The year has four digits, at the start or the end.
+    return (f"(CASE WHEN regexp_matches({day}, '^[0-9]{{4}}[^0-9].*[0-9]$|[^0-9][0-9]{{4}}$|^[0-9]{{8}}$') "
+            f"THEN CAST(try_strptime({day}, [{formats}]) AS DATE) END)")
 
 
 def in_range(c: str, start: str, end: str) -> str:
@@ -27,8 +32,8 @@ def in_range(c: str, start: str, end: str) -> str:
 
 def to_number(c: str) -> str:
     t = f"trim(CAST({c} AS VARCHAR))"
-    v = (f"(CASE WHEN regexp_matches({t}, {q(PLAIN_NUMBER_RE)}) OR regexp_matches({t}, {q(SPECIAL_NUMBER_RE)}) "
-         f"THEN coalesce(TRY_CAST({t} AS DOUBLE), 0.0) ELSE 0.0 END)")
+    number = "[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[-+]?[0-9]+)?|[-+]?(inf|infinity|nan)"
+    v = f"(CASE WHEN regexp_full_match(lower({t}), {q(number)}) THEN coalesce(TRY_CAST({t} AS DOUBLE), 0.0) ELSE 0.0 END)"
     return f"(CASE WHEN isnan({v}) THEN 0.0 ELSE {v} END)"
 
 

@@ -8,8 +8,6 @@ identical rows. The work of every fixture grows with the base tables.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
@@ -22,13 +20,20 @@ SELECT CAST(o_orderkey AS STRING) AS item_id, 'Lead ' || CAST(o_orderkey AS STRI
  CASE o_orderkey % 7 WHEN 0 THEN 'scheduled' WHEN 1 THEN 'unqualified' WHEN 2 THEN 'won' WHEN 3 THEN 'cancelled' WHEN 4 THEN 'noshow' WHEN 5 THEN 'proposal' ELSE 'lost' END AS stage,
  CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE c_mktsegment || '-' || CAST(c_nationkey % 4 AS STRING) END AS owner,
  CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE c_name END AS email,
- CASE WHEN o_orderkey % 53 = 0 THEN 'not a date' WHEN o_orderkey % 5 = 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) || 'T23:30:00-05:00' WHEN o_orderkey % 5 = 1 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) || ' 14:05' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS date_created,
+ CASE WHEN o_orderkey % 53 = 0 THEN 'not a date' WHEN o_orderkey % 5 = 0 THEN d || 'T23:30:00-05:00' WHEN o_orderkey % 5 = 1 THEN d || ' 14:05'
+  WHEN o_custkey % 24 = 2 THEN replace(d, '-', '') WHEN o_custkey % 24 = 3 THEN substr(d, 1, 4) || '-' || mo || '-' || dy
+  WHEN o_custkey % 24 = 4 THEN mo || '/' || dy || '/' || substr(d, 1, 4) WHEN o_custkey % 24 = 5 THEN substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(mo AS INT) * 3 - 2, 3) || ' ' || dy || ', ' || substr(d, 1, 4)
+  WHEN o_custkey % 24 = 6 THEN substr(d, 6) || '-' || substr(d, 1, 4) WHEN o_custkey % 24 = 7 THEN d || ' 10:00 PM'
+  WHEN o_custkey % 24 = 8 THEN substr(d, 6, 2) || '/' || substr(d, 9) || '/' || substr(d, 1, 4) || ' 10:00' WHEN o_custkey % 24 = 9 THEN dy || '/' || mo || '/' || substr(d, 1, 4)
+  WHEN o_custkey % 24 = 10 THEN dy || '-' || substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(mo AS INT) * 3 - 2, 3) || '-' || substr(d, 1, 4) WHEN o_custkey % 24 = 11 THEN substr(d, 1, 4) || '/' || mo || '/' || dy
+  WHEN o_custkey % 24 = 12 THEN substr(d, 1, 4) || '-' || substr(d, 6, 2) || '-31' ELSE d END AS date_created,
  CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 30 AS INT) AS STRING) END AS sales_call_date,
  CASE WHEN o_orderkey % 13 = 0 THEN 'n/a' WHEN o_orderkey % 17 = 0 THEN '' ELSE CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS STRING) END AS deal_value,
  CASE o_orderkey % 4 WHEN 0 THEN 'google-ads' WHEN 1 THEN 'linkedin' WHEN 2 THEN '' ELSE NULL END AS utm_source,
  CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE 'camp-' || CAST(o_custkey % 12 AS STRING) END AS utm_campaign,
  o_orderpriority AS utm_content
-FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
+FROM (SELECT *, CAST(CAST(substr(d, 6, 2) AS INT) AS STRING) AS mo, CAST(CAST(substr(d, 9, 2) AS INT) AS STRING) AS dy
+ FROM (SELECT *, CAST(CAST(o_orderdate AS DATE) AS STRING) AS d FROM {orders}) o1) o2 JOIN {customer} ON o_custkey = c_custkey""",
     "bookings": """
 SELECT 'events/' || CAST(event_id AS STRING) AS uri, event_type AS name, CASE WHEN event_id % 5 = 0 THEN 'canceled' ELSE 'active' END AS status,
  ts AS start_time,
@@ -53,7 +58,8 @@ SELECT 'types/' || CAST(p_partkey AS STRING) AS uri, p_name AS name, p_size % 3
  CASE WHEN p_partkey % 29 = 0 THEN 'bad' ELSE CAST(p_size AS STRING) END AS duration,
  CASE WHEN p_partkey % 3 = 0 THEN 'organization' ELSE 'user' END AS owner_type,
  CASE WHEN p_partkey % 3 = 0 THEN 'organizations/1' ELSE 'users/' || CAST(p_partkey % 80 AS STRING) END AS owner_uri,
- CASE WHEN p_partkey % 37 = 0 THEN 'bad' ELSE CAST(CAST('2023-01-01' AS DATE) + CAST(p_partkey % 700 AS INT) AS STRING) || 'T08:00:00Z' END AS created_at
+ CASE WHEN p_partkey % 37 = 0 THEN 'bad' ELSE CAST(CAST('2023-01-01' AS DATE) + CAST(p_partkey % 700 AS INT) AS STRING) || 'T08:00:00Z' END AS created_at,
+ CASE WHEN p_partkey % 41 = 0 THEN NULL ELSE CAST(CAST('2024-12-01' AS DATE) + CAST(p_partkey % 300 AS INT) AS STRING) || 'T09:30:00.250Z' END AS updated_at
 FROM {part}""",
     "qa": """
 SELECT conv_id, turn, 'Q' || CAST((conv_id + turn) % 6 AS STRING) AS question, text AS answer
@@ -128,9 +134,3 @@ def duck_fixture_cte(*names: str) -> str:
         body = FIXTURE_SQL[n].format(**{t: t for t in FIXTURE_TABLES[n]})
         parts.append(f"{n} AS ({body}\n)")
     return "WITH " + ",\n".join(parts) + "\n"
-
-
-@lru_cache(maxsize=None)
-def type_origin_rows() -> tuple:
-    return tuple((uri, origin) for origin, uris in FIXTURE_TYPE_ORIGINS.items()
-                 for uri in uris)

@@ -27,7 +27,7 @@ SQL_TYPED_TYPES = f"""typed_types AS (
   SELECT t.uri, t.name, coalesce(t.active, false) AS active, t.type, t.kind,
          coalesce(TRY_CAST(trunc({duck.to_number('t.duration')}) AS INTEGER), 0) AS duration,
          t.owner_type AS source, t.owner_uri,
-         timezone('UTC', TRY_CAST(t.created_at AS TIMESTAMPTZ)) AS created_at,
+         timezone('UTC', TRY_CAST(t.created_at AS TIMESTAMPTZ)) AS created_at, timezone('UTC', TRY_CAST(t.updated_at AS TIMESTAMPTZ)) AS updated_at,
          m.name AS owner_name, m.email AS owner_email
   FROM event_types t LEFT JOIN members m ON t.owner_uri = m.user_uri
 )"""
@@ -36,10 +36,10 @@ _TYPES_WITH = sql_with(("event_types", "members"), SQL_TYPED_TYPES)
 
 
 @register("proj_event_frame", _TYPES_WITH +
-          "SELECT uri, active, duration, created_at FROM typed_types")
+          "SELECT uri, active, duration, created_at, updated_at FROM typed_types")
 def proj_event_frame(spark, sf_dir):
     return T.type_event_frame(fixture(spark, sf_dir, "event_types")).select(
-        "uri", "active", "duration", "created_at")
+        "uri", "active", "duration", "created_at", "updated_at")
 
 
 @register("set_union_event_types", sql_with(("event_types",)) +
@@ -93,7 +93,7 @@ def agg_member_coverage(spark, sf_dir):
           "CAST(count(DISTINCT owner_name) AS BIGINT) AS unique_users, min(duration) AS duration_min, "
           "max(duration) AS duration_max, round(avg(duration), 9) AS duration_mean, "
           "CAST(median(duration) AS DOUBLE) AS duration_median, round(stddev_samp(duration), 9) AS duration_std, "
-          "min(created_at) AS earliest_created, max(created_at) AS latest_created FROM typed_types")
+          "min(created_at) AS earliest_created, max(created_at) AS latest_created, min(updated_at) AS earliest_updated, max(updated_at) AS latest_updated FROM typed_types")
 def agg_event_stats(spark, sf_dir):
     return A.event_statistics(typed_event_types(spark, sf_dir))
 
@@ -261,6 +261,13 @@ def agg_extraction_summary(spark, sf_dir):
     return A.extraction_summary(typed_event_types(spark, sf_dir), fixture(spark, sf_dir, "members"))
 
 
+@register("agg_invitee_counts", sql_with(("bookings", "invitees")) +
+          "SELECT (SELECT CAST(count(*) AS BIGINT) FROM bookings) AS total_events, (SELECT CAST(count(*) AS BIGINT) FROM invitees) AS total_invitees")
+def agg_invitee_counts(spark, sf_dir):
+    """The counts of `agg_invitee_extraction`; its JSON size has no SQL twin."""
+    return agg_invitee_extraction(spark, sf_dir).select("total_events", "total_invitees")
+
+
 @register("agg_invitee_extraction")
 def agg_invitee_extraction(spark, sf_dir):
     return A.invitee_extraction_summary(fixture(spark, sf_dir, "bookings"), fixture(spark, sf_dir, "invitees"))

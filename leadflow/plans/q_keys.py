@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import functions as F
 
@@ -120,15 +121,7 @@ def agg_key_usage(spark, sf_dir):
           "ON g.key_id = u.key_id "
           "LEFT JOIN (SELECT key_hash, arg_max(tokens, rn) AS tokens FROM walk GROUP BY key_hash) b ON g.key_hash = b.key_hash")
 def agg_key_stats(spark, sf_dir):
-    reg = registry(spark, sf_dir)
-    c = classified(spark, sf_dir).withColumn("clock_us", clock())
-    pending = c.filter(F.col("status") == K.STATUS_PENDING)
-    decisions = RL.rate_limit(pending)
-    chk = c.join(decisions, "request_id", "left").withColumn(
-        "status", F.when(F.col("status") != "pending", F.col("status"))
-                   .when(F.col("allowed"), "ok").otherwise("rate_limited"))
-    buckets = RL.final_buckets(decisions, pending)
-    return K.key_stats(reg, K.key_usage(reg, chk), buckets, NOW)
+    return K.key_stats(registry(spark, sf_dir), K.key_activity(checked(spark, sf_dir)), NOW)
 
 
 SQL_UPDATES = ("updates AS (SELECT substr(sha256(plain_key), 1, 8) AS key_id, "
@@ -178,6 +171,29 @@ def filt_active_keys(spark, sf_dir):
     return K.active_keys(registry(spark, sf_dir)).select("key_id", "name", "expires_at")
 
 
+@register("filt_all_keys", _with() + "SELECT key_id, name, is_active FROM registry")
+def filt_all_keys(spark, sf_dir):
+    return K.active_keys(registry(spark, sf_dir), include_revoked=True).select("key_id", "name", "is_active")
+
+
+KEY_SHOWN = "substr(sha256('key-3'), 1, 8)"
+
+
+def _shown_key():
+    return hashlib.sha256(b"key-3").hexdigest()[:8]
+
+
+@register("filt_key_by_id", _with() + f"SELECT key_id, name, is_active, rate_limit FROM registry WHERE key_id = {KEY_SHOWN}")
+def filt_key_by_id(spark, sf_dir):
+    return K.key_by_id(registry(spark, sf_dir), _shown_key()).select("key_id", "name", "is_active", "rate_limit")
+
+
+@register("win_key_last_n", _with(SQL_BUCKET, f"audit AS ({_AUDIT_SQL})") +
+          f"SELECT * FROM (SELECT * FROM audit WHERE key_id = {KEY_SHOWN} ORDER BY timestamp DESC, request_id DESC LIMIT 5) t")
+def win_key_last_n(spark, sf_dir):
+    return K.last_n(K.audit_rows(checked(spark, sf_dir)), 5, key=_shown_key())
+
+
 @register("win_audit_last_n", _with(SQL_BUCKET, f"audit AS ({_AUDIT_SQL})") +
           "SELECT * FROM (SELECT * FROM audit ORDER BY timestamp DESC, request_id DESC LIMIT 50) t")
 def win_audit_last_n(spark, sf_dir):
@@ -192,7 +208,7 @@ CAP, KEEP = 1000, 500
           "(SELECT *, row_number() OVER (ORDER BY timestamp DESC, request_id DESC) AS rn, count(*) OVER () AS n FROM audit) t "
           f"WHERE rn <= CASE WHEN n <= {CAP} THEN n ELSE {KEEP} + (n - {CAP} - 1) % ({CAP} - {KEEP} + 1) END")
 def win_audit_retain(spark, sf_dir):
-    return K.retain_tail(K.audit_rows(checked(spark, sf_dir)), CAP, KEEP, materialize=True)
+    return K.retain_tail(K.audit_rows(checked(spark, sf_dir)), CAP, KEEP, rows=fixture(spark, sf_dir, "request_log").count())
 
 
 # --- streams -----------------------------------------------------------------

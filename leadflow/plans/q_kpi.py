@@ -62,8 +62,8 @@ def sql_raw_kpis(report: str, src: str = "leads_origin") -> tuple[str, list[str]
         cols.append((duck.count_if(c), name))
     cols += [
         (duck.count_if("stage = 'won' AND in_s"), "close"),
-        ("round(sum(CASE WHEN stage = 'won' AND in_f THEN amt ELSE 0.0 END), 2)", "closed_revenue"),
-        ("round(sum(CASE WHEN stage = 'proposal' AND in_f THEN amt ELSE 0.0 END), 2)", "pipeline_revenue"),
+        ("CAST(sum(CASE WHEN stage = 'won' AND in_f THEN CAST(amt AS DECIMAL(28, 9)) ELSE 0 END) AS DOUBLE)", "closed_revenue"),
+        ("CAST(sum(CASE WHEN stage = 'proposal' AND in_f THEN CAST(amt AS DECIMAL(28, 9)) ELSE 0 END) AS DOUBLE)", "pipeline_revenue"),
     ]
     having = f" HAVING count_if({gflt}) > 0" if filtered else ""
     body = (f"SELECT {key}, " + ", ".join(f"{e} AS {n}" for e, n in cols) +
@@ -101,7 +101,7 @@ def sql_report(report: str, total: bool = True, extra_metrics=()) -> str:
     tcols = []
     for c in out_cols[1:]:
         if c in RAW_METRICS:
-            tcols.append(f"round(CAST(coalesce(sum({c}), 0) AS DOUBLE), 2) AS {c}" if "revenue" in c
+            tcols.append(f"CAST(coalesce(sum(CAST({c} AS DECIMAL(28, 9))), 0) AS DOUBLE) AS {c}" if "revenue" in c
                          else f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}")
         else:
             tcols.append(f"round(avg({c}), 9) AS {c}")
@@ -141,7 +141,7 @@ def kpi_custom_metric(spark, sf_dir):
 def _sql_utm(key: str) -> str:
     in_f = duck.in_range(DATE_COL, START, END)
     return (sql_leads_origin_with() +
-            f"SELECT {key}, CAST(count(*) AS BIGINT) AS count, round(sum({duck.to_number('deal_value')}), 2) AS total_deal_value "
+            f"SELECT {key}, CAST(count(*) AS BIGINT) AS count, CAST(sum(CAST({duck.to_number('deal_value')} AS DECIMAL(28, 9))) AS DOUBLE) AS total_deal_value "
             f"FROM leads WHERE stage IN ({_lst(BOOKED_STAGES)}) AND {in_f} AND {key} IS NOT NULL GROUP BY {key}")
 
 

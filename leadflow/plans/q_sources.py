@@ -307,9 +307,33 @@ SQL_CHUNKS = f"chunks AS (SELECT uri, (row_number() OVER (ORDER BY uri) - 1) //
 
 @register("sink_chunked_json", sql_with(("invitees",), SQL_CHUNKS) + "SELECT uri, CAST(chunk_number AS INTEGER) AS chunk_number FROM chunks")
 def sink_chunked_json(spark, sf_dir):
-    base = scratch_path(spark, "chunks")
-    data, _ = W.write_chunked_json(fixture(spark, sf_dir, "invitees").select("uri", "email"), base, "uri", CHUNK)
-    return spark.read.schema("uri string, chunk_number long").json(data).select("uri", F.col("chunk_number").cast("int"))
+    return _chunks(spark, sf_dir).select(F.explode("invitees.uri").alias("uri"), F.col("metadata.chunk_number").cast("int").alias("chunk_number"))
+
+
+CHUNK_SCHEMA = ("invitees array<struct<uri: string, email: string>>, metadata struct<chunk_number: long, total_chunks: long, "
+                "chunk_size: long, total_invitees: long, extraction_timestamp: string, base_filename: string>")
+
+
+def _chunks(spark, sf_dir):
+    """Written chunk documents, read again."""
+    base = f"{scratch_path(spark, 'chunks')}/invitees"
+    data, _ = W.write_chunked_json(fixture(spark, sf_dir, "invitees").select("uri", "email"), base, "uri", CHUNK, RUN_TS)
+    return spark.read.schema(CHUNK_SCHEMA).json(data)
+
+
+@register("sink_chunk_files", sql_with(("invitees",), SQL_CHUNKS) +
+          "SELECT chunk_number, 1::BIGINT AS files, 1::BIGINT AS documents, CAST(count(*) AS BIGINT) AS records, CAST(count(*) AS BIGINT) AS chunk_size, "
+          "(SELECT CAST(count(*) AS BIGINT) FROM chunks) AS total_invitees, min(uri) AS first_uri, max(uri) AS last_uri, "
+          f"{duck.q(RUN_TS.isoformat())} AS extraction_timestamp, 'invitees' AS base_filename FROM chunks GROUP BY chunk_number")
+def sink_chunk_files(spark, sf_dir):
+    """Each chunk is one document in one file of its own, in order, with its metadata."""
+    docs = _chunks(spark, sf_dir).withColumn("file", F.input_file_name())
+    alone = docs.groupBy("file").agg(F.count(F.lit(1)).alias("documents"))
+    m = F.col("metadata")
+    return (docs.join(alone, "file").groupBy(m["chunk_number"].alias("chunk_number"))
+            .agg(F.count_distinct("file").alias("files"), F.max("documents").alias("documents"), F.sum(F.size("invitees")).alias("records"),
+                 *[F.max(m[c]).alias(c) for c in ("chunk_size", "total_invitees")], F.min(F.element_at("invitees", 1)["uri"]).alias("first_uri"),
+                 F.max(F.element_at("invitees", -1)["uri"]).alias("last_uri"), *[F.max(m[c]).alias(c) for c in ("extraction_timestamp", "base_filename")]))
 
 
 @register("sink_chunk_manifest", sql_with(("invitees",), SQL_CHUNKS) +

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,47 +65,57 @@ def write_grouped_json(leads: DataFrame, root: str, ts: _dt.datetime) -> str:
     return path
 
 
-def chunk_index(df: DataFrame, order_cols, size: int, with_total: bool = False):
-    """Adds ``chunk_number`` (1-based): consecutive runs of ``size`` rows in
-    ``order_cols`` order.
+#: Offsets, one row a partition, are broadcast up to this many partitions.
+MAX_BROADCAST_PARTITIONS = 100_000
 
-    Global row numbers come from per-partition counts and offsets (one tiny
-    collect of one count per partition) over a range-sorted, checkpointed
-    frame, instead of a single-partition window.
+
+def chunk_index(df: DataFrame, order_cols, size: int) -> DataFrame:
+    """Adds ``_row`` (0-based position in ``order_cols`` order), ``chunk_number``
+    (1-based: consecutive runs of ``size`` rows) and ``total_rows``.
+
+    Rows are numbered inside the partitions of a range-sorted, checkpointed
+    frame; a small table of one row a partition gives each its offset.
     """
-    spark = df.sparkSession
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     srt = df.orderBy(*order_cols).withColumn("_pid", F.spark_partition_id()).checkpoint()
-    counts = {r["_pid"]: r["n"] for r in srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, acc = {}, 0
-    for pid in sorted(counts):
-        offsets[pid] = acc
-        acc += counts[pid]
-    off = literal_table(spark, sorted(offsets.items()), "_pid int, _off long")
-    w_mono = F.monotonically_increasing_id() - (F.col("_pid").cast("long") * F.lit(1 << 33))
-    idx = srt.withColumn("_local", w_mono).join(F.broadcast(off), "_pid")
-    out = (idx.withColumn("chunk_number", (F.floor((F.col("_off") + F.col("_local")) / size) + 1).cast("long"))
-              .drop("_pid", "_off", "_local"))
-    return (out, acc) if with_total else out
-
-
-def write_chunked_json(df: DataFrame, base: str, order_cols, size: int = 10000) -> tuple[str, str]:
-    """Records in files of at most ``size`` records, each record carrying its
-    ``chunk_number`` (consecutive runs of ``size`` records in ``order_cols``
-    order), plus a manifest dataset ``(chunk_number, total_chunks,
-    chunk_size)``. Returns (data path, manifest path).
-
-    Chunks are a column rather than one directory each, so the layout stays
-    flat however many chunks there are.
+    counts = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                        F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("total_rows"))
+    if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) <= MAX_BROADCAST_PARTITIONS:
+        off = F.broadcast(off)
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return (srt.withColumn("_local", local).join(off, "_pid")
+            .withColumn("_row", F.col("_off") + F.col("_local"))
+            .withColumn("chunk_number", (F.floor(F.col("_row") / size) + 1).cast("long"))
+            .drop("_pid", "_off", "_local"))
+
+
+def write_chunked_json(df: DataFrame, base: str, order_cols, size: int = 10000,
+                       ts: _dt.datetime | None = None, records: str = "invitees") -> tuple[str, str]:
+    """One file per chunk of ``size`` records in ``order_cols`` order: a JSON document
+    of the ``records`` and their ``metadata`` (chunk number, number of chunks, chunk
+    size, total, extraction time, base name); and a manifest dataset
+    ``(chunk_number, total_chunks, chunk_size)``. Returns (data path, manifest path).
+
+    A chunk is gathered into one row, of ``size`` records at most. Spark names the
+    files; which chunk one holds is in its metadata.
     """
-    chunked, n_rows = chunk_index(df, order_cols, size, with_total=True)
-    data = f"{base.rstrip('/')}/chunks"
-    chunked.write.mode("overwrite").option("maxRecordsPerFile", size).json(data)
-    total_chunks = -(-n_rows // size)      # known from the per-partition counts
-    per = (chunked.groupBy("chunk_number").agg(F.count(F.lit(1)).alias("chunk_size"))
-                  .withColumn("total_chunks", F.lit(total_chunks).cast("long")))
-    manifest = f"{base.rstrip('/')}/manifest"
-    per.write.mode("overwrite").json(manifest)
+    base = base.rstrip("/")
+    row = F.struct("_row", F.struct(*df.columns).alias("r"))
+    per = (chunk_index(df, order_cols, size).groupBy("chunk_number")
+           .agg(F.collect_list(row).alias("rows"), F.first("total_rows").alias("total")))
+    in_order = F.array_sort("rows", lambda x, y: (x["_row"] - y["_row"]).cast("int"))
+    metadata = F.struct("chunk_number", F.ceil(F.col("total") / size).cast("long").alias("total_chunks"),
+                        F.size("rows").cast("long").alias("chunk_size"), F.col("total").alias(f"total_{records}"),
+                        F.lit(ts.isoformat() if ts else None).cast("string").alias("extraction_timestamp"),
+                        F.lit(base.rsplit("/", 1)[-1]).alias("base_filename"))
+    data, manifest = f"{base}/chunks", f"{base}/manifest"
+    docs = per.select(F.transform(in_order, lambda x: x["r"]).alias(records), metadata.alias("metadata"))
+    docs.write.mode("overwrite").option("maxRecordsPerFile", 1).option("ignoreNullFields", False).json(data)
+    (df.sparkSession.read.schema(docs.select("metadata").schema).json(data)
+       .select("metadata.chunk_number", "metadata.chunk_size", "metadata.total_chunks")
+       .write.mode("overwrite").json(manifest))
     return data, manifest
 
 

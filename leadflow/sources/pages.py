@@ -244,14 +244,10 @@ def _user_strategy(rows: DataFrame, members: DataFrame | None = None, **_) -> Da
     return out.join(m, "owner_uri", "left")
 
 
-# Extraction strategies: name -> DataFrame function; users may register more.
+# Extraction strategies: name -> DataFrame function; users may add more.
 EVENT_TYPE_STRATEGIES = {"organization": _organization_strategy, "user": _user_strategy}
 
 
-def register_event_type_strategy(name: str, fn) -> None:
-    EVENT_TYPE_STRATEGIES[name] = fn
-
-
 def extract_event_types(rows: DataFrame, strategy: str, **kw) -> DataFrame:
     """Typed event types by owner strategy (``organization`` or ``user``)."""
     return EVENT_TYPE_STRATEGIES[strategy](rows, **kw)

@@ -8,7 +8,8 @@
 * :func:`audit_stream` - audit rows from the checked stream.
 
 Late rows (older than the watermark) are dropped by Spark before they
-reach the bucket; within the watermark, rows of one key that arrive in
+reach the bucket; :func:`late_requests` gives them back from the landed log and
+the stream's output. Within the watermark, rows of one key that arrive in
 different micro-batches out of time order are folded in arrival order (an
 older request refills nothing and leaves the refill clock), so the stream
 equals the batch job when each key's rows arrive in order.
@@ -91,6 +92,13 @@ def validate_stream(requests: DataFrame, registry: DataFrame, clock: Column,
     return rejected.unionByName(decided)
 
 
+def late_requests(landed: DataFrame, checked: DataFrame, rid: str = "request_id") -> DataFrame:
+    """Landed requests to which the stream gave no status: those that came later
+    than the watermark. A batch job, run after the stream (or a batch of it);
+    its result is the late-rows output, to audit or to check anew."""
+    return landed.join(checked.select(rid), rid, "left_anti")
+
+
 def audit_stream(checked: DataFrame, **kw) -> DataFrame:
     return K.audit_rows(checked, **kw)
 

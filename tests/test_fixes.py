@@ -6,6 +6,7 @@ import tempfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from leadflow.functions.metrics import RATIOS, Ratio, ratio_columns, with_ratio
 from leadflow.operators import joins as J
@@ -97,3 +98,43 @@ def test_empty_part_counts_zero(spark):
     _, doc = W.extraction_manifest({"a": spark.range(3), "none": spark.range(0)}, dt.datetime(2024, 1, 1), tempfile.mkdtemp(prefix="leadflow-man-"))
     r = doc.first()
     assert (r.success, r.summary) == (True, {"a": 3, "none": 0})
+
+
+def test_late_requests_are_given_back(spark):
+    """A request older than the watermark gets no status from the stream."""
+    import time
+
+    from leadflow.operators import keys as K
+    from leadflow.streaming import requests as ST
+    base = tempfile.mkdtemp(prefix="leadflow-late-")
+    keys = K.key_registry(spark.createDataFrame([("a", "n", "standard", True, None, 5)], "plain_key string, name string, permission string, is_active boolean, expires_at timestamp, rate_limit int"))
+    for part in ([(1, 0, "a"), (2, 100, "a")], [(3, 200, "a"), (4, 5, "nobody")], [(5, 6, "a"), (6, 300, "a")]):
+        df = spark.createDataFrame(part, "request_id long, s long, presented_key string")
+        df.selectExpr("request_id", "timestamp_seconds(1000 + s) AS ts", "presented_key").coalesce(1).write.mode("append").parquet(f"{base}/log")
+        time.sleep(1.1)  # files are taken in the order of their times
+    landed = spark.read.parquet(f"{base}/log")
+    stream = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/log")
+    ST.run_available_now(ST.validate_stream(stream, keys, RL.micros_clock("ts"), watermark="10 seconds"), f"{base}/out", f"{base}/ck", state_partitions=2)
+    checked = spark.read.parquet(f"{base}/out")
+    assert {r.request_id: r.status for r in checked.collect()} == {1: "ok", 2: "ok", 3: "ok", 4: "invalid", 6: "ok"}
+    assert [r.request_id for r in ST.late_requests(landed, checked).collect()] == [5]
+
+
+def test_cut_distributions_keep_the_most_frequent(spark):
+    from leadflow.operators import analytics as A
+    df = spark.range(0, 3000).selectExpr("concat('v', cast(sqrt(id) AS int)) AS a", "id % 3 AS b", "cast(null AS string) AS c", "concat('w', cast(sqrt(id) AS int) % 40) AS d")
+    got = {}
+    for r in A.distributions(df, [("a", "a", 5), ("b", "b", None), ("c", "c", 2), ("d", "d", 7)]).collect():
+        got.setdefault(r.dimension, []).append((r.value, r["count"]))
+    for name, n in (("a", 5), ("b", 3), ("d", 7)):
+        want = sorted(((str(r[0]), r[1]) for r in df.groupBy(name).count().collect()), key=lambda x: (-x[1], x[0]))[:n]
+        assert sorted(got[name]) == sorted(want)
+    assert "c" not in got
+
+
+def test_money_sums_are_exact(spark):
+    from leadflow.operators import kpi
+    df = spark.createDataFrame([(0.1,), (0.2,), (1e16,), (-1e16,), (0.005,)], "x double")
+    assert df.agg(kpi.exact_sum(F.col("x"))).first()[0] == 0.305
+    assert spark.createDataFrame([(1.0,), (float("inf"),), (1e25,)], "x double").agg(kpi.exact_sum(F.col("x"))).first()[0] == float("inf")
+    assert df.limit(0).agg(kpi.exact_sum(F.col("x"))).first()[0] == 0.0

@@ -86,32 +86,29 @@ def test_to_number_matches_python_rule_on_generated_texts(spark):
 
 
 def test_coerce_date_matches_python_rule_on_generated_texts(spark):
+    """Texts written in many forms; the day is known from how each was made."""
     import random
-    import re
-
-    from leadflow.functions.columns import ISO_DATE_RE, SLASH_ISO_DATE_RE, US_DATE_RE
 
     rnd = random.Random(5)
-    texts = set()
-    for _ in range(300):
-        y, m, d = rnd.choice([1999, 2024, 2023]), rnd.randint(0, 13), rnd.randint(0, 32)
-        texts.add(rnd.choice([f"{y}-{m:02d}-{d:02d}", f"{m}/{d}/{y}", f"{y}/{m}/{d}", f"{m:02d}/{d:02d}/{y}",
-                              f"{y}-{m:02d}-{d:02d}T10:11:12Z", f"{y}-{m:02d}-{d:02d} 10:11",
-                              f"{y}-{m:02d}-{d:02d}T10:11:12.5+01:00", f"{y}-{m}-{d}", f"{y}{m:02d}{d:02d}"]))
-    texts = sorted(texts)
+    want = {}
 
-    def rule(s):
-        t = s.strip()
+    def day(y, m, d):
         try:
-            if re.search(ISO_DATE_RE, t):
-                return dt.date.fromisoformat(t[:10])
-            if re.search(US_DATE_RE, t):
-                return dt.datetime.strptime(t, "%m/%d/%Y").date()
-            if re.search(SLASH_ISO_DATE_RE, t):
-                return dt.datetime.strptime(t, "%Y/%m/%d").date()
+            return dt.date(y, m, d)
         except ValueError:
             return None
-        return None
-    got = dict(_one_col(spark, texts).select("v", LF.coerce_date("v").alias("d")).collect())
-    bad = {t: (got[t], rule(t)) for t in texts if got[t] != rule(t)}
-    assert not bad
+    for _ in range(600):
+        y, m, d = rnd.choice([1999, 2024, 2023]), rnd.randint(0, 13), rnd.randint(0, 32)
+        clock = rnd.choice(["", " 10:11", "T10:11:12", " 10:11:12.5", " 9:05 PM", " 10:11am", "T10:11:12+01:00", " 10:11 UTC", "T23:59Z", " 10:11 -0500"])
+        year_first = rnd.choice([f"{y}-{m:02d}-{d:02d}", f"{y}-{m}-{d}", f"{y}/{m}/{d}", f"{y}.{m:02d}.{d:02d}", f"{y}{m:02d}{d:02d}"])
+        want[year_first + clock] = day(y, m, d)
+        sep = rnd.choice("-/.")
+        want[f"{m}{sep}{d:02d}{sep}{y}" + clock] = day(y, d, m) if m > 12 else day(y, m, d)
+        want[f"{d}{sep}{m}{sep}{y}" + clock] = day(y, m, d) if d > 12 else day(y, d, m)
+        if 1 <= m <= 12:
+            name = dt.date(2000, m, 1).strftime(rnd.choice(["%b", "%B"]))
+            name = rnd.choice([name, name.lower(), name.upper()])
+            want[rnd.choice([f"{name} {d}, {y}", f"{name} {d} {y}", f"{d} {name} {y}", f"{d}-{name}-{y}", f"Fri, {d:02d} {name} {y}", f"{name}. {d}, {y}" if name != "May" else f"May {d} {y}"]) + clock] = day(y, m, d)
+    want.update({"2024-01-05 25:00": None, "01/05/24": None, "2024-1/5": None, "Mai 5, 2024": None, "5 2024": None, "2024": None, "Sept 5th, 2024": dt.date(2024, 9, 5), "2024-01-05Z": dt.date(2024, 1, 5)})
+    got = dict(_one_col(spark, list(want)).select("v", LF.coerce_date("v").alias("d")).collect())
+    assert {t: (got[t], w) for t, w in want.items() if got[t] != w} == {}

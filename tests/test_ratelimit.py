@@ -21,9 +21,9 @@ def brute_force(rows):
     return out
 
 
-def run(spark, rows, target_rows=RL.SLICE_TARGET_ROWS):
+def run(spark, rows, slice_us=RL.SLICE_US):
     df = spark.createDataFrame(rows, "request_id long, key_hash string, clock_us long, rate_limit int")
-    return {r.request_id: r.allowed for r in RL.rate_limit(df, partitions=3, target_rows=target_rows).collect()}
+    return {r.request_id: r.allowed for r in RL.rate_limit(df, partitions=3, slice_us=slice_us).collect()}
 
 
 S = 1_000_000
@@ -43,10 +43,21 @@ def test_bucket_cases_match_brute_force(spark):
         rows.append((rid, "dense", i * 700_000 + (i // 100) * 90 * S, 5)); rid += 1
     got = run(spark, rows)
     assert got == brute_force(rows)
-    # Tiny slices: every key is hot and cut into many slices; sessions still link exactly.
-    assert run(spark, rows, target_rows=7) == got
-    # Mixed: only the dense key is hot.
-    assert run(spark, rows, target_rows=50) == got
+    # Small slices: sessions run over many of them and still link exactly.
+    assert run(spark, rows, slice_us=7 * S) == got
+    assert run(spark, rows, slice_us=50 * S) == got
+
+
+def test_columns_go_through_the_bucket(spark):
+    rows = [(i, "k", 10 * S * i, 2, None if i % 3 else 2**60 + i, {"a": i}) for i in range(40)]
+    df = spark.createDataFrame(rows, "request_id long, key_hash string, clock_us long, rate_limit int, big long, m map<string,int>")
+    out = RL.rate_limit(df, partitions=2, carry=["big", "m", "key_hash"])
+    assert out.columns == ["request_id", "allowed", "tokens_after", "big", "m", "key_hash"]
+    assert sorted((r.request_id, r.big, r.m["a"]) for r in out.collect()) == [(r[0], r[4], r[0]) for r in rows]
+
+
+def test_bursts_are_cut_off(spark):
+    got = run(spark, [(i, "burst", 0, 3) for i in range(4)])
     assert [got[i] for i in range(4)] == [True, True, True, False]
 
 

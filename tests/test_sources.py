@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 import os
 import tempfile
@@ -110,16 +111,24 @@ def test_raw_api_pages_take_stream_and_page_from_path(spark):
 
 def test_chunked_json_files_and_numbering(spark):
     import glob
+    import json
 
     from leadflow.sinks import writers as W
-    df = spark.range(0, 50, numPartitions=3).selectExpr("id", "concat('r', lpad(cast(id AS string), 3, '0')) AS k")
+    df = spark.range(0, 50, numPartitions=3).selectExpr("id", "concat('r', lpad(cast(id AS string), 3, '0')) AS k", "map('a', id) AS m", "cast(null AS string) AS gone")
     base = tempfile.mkdtemp(prefix="leadflow-chunks-")
-    data, manifest = W.write_chunked_json(df, base, "k", size=7)
-    for f in glob.glob(f"{data}/part-*.json"):
+    data, manifest = W.write_chunked_json(df, base, "k", size=7, ts=dt.datetime(2024, 1, 31, 6))
+    got = {}
+    files = glob.glob(f"{data}/part-*.json")
+    for f in files:
         with open(f) as fh:
-            assert sum(1 for _ in fh) <= 7
-    got = {r.id: r.chunk_number for r in spark.read.json(data).collect()}
-    assert got == {i: i // 7 + 1 for i in range(50)}
+            (doc,) = map(json.loads, fh)              # one document a file
+        rows, meta = doc["invitees"], doc["metadata"]
+        assert [r["k"] for r in rows] == sorted(r["k"] for r in rows)
+        assert all(r["gone"] is None for r in rows)   # empty fields stay
+        got.update({r["id"]: meta["chunk_number"] for r in rows})
+        assert (meta["chunk_size"], meta["total_invitees"], meta["total_chunks"], meta["base_filename"]) == (len(rows), 50, 8, base.rsplit("/", 1)[-1])
+        assert meta["extraction_timestamp"] == "2024-01-31T06:00:00"
+    assert len(files) == 8 and got == {i: i // 7 + 1 for i in range(50)}
     man = sorted((r.chunk_number, r.chunk_size, r.total_chunks) for r in spark.read.json(manifest).collect())
     assert man == [(c, 7 if c < 8 else 1, 8) for c in range(1, 9)]
 
