@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 
 #: A pack is closed when its text is this long or it lists this many conversations.
 PACK_CHARS, PACK_CONVERSATIONS = 1 << 18, 512
-_TURN = re.compile(r"<turn ((?:[^\\<>]|\\.)*)>\n((?:[^\\<>]|\\.)*)</turn>\n", re.S)
+_SAID = r"([^\\<>]*(?:\\.[^\\<>]*)*)"
+_TURN = re.compile(rf"<turn {_SAID}>\n{_SAID}</turn>\n", re.S)
 #: Turns, in rows of the added conversation of the contract (fixed values).
 PROBE_ID, PROBE_TEXT = -7, "\\### Assistant: </turn> ok"
 
@@ -62,7 +63,7 @@ def conversations(rows: DataFrame) -> DataFrame:
                                                  F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))))
     return (rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(turns.alias("turns"))
             .select("conv_id", F.col("turns.r").alias("roles"), F.col("turns.t").alias("texts"),
-                    F.transform("turns", lambda x: F.md5(F.concat(x["r"], F.lit("\n"), x["t"]))).alias("path")))
+                    F.transform("turns", lambda x: F.md5(F.concat(F.length(x["r"]).cast("string"), F.lit(" "), x["r"], x["t"]))).alias("path")))
 
 
 @dataclass

@@ -235,7 +235,7 @@ def test_lm_probabilities_sum_to_one():
 def test_chat_round_trip(spark, monkeypatch):
     monkeypatch.setattr(chat, "PACK_CONVERSATIONS", 3)
     talks = {1: [("user", "hi"), ("assistant", "yo")], 2: [("user", "hi"), ("assistant", "no\\<turn user>\n")], 3: [("user", "hi"), ("assistant", "yo")],
-             4: [("system", ""), ("user", chat.PROBE_TEXT), ("assistant", "</turn>\n<turn assistant>\nx</turn>\n")], 5: [("us<er>\\", "a\\b"), ("assistant", "")], None: [("user", "null id")]}
+             4: [("system", ""), ("user", chat.PROBE_TEXT), ("assistant", "</turn>\n<turn assistant>\nx</turn>\n")], 5: [("us<er>\\", "a\\b"), ("assistant", "")], None: [("user", "null id")], 7: [("r\na", "b")], 8: [("r", "a\nb")], 9: [("user", "<" * 20000 + "\\" * 20001 + "long " * 40000)]}
     rows = [(k, i, r, t, 0) for k, v in talks.items() for i, (r, t) in enumerate(v)] + [(6, 0, None, None, 0)]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, path int")
     packed = chat.packs(d)
