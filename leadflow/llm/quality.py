@@ -1,10 +1,12 @@
 """Quality rules (operator 7) with adaptive thresholds.
 
 Per document the features are exact counts. Instead of fixed cutoffs, the fences
-come from quantile sketches per (language, source): each feature is a ratio on an
-integer grid of 1/1000 and a sketch is the count per grid value, so sketches merge by
-addition, in any order, with the same result. The fences are joined back to the
-documents and filter them.
+come from quantile sketches per (language, source): each feature is a ratio in
+1/1000, and a sketch counts the documents per logarithmic bucket of its value, each
+``GAMMA`` times as wide as the one before. So a quantile is right to one per cent, a
+sketch has at most some two thousand buckets however many documents and values there are, and
+sketches merge by addition, in any order, with the same result. The fences are
+joined back to the documents and filter them.
 
 Edge cases: a null or empty text has no words and fails the base rules; null
 languages and sources form their own groups (null-safe join); groups of under
@@ -15,12 +17,13 @@ an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadflow.llm.common import stored, words
@@ -30,6 +33,8 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Ratios in 1/1000 and the least width of their fence, in the same unit: it keeps
 #: groups whose middle half is one value from rejecting every slight departure.
 RATIOS = {"word_len": 1500, "symbols": 150, "dup_lines": 600, "repeats": 400}
+#: Ratio of neighbouring bucket bounds in a sketch: quantiles are within 1 %.
+GAMMA = 1.02
 #: Fences of at most this many groups are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_GROUPS = 50_000
 #: Ratios whose low side is suspicious too.
@@ -85,20 +90,30 @@ def _ratios(df: DataFrame) -> DataFrame:
                            "dup_lines": ratio("n_dup_lines", "n_lines"), "repeats": ratio("n_repeat_words", "n_words")})
 
 
+def bucket_of(value: Column) -> Column:
+    """Number of the logarithmic bucket of a whole number; zero has one of its own, -1."""
+    return F.when(value > 0, F.ceil(F.log(value) / F.lit(math.log(GAMMA)))).otherwise(F.lit(-1)).cast("int")
+
+
+def value_of(bucket: Column) -> Column:
+    """The value in a bucket's middle: within 1 % of every value in it."""
+    return F.when(bucket >= 0, F.pow(F.lit(GAMMA), bucket) * (2 / (GAMMA + 1))).otherwise(F.lit(0.0))
+
+
 def quantile_sketch(df: DataFrame, by: list[str]) -> DataFrame:
-    """(*by, ratio, value, n): the merged sketch of each ratio, one row per grid value."""
-    rows = F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), F.col(r).alias("value")) for r in RATIOS]))
-    return df.select(*by, rows.alias("x")).groupBy(*by, "x.ratio", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    """(*by, ratio, bucket, n): the merged sketch of each ratio, one row per bucket."""
+    rows = F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), bucket_of(F.col(r)).alias("bucket")) for r in RATIOS]))
+    return df.select(*by, rows.alias("x")).groupBy(*by, "x.ratio", "x.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fences(sketch: DataFrame, by: list[str], spread: float) -> DataFrame:
     """(*by, n, low_<ratio>, high_<ratio>): Tukey fences, ``spread`` times the middle
     half (at least the least width) beyond the quartiles read off the sketch."""
     w = Window.partitionBy(*by, "ratio")
-    at = sketch.select("*", F.sum("n").over(w.orderBy("value")).alias("upto"), F.sum("n").over(w).alias("total"))
+    at = sketch.select("*", F.sum("n").over(w.orderBy("bucket")).alias("upto"), F.sum("n").over(w).alias("total"))
     q = at.groupBy(*by, "ratio").agg(F.max("total").alias("n"),
-                                     F.min(F.when(F.expr("upto * 4 >= total"), F.col("value"))).alias("q1"),
-                                     F.min(F.when(F.expr("upto * 4 >= total * 3"), F.col("value"))).alias("q3"))
+                                     value_of(F.min(F.when(F.expr("upto * 4 >= total"), F.col("bucket")))).alias("q1"),
+                                     value_of(F.min(F.when(F.expr("upto * 4 >= total * 3"), F.col("bucket")))).alias("q3"))
     out = []
     for r, width in RATIOS.items():
         reach = F.greatest((F.col("q3") - F.col("q1")) * F.lit(spread), F.lit(float(width)))
@@ -120,8 +135,8 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None, spread: float
     base = stored(_ratios(with_features(docs, keep)).withColumn(
         "base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")), "quality")
     fine = stored(quantile_sketch(base.filter("not base_failed"), ["lang", "source"]), "sketch")
-    by_lang = fine.groupBy("lang", "ratio", "value").agg(F.sum("n").alias("n"))
-    by_all = fine.groupBy("ratio", "value").agg(F.sum("n").alias("n"))
+    by_lang = fine.groupBy("lang", "ratio", "bucket").agg(F.sum("n").alias("n"))
+    by_all = fine.groupBy("ratio", "bucket").agg(F.sum("n").alias("n"))
     names = [f"high_{r}" for r in RATIOS] + [f"low_{r}" for r in sorted(TWO_SIDED)]
 
     def level(sk: DataFrame, by: list[str], tag: str) -> DataFrame:

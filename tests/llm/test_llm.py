@@ -181,6 +181,22 @@ def test_quality_counts(spark, some):
         assert not (r.base_failed and r.kept)
 
 
+def test_quality_sketches_are_close_and_merge(spark):
+    rng = np.random.default_rng(2)
+    x = {r: (rng.lognormal(7, 2, 4000) * (rng.random(4000) > 0.2)).astype(int) for r in quality.RATIOS}
+    d = spark.createDataFrame([(i % 2, *map(int, v)) for i, v in enumerate(zip(*x.values()))], "g int, " + ", ".join(f"{r} long" for r in x))
+    one = quality.quantile_sketch(d, [])
+    merged = quality.quantile_sketch(d, ["g"]).groupBy("ratio", "bucket").agg(F.sum("n").alias("n"))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, merged.collect()))
+    assert one.groupBy("ratio").count().agg(F.max("count")).first()[0] < 2000
+    low = quality.value_of(quality.bucket_of(F.col("v")))
+    assert all(abs(r.got - r.v) <= 0.0101 * r.v for r in spark.range(0, 10**12, 10**9 + 7).unionAll(spark.range(3000)).select(F.col("id").alias("v"), low.alias("got")).collect())
+    fence = quality.fences(one.withColumn("one", F.lit(1)), ["one"], 4.0).first()
+    for r, width in quality.RATIOS.items():
+        q1, q3 = (np.sort(x[r])[math.ceil(4000 * q) - 1] for q in (0.25, 0.75))
+        assert math.isclose(fence[f"high_{r}"], q3 + max(4 * (q3 - q1), width), rel_tol=0.03)
+
+
 def test_quality_rejects_junk_and_keeps_clean(spark):
     rnd = random.Random(2)
     clean = [" ".join(rnd.choice("alpha beta gamma delta word other thing place never under".split()) + str(rnd.randrange(999)) for _ in range(120)) for _ in range(300)]
