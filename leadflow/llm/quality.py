@@ -145,13 +145,14 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None, spread: float
 
     own = level(fine, ["lang", "source"], "g").filter(F.col("g_n") >= min_group)
     lang = level(by_lang, ["lang"], "l").filter(F.col("l_n") >= min_group)
-    whole = level(by_all.withColumn("one", F.lit(1)), ["one"], "a")
+    # The fence of all documents is one row of fixed size: written into the plan.
+    whole = fences(by_all.withColumn("one", F.lit(1)), ["one"], spread).first()
+    overall = F.struct(*[F.lit(whole[c] if whole else None).cast("double").alias(c) for c in names])
     # One fence row per (lang, source) seen, joined null-safe to the documents.
     groups = (base.select("lang", "source").distinct()
               .join(own, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
               .join(lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
-              .join(F.broadcast(whole), F.lit(1) == F.col("a_one"), "left")
-              .select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), F.coalesce("g", "l", "a").alias("fence")))
+              .select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), F.coalesce("g", "l", overall).alias("fence")))
     groups = stored(groups, "fences")
     few = groups.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS
     judged = base.join(F.broadcast(groups) if few else groups, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
