@@ -382,7 +382,7 @@ def sink_entity_csv_invitees(spark, sf_dir):
 
 
 @register("sink_entity_csv_events", sql_with(("event_types",)) +
-          "SELECT uri, name, CAST(active AS VARCHAR) AS active, type, kind, duration, owner_type, owner_uri, created_at FROM event_types")
+          "SELECT uri, name, CAST(active AS VARCHAR) AS active, type, kind, duration, owner_type, owner_uri, created_at, updated_at FROM event_types")
 def sink_entity_csv_events(spark, sf_dir):
     return _entity_back(spark, "events", fixture(spark, sf_dir, "event_types"))
 
