@@ -372,12 +372,13 @@ def _entity_back(spark, kind, df):
 
 
 @register("sink_entity_csv_invitees", sql_with(("invitees",)) +
-          "SELECT uri, event_uri, CAST(pos AS VARCHAR) AS pos, status, email, name, timezone, utm_source, utm_medium, utm_campaign FROM invitees")
+          "SELECT uri, event_uri, CAST(pos AS VARCHAR) AS pos, status, email, name, timezone, utm_source, utm_medium, utm_campaign, created_at FROM invitees")
 def sink_entity_csv_invitees(spark, sf_dir):
     inv = fixture(spark, sf_dir, "invitees").withColumn(
-        "tracking", F.struct("utm_source", "utm_medium", "utm_campaign")).drop("utm_source", "utm_medium", "utm_campaign", "created_at")
+        "tracking", F.struct("utm_source", "utm_medium", "utm_campaign")).drop("utm_source", "utm_medium", "utm_campaign")
     tr = F.from_json("tracking", "utm_source string, utm_medium string, utm_campaign string")
-    return _entity_back(spark, "invitees", inv).select(*[c for c in inv.columns if c != "tracking"], tr["utm_source"].alias("utm_source"),
+    return _entity_back(spark, "invitees", inv).select(*[c for c in inv.columns if c not in ("tracking", "created_at")],
+                                                       F.col("created_at").cast(inv.schema["created_at"].dataType).alias("created_at"), tr["utm_source"].alias("utm_source"),
                                                        tr["utm_medium"].alias("utm_medium"), tr["utm_campaign"].alias("utm_campaign"))
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from leadflow.session import literal_table
 
 RUN_FORMAT = "%Y%m%d_%H%M%S"
+#: Texts of timestamps keep their microseconds (Spark writes milliseconds by default).
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 #: Writers (and files) per stage of the per-stage CSVs.
 STAGE_WRITERS = 64
 
@@ -30,7 +32,7 @@ def _nested_to_json(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            cols.append(F.to_json(F.col(f.name)).alias(f.name))
+            cols.append(F.to_json(F.col(f.name), TIMES).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -39,7 +41,7 @@ def _nested_to_json(df: DataFrame) -> DataFrame:
 def write_combined_csv(leads: DataFrame, root: str, ts: _dt.datetime) -> str:
     """All leads as one run-stamped CSV dataset with header."""
     path = f"{root.rstrip('/')}/combined/run={run_stamp(ts)}"
-    _nested_to_json(leads).write.mode("overwrite").option("header", True).csv(path)
+    _nested_to_json(leads).write.mode("overwrite").options(**TIMES).option("header", True).csv(path)
     return path
 
 
@@ -49,7 +51,7 @@ def write_stage_csvs(leads: DataFrame, root: str, ts: _dt.datetime) -> str:
     # A task writes a file per stage it holds: rows are dealt by stage and a salt first.
     salt = F.pmod(F.spark_partition_id(), F.lit(STAGE_WRITERS))
     (_nested_to_json(leads).withColumn("run", F.lit(run_stamp(ts))).repartition("stage", salt)
-        .write.mode("overwrite").option("header", True).partitionBy("stage", "run").csv(path))
+        .write.mode("overwrite").options(**TIMES).option("header", True).partitionBy("stage", "run").csv(path))
     return path
 
 
@@ -61,7 +63,7 @@ def write_grouped_json(leads: DataFrame, root: str, ts: _dt.datetime) -> str:
     :func:`leadflow.sources.snapshots.read_grouped_json`.)
     """
     path = f"{root.rstrip('/')}/grouped/run={run_stamp(ts)}"
-    leads.write.mode("overwrite").option("ignoreNullFields", False).partitionBy("stage").json(path)
+    leads.write.mode("overwrite").options(**TIMES).option("ignoreNullFields", False).partitionBy("stage").json(path)
     return path
 
 
@@ -112,10 +114,10 @@ def write_chunked_json(df: DataFrame, base: str, order_cols, size: int = 10000,
                         F.lit(base.rsplit("/", 1)[-1]).alias("base_filename"))
     data, manifest = f"{base}/chunks", f"{base}/manifest"
     docs = per.select(F.transform(in_order, lambda x: x["r"]).alias(records), metadata.alias("metadata"))
-    docs.write.mode("overwrite").option("maxRecordsPerFile", 1).option("ignoreNullFields", False).json(data)
+    docs.write.mode("overwrite").options(**TIMES).option("maxRecordsPerFile", 1).option("ignoreNullFields", False).json(data)
     (df.sparkSession.read.schema(docs.select("metadata").schema).json(data)
        .select("metadata.chunk_number", "metadata.chunk_size", "metadata.total_chunks")
-       .write.mode("overwrite").json(manifest))
+       .write.mode("overwrite").options(**TIMES).json(manifest))
     return data, manifest
 
 
@@ -125,11 +127,11 @@ def export_formats(df: DataFrame, base: str, formats=("csv", "parquet")) -> dict
     for fmt in formats:
         path = f"{base.rstrip('/')}/{fmt}"
         if fmt == "csv":
-            _nested_to_json(df).write.mode("overwrite").option("header", True).csv(path)
+            _nested_to_json(df).write.mode("overwrite").options(**TIMES).option("header", True).csv(path)
         elif fmt == "parquet":
-            df.write.mode("overwrite").option("compression", "snappy").parquet(path)
+            df.write.mode("overwrite").options(**TIMES).option("compression", "snappy").parquet(path)
         elif fmt == "json":
-            df.write.mode("overwrite").json(path)
+            df.write.mode("overwrite").options(**TIMES).json(path)
         else:
             raise ValueError(f"unsupported format {fmt}")
         out[fmt] = path
@@ -145,7 +147,7 @@ def export_entity_csv(kind: str, df: DataFrame, base: str) -> str:
     if kind not in ENTITY_KINDS:
         raise ValueError(f"unknown entity kind {kind!r}")
     path = f"{base.rstrip('/')}/{kind}"
-    _nested_to_json(df).write.mode("overwrite").option("header", True).csv(path)
+    _nested_to_json(df).write.mode("overwrite").options(**TIMES).option("header", True).csv(path)
     return path
 
 
@@ -154,13 +156,13 @@ def export_members_json(members: DataFrame, base: str, ts: _dt.datetime,
     """Members as JSON lines plus a one-row metadata document
     (extraction time, organization, member count)."""
     data = f"{base.rstrip('/')}/members"
-    members.write.mode("overwrite").json(data)
+    members.write.mode("overwrite").options(**TIMES).json(data)
     meta = members.agg(F.count(F.lit(1)).alias("total_members")).select(
         F.struct(F.lit(ts.isoformat()).alias("extraction_timestamp"),
                  F.lit(organization_uri).cast("string").alias("organization_uri"),
                  F.col("total_members")).alias("metadata"))
     mpath = f"{base.rstrip('/')}/metadata"
-    meta.write.mode("overwrite").json(mpath)
+    meta.write.mode("overwrite").options(**TIMES).json(mpath)
     return data, mpath
 
 
@@ -174,7 +176,7 @@ def export_profile_json(profile: DataFrame, base: str, ts: _dt.datetime) -> str:
         F.struct(F.lit(ts.isoformat()).alias("extraction_timestamp"),
                  org.cast("string").alias("organization_id")).alias("metadata"),
         F.struct(*[F.col(c) for c in profile.columns]).alias("user"))
-    doc.write.mode("overwrite").json(path)
+    doc.write.mode("overwrite").options(**TIMES).json(path)
     return path
 
 
@@ -196,5 +198,5 @@ def extraction_manifest(parts: dict, ts: _dt.datetime, base: str) -> tuple[str,
         F.lit(ts.isoformat()).alias("timestamp"), "summary",
         F.lit(True).alias("success"))
     path = f"{base.rstrip('/')}/manifest"
-    doc.write.mode("overwrite").json(path)
+    doc.write.mode("overwrite").options(**TIMES).json(path)
     return path, doc
