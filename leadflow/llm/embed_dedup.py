@@ -100,8 +100,10 @@ def _cells(turned: np.ndarray, cosine: float) -> Iterator[tuple[int, np.ndarray,
 
 def classes(vectors: DataFrame) -> DataFrame:
     """(vec_id, label, embedding, key): key is the same for exact copies under one
-    label, null for vectors that link with nothing."""
-    e = F.transform(F.col("embedding").cast("array<double>"), lambda v: v + F.lit(0.0))  # -0.0 is 0.0
+    label, null for vectors that link with nothing. Single-precision vectors stay so
+    until they are compared, which halves what is shuffled and changes no result."""
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    e = F.transform(F.col("embedding").cast(f"array<{kind}>"), lambda v: v + F.lit(0.0).cast(kind))  # -0.0 is 0.0
     bad = F.lit(float("inf"))
     ok = (F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0)
           & ~F.exists("_e", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == bad))
@@ -112,6 +114,11 @@ def classes(vectors: DataFrame) -> DataFrame:
                     F.when(ok, F.md5(F.to_json(F.struct("label", "_e")))).alias("key")))
 
 
+def _vectors(column: pa.Array, dim: int) -> np.ndarray:
+    """The rows of a vector column, in double precision."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+
+
 def _deal(cosine: float, homes_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,7 +126,7 @@ def _deal(cosine: float, homes_only: bool):
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 sub = b.take(pa.array(at))
-                x = sub.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
+                x = _vectors(sub.column("vec"), dim)
                 for _, rows, cell, home in _cells(_turned(x), cosine):
                     if homes_only and not home[0]:
                         continue
@@ -208,7 +215,7 @@ def _match(cosine: float):
                         yield from done(tile)
                     at, homes, tile = here, [], None
                 part = b.slice(lo, hi - lo)
-                x = part.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, here[1])
+                x = _vectors(part.column("vec"), here[1])
                 key, rep = part.column("key").to_pylist(), part.column("rep").to_numpy()
                 if role[lo] == 0:
                     homes.append((x, key, rep))
@@ -238,7 +245,7 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     hot = stored(src.mapInArrow(_deal(cosine, True), "label string, dim int, cell long").groupBy(*place)
                  .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE)
                  .select(*place, F.ceil(F.col("n") / TILE).cast("int").alias("salts")), "hot-cells")
-    dealt = src.mapInArrow(_deal(cosine, False), "label string, dim int, cell long, role byte, key string, rep long, weight long, vec array<double>")
+    dealt = src.mapInArrow(_deal(cosine, False), f"label string, dim int, cell long, role byte, key string, rep long, weight long, vec {src.schema['vec'].dataType.simpleString()}")
     few = hot.limit(_BROADCAST_CELLS + 1).count() <= _BROADCAST_CELLS
     salted = (dealt.join(F.broadcast(hot) if few else hot, place, "left")
               .withColumn("salts", F.coalesce("salts", F.lit(1)))
