@@ -3,14 +3,16 @@
 Unit vectors at cosine c are sqrt(2 - 2c) apart. Turned by a fixed random rotation
 and split into ``BLOCKS`` subspaces, a linked pair is within its proportional share
 of the squared distance in at least one block. Each block is range-joined: a grid over
-its first ``GRID`` coordinates deals every vector to its home cell and, as a guest, to all
+its first coordinates deals every vector to its home cell and, as a guest, to all
 cells within reach. In a cell, homes meet guests; pairs within the block's budget
 are candidates, and the union over blocks is verified exactly: a pair is taken in
 the first block it qualifies in only, by its cosine in double precision. Link counts and
 a spanning forest of the links leave a cell, never its pairs.
 
-Exact copies collapse to one vector first. A cell with over ``TILE`` homes is cut
-into that many salted tiles, each seeing all guests, so no task holds a whole hot cell.
+Exact copies collapse to one vector first. A cell with over ``TILE`` homes is divided by
+the block's further coordinates, then by finer grids, wherever that parts its homes; what
+stays hot (near copies) is cut into salted tiles, each seeing all guests, so no task
+holds a whole hot cell and cells get finer as the table grows.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components,
 and rows with a null label, link with nothing and are their own component; so do rows
@@ -23,7 +25,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +35,19 @@ from leadflow.llm.common import stored
 from leadflow.llm.components import components
 
 BLOCKS = 8
-GRID = 3
 CELL = 0.2
+#: The grids, one level inside the other: coordinates of a block and width of a cell.
+#: All vectors are dealt by the first; only hot cells are divided by the next.
+LEVELS = [((0, 1, 2), CELL), ((3, 4), CELL), ((5, 6, 7), CELL), ((0, 1, 2, 3), CELL / 2), ((4, 5, 6, 7), CELL / 2)]
 TILE = 2048
 _CHUNK = 512
+#: A level divides a cell if no part keeps more than this share of its homes.
+_MOST = 0.75
+#: Stands for a grid number in cells that a level left undivided.
+_FILL = np.iinfo(np.int16).min
 #: Hot cells above this number are joined by a shuffle, not broadcast.
 _BROADCAST_CELLS = 50_000
+_PLACE = ["label", "dim", "block", "cell"]
 
 
 @lru_cache(maxsize=8)
@@ -72,30 +80,17 @@ def _reach(cosine: float, n_blocks: int) -> float:
     return (2 - 2 * cosine) / n_blocks * (1 + 1e-9) + 1e-12
 
 
-def _cells(turned: np.ndarray, cosine: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(block, row, cell, is_home) arrays: each row's home cell, and every cell it can
-    reach, its own included."""
-    spans = _blocks(turned.shape[1])
-    r = float(np.sqrt(_reach(cosine, len(spans))))
-    for b, (lo, hi) in enumerate(spans):
-        part = turned[:, lo:min(hi, lo + GRID)]
-        home = np.floor(part / CELL).astype(np.int64)
-        low, high = np.floor((part - r) / CELL).astype(np.int64), np.floor((part + r) / CELL).astype(np.int64)
-        width = int((high - low).max(initial=0)) + 1
-
-        def code(c: np.ndarray) -> np.ndarray:
-            out = np.full(len(c), b, np.int64)
-            for k in range(c.shape[1]):
-                out = out * 4096 + (c[:, k] + 2048)
-            return out
-
-        rows = np.arange(len(part))
-        yield b, rows, code(home), np.ones(len(part), bool)
-        for step in product(range(width), repeat=part.shape[1]):
-            c = low + np.array(step)
-            ok = (c <= high).all(1)
-            if ok.any():
-                yield b, rows[ok], code(c[ok]), np.zeros(int(ok.sum()), bool)
+def _cells(part: np.ndarray, width: float, reach: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) arrays: the home cell of every row or, given a reach, every cell
+    within it. A cell is one grid number per coordinate."""
+    rows, cells = np.arange(len(part)), np.empty((len(part), 0), np.int16)
+    for x in part.T:
+        low = np.floor((x[rows] - (reach or 0)) / width).astype(np.int64)
+        times = np.floor((x[rows] + (reach or 0)) / width).astype(np.int64) - low + 1
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        cells = np.column_stack([np.repeat(cells, times, axis=0), (np.repeat(low, times) + step).astype(np.int16)])
+        rows = np.repeat(rows, times)
+    return rows, cells
 
 
 def classes(vectors: DataFrame) -> DataFrame:
@@ -119,24 +114,67 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
 
-def _deal(cosine: float, homes_only: bool):
+def _binary(cells: np.ndarray) -> pa.Array:
+    size = cells.shape[1] * 2
+    offsets = np.arange(len(cells) + 1, dtype=np.int32) * size
+    return pa.Array.from_buffers(pa.binary(), len(cells), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(cells).tobytes())])
+
+
+def _grid_reach(cosine: float, n_blocks: int) -> float:
+    return float(np.sqrt(_reach(cosine, n_blocks))) * (1 + 1e-9) + 1e-12
+
+
+def _columns(b: pa.RecordBatch, names: list[str], **new: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([new[n] if n in new else b.column(n) for n in names], names)
+
+
+def _deal(cosine: float, roles: tuple[int, ...], names: list[str]):
+    """Every vector goes to its cells of the first level, per block: its home (role 0) and
+    all within reach (role 1)."""
+    coordinates, width = LEVELS[0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dims = np.diff(b.column("vec").offsets.to_numpy()) if b.num_rows else np.array([], int)
             for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                sub = b.take(pa.array(at))
-                x = _vectors(sub.column("vec"), dim)
-                for _, rows, cell, home in _cells(_turned(x), cosine):
-                    if homes_only and not home[0]:
-                        continue
-                    pick = sub.take(pa.array(rows))
-                    out = [pick.column("label"), pa.array(np.full(len(rows), dim, np.int32)), pa.array(cell)]
-                    names = ["label", "dim", "cell"]
-                    if not homes_only:
-                        out += [pa.array(np.where(home, 0, 1).astype(np.int8)), pick.column("key"), pick.column("rep"), pick.column("weight"), pick.column("vec")]
-                        names += ["role", "key", "rep", "weight", "vec"]
-                    yield pa.RecordBatch.from_arrays(out, names)
+                sub = b.take(pa.array(np.flatnonzero(dims == dim)))
+                turned, spans = _turned(_vectors(sub.column("vec"), dim)), _blocks(dim)
+                for block, (lo, hi) in enumerate(spans):
+                    part = turned[:, [lo + c for c in coordinates if lo + c < hi]]
+                    for role in roles:
+                        rows, cells = _cells(part, width, _grid_reach(cosine, len(spans)) if role else None)
+                        n = len(rows)
+                        yield _columns(sub.take(pa.array(rows)), names, dim=pa.array(np.full(n, dim, np.int32)), block=pa.array(np.full(n, block, np.int32)),
+                                       cell=_binary(cells), role=pa.array(np.full(n, role, np.int8)))
+    return run
+
+
+def _refine(cosine: float, level: int, names: list[str]):
+    """Rows of hot cells move on to cells of ``level`` inside them; ``split`` is null
+    for rows that stay, and false where a level's cells would not divide the homes:
+    those go on undivided, marked by a fill. ``parent`` is the cell before."""
+    coordinates, width = LEVELS[level]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            split = np.array([-1 if x is None else int(x) for x in b.column("split").to_pylist()], np.int64)
+            dim, block, role = (b.column(k).to_numpy() for k in ("dim", "block", "role"))
+            kinds, kind = np.unique(np.column_stack([dim, block, role, split]), axis=0, return_inverse=True)
+            for k, (d, at, r, how) in enumerate(kinds.tolist()):
+                sub = b.take(pa.array(np.flatnonzero(kind.ravel() == k)))
+                if how < 0:
+                    yield _columns(sub, names, parent=sub.column("cell"))
+                    continue
+                spans = _blocks(d)
+                lo, hi = spans[at]
+                inner = [lo + c for c in coordinates if lo + c < hi]
+                old = np.frombuffer(b"".join(sub.column("cell").to_pylist()), np.int16).reshape(sub.num_rows, -1)
+                if how:
+                    rows, new = _cells(_turned(_vectors(sub.column("vec"), d))[:, inner], width, _grid_reach(cosine, len(spans)) if r else None)
+                else:
+                    rows, new = np.arange(sub.num_rows), np.full((sub.num_rows, len(inner)), _FILL, np.int16)
+                moved = sub.take(pa.array(rows))
+                yield _columns(moved, names, cell=_binary(np.column_stack([old[rows], new])), parent=moved.column("cell"))
     return run
 
 
@@ -202,14 +240,13 @@ def _match(cosine: float):
 
         at, homes, tile = None, [], None
         for b in batches:
-            label, dim, cell, salt = (b.column(k).to_pylist() for k in ("label", "dim", "cell", "salt"))
             role = b.column("role").to_numpy()
-            places = list(zip(label, dim, cell, salt, role.tolist()))
+            places = list(zip(*(b.column(k).to_pylist() for k in (*_PLACE, "salt")), role.tolist()))
             cuts = [k for k in range(1, len(places)) if places[k] != places[k - 1]]
             for lo, hi in zip([0, *cuts], [*cuts, len(places)]):
                 if lo == hi:
                     continue
-                here = places[lo][:4]
+                here = places[lo][:-1]
                 if here != at:
                     if tile:
                         yield from done(tile)
@@ -223,8 +260,7 @@ def _match(cosine: float):
                 if tile is None:
                     if not homes:  # guests of a cell where nobody lives
                         continue
-                    block = here[2] // 4096 ** min(GRID, _blocks(here[1])[0][1])
-                    tile = _Tile(block, cosine, np.concatenate([h[0] for h in homes]), [k for h in homes for k in h[1]], np.concatenate([h[2] for h in homes]))
+                    tile = _Tile(here[2], cosine, np.concatenate([h[0] for h in homes]), [k for h in homes for k in h[1]], np.concatenate([h[2] for h in homes]))
                 weight = part.column("weight").to_numpy()
                 for k in range(0, hi - lo, _CHUNK):
                     s = slice(k, k + _CHUNK)
@@ -235,24 +271,53 @@ def _match(cosine: float):
     return run
 
 
+def _sized(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """``rows`` with the columns that ``cells`` (one row a hot cell) has of their cell, if any."""
+    few = cells.limit(_BROADCAST_CELLS + 1).count() <= _BROADCAST_CELLS
+    return rows.join(F.broadcast(cells) if few else cells, _PLACE, "left")
+
+
+def _dealt(src: DataFrame, cosine: float) -> DataFrame:
+    """Homes and guests of every cell; cells that more than ``TILE`` live in are divided
+    level by level, and what is left of them is cut into salted tiles that each see all guests."""
+    vec = src.schema["vec"].dataType.simpleString()
+    spec = {"label": "string", "dim": "int", "block": "int", "cell": "binary", "role": "byte", "key": "string", "rep": "long", "weight": "long", "vec": vec}
+
+    def schema(names: list[str]) -> str:
+        return ", ".join(f"{n} {spec.get(n, 'binary')}" for n in names)
+
+    full, home = list(spec), [*_PLACE, "role", "vec"]
+    rows = src.mapInArrow(_deal(cosine, (0, 1), full), schema(full))
+    homes = src.mapInArrow(_deal(cosine, (0,), home), schema(home))
+    hot = stored(src.mapInArrow(_deal(cosine, (0,), _PLACE), schema(_PLACE)).groupBy(*_PLACE)
+                 .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE), "hot-cells")
+    for level in range(1, len(LEVELS)):
+        if hot.isEmpty():
+            break
+        # What the level would make of each hot cell; it is used where no part keeps most of the homes.
+        child = [*_PLACE, "parent"]
+        homes = _sized(homes, hot).filter("n is not null").drop("n")
+        parts = stored(homes.withColumn("split", F.lit(True)).mapInArrow(_refine(cosine, level, child), schema(child))
+                       .groupBy(*child).agg(F.count(F.lit(1)).alias("n")), "cell-parts")
+        plan = stored(parts.groupBy("label", "dim", "block", F.col("parent").alias("cell"))
+                      .agg((F.max("n") <= _MOST * F.sum("n")).alias("split")), "cell-plan")
+        rows = _sized(rows, plan).mapInArrow(_refine(cosine, level, full), schema(full))
+        homes = _sized(homes, plan).mapInArrow(_refine(cosine, level, home), schema(home))
+        hot = stored(homes.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE), "hot-cells")
+    salts = F.coalesce(F.ceil(F.col("n") / TILE).cast("int"), F.lit(1))
+    return (_sized(rows, hot).withColumn("salts", salts)
+            .withColumn("salt", F.explode(F.when(F.col("role") == 0, F.array(F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")))
+                                          .otherwise(F.sequence(F.lit(0), F.col("salts") - 1)))))
+
+
 def embedding_dedup(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     rows = classes(vectors)
     one = stored(rows.filter("key is not null").groupBy("key")
                  .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("label").alias("label"), F.first("embedding").alias("vec")), "classes")
-    src = one.select("label", "key", "rep", "weight", "vec")
-    place = ["label", "dim", "cell"]
-    hot = stored(src.mapInArrow(_deal(cosine, True), "label string, dim int, cell long").groupBy(*place)
-                 .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE)
-                 .select(*place, F.ceil(F.col("n") / TILE).cast("int").alias("salts")), "hot-cells")
-    dealt = src.mapInArrow(_deal(cosine, False), f"label string, dim int, cell long, role byte, key string, rep long, weight long, vec {src.schema['vec'].dataType.simpleString()}")
-    few = hot.limit(_BROADCAST_CELLS + 1).count() <= _BROADCAST_CELLS
-    salted = (dealt.join(F.broadcast(hot) if few else hot, place, "left")
-              .withColumn("salts", F.coalesce("salts", F.lit(1)))
-              .withColumn("salt", F.explode(F.when(F.col("role") == 0, F.array(F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")))
-                                            .otherwise(F.sequence(F.lit(0), F.col("salts") - 1)))))
-    found = stored(salted.repartition(*place, "salt").sortWithinPartitions(*place, "salt", "role")
-                   .select(*place, "salt", "role", "key", "rep", "weight", "vec")
+    dealt = _dealt(one.select("label", "key", "rep", "weight", "vec"), cosine)
+    found = stored(dealt.repartition(*_PLACE, "salt").sortWithinPartitions(*_PLACE, "salt", "role")
+                   .select(*_PLACE, "salt", "role", "key", "rep", "weight", "vec")
                    .mapInArrow(_match(cosine), "a long, b long, n long, key string"), "links")
     counts = found.filter("n is not null").groupBy("key").agg(F.sum("n").alias("n"))
     groups = components(found.filter("b is not null").select("a", "b"))

@@ -225,6 +225,22 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert got == want and embed_dedup.embedding_dedup(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [3, 12, 20, 64])
+def test_hot_cells_are_divided_without_losing_links(spark, monkeypatch, dim):
+    """Spread vectors, which the further levels part, and near copies, which only salt does."""
+    monkeypatch.setattr(embed_dedup, "TILE", 8)
+    rng = np.random.default_rng(dim)
+    base = rng.standard_normal((60, dim))
+    x = np.concatenate([base, base * 3, base + rng.standard_normal((60, dim)) * 0.08, base[0] + rng.standard_normal((40, dim)) * 0.02])
+    d = spark.createDataFrame([(i, [float(v) for v in e], "l") for i, e in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    link = unit @ unit.T >= 0.98
+    np.fill_diagonal(link, False)
+    groups = brute_groups(list(range(len(x))), lambda i, j: link[i, j])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.embedding_dedup(d).collect()}
+    assert got == {i: (int(link[i].sum()), g) for i, g in enumerate(groups)}
+
+
 def test_lm_base_and_model(spark, some):
     texts = [*ODD, *[r.text for r in some]]
     tok = [WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) + [" "] for t in texts]
