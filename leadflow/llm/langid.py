@@ -20,7 +20,6 @@ null doc_ids are predicted but not learned from; further columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +34,6 @@ NGRAMS = (2, 3, 4)
 BUCKETS = 1 << 15
 MAX_LANGS = 200
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _SLICE = 1 << 20
 
 
@@ -58,7 +56,8 @@ def presence(text: str) -> list[np.ndarray]:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a text has a letter; numbers such as one half are none."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 @dataclass

@@ -6,7 +6,7 @@ reshared by weight. Within a source a document's expected copies are its share o
 target, in proportion to a document weight: short documents (under ``SHORT`` words)
 weigh half, so inclusion odds are unequal. The whole part of the expected copies is taken
 for certain. For the fraction p, documents are ranked by the Pareto ratio
-(u / (1 - u)) / (p / (1 - p)), u being a fixed hash of the id, and taken in that order up
+(u / (1 - u)) / (p / (1 - p)), u being a fixed hash of the id and text, and taken in that order up
 to the words still missing (the last one if that comes nearer), so a source's sample
 has a fixed size in words.
 
@@ -14,9 +14,9 @@ The running sum is taken in two steps, over bins of the ranking and within the o
 where it ends, so no task sorts a whole source.
 
 Edge cases: a null text has size 0 and is taken in rank order like any other, which
-adds no words; a source of size 0 has target 0; rows of equal (or
-null) ids are ranked by size and a hash of their text as well; all-empty tables give targets 0; an empty table gives
-an empty result; further columns are kept out.
+adds no words; a source of size 0 has target 0; rows of equal (or null) ids spread over
+the ranking by their texts, and only rows equal in both are ties; all-empty tables give
+targets 0; an empty table gives an empty result; further columns are kept out.
 """
 
 from __future__ import annotations
@@ -77,8 +77,7 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: Sequence[float]
     spark = docs.sparkSession
     keep = keep or ["doc_id"]
     sized = stored(docs.select(*keep, F.col("source").cast("string").alias("_source"), word_count("text").alias("size"),
-                               F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_h"),
-                               F.xxhash64("text").alias("_t")), "mix-sizes")
+                               F.xxhash64(F.col("doc_id").cast("string"), "text").alias("_h"), F.xxhash64("text").alias("_t")), "mix-sizes")
     # One row per source; their number, not the documents', bounds what the driver sees.
     per = (sized.groupBy("_source").agg(F.sum("size").alias("n"), F.sum(F.when(F.col("size") < SHORT, F.col("size")).otherwise(0)).alias("short"))
            .collect())

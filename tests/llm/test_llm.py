@@ -146,6 +146,7 @@ def test_language_on_held_out(spark, sf_dir):
     held = [r for r in rows if r.held_out]
     assert all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) == r.held_out and 0 <= r.score <= 1 for r in rows)
     assert sum(r.lang == r.lang_pred for r in held) >= 0.9 * len(held)
+    assert [langid.has_letter(t) for t in (None, "", "½ ² Ⅷ 3 _ ©", "3é", "中", "ﬁ")] == [False, False, False, True, True, True]
     odd = {r.doc_id: r.lang_pred for r in langid.language_id(docs(spark, ODD)).collect()}
     assert {odd[i] for i in (0, 1, 2, 6)} == {"und"} and odd[3] == "en"
 
@@ -163,6 +164,9 @@ def test_mix_targets_and_sizes(spark, some):
         target[s] = r.target
     assert abs(sum(target.values()) - sum(size.values())) < 1e-6
     assert all(abs(by[s] - target[s]) <= max(size.values()) for s in target)
+    # Many rows without an id are no single tie: some of each source are taken, some not.
+    loose = mixing.mix(d.withColumn("doc_id", F.lit(None).cast("long"))).filter("size >= 50 and copies < 3").groupBy("source_size").agg(F.countDistinct("copies").alias("k"))
+    assert loose.agg(F.max("k")).first()[0] > 1
     assert mixing.targets([("b", 10), ("a", 10), (None, 100)]) == {"a": 30.0, "b": 30.0, None: 60.0}
 
 
