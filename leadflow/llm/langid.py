@@ -33,6 +33,7 @@ from leadflow.llm.common import in_fold
 NGRAMS = (2, 3, 4)
 BUCKETS = 1 << 15
 MAX_LANGS = 200
+SHARES = 64
 UNKNOWN = "und"
 _SLICE = 1 << 20
 
@@ -107,12 +108,14 @@ def fit(langs: list[str], grams: list[list[np.ndarray]], landmarks: int, ridge:
 
 def training_sample(docs: DataFrame, held_out: Column, per_lang: int) -> DataFrame:
     """(lang, grams): at most ``per_lang`` texts with a letter of each language, of
-    the smallest hashes of their id. A cut per language is taken before the shuffle
-    too, so a hot language sends few rows."""
+    the smallest hashes of their id. The cut is taken within ``SHARES`` hashed shares of
+    a language first, so however many tasks send rows, none gathers a hot language's."""
     ok = docs.filter(~held_out & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (ok.select("lang", "doc_id").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_lang)
-           .select("lang", "doc_id").distinct().limit(per_lang * MAX_LANGS))
+    ids = ok.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARES)).alias("share"))
+    for by in (["lang", "share"], ["lang"]):
+        order = Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_lang).drop("k")
+    ids = ids.select("lang", "doc_id").distinct().limit(per_lang * MAX_LANGS)
     # At most per_lang * MAX_LANGS ids: broadcast, so texts are not shuffled.
     rows = ok.select("lang", "doc_id", F.col("text")).join(F.broadcast(ids), ["lang", "doc_id"], "left_semi")
 
