@@ -13,8 +13,8 @@ tiles meet pairwise, so no task holds a whole hot bucket.
 
 Edge cases: null or wordless texts have fingerprint zero and link like any other;
 fewer words than a shingle: the whole sequence is the shingle; repeated rows and
-equal doc_ids each get a row; null doc_ids get the component of their fingerprint;
-an empty table gives an empty result; further columns are ignored.
+equal doc_ids each get a row; null doc_ids link like any other and get the component of
+their fingerprint (null where no document of it has an id); an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,15 +60,22 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long): the fingerprint's 64 bits as a signed long."""
+def with_fingerprints(docs: DataFrame, keep: list[str], shingle: int = 3) -> DataFrame:
+    """``keep`` columns, then fp long: the fingerprint's 64 bits as a signed long."""
+    src = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    schema = docs.select(*keep).schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(b.num_columns - 1)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], [*keep, "fp"])
+
+    return src.mapInArrow(run, schema)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(doc_id, fp long)."""
+    return with_fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], shingle)
 
 
 def _block_key(fp: F.Column, chosen: tuple[int, ...], number: int) -> F.Column:
@@ -163,13 +170,22 @@ def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
             .select("bucket", "tile", "side", "fp", "rep", *cols[2:]).mapInPandas(run, "a long, b long"))
 
 
+def fingerprint_groups(fps: DataFrame, max_bits: int = 3) -> DataFrame:
+    """(fp, group) of every distinct ``fp``: the fingerprints themselves are linked, so a
+    group needs no ids; it is named by its smallest fingerprint (as a signed long)."""
+    distinct = fps.select("fp").distinct()
+    groups = components(links(distinct.withColumn("rep", F.col("fp")), max_bits))
+    return stored(distinct.join(groups, distinct["fp"] == groups["node"], "left")
+                  .select("fp", F.coalesce("component", "fp").alias("group")), "groups")
+
+
 def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id): component_id is the smallest doc_id
     reachable through links of at most ``max_bits`` (under ``BLOCKS``) differing bits."""
     fps = stored(fingerprints(docs, shingle), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    groups = components(links(distinct.filter("rep is not null"), max_bits))
-    label = (distinct.join(groups, distinct["rep"] == groups["node"], "left")
-             .select("fp", F.coalesce("component", "rep").alias("component_id")))
+    groups = fingerprint_groups(fps, max_bits)
+    least = (fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).join(groups, "fp")
+             .groupBy("group").agg(F.min("rep").alias("component_id")))
+    label = groups.join(least, "group").select("fp", "component_id")
     return (fps.join(label, "fp")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))

@@ -319,3 +319,24 @@ def test_pipeline_stages_on_awkward_and_empty_tables(spark, sf_dir):
             at = stage(spark, at, sf_dir)
             at.count()
             assert stage(spark, start, sf_dir).count() >= 0
+
+
+def test_simhash_links_through_rows_without_an_id(spark, monkeypatch):
+    """1 and 3 are linked through a null id only; 5 has two unlinked texts, which do not join 6 and 7."""
+    monkeypatch.setattr(simhash, "fingerprints", lambda d, shingle: d.select("doc_id", F.col("text").cast("long").alias("fp")))
+    far, other = 0x0F0F0F << 40, 0x333333 << 8
+    rows = [(1, 0), (None, 0b111), (3, 0b111111), (5, far), (6, far + 1), (5, other), (7, other + 1), (None, -1)]
+    d = spark.createDataFrame([(i, str(f)) for i, f in rows], "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.component_id) for r in simhash.simhash_components(d).collect())
+    assert got == collections.Counter([(1, 1), (None, 1), (3, 1), (5, 5), (6, 5), (5, 5), (7, 5), (None, None)])
+    groups = {r.fp: r.group for r in simhash.fingerprint_groups(d.select(F.col("text").cast("long").alias("fp"))).collect()}
+    assert groups[far] == groups[far + 1] != groups[other] == groups[other + 1]
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark, sf_dir):
+    rnd = random.Random(5)
+    a, b, c, e = (" ".join(str(rnd.randrange(10**6)) for _ in range(80)) for _ in range(4))
+    rows = [(None, a), (None, a), (2, b), (None, b), (2, c), (2, c), (None, e)]  # one id over b and c; a and e have none
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup_stage(spark, d, sf_dir).collect())
+    assert got == collections.Counter([(None, a), (2, b), (2, c), (None, e)])
