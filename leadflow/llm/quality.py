@@ -9,9 +9,10 @@ sketches merge by addition, in any order, with the same result. The fences are
 joined back to the documents and filter them.
 
 Edge cases: a null or empty text has no words and fails the base rules; null
-languages and sources form their own groups (null-safe join); groups of under
-``min_group`` documents use the sketch of all documents of their language, and
-languages under it that of all documents; repeated rows are judged alike;
+languages and sources form their own groups (null-safe join); a fence is the mean, by
+documents, of the language's own and that of all documents counted as ``min_group``, and
+a group's likewise of its own and its language's, never wider than its language's, so a
+source that is mostly junk does not raise it; repeated rows are judged alike;
 an empty table gives an empty result; further columns are ignored.
 """
 
@@ -32,7 +33,7 @@ SYMBOLS = "#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Ratios in 1/1000 and the least width of their fence, in the same unit: it keeps
 #: groups whose middle half is one value from rejecting every slight departure.
-RATIOS = {"word_len": 1500, "symbols": 150, "dup_lines": 600, "repeats": 400}
+RATIOS = {"word_len": 500, "symbols": 100, "dup_lines": 200, "repeats": 100}
 #: Ratio of neighbouring bucket bounds in a sketch: quantiles are within 1 %.
 GAMMA = 1.02
 #: Fences of at most this many groups are broadcast; more are joined by a shuffle.
@@ -108,19 +109,23 @@ def quantile_sketch(df: DataFrame, by: list[str]) -> DataFrame:
 
 def fences(sketch: DataFrame, by: list[str], spread: float) -> DataFrame:
     """(*by, n, low_<ratio>, high_<ratio>): Tukey fences, ``spread`` times the middle
-    half (at least the least width) beyond the quartiles read off the sketch."""
+    half (at least the least width) beyond the quartiles read off the sketch. Where the
+    middle half is one value, the stretch from it to the outer tenth takes its place."""
     w = Window.partitionBy(*by, "ratio")
     at = sketch.select("*", F.sum("n").over(w.orderBy("bucket")).alias("upto"), F.sum("n").over(w).alias("total"))
-    q = at.groupBy(*by, "ratio").agg(F.max("total").alias("n"),
-                                     value_of(F.min(F.when(F.expr("upto * 4 >= total"), F.col("bucket")))).alias("q1"),
-                                     value_of(F.min(F.when(F.expr("upto * 4 >= total * 3"), F.col("bucket")))).alias("q3"))
+    q = at.groupBy(*by, "ratio").agg(F.max("total").alias("n"), *[
+        value_of(F.min(F.when(F.expr(f"upto * 20 >= total * {k}"), F.col("bucket")))).alias(name)
+        for name, k in (("d1", 2), ("q1", 5), ("q3", 15), ("d9", 18))])
     out = []
     for r, width in RATIOS.items():
-        reach = F.greatest((F.col("q3") - F.col("q1")) * F.lit(spread), F.lit(float(width)))
+        def reach(tail: Column) -> Column:
+            half = F.col("q3") - F.col("q1")
+            return F.greatest(F.when(half > 0, half).otherwise(tail) * F.lit(spread), F.lit(float(width)))
+
         mine = F.col("ratio") == r
-        out += [F.max(F.when(mine, F.col("q3") + reach)).alias(f"high_{r}")]
+        out += [F.max(F.when(mine, F.col("q3") + reach(F.col("d9") - F.col("q3")))).alias(f"high_{r}")]
         if r in TWO_SIDED:
-            out += [F.max(F.when(mine, F.col("q1") - reach)).alias(f"low_{r}")]
+            out += [F.max(F.when(mine, F.col("q1") - reach(F.col("q1") - F.col("d1")))).alias(f"low_{r}")]
     return q.groupBy(*by).agg(F.max("n").alias("n"), *out)
 
 
@@ -143,16 +148,25 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None, spread: float
         f = fences(sk, by, spread)
         return f.select(*[F.col(c).alias(f"{tag}_{c}") for c in by], F.struct(*names).alias(f"{tag}"), F.col("n").alias(f"{tag}_n"))
 
-    own = level(fine, ["lang", "source"], "g").filter(F.col("g_n") >= min_group)
-    lang = level(by_lang, ["lang"], "l").filter(F.col("l_n") >= min_group)
+    own = level(fine, ["lang", "source"], "g")
+    lang = level(by_lang, ["lang"], "l")
     # The fence of all documents is one row of fixed size: written into the plan.
     whole = fences(by_all.withColumn("one", F.lit(1)), ["one"], spread).first()
-    overall = F.struct(*[F.lit(whole[c] if whole else None).cast("double").alias(c) for c in names])
+
+    def blend(tag: str, c: str, wider: Column) -> Column:
+        """The level's own value and the wider level's, which counts as ``min_group`` documents."""
+        mean = (F.col(f"{tag}_n") * F.col(f"{tag}.{c}") + F.lit(min_group) * wider) / (F.col(f"{tag}_n") + F.lit(min_group))
+        return F.coalesce(mean, wider)
+
+    def fence(c: str) -> Column:
+        of_lang = blend("l", c, F.lit(whole[c] if whole else None).cast("double"))
+        return (F.least if c.startswith("high") else F.greatest)(blend("g", c, of_lang), of_lang).alias(c)
+
     # One fence row per (lang, source) seen, joined null-safe to the documents.
     groups = (base.select("lang", "source").distinct()
               .join(own, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
               .join(lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
-              .select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), F.coalesce("g", "l", overall).alias("fence")))
+              .select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), F.struct(*map(fence, names)).alias("fence")))
     groups = stored(groups, "fences")
     few = groups.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS
     judged = base.join(F.broadcast(groups) if few else groups, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")

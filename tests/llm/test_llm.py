@@ -209,6 +209,30 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert all(got[i] for i in range(300)) and not any(got[i] for i in range(300, 310))
 
 
+def test_quality_fences_of_a_source_that_is_mostly_junk(spark):
+    rnd = random.Random(7)
+
+    def prose(lines=0):
+        text = [rnd.choice("alpha beta gamma delta word other thing place never under".split()) + str(rnd.randrange(999)) for _ in range(120)]
+        return "\n".join([*(" ".join(text[i:i + 12]) for i in range(0, 120, 12)), *[text[0]] * lines])
+
+    clean = [prose() for _ in range(600)]
+    dirty = [prose().replace(" ", " # ") for _ in range(150)]  # a symbol a word, and 60 % of its source
+    lines = [prose(lines=8) for _ in range(20)]  # 8 of 18 lines repeat one
+    texts = [*clean, *dirty, *lines]
+    source = ["s"] * 500 + ["j"] * 250 + ["s"] * 20
+    d = spark.createDataFrame([(i, t, "en", s) for i, (t, s) in enumerate(zip(texts, source))], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality.quality_rules(d).collect()}
+    assert [got[i] for i in range(len(texts))] == [True] * 600 + [False] * 170
+
+
+def test_quality_fences_of_a_flat_middle_half_use_the_tail(spark):
+    """Nine in ten values from 0 to 40, three in four 0: the spread acts on the outer tenth."""
+    rows = [(1, r, int(b), n) for r in quality.RATIOS for b, n in zip((-1, *(spark.range(1).select(quality.bucket_of(F.lit(40))).first())), (80, 20))]
+    fence = quality.fences(spark.createDataFrame(rows, "one int, ratio string, bucket int, n long"), ["one"], 20.0).first()
+    assert math.isclose(fence.high_repeats, 800, rel_tol=0.02) and math.isclose(fence.high_symbols, 800, rel_tol=0.02)
+
+
 def test_embeddings_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "TILE", 16)
     rng = np.random.default_rng(4)
