@@ -8,9 +8,9 @@ is fitted on them. As the kernel is linear in a text's n-gram presence, landmark
 Nyström map and regression fold into one matrix (n-gram bucket x language); a batch is
 scored by its product with the batch's presence matrix.
 
-Training uses at most ``per_lang`` texts of each language and ``MAX_LANGS``
-languages (those with the smallest hash of their doc_id; a documented bound on the
-fit). Prediction covers every row.
+Training uses at most ``per_lang`` texts of each language (of the smallest hashes of their
+doc_id, one text an id) and ``MAX_LANGS`` languages (of most such texts, then by name; a
+documented bound on the fit). Prediction covers every row.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; null langs are
 never learned; without any labelled training row every text is ``und``; with one
@@ -111,13 +111,18 @@ def training_sample(docs: DataFrame, held_out: Column, per_lang: int) -> DataFra
     the smallest hashes of their id. The cut is taken within ``SHARES`` hashed shares of
     a language first, so however many tasks send rows, none gathers a hot language's."""
     ok = docs.filter(~held_out & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    ids = ok.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARES)).alias("share"))
+    # An id given to several rows of a language is one text: the one of the smallest hash.
+    ids = (ok.groupBy("lang", "doc_id").agg(F.min(F.xxhash64("text")).alias("h"))
+           .withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARES))))
     for by in (["lang", "share"], ["lang"]):
         order = Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id")
         ids = ids.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_lang).drop("k")
-    ids = ids.select("lang", "doc_id").distinct().limit(per_lang * MAX_LANGS)
+    # The languages of most sampled texts, those of equal numbers by name.
+    langs = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).select("lang")
+    ids = ids.join(F.broadcast(langs), "lang", "left_semi").select("lang", "doc_id", "h")
     # At most per_lang * MAX_LANGS ids: broadcast, so texts are not shuffled.
-    rows = ok.select("lang", "doc_id", F.col("text")).join(F.broadcast(ids), ["lang", "doc_id"], "left_semi")
+    rows = (ok.select("lang", "doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(ids), ["lang", "doc_id", "h"], "left_semi")
+            .groupBy("lang", "doc_id").agg(F.min("text").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,7 +137,7 @@ def training_sample(docs: DataFrame, held_out: Column, per_lang: int) -> DataFra
 def train(docs: DataFrame, held_out: Column, per_lang: int = 300, landmarks: int = 256, ridge: float = 0.1) -> Model:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     # Bounded: per_lang texts of at most MAX_LANGS languages, as n-gram buckets.
-    rows = training_sample(src, held_out, per_lang).limit(per_lang * MAX_LANGS).collect()
+    rows = training_sample(src, held_out, per_lang).collect()
     rows.sort(key=lambda r: (r.doc_id, r.lang))
     if not rows:
         return Model([], np.zeros((len(NGRAMS) * BUCKETS, 0), np.float32))
