@@ -4,6 +4,7 @@ stream jobs against their batch twins."""
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -23,7 +24,7 @@ def duck(sf_dir):
 
 
 def _canon(v):
-    if v is None:
+    if v is None or v is pd.NA:
         return None
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 6)
@@ -37,7 +38,7 @@ def _canon(v):
 def _rows(pdf):
     cols = sorted(pdf.columns)
     rows = [tuple(_canon(x) for x in r) for r in pdf[cols].itertuples(index=False, name=None)]
-    return cols, sorted(rows, key=lambda r: tuple((x is None, str(x)) for x in r))
+    return cols, sorted(rows, key=lambda r: tuple((x is None, str(float(x)) if isinstance(x, int) else str(x)) for x in r))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
