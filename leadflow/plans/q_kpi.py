@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from leadflow.functions.metrics import RATIOS, RAW_METRICS, Ratio, with_ratio
+from leadflow.operators import cube as C
+from leadflow.operators import dashboard as D
 from leadflow.operators import kpi as K
 from leadflow.plans import duck
 from leadflow.plans.fixtures import fixture
 from leadflow.plans.common import DATE_COL, END, START, leads_with_origin, sql_leads_origin_with
 from leadflow.plans.registry import register
 from leadflow.schemas import BOOKED_STAGES, PROPOSAL_STAGES, TAKEN_STAGES
+from leadflow.session import scratch_path
 
 # Fixed values, in SQL form: the ratios of a report (name, numerator, denominator, kind).
 _DERIVED_SQL = [
@@ -160,3 +165,40 @@ def utm_contents(spark, sf_dir):
 def agg_distinct_keys(spark, sf_dir):
     from leadflow.plans.fixtures import fixture
     return K.distinct_keys(fixture(spark, sf_dir, "leads"), "owner")
+
+
+# --- all reports at once ---------------------------------------------------------
+
+def sql_dashboard() -> str:
+    """The six report texts side by side, with null for the metrics a report lacks."""
+    columns, parts = [], []
+    for report in _SPECS:
+        columns += [c for c in sql_raw_kpis(report)[1][1:] if c not in columns and c != "close"]
+    columns += [n for n, *_ in _DERIVED_SQL]
+    for report, (key, *_) in _SPECS.items():
+        own = sql_raw_kpis(report)[1] + [n for n, *_ in _DERIVED_SQL]
+        shown = ", ".join(c if c in own else f"NULL AS {c}" for c in columns)
+        parts.append(f"SELECT '{report}' AS report, {key} AS key, {shown} FROM ({sql_report(report)}) {report}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("kpi_dashboard", sql_dashboard())
+def kpi_dashboard(spark, sf_dir):
+    return D.dashboard(leads_with_origin(spark, sf_dir), START, END, DATE_COL)
+
+
+# A later report window than the one above, half a month off its edges.
+LATER_START, LATER_END = "1996-02-14", "2000-11-15"
+
+
+def sql_later() -> str:
+    return sql_dashboard().replace(START, LATER_START).replace(END, LATER_END)
+
+
+@register("kpi_dashboard_range", sql_later())
+def kpi_dashboard_range(spark, sf_dir):
+    """All reports from a cube stored in two refreshes, of the leads with odd and even numbers."""
+    root, leads = scratch_path(spark, "lead-cube"), leads_with_origin(spark, sf_dir)
+    for n in (0, 1):
+        C.add_run(leads.filter(F.col("seq") % 2 == n), root, f"refresh-{n}", dt.datetime(2024, 1, 1 + n), DATE_COL)
+    return C.cube_dashboard(spark, root, LATER_START, LATER_END)
