@@ -60,3 +60,9 @@ def weekday_of(c: str) -> str:
 
 def uri_tail(c: str) -> str:
     return f"string_split({c}, '/')[-1]"
+
+
+def nearest_double(decimal: str) -> str:
+    """The double nearest to a decimal. DuckDB's direct cast (and that of a double to a decimal)
+    can miss it by one place, as it scales in doubles; its reading of text does not."""
+    return f"CAST(CAST({decimal} AS VARCHAR) AS DOUBLE)"

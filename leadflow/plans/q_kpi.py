@@ -67,8 +67,8 @@ def sql_raw_kpis(report: str, src: str = "leads_origin") -> tuple[str, list[str]
         cols.append((duck.count_if(c), name))
     cols += [
         (duck.count_if("stage = 'won' AND in_s"), "close"),
-        ("CAST(sum(CASE WHEN stage = 'won' AND in_f THEN CAST(amt AS DECIMAL(28, 9)) ELSE 0 END) AS DOUBLE)", "closed_revenue"),
-        ("CAST(sum(CASE WHEN stage = 'proposal' AND in_f THEN CAST(amt AS DECIMAL(28, 9)) ELSE 0 END) AS DOUBLE)", "pipeline_revenue"),
+        (duck.nearest_double("sum(CASE WHEN stage = 'won' AND in_f THEN CAST(amt AS DECIMAL(28, 9)) ELSE 0 END)"), "closed_revenue"),
+        (duck.nearest_double("sum(CASE WHEN stage = 'proposal' AND in_f THEN CAST(amt AS DECIMAL(28, 9)) ELSE 0 END)"), "pipeline_revenue"),
     ]
     having = f" HAVING count_if({gflt}) > 0" if filtered else ""
     body = (f"SELECT {key}, " + ", ".join(f"{e} AS {n}" for e, n in cols) +
@@ -106,7 +106,7 @@ def sql_report(report: str, total: bool = True, extra_metrics=()) -> str:
     tcols = []
     for c in out_cols[1:]:
         if c in RAW_METRICS:
-            tcols.append(f"CAST(coalesce(sum(CAST({c} AS DECIMAL(28, 9))), 0) AS DOUBLE) AS {c}" if "revenue" in c
+            tcols.append(f"{duck.nearest_double(f'coalesce(sum(CAST(CAST({c} AS VARCHAR) AS DECIMAL(28, 9))), 0)')} AS {c}" if "revenue" in c
                          else f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}")
         else:
             tcols.append(f"round(avg({c}), 9) AS {c}")
