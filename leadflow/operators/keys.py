@@ -56,12 +56,16 @@ def classify_requests(requests: DataFrame, registry: DataFrame, key_col: str = "
     r = requests.withColumn("_h", key_hash(key_col))
     j = r.join(reg, r["_h"] == reg["key_hash"], "left").drop("_h")
     at = F.lit(now).cast("timestamp") if now is not None else F.col(ts_col).cast("timestamp")
+    return j.withColumn("status", request_status(at))
+
+
+def request_status(at: Column) -> Column:
+    """Rules 1-3 over the columns of a joined registry row, expiry judged ``at`` a time."""
     expired = F.coalesce(at > F.col("expires_at").cast("timestamp"), F.lit(False))
-    status = (F.when(F.col("key_hash").isNull(), F.lit(STATUS_INVALID))
-               .when(~F.coalesce(F.col("is_active"), F.lit(False)), F.lit(STATUS_REVOKED))
-               .when(expired, F.lit(STATUS_EXPIRED))
-               .otherwise(F.lit(STATUS_PENDING)))
-    return j.withColumn("status", status)
+    return (F.when(F.col("key_hash").isNull(), F.lit(STATUS_INVALID))
+             .when(~F.coalesce(F.col("is_active"), F.lit(False)), F.lit(STATUS_REVOKED))
+             .when(expired, F.lit(STATUS_EXPIRED))
+             .otherwise(F.lit(STATUS_PENDING)))
 
 
 def apply_rate_limit(classified: DataFrame, clock: Column, rid: str = "request_id") -> DataFrame:

@@ -72,6 +72,16 @@ SELECT 'key-' || CAST(c_custkey AS STRING) AS plain_key, c_name AS name, CASE c_
  c_acctbal >= 0 AS is_active, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(CAST('2024-01-10' AS DATE) + CAST(c_custkey % 60 AS INT) AS TIMESTAMP) END AS expires_at,
  1 + c_custkey % 3 AS rate_limit
 FROM {customer} WHERE c_custkey % 15 <> 7""",
+    # Limit changes and revocations in the middle of the request log; a limit of 0 changes nothing.
+    "key_changes": "\nUNION ALL ".join(
+        f"SELECT 'key-' || CAST(c_custkey AS STRING) AS plain_key, {seq} AS seq, '{action}' AS action, CAST('{at}' AS TIMESTAMP) AS changed_at, "
+        f"{limit} AS rate_limit FROM {{customer}} WHERE {where}"
+        for seq, action, at, limit, where in (
+            (1, "update", "2024-01-09 12:00:00", "1 + (c_custkey + 1) % 4", "c_custkey % 3 = 0"),
+            (1, "update", "2024-01-17 06:30:00", "0", "c_custkey % 6 = 0"),
+            (1, "update", "2024-01-20 00:00:00", "5", "c_custkey % 5 = 0"),
+            (2, "update", "2024-01-20 00:00:00", "2", "c_custkey % 10 = 0"),
+            (1, "revoke", "2024-01-24 18:00:00", "CAST(NULL AS INT)", "c_custkey % 7 = 1"))),
 }
 
 # Spark text of a fixture where it differs from the shared one: the two
@@ -90,6 +100,7 @@ FIXTURE_TABLES = {
     "qa": ("conversations",),
     "request_log": ("events",),
     "api_keys": ("customer",),
+    "key_changes": ("customer",),
 }
 
 # Event-type uri -> origin label for the fixture bookings.

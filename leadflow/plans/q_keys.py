@@ -7,6 +7,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from leadflow.operators import key_versions as KV
 from leadflow.operators import keys as K
 from leadflow.operators import ratelimit as RL
 from leadflow.plans.common import sql_with
@@ -49,7 +50,8 @@ SQL_BUCKET = (
     f"seq AS (SELECT request_id, key_hash, rate_limit, CAST(epoch_us(ts) AS BIGINT) // {CLOCK_DIVISOR} AS clock_us, "
     "row_number() OVER (PARTITION BY key_hash ORDER BY CAST(epoch_us(ts) AS BIGINT) // "
     f"{CLOCK_DIVISOR}, request_id) AS rn FROM classified WHERE status = 'pending'), "
-    "walk AS (SELECT key_hash, rn, request_id, clock_us, rate_limit, CAST(rate_limit AS DOUBLE) - 1.0 AS tokens, true AS allowed "
+    "walk AS (SELECT key_hash, rn, request_id, clock_us, rate_limit, CAST(rate_limit AS DOUBLE) - CASE WHEN rate_limit >= 1 THEN 1.0 ELSE 0.0 END AS tokens, "
+    "rate_limit >= 1 AS allowed "
     "FROM seq WHERE rn = 1 UNION ALL "
     f"SELECT s.key_hash, s.rn, s.request_id, s.clock_us, s.rate_limit, CASE WHEN {_REFILL} >= 1.0 THEN {_REFILL} - 1.0 ELSE {_REFILL} END, "
     f"{_REFILL} >= 1.0 FROM walk w JOIN seq s ON s.key_hash = w.key_hash AND s.rn = w.rn + 1), "
@@ -236,50 +238,92 @@ def stream_classify(spark, sf_dir):
 
 @register("stream_audit", _with(SQL_BUCKET) + _AUDIT_SQL)
 def stream_audit(spark, sf_dir):
-    """Audit rows of every request, from the stream running all four rules
-    (rules 1-3 stateless, the bucket stateful), over a log arriving in time
-    order."""
-    path, schema = _landed_requests_in_time_order(spark, sf_dir)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out = ST.audit_stream(ST.validate_stream(stream, registry(spark, sf_dir), clock()))
-    sink, ck = scratch_path(spark, "audit-sink"), scratch_path(spark, "audit-ck")
-    ST.run_available_now(out, sink, ck, state_partitions=STREAM_PARTITIONS)
-    return spark.read.parquet(sink)
+    """Audit rows of every request, from the stream running all four rules (rules 1-3
+    stateless, the bucket stateful and by event time), over a log arriving out of order."""
+    out = ST.audit_stream(ST.validate_stream(_arriving(spark, sf_dir), registry(spark, sf_dir), clock(), in_order=True))
+    return _stream_result(out, "audit")
+
 
+# Requests arrive up to JITTER_US late, in files of SLICE_US each; both together stay within the watermark.
+JITTER_US, ARRIVAL_SLICE_US, WATERMARK = 240_000_000, 240_000_000, "10 minutes"
 
-def _landed_requests_in_time_order(spark, sf_dir, n_files: int = 4):
-    """Request log landed as ``n_files`` successive files, each holding a
-    later time range (as an arriving log would be), so a stream reading one
-    file per trigger sees the requests in time order."""
-    return landed_once(spark, sf_dir, f"request-log-ordered-{n_files}",
-                       lambda: _land_requests_in_time_order_now(spark, sf_dir, n_files))
 
+def _arriving(spark, sf_dir):
+    """The request log as a stream whose files hold it out of order, a heartbeat at the end."""
+    path, schema = landed_once(spark, sf_dir, "request-log-arriving", lambda: _land_arriving_now(spark, sf_dir))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
-def _land_requests_in_time_order_now(spark, sf_dir, n_files):
-    import time as _time
+
+def _land_arriving_now(spark, sf_dir):
+    """Lands one slice of the arrival clock after the other, each by all tasks that hold rows of
+    it: the files come in the order of arrival, and their number grows with the log."""
     log = fixture(spark, sf_dir, "request_log")
-    lo, hi = log.agg(F.min("ts"), F.max("ts")).first()
-    step = (hi - lo) / n_files
-    path = scratch_path(spark, "request-log-ordered")
-    for i in range(n_files):
-        a = lo + step * i
-        part = log.filter(F.col("ts") >= F.lit(a))
-        if i < n_files - 1:
-            part = part.filter(F.col("ts") < F.lit(a + step))
-        part.coalesce(1).write.mode("append").parquet(path)
-        _time.sleep(1.1)            # distinct modification times keep the file order
+    arrival = clock() + F.pmod(F.xxhash64("request_id"), F.lit(JITTER_US))
+    log = log.withColumn("_slice", F.floor(arrival / F.lit(ARRIVAL_SLICE_US)))
+    path = scratch_path(spark, "request-log-arriving")
+    first, last = log.agg(F.min("_slice"), F.max("_slice")).first()
+    for i in range(*((first, last + 1) if first is not None else (0, 0))):
+        log.filter(F.col("_slice") == i).drop("_slice").write.mode("append").parquet(path)
+    ST.heartbeat(log.drop("_slice")).write.mode("append").parquet(path)
     return path, spark.read.parquet(path).schema
 
 
+def _stream_result(out, name):
+    spark = out.sparkSession
+    sink, ck = scratch_path(spark, f"{name}-sink"), scratch_path(spark, f"{name}-ck")
+    ST.run_available_now(out, sink, ck, state_partitions=STREAM_PARTITIONS)
+    return spark.read.schema(out.schema).parquet(sink)
+
+
 @register("stream_rate_limit", _with(SQL_BUCKET) +
           "SELECT request_id, allowed FROM checked WHERE status = 'pending'")
 def stream_rate_limit(spark, sf_dir):
-    """Stream bucket decisions over several micro-batches (one landed file
-    per trigger); tests check they equal ``batch_rate_limit``."""
-    path, schema = _landed_requests_in_time_order(spark, sf_dir)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    cl = ST.classify_stream(stream, registry(spark, sf_dir)).filter(F.col("status") == K.STATUS_PENDING)
-    out = ST.rate_limit_stream(ST.with_clock(cl, clock()))
-    sink, ck = scratch_path(spark, "bucket-sink"), scratch_path(spark, "bucket-ck")
-    ST.run_available_now(out, sink, ck, state_partitions=STREAM_PARTITIONS)
-    return spark.read.parquet(sink).select("request_id", "allowed")
+    """Stream bucket decisions by event time over several micro-batches of a log that arrives out of
+    order; tests check they equal ``batch_rate_limit``."""
+    stream = ST.with_event_time(_arriving(spark, sf_dir), clock(), WATERMARK)
+    return _stream_result(ST.rate_limit_in_order(ST.classify_stream(stream, registry(spark, sf_dir))), "bucket").select("request_id", "allowed")
+
+
+# --- keys that change in mid log -------------------------------------------------
+
+def _changing_keys(spark, sf_dir):
+    """Registry with some limits of 0, and its changes."""
+    n = F.substring("plain_key", 5, 100).cast("int")
+    keys = fixture(spark, sf_dir, "api_keys").withColumn("rate_limit", F.when(n % 11 == 0, 0).otherwise(F.col("rate_limit")))
+    changes = fixture(spark, sf_dir, "key_changes").withColumn("key_id", K.key_id(K.key_hash("plain_key"))).drop("plain_key")
+    return K.key_registry(keys), changes
+
+
+SQL_CHANGING = (
+    SQL_REGISTRY.replace("rate_limit,", "CASE WHEN CAST(substr(plain_key, 5) AS INT) % 11 = 0 THEN 0 ELSE rate_limit END AS rate_limit,"),
+    "changes AS (SELECT substr(sha256(plain_key), 1, 8) AS key_id, seq, action, changed_at, rate_limit FROM key_changes)",
+    "judged AS (SELECT r.request_id, r.ts, g.key_hash, g.key_id, g.expires_at, "
+    "coalesce((SELECT c.rate_limit FROM changes c WHERE c.key_id = g.key_id AND c.action = 'update' AND c.rate_limit <> 0 "
+    "AND c.changed_at <= CAST(r.ts AS TIMESTAMP) ORDER BY c.changed_at DESC, c.seq DESC LIMIT 1), g.rate_limit) AS rate_limit, "
+    "coalesce(g.is_active, false) AND NOT EXISTS (SELECT 1 FROM changes c WHERE c.key_id = g.key_id AND c.action = 'revoke' "
+    "AND c.changed_at <= CAST(r.ts AS TIMESTAMP)) AS is_active "
+    "FROM request_log r LEFT JOIN registry g ON sha256(r.presented_key) = g.key_hash)",
+    "classified AS (SELECT *, CASE WHEN key_hash IS NULL THEN 'invalid' WHEN NOT is_active THEN 'revoked' "
+    "WHEN coalesce(CAST(ts AS TIMESTAMP) > expires_at, false) THEN 'expired' ELSE 'pending' END AS status FROM judged)",
+    SQL_BUCKET)
+
+
+def _changing_sql(body: str) -> str:
+    return sql_with(("request_log", "api_keys", "key_changes"), *SQL_CHANGING).replace("WITH ", "WITH RECURSIVE ", 1) + body
+
+
+@register("batch_key_changes", _changing_sql(
+    "SELECT request_id, key_id, final_status AS status, CAST(CASE WHEN key_hash IS NULL THEN -1 ELSE rate_limit END AS BIGINT) AS rate_limit FROM checked"))
+def batch_key_changes(spark, sf_dir):
+    """Every request judged by its key as it was then: revocations, limits changed in mid log, limits of 0."""
+    reg, changes = _changing_keys(spark, sf_dir)
+    cl = KV.classify_as_of(fixture(spark, sf_dir, "request_log"), reg, changes)
+    return K.apply_rate_limit(cl, clock()).select("request_id", "key_id", "status", F.coalesce("rate_limit", F.lit(-1).cast("long")).alias("rate_limit"))
+
+
+@register("stream_key_changes", _changing_sql("SELECT request_id, key_id, final_status AS status FROM checked"))
+def stream_key_changes(spark, sf_dir):
+    """The same decisions from the stream, over a log arriving out of order."""
+    reg, changes = _changing_keys(spark, sf_dir)
+    out = ST.validate_stream(_arriving(spark, sf_dir), reg, clock(), changes=changes, in_order=True)
+    return _stream_result(out.select("request_id", "key_id", "status"), "key-changes")
