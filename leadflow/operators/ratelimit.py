@@ -43,16 +43,18 @@ def bucket_step(tokens: float, last: int, t: int, limit: int) -> tuple[float, bo
 
 
 def fold_sorted(keys: np.ndarray, sessions: np.ndarray, clocks: np.ndarray,
-                limits: np.ndarray, state: dict) -> tuple[np.ndarray, np.ndarray]:
+                limits: np.ndarray, state: dict, opened: dict[int, tuple[float, int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Fold rows sorted by (key, session, clock, id). ``state`` carries the
-    open bucket ``(key, session, tokens, last)`` across calls.
+    open bucket ``(key, session, tokens, last)`` across calls; ``opened`` gives the bucket
+    (tokens, last) before the first row of a run that does not start full, by its index.
 
     Vectorized fast path: a run (key, session) starts full, so its first
     request leaves ``L - 1`` tokens; while every following request comes
     after a pause that refills at least one token, the bucket is back at
     ``L`` before each of them (bit for bit: ``min(L, L - 1 + r) == L`` for
-    ``r >= 1``), so they are all allowed with ``L - 1`` left. Only the rows
-    after a run's first short pause go through the sequential loop.
+    ``r >= 1``), so they are all allowed with ``L - 1`` left. The rows
+    after a run's first short pause go through the sequential loop, which leaps to the next
+    short pause whenever it finds the bucket full.
     """
     n = len(clocks)
     allowed = np.ones(n, dtype=bool)
@@ -80,14 +82,31 @@ def fold_sorted(keys: np.ndarray, sessions: np.ndarray, clocks: np.ndarray,
     slow = (short_before - run_start_count[base]) > 0
     if continues:
         slow |= run_id == run_id[0]          # first run continues a bucket from the last batch
-    tokens, last = state.get("tokens", 0.0), state.get("last", 0)
-    for i in np.flatnonzero(slow):
+    opened = dict(opened or {})
+    if continues and 0 not in opened:
+        opened[0] = (state.get("tokens", 0.0), state.get("last", 0))
+    for i in opened:
+        slow |= run_id == run_id[i]
+    hard = np.flatnonzero(short | ~same_as_prev)
+    todo = np.flatnonzero(slow)              # from a run's first slow row to its end
+    p = 0
+    while p < len(todo):
+        i = int(todo[p])
         t, lim = int(clocks[i]), int(limits[i])
-        if i == 0 or not same_as_prev[i]:
-            prev_tokens, prev_last = (tokens, last) if (i == 0 and continues) else (float(lim), t)
+        if i in opened:
+            prev_tokens, prev_last = opened[i]
+        elif i == 0 or not same_as_prev[i]:
+            prev_tokens, prev_last = float(lim), t
         else:
             prev_tokens, prev_last = after[i - 1], int(clocks[i - 1])
         after[i], allowed[i] = bucket_step(prev_tokens, prev_last, t, lim)
+        p += 1
+        if lim >= 1 and after[i] == lim - 1.0:
+            # It was full: so it is before each row up to the next short pause.
+            k = int(np.searchsorted(hard, i + 1))
+            leap = (int(hard[k]) if k < len(hard) else n) - (i + 1)
+            after[i + 1:i + 1 + leap] = after[i]
+            p += leap
     state.update(key=keys[-1], session=sessions[-1], tokens=float(after[-1]), last=int(clocks[-1]))
     return allowed, after
 

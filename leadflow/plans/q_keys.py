@@ -7,6 +7,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from leadflow.operators import blockfold as BF
 from leadflow.operators import key_versions as KV
 from leadflow.operators import keys as K
 from leadflow.operators import ratelimit as RL
@@ -327,3 +328,23 @@ def stream_key_changes(spark, sf_dir):
     reg, changes = _changing_keys(spark, sf_dir)
     out = ST.validate_stream(_arriving(spark, sf_dir), reg, clock(), changes=changes, in_order=True)
     return _stream_result(out.select("request_id", "key_id", "status"), "key-changes")
+
+
+# --- keys that never pause -------------------------------------------------------
+
+# Two thirds of all requests go to two keys without a 61 s pause: one far over its limit, one mostly under it.
+SQL_ENDLESS = ("endless AS (SELECT request_id, ts, CASE CAST(substr(presented_key, 5) AS INT) % 3 WHEN 0 THEN 'over' WHEN 1 THEN 'under' "
+               "ELSE presented_key END AS key_hash, CASE CAST(substr(presented_key, 5) AS INT) % 3 WHEN 0 THEN 6 WHEN 1 THEN 400 "
+               "ELSE 1 + CAST(substr(presented_key, 5) AS INT) % 5 END AS rate_limit FROM request_log), "
+               "classified AS (SELECT *, 'pending' AS status FROM endless)")
+
+
+@register("batch_endless_keys", sql_with(("request_log",), SQL_ENDLESS, SQL_BUCKET).replace("WITH ", "WITH RECURSIVE ", 1) +
+          "SELECT request_id, allowed, round(tokens_after, 6) AS tokens_after FROM checked")
+def batch_endless_keys(spark, sf_dir):
+    n = F.substring("presented_key", 5, 100).cast("int")
+    log = fixture(spark, sf_dir, "request_log").select(
+        "request_id", clock().alias("clock_us"), F.when(n % 3 == 0, "over").when(n % 3 == 1, "under").otherwise(F.col("presented_key")).alias("key_hash"),
+        F.when(n % 3 == 0, 6).when(n % 3 == 1, 400).otherwise(1 + n % 5).alias("rate_limit"))
+    out = BF.rate_limit_blocks(log, slice_us=45_000_000)
+    return out.select("request_id", "allowed", F.round("tokens_after", 6).alias("tokens_after"))
