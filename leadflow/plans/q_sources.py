@@ -24,7 +24,9 @@ from leadflow.plans.registry import register
 from leadflow.schemas import (EVENT_TYPE_ROW, INVITEE_ROW, LEAD_COLUMN_BY_ID, MEMBERSHIP_ROW,
                               SCHEDULED_EVENT_ROW, STAGE_BY_GROUP)
 from leadflow.session import scratch_path
+from leadflow.sinks import session as SS
 from leadflow.sinks import writers as W
+from leadflow.sources import document as DOC
 from leadflow.sources import pages as S
 from leadflow.sources import snapshots as SN
 
@@ -482,3 +484,29 @@ def flow_full_refresh(spark, sf_dir):
     out = R.refresh(spark, board, _land_events(spark, sf_dir), _land_invitees(spark, sf_dir),
                     FIXTURE_TYPE_ORIGINS, out_root=scratch_path(spark, "refresh"), run_ts=RUN_TS)
     return out.select("item_id", "stage", "owner", "email", "deal_value", "origin")
+
+
+# --- published sessions and the one-document form ---------------------------------
+
+SESSION_COLS = ["item_id", "stage", "owner", "email", "deal_value"]
+
+
+@register("sink_session", sql_with(("leads",)) +
+          "SELECT 'combined' AS dataset, item_id, stage, owner, email, nullif(deal_value, '') AS deal_value FROM leads "
+          "UNION ALL SELECT 'stages', item_id, stage, owner, email, nullif(deal_value, '') FROM leads")
+def sink_session(spark, sf_dir):
+    """Two refreshes published one after the other; readers get the newer one, whole."""
+    root, leads = scratch_path(spark, "published"), fixture(spark, sf_dir, "leads").select(*SESSION_COLS)
+    SS.publish_session(leads.filter("stage = 'won'"), root, RUN_TS)
+    SS.publish_session(leads, root, RUN_TS + dt.timedelta(hours=4))
+    ddl = ", ".join(f"{c} string" for c in SESSION_COLS)
+    return (SS.read_session_csv(spark, root, "combined", ddl).select(F.lit("combined").alias("dataset"), *SESSION_COLS)
+            .unionByName(SS.read_session_csv(spark, root, "stages", ddl).select(F.lit("stages").alias("dataset"), *SESSION_COLS)))
+
+
+@register("src_grouped_document", sql_with(("leads",)) + "SELECT stage, item_id, seq, owner, deal_value FROM leads")
+def src_grouped_document(spark, sf_dir):
+    """All leads as one ``{stage: [records]}`` document, written in ordered parts and read back by splits."""
+    leads = fixture(spark, sf_dir, "leads").select("stage", "item_id", F.col("seq").cast("long").alias("seq"), "owner", "deal_value")
+    path = SS.write_document(leads, scratch_path(spark, "document"), ["seq"])
+    return DOC.read_document(spark, path, leads.drop("stage").schema)

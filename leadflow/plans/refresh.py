@@ -19,7 +19,7 @@ from leadflow.operators import joins as J
 from leadflow.operators import transform as T
 from leadflow.schemas import INVITEE_ROW, LEAD_COLUMN_BY_ID, SCHEDULED_EVENT_ROW, STAGE_BY_GROUP
 from leadflow.session import ensure_checkpoint_dir
-from leadflow.sinks import writers as W
+from leadflow.sinks.session import publish_session
 from leadflow.sources import pages as S
 
 
@@ -50,8 +50,8 @@ def build_bookings(spark: SparkSession, events_path: str, invitees_path: str,
 def refresh(spark: SparkSession, board_path: str, events_path: str, invitees_path: str,
             type_origins: dict, out_root: str | None = None, run_ts: _dt.datetime | None = None,
             require_both: bool = True) -> DataFrame:
-    """Leads tagged with their origin; with ``out_root``, also the combined
-    CSV, per-stage CSVs and stage-grouped JSON of this run.
+    """Leads tagged with their origin; with ``out_root``, also published there as a session:
+    combined CSV, per-stage CSVs, stage-grouped JSON and document, all or none.
 
     ``require_both``: like the source system, refuse to run when either side
     is empty (raises ``ValueError`` instead of exiting the process).
@@ -66,7 +66,5 @@ def refresh(spark: SparkSession, board_path: str, events_path: str, invitees_pat
     ensure_checkpoint_dir(spark)
     tagged = tagged.checkpoint()
     ts = run_ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    W.write_combined_csv(tagged, out_root, ts)
-    W.write_stage_csvs(tagged, out_root, ts)
-    W.write_grouped_json(tagged, out_root, ts)
+    publish_session(tagged, out_root, ts)
     return tagged

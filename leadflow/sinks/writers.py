@@ -19,8 +19,6 @@ from leadflow.session import literal_table
 RUN_FORMAT = "%Y%m%d_%H%M%S"
 #: Texts of timestamps keep their microseconds (Spark writes milliseconds by default).
 TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-#: Writers (and files) per stage of the per-stage CSVs.
-STAGE_WRITERS = 64
 
 
 def run_stamp(ts: _dt.datetime) -> str:
@@ -46,11 +44,12 @@ def write_combined_csv(leads: DataFrame, root: str, ts: _dt.datetime) -> str:
 
 
 def write_stage_csvs(leads: DataFrame, root: str, ts: _dt.datetime) -> str:
-    """Per-stage CSVs of the current session; the previous session is replaced."""
+    """Per-stage CSVs of the current session; the previous session is replaced in place
+    (:func:`leadflow.sinks.session.publish_session` keeps it readable until the new one is whole).
+
+    Rows are dealt by stage; adaptive execution splits a large stage and merges small ones by size."""
     path = f"{root.rstrip('/')}/session"
-    # A task writes a file per stage it holds: rows are dealt by stage and a salt first.
-    salt = F.pmod(F.spark_partition_id(), F.lit(STAGE_WRITERS))
-    (_nested_to_json(leads).withColumn("run", F.lit(run_stamp(ts))).repartition("stage", salt)
+    (_nested_to_json(leads).withColumn("run", F.lit(run_stamp(ts))).hint("rebalance", F.col("stage"))
         .write.mode("overwrite").options(**TIMES).option("header", True).partitionBy("stage", "run").csv(path))
     return path
 
@@ -63,7 +62,8 @@ def write_grouped_json(leads: DataFrame, root: str, ts: _dt.datetime) -> str:
     :func:`leadflow.sources.snapshots.read_grouped_json`.)
     """
     path = f"{root.rstrip('/')}/grouped/run={run_stamp(ts)}"
-    leads.write.mode("overwrite").options(**TIMES).option("ignoreNullFields", False).partitionBy("stage").json(path)
+    (leads.hint("rebalance", F.col("stage"))
+        .write.mode("overwrite").options(**TIMES).option("ignoreNullFields", False).partitionBy("stage").json(path))
     return path
 
 
