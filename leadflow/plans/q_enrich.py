@@ -6,7 +6,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from leadflow.functions.columns import to_number
 from leadflow.operators import analytics as A
+from leadflow.operators import bounded as B
 from leadflow.operators import joins as J
 from leadflow.operators import transform as T
 from leadflow.plans import duck
@@ -15,6 +17,7 @@ from leadflow.plans.common import (SQL_ENRICHED, SQL_FIRST_INVITEE, SQL_ORIGIN_C
                                    leads_with_origin, sql_leads_origin_with, sql_with, typed_bookings)
 from leadflow.plans.fixtures import FIXTURE_TYPE_ORIGINS, fixture
 from leadflow.plans.registry import register
+from leadflow.session import literal_table
 
 LEAD_COLS = ["item_id", "stage", "owner", "email", "origin"]
 
@@ -181,6 +184,23 @@ def topk_events(spark, sf_dir):
     return A.value_counts(inv, "event_name", 20)
 
 
+@register("topk_lead_emails", sql_with(("leads",)) +
+          "SELECT email AS value, CAST(count(*) AS BIGINT) AS count FROM leads WHERE email IS NOT NULL GROUP BY email ORDER BY count DESC, value ASC LIMIT 25")
+def topk_lead_emails(spark, sf_dir):
+    """The busiest e-mails, without shuffling every e-mail."""
+    return B.top_values(fixture(spark, sf_dir, "leads"), "email", 25)
+
+
+@register("agg_deal_quantiles", sql_with(("leads",)) +
+          f"SELECT round(quantile_cont(v, 0.25), 6) AS lower_quarter, round(median(v), 6) AS median, round(quantile_cont(v, 0.9), 6) AS upper_tenth "
+          f"FROM (SELECT {duck.to_number('deal_value')} AS v FROM leads WHERE stage = 'won') t")
+def agg_deal_quantiles(spark, sf_dir):
+    """Exact quantiles of won deal values by selection, no buffer of all values."""
+    won = fixture(spark, sf_dir, "leads").filter("stage = 'won'").select(to_number("deal_value").alias("v"))
+    q = B.exact_quantiles(won, "v", [0.25, 0.5, 0.9])
+    return literal_table(spark, [tuple(None if v is None else round(v, 6) for v in q)], "lower_quarter double, median double, upper_tenth double")
+
+
 @register("limit_items", sql_with(("leads",)) +
           "SELECT item_id, item_name FROM leads ORDER BY seq LIMIT 10")
 def limit_items(spark, sf_dir):
