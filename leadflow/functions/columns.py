@@ -58,20 +58,31 @@ def _memo_on_names(fn):
     return wrapper
 
 
+# Two-digit years, at the end of the day texts above.
+_SHORT_YEAR_RE = rf"(?i)^(\d{{1,2}}([-/.])\d{{1,2}}\2|{_MONTH} +\d{{1,2}}(?:st|nd|rd|th)?,? +|\d{{1,2}}(?:st|nd|rd|th)?[ -]{_MONTH},?[ -])(\d{{2}})$"
+
+
 @_memo_on_names
-def coerce_date(c: ColumnOrName) -> Column:
+def coerce_date(c: ColumnOrName, pivot_year: int | None = None) -> Column:
     """Mixed-format text -> ``DateType``; unparsable text -> null.
 
     Accepted: year first (``2024-01-05``, ``2024/1/5``, ``20240105``), year last
     with ``-``, ``/`` or ``.`` (month first; day first where the first number is over
     12) and month names (``Jan 5, 2024``, ``5-Jan-2024``), each with an optional
     weekday before and time and offset after it (the *written* wall date is kept,
-    never shifted). Impossible calendar dates and two-digit years give null.
+    never shifted). Impossible calendar dates give null.
     Date and timestamp inputs are converted directly.
+
+    A two-digit year gives null, as its century depends on the reader's time, unless
+    ``pivot_year`` names the last year it may mean: with 2030, ``30`` is 2030 and ``31`` is 1931.
     """
     t = F.trim(_col(c).cast("string"))
     day = t
-    for pattern, to in DATE_FORMS:
+    for i, (pattern, to) in enumerate(DATE_FORMS):
+        if i == 2 and pivot_year is not None:       # time and weekday are off
+            short = F.regexp_extract(day, _SHORT_YEAR_RE, 5)
+            year = F.lit(pivot_year) - F.pmod(F.lit(pivot_year) - short.try_cast("int"), F.lit(100))
+            day = F.when(short == "", day).otherwise(F.concat(F.regexp_extract(day, _SHORT_YEAR_RE, 1), year.cast("string")))
         day = F.regexp_replace(day, pattern, to)
     day = F.regexp_extract(day, _YMD_RE, 0)
     return (F.when(t.rlike(ISO_DATE_RE), F.substring(t, 1, 10).try_cast("date"))

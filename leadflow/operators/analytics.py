@@ -160,11 +160,12 @@ def question_total(qa_long: DataFrame) -> DataFrame:
 
 def question_answers(qa_long: DataFrame) -> DataFrame:
     """Answer distribution of each question, taken at its lowest position."""
-    first = _first_positions(qa_long).select(
-        "question", F.col("first_position").alias("position"))
-    rows = qa_long.join(first, ["question", "position"], "left_semi")
-    return (rows.filter(F.col("answer").isNotNull())
-                .groupBy("question", "answer").agg(F.count(F.lit(1)).alias("count")))
+    q = qa_long.filter(F.col("question").isNotNull() & (F.col("question") != ""))
+    # The rows are aggregated first; the lowest position is looked for among their groups.
+    per = q.groupBy("question", "position", "answer").agg(F.count(F.lit(1)).alias("count"))
+    first = per.groupBy("question").agg(F.min("position").alias("position"))
+    return (per.filter(F.col("answer").isNotNull()).join(first, ["question", "position"], "left_semi")
+               .select("question", "answer", "count"))
 
 
 # --- A17 .. A22: enrichment and extraction summaries ----------------------

@@ -74,6 +74,16 @@ def annotate_origins_binary(leads: DataFrame, bookings: DataFrame,
 STATUS_ORDER = ("active", "canceled")
 
 
+def newest_per_key(df: DataFrame, keys, order) -> DataFrame:
+    """The row with the largest ``order`` (a column, or several compared in turn; nulls last) of each
+    key, by one aggregate with map-side combine; rows without a key are a key of their own."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    order = [order] if isinstance(order, str) else list(order)
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return best.select(*[F.col(k) if k in keys else F.col("_r")[k].alias(k) for k in df.columns])
+
+
 def first_per_key(df: DataFrame, key: str, order_cols: list) -> DataFrame:
     """Row with the smallest ``order_cols`` per ``key`` (ties: first listed).
 

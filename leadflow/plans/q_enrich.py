@@ -184,6 +184,13 @@ def topk_events(spark, sf_dir):
     return A.value_counts(inv, "event_name", 20)
 
 
+@register("win_newest_per_key", sql_with(("leads",)) +
+          "SELECT email, item_id, stage, deal_value, seq FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY seq DESC) AS rn FROM leads) t WHERE rn = 1")
+def win_newest_per_key(spark, sf_dir):
+    """The newest lead of each e-mail."""
+    return J.newest_per_key(fixture(spark, sf_dir, "leads").select("email", "item_id", "stage", "deal_value", "seq"), "email", "seq")
+
+
 @register("topk_lead_emails", sql_with(("leads",)) +
           "SELECT email AS value, CAST(count(*) AS BIGINT) AS count FROM leads WHERE email IS NOT NULL GROUP BY email ORDER BY count DESC, value ASC LIMIT 25")
 def topk_lead_emails(spark, sf_dir):

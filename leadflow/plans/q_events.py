@@ -251,6 +251,11 @@ def proj_member_export(spark, sf_dir):
     return T.project_subset(fixture(spark, sf_dir, "members"), T.MEMBER_EXPORT_FIELDS)
 
 
+@register("proj_member_summary", sql_with(("members",)) + "SELECT name, email, role, status FROM members")
+def proj_member_summary(spark, sf_dir):
+    return T.project_subset(fixture(spark, sf_dir, "members"), T.MEMBER_SUMMARY_FIELDS)
+
+
 @register("agg_extraction_summary", _TYPES_WITH +
           "SELECT CAST(count_if(source = 'organization') AS BIGINT) AS total_organization_events, "
           "CAST(count_if(source = 'user') AS BIGINT) AS total_user_events, "
@@ -268,6 +273,17 @@ def agg_invitee_counts(spark, sf_dir):
     return agg_invitee_extraction(spark, sf_dir).select("total_events", "total_invitees")
 
 
+@register("agg_invitee_size", sql_with(("bookings", "invitees")) +
+          "SELECT (SELECT CAST(count(*) AS BIGINT) FROM bookings) AS total_events, (SELECT CAST(count(*) AS BIGINT) FROM invitees) AS total_invitees, "
+          "round(((SELECT sum(strlen(CAST(to_json({'uri': uri, 'name': name, 'status': status, 'event_type': event_type}) AS VARCHAR))) FROM bookings) + "
+          "(SELECT sum(strlen(CAST(to_json({'event_uri': event_uri, 'uri': uri, 'status': status, 'name': name, 'timezone': timezone}) AS VARCHAR))) FROM invitees)) "
+          "/ 1048576.0, 2) AS data_size_mb")
+def agg_invitee_size(spark, sf_dir):
+    """Counts and JSON size over the columns that both engines write alike."""
+    return A.invitee_extraction_summary(fixture(spark, sf_dir, "bookings").select("uri", "name", "status", "event_type"),
+                                        fixture(spark, sf_dir, "invitees").select("event_uri", "uri", "status", "name", "timezone"))
+
+
 @register("agg_invitee_extraction")
 def agg_invitee_extraction(spark, sf_dir):
     return A.invitee_extraction_summary(fixture(spark, sf_dir, "bookings"), fixture(spark, sf_dir, "invitees"))

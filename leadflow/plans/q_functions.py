@@ -22,6 +22,22 @@ def fn_coerce_date(spark, sf_dir):
                     LF.coerce_date("sales_call_date").cast("string").alias("s"))
 
 
+# Two-digit years up to this one are of its century.
+PIVOT_YEAR = 2005
+
+
+@register("fn_two_digit_years", sql_with(("leads",)) +
+          "SELECT item_id, CASE WHEN seq % 5 = 4 THEN NULL ELSE CAST(CAST(DATE '1996-01-01' + CAST(seq % 3000 AS INT) AS DATE) AS VARCHAR) END AS d FROM leads")
+def fn_two_digit_years(spark, sf_dir):
+    """Dates written with two-digit years in three forms, with four, and (without a pivot) not read."""
+    day = F.date_add(F.lit("1996-01-01").cast("date"), (F.col("seq") % 3000).cast("int"))
+    form = F.col("seq") % 5
+    text = (F.when(form == 0, F.date_format(day, "M/d/yy")).when(form == 1, F.date_format(day, "d-MMM-yy"))
+            .when(form == 2, F.concat(F.date_format(day, "MMM d, yy"), F.lit(" 09:30"))).otherwise(F.date_format(day, "MM.dd.yyyy")))
+    leads = fixture(spark, sf_dir, "leads").select("item_id", "seq", text.alias("t"), F.date_format(day, "MM/dd/yy").alias("short"))
+    return leads.select("item_id", F.when(form == 4, LF.coerce_date("short")).otherwise(LF.coerce_date("t", PIVOT_YEAR)).cast("string").alias("d"))
+
+
 @register("fn_extract_date", sql_with(("leads",)) +
           "SELECT item_id, NULLIF(regexp_extract(date_created, '\\d{4}-\\d{2}-\\d{2}', 0), '') AS d FROM leads")
 def fn_extract_date(spark, sf_dir):

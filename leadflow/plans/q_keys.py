@@ -223,7 +223,7 @@ def _landed_requests(spark, sf_dir):
 
 def _land_requests_now(spark, sf_dir):
     path = scratch_path(spark, "request-log")
-    fixture(spark, sf_dir, "request_log").repartition(4).write.parquet(path)
+    fixture(spark, sf_dir, "request_log").hint("rebalance").write.parquet(path)
     return path, spark.read.parquet(path).schema
 
 
@@ -348,3 +348,18 @@ def batch_endless_keys(spark, sf_dir):
         F.when(n % 3 == 0, 6).when(n % 3 == 1, 400).otherwise(1 + n % 5).alias("rate_limit"))
     out = BF.rate_limit_blocks(log, slice_us=45_000_000)
     return out.select("request_id", "allowed", F.round("tokens_after", 6).alias("tokens_after"))
+
+
+# The audit log's own bounds, over a log with two rows a request.
+_TWO_AUDITS = "two AS (SELECT * FROM audit UNION ALL SELECT * REPLACE (request_id + 1000000000 AS request_id) FROM audit)"
+
+
+@register("win_audit_retain_bounds", _with(SQL_BUCKET, f"audit AS ({_AUDIT_SQL})", _TWO_AUDITS) +
+          "SELECT timestamp, action, key_id, user, ip_address, success, details, request_id FROM "
+          "(SELECT *, row_number() OVER (ORDER BY timestamp DESC, request_id DESC) AS rn, count(*) OVER () AS n FROM two) t "
+          "WHERE rn <= CASE WHEN n <= 10000 THEN n ELSE 5000 + (n - 10000 - 1) % (10000 - 5000 + 1) END")
+def win_audit_retain_bounds(spark, sf_dir):
+    """The retained tail at the default bounds, of an audit log with two rows a request."""
+    audit = K.audit_rows(checked(spark, sf_dir))
+    ids = F.explode(F.array(F.col("request_id"), F.col("request_id") + 1_000_000_000))
+    return K.retain_tail(audit.withColumn("request_id", ids), rows=2 * fixture(spark, sf_dir, "request_log").count())

@@ -442,21 +442,48 @@ def _two_runs(spark, sf_dir):
 
 
 _RUN2 = "TIMESTAMP '2024-01-31 10:00:00'"
+_ALL_LEADS = "(SELECT CAST(count(*) AS BIGINT) FROM leads)"
 
 
-@register("src_latest_snapshot", f"SELECT 'combined' AS family, 'run=20240131_100000' AS file_name, {_RUN2} AS run_timestamp "
-          "UNION ALL SELECT 'grouped', 'run=20240131_060000', TIMESTAMP '2024-01-31 06:00:00'")
-def src_latest_snapshot(spark, sf_dir):
-    root = _two_runs(spark, sf_dir)
-    return SN.latest_snapshot(spark, f"{root}/*/run=*").select("family", "file_name", "run_timestamp")
+def _run_contents(spark, path, family):
+    """One row: the rows, files and bytes of a run as its reader and the listing find them."""
+    rows = spark.read.json(path) if family == "grouped" else SN.read_snapshot_csv(spark, path)
+    listing = SN.file_listing(spark, path).agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"))
+    both = rows.agg(F.count(F.lit(1)).alias("rows")).unionByName(listing, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("rows", "n_files", "n_bytes")])
 
 
-@register("src_snapshot_status", "SELECT 'combined' AS family, true AS exists, 'run=20240131_100000' AS file_name "
-          "UNION ALL SELECT 'grouped', true, 'run=20240131_060000' UNION ALL SELECT 'invitees', false, NULL")
+@register("src_latest_snapshot", sql_with(("leads",)) +
+          f"SELECT 'combined' AS family, 'run=20240131_100000' AS file_name, {_RUN2} AS run_timestamp, {_ALL_LEADS} AS rows, true AS whole "
+          f"UNION ALL SELECT 'grouped', 'run=20240131_060000', TIMESTAMP '2024-01-31 06:00:00', {_ALL_LEADS}, true")
+def src_latest_snapshot(spark, sf_dir):
+    """The newest run of each family, the rows read from it, and whether its size and number of files are
+    those of its folder."""
+    root = _two_runs(spark, sf_dir)
+    latest = SN.latest_snapshot(spark, f"{root}/*/run=*")
+    out = None
+    for r in latest.select("family", "path").collect():           # two families
+        found = F.broadcast(_run_contents(spark, r.path, r.family).withColumn("family", F.lit(r.family)))
+        part = latest.join(found, "family").select("family", "file_name", "run_timestamp", "rows",
+                                                   ((F.col("length") == F.col("n_bytes")) & (F.col("files") == F.col("n_files"))).alias("whole"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("src_snapshot_status", sql_with(("leads",)) +
+          f"SELECT 'combined' AS family, true AS exists, 'run=20240131_100000' AS file_name, {_ALL_LEADS} AS rows, true AS size_found "
+          f"UNION ALL SELECT 'grouped', true, 'run=20240131_060000', {_ALL_LEADS}, true UNION ALL SELECT 'invitees', false, NULL, 0, false")
 def src_snapshot_status(spark, sf_dir):
     root = _two_runs(spark, sf_dir)
     st = SN.snapshot_status(spark, f"{root}/*/run=*", ["combined", "grouped", "invitees"])
-    return st.select("family", "exists", "file_name")
+    paths = SN.latest_snapshot(spark, f"{root}/*/run=*").select("family", "path").collect()
+    found = None
+    for r in paths:
+        part = _run_contents(spark, r.path, r.family).withColumn("family", F.lit(r.family))
+        found = part if found is None else found.unionByName(part)
+    return (st.join(F.broadcast(found), "family", "left")
+            .select("family", "exists", "file_name", F.coalesce("rows", F.lit(0)).alias("rows"),
+                    F.coalesce(F.col("size_kb") == F.round(F.col("n_bytes") / 1024.0, 2), F.lit(False)).alias("size_found")))
 
 
 # --- end-to-end refresh (S1 + P1-P3 + S3/S6/S7 + J3 + J1 + K1-K3) -------------
@@ -510,3 +537,14 @@ def src_grouped_document(spark, sf_dir):
     leads = fixture(spark, sf_dir, "leads").select("stage", "item_id", F.col("seq").cast("long").alias("seq"), "owner", "deal_value")
     path = SS.write_document(leads, scratch_path(spark, "document"), ["seq"])
     return DOC.read_document(spark, path, leads.drop("stage").schema)
+
+
+@register("set_union_landed_stages", sql_with(("leads",)) + "SELECT item_id, owner, email, nullif(deal_value, '') AS deal_value, stage FROM leads")
+def set_union_landed_stages(spark, sf_dir):
+    """The union of the stages' own snapshots, each read from its folder of the published session."""
+    root, leads = scratch_path(spark, "published"), fixture(spark, sf_dir, "leads").select(*SESSION_COLS)
+    SS.publish_session(leads, root, RUN_TS)
+    path = SS.session_path(spark, root, "stages")
+    ddl = "item_id string, owner string, email string, deal_value string"
+    return T.union_stages([SN.read_snapshot_csv(spark, f"{path}/stage={stage}", schema=ddl).withColumn("stage", F.lit(stage))
+                           for stage in STAGE_BY_GROUP.values()])
