@@ -35,6 +35,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.url_filter(pages, [u.Rule(*r) for r in URL_RULES], listed)
 
 
+# Site names with one of these words between hyphens are junk (fixed values of the list's rule).
+JUNK_WORDS = ("adult", "ads", "bets", "casino", "pills", "spam")
+#: A host whose third label from the right, its site's name, holds one of them.
+JUNK_HOST = r"(^|\.)([^.]*-)?(" + "|".join(JUNK_WORDS) + r")(-[^.]*)?\.[^.]+\.[^.]+$"
+
+
 ORACLE["op1_url_filter"] = r"""
 WITH rules(verdict, rhost, rpath) AS (VALUES """ + ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES) + r"""),
 u AS (SELECT row_number() OVER () AS rid, page_id,
@@ -43,10 +49,11 @@ h AS (SELECT rid, page_id, rest, regexp_extract(rest, '^[^/?#]*') AS host0 FROM
 c AS (SELECT rid, page_id, translate(host0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(substr(rest, length(host0) + 1), '^[^?#]*') AS path FROM h),
 m AS (SELECT rid, arg_max(struct_pack(rule := rhost || rpath, verdict := verdict), length(rhost || rpath)) AS best
-      FROM c JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY rid)
-SELECT page_id, host, path, best.rule AS rule, starts_with(host, 'spam') AS listed,
-       coalesce(best.verdict, CASE WHEN starts_with(host, 'spam') THEN 'block' ELSE 'allow' END) AS verdict
-FROM c LEFT JOIN m USING (rid)"""
+      FROM c JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY rid),
+listed AS (SELECT DISTINCT host, path, true AS listed FROM c WHERE regexp_matches(host, '""" + JUNK_HOST + r"""'))
+SELECT page_id, host, path, best.rule AS rule, coalesce(listed, false) AS listed,
+       coalesce(best.verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN m USING (rid) LEFT JOIN listed USING (host, path)"""
 
 
 @query
