@@ -27,11 +27,11 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 @query
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules first; else a page is blocked when its canonical URL is listed: the list
-    holds every canonical URL seen on a host whose name starts with ``spam``."""
+    holds every canonical URL seen on a junk site (`JUNK_HOST`), and grows with the pages."""
     from leadflow.llm import url_filter as u
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     host, path = u.canonical(F.col("url"))
-    listed = pages.select(host.alias("host"), path.alias("path")).filter(F.col("host").startswith("spam")).distinct()
+    listed = pages.select(host.alias("host"), path.alias("path")).filter(F.col("host").rlike(JUNK_HOST))
     return u.url_filter(pages, [u.Rule(*r) for r in URL_RULES], listed)
 
 

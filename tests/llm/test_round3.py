@@ -134,8 +134,9 @@ def test_skip_list_reaches_every_rank(n):
     tokens = fim.SkipList(widths)
     ranks = range(n + 1) if n < 2000 else [0, 1, n // 3, n - 1, n]
     assert [tokens.place(r) for r in ranks] == [places[r] for r in ranks]
+    assert n < 64 or len(tokens.units[1]) < n / 2
     for lane in range(1, len(tokens.units)):              # express lanes: fewer links, both widths add up
-        assert len(tokens.units[lane]) < len(tokens.units[lane - 1]) or n < 64
+        assert len(tokens.units[lane]) <= len(tokens.units[lane - 1])
         assert tokens.chars[lane].sum() == places[tokens.units[lane].sum()]
 
 
@@ -218,3 +219,27 @@ def test_ranks_of_ties_without_ids(spark):
     assert sorted(r["rank"] for r in got if r["rank"]) == list(range(1, 451))
     best = sorted(got, key=lambda r: (r["rank"] is None, r["rank"]))
     assert [r.score for r in best[:450]] == sorted((r.score for r in got), reverse=True)[:450]
+
+
+# --- URL filter: list and filter sizes ----------------------------------------------
+
+def test_url_list_decides_and_filter_is_sized_from_it(spark):
+    from leadflow.llm import url_filter as U
+    from leadflow.llm.queries import JUNK_HOST, URL_RULES
+    pages = spark.range(6000).select(
+        F.col("id").alias("page_id"),
+        F.when(F.col("id") % 3 == 0, "https://www.free-bets.example.net/same#x")     # a third of all pages
+        .otherwise(F.concat(F.lit("http://site"), (F.col("id") % 50).cast("string"), F.lit(".net/p"), F.col("id").cast("string"))).alias("url"))
+    listed = spark.range(0, 3000, 7).select(F.concat(F.lit("site"), (F.col("id") % 50).cast("string"), F.lit(".net")).alias("host"),
+                                            F.concat(F.lit("/p"), F.col("id").cast("string")).alias("path"))
+    listed = listed.unionByName(spark.createDataFrame([("www.free-bets.example.net", "/same"), ("www.free-bets.example.net", "/same"), (None, "/x")], "host string, path string"))
+    want = {i: i % 3 == 0 or (i < 3000 and i % 7 == 0) for i in range(6000)}
+    for options in ({}, {"max_blocks": 0}, {"n_blocks": 1}):
+        got = U.url_filter(pages, [U.Rule(*r) for r in URL_RULES], listed, **options).collect()
+        assert {r.page_id: r.verdict == "block" for r in got} == want and len(got) == 6000
+    bloom = U.bloom_filter(listed.dropna().withColumn("_key", U._url_key("host", "path")), "_key", 28)
+    marked = U.mark_listed(pages.select(*[c.alias(n) for c, n in zip(U.canonical(F.col("url")), ("host", "path"))]), U._url_key("host", "path"), bloom, 28, True)
+    assert marked.filter("_maybe").count() < 2800           # 2,286 are listed: few others reach the join
+    hosts = {"spam-farm.example.org": True, "www.casino-win.example.com": True, "adsite.example.net": False, "x.example.net": False, "ads.example.net": True}
+    shown = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", F.col("h").rlike(JUNK_HOST).alias("junk")).collect()
+    assert {r.h: r.junk for r in shown} == hosts
