@@ -4,36 +4,42 @@ The kernel is a blended spectrum of presence kernels: for each n in ``NGRAMS``,
 number of (hashed) byte n-grams two texts share over the square root of the product
 of their numbers of n-grams; the blend is the mean. ``landmarks`` training texts span the
 Nyström features, and one kernel ridge regression per language (target +1 or -1)
-is fitted on them. As the kernel is linear in a text's n-gram presence, landmarks,
-Nyström map and regression fold into one matrix (n-gram bucket x language); a batch is
-scored by its product with the batch's presence matrix.
+is fitted on them. The kernel is linear in a text's n-gram presence, so a batch is scored by the
+product of its presence matrix with the landmarks' (n-gram bucket x landmark), or, with
+fewer languages than landmarks, with the folded one (n-gram bucket x language).
 
 Training uses at most ``per_lang`` texts of each language (of the smallest hashes of their
-doc_id, one text an id) and ``MAX_LANGS`` languages (of most such texts, then by name; a
-documented bound on the fit). Prediction covers every row.
+doc_id, one text an id; a documented bound on the fit) and every language. Tasks turn the sample into
+Nyström features and send sums: the driver sees the landmarks, one matrix (landmark x landmark) a
+task and one vector a language. Prediction covers every row.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; null langs are
 never learned; without any labelled training row every text is ``und``; with one
 language every text with letters is that language; repeated rows are predicted alike;
-null doc_ids are predicted but not learned from; further columns are ignored.
+null doc_ids are predicted but not learned from; very long texts are read whole, in slices; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import in_fold
+from leadflow.llm.common import in_fold, stored
 
 NGRAMS = (2, 3, 4)
 BUCKETS = 1 << 15
-MAX_LANGS = 200
-SHARES = 64
+#: Hashed shares of a language in which the training cut is taken first, step by step.
+SHARES = (64, 8)
+#: Training ids are broadcast up to this number (some MB), joined beyond it.
+MAX_BROADCAST_IDS = 200_000
+#: Training texts in one task of the fit.
+FIT_TEXTS = 20_000
 UNKNOWN = "und"
 _SLICE = 1 << 20
 
@@ -61,106 +67,176 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+DIMS = len(NGRAMS) * BUCKETS
+
+
+def project(texts: list[list[np.ndarray]], table: np.ndarray) -> np.ndarray:
+    """Presence, each n scaled by the root of its size, times ``table`` (DIMS x columns)."""
+    out = np.zeros((len(texts), table.shape[1]), np.float64)
+    for k in range(len(NGRAMS)):
+        sizes = np.array([len(t[k]) for t in texts])
+        rows = np.concatenate([t[k] for t in texts]) + k * BUCKETS
+        full = np.flatnonzero(sizes)
+        if len(full):
+            starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+            out[full] += np.add.reduceat(table[rows], starts, axis=0, dtype=np.float64) / np.sqrt(sizes[full])[:, None]
+    return out
+
+
+def landmark_table(marks: list[list[np.ndarray]]) -> np.ndarray:
+    """DIMS x landmarks: `project` with it gives the kernel of texts and landmarks."""
+    table = np.zeros((DIMS, len(marks)), np.float32)
+    for i, t in enumerate(marks):
+        for k, g in enumerate(t):
+            if len(g):
+                table[g + k * BUCKETS, i] = 1 / (np.sqrt(len(g)) * len(NGRAMS))
+    return table
+
+
 @dataclass
 class Model:
     langs: list[str]
-    weights: np.ndarray  # (len(NGRAMS) * BUCKETS, languages)
+    table: np.ndarray                       # DIMS x languages, or DIMS x landmarks before ``then``
+    then: np.ndarray | None = None          # landmarks x languages
+    #: Margins below these are unlike nearly all of the language's training texts.
+    least_margin: dict[str, float] = field(default_factory=dict)
 
     def scores(self, texts: list[list[np.ndarray]]) -> np.ndarray:
-        """Regression values (texts x languages): presence, each n scaled by the
-        root of its size, times the folded matrix."""
-        out = np.zeros((len(texts), len(self.langs)), np.float64)
-        for k in range(len(NGRAMS)):
-            sizes = np.array([len(t[k]) for t in texts])
-            rows = np.concatenate([t[k] for t in texts]) + k * BUCKETS
-            full = np.flatnonzero(sizes)
-            if len(full):
-                starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-                out[full] += np.add.reduceat(self.weights[rows], starts, axis=0) / np.sqrt(sizes[full])[:, None]
-        return out / len(NGRAMS)
-
-
-def fit(langs: list[str], grams: list[list[np.ndarray]], landmarks: int, ridge: float) -> Model:
-    """Nyström features over evenly spread landmarks, then one-versus-rest ridge."""
-    names = sorted(set(langs))
-    n, dims = len(grams), len(NGRAMS) * BUCKETS
-    used = np.unique(np.concatenate([np.concatenate([g + k * BUCKETS for k, g in enumerate(t)]) for t in grams]))
-    place = np.full(dims, -1)
-    place[used] = np.arange(len(used))
-    x = np.zeros((n, len(used)), np.float32)
-    for i, t in enumerate(grams):
-        for k, g in enumerate(t):
-            if len(g):
-                x[i, place[g + k * BUCKETS]] = 1 / np.sqrt(len(g) * len(NGRAMS))
-    marks = x[np.unique(np.linspace(0, n - 1, min(n, landmarks)).astype(int))]
-    val, vec = np.linalg.eigh((marks @ marks.T).astype(np.float64))
-    good = val > 1e-8 * val.max()
-    root = vec[:, good] / np.sqrt(val[good])  # K_mm^(-1/2), up to a rotation
-    phi = (x @ marks.T).astype(np.float64) @ root
-    y = np.where(np.array(langs)[:, None] == np.array(names)[None], 1.0, -1.0)
-    mean = y.mean(0)
-    w = np.linalg.solve(phi.T @ phi + ridge * np.eye(phi.shape[1]), phi.T @ (y - mean))
-    folded = np.zeros((dims, len(names)))
-    # x's scale 1/sqrt(size * len(NGRAMS)) is applied again when scoring, as 1/sqrt(size) / len(NGRAMS).
-    folded[used] = marks.T.astype(np.float64) @ (root @ w) * np.sqrt(len(NGRAMS))
-    return Model(names, folded.astype(np.float32))
+        """Regression values (texts x languages)."""
+        x = project(texts, self.table)
+        return x if self.then is None else x @ self.then
+
+
+def nystroem(table: np.ndarray, marks: list[list[np.ndarray]]) -> np.ndarray:
+    """K_mm^(-1/2), up to a rotation: landmarks x features."""
+    gram = project(marks, table)
+    val, vec = np.linalg.eigh((gram + gram.T) / 2)
+    good = val > 1e-8 * max(val.max(), 1e-300)
+    return vec[:, good] / np.sqrt(val[good])
+
+
+def solve(table: np.ndarray, root: np.ndarray, normal: np.ndarray, sums: dict[str, tuple[int, np.ndarray]], ridge: float) -> Model:
+    """One-versus-rest ridge regressions from the normal matrix and each language's number of
+    texts and sum of features; targets +1 and -1, less their mean."""
+    names = sorted(sums)
+    n = np.array([sums[x][0] for x in names], np.float64)
+    each = np.stack([sums[x][1] for x in names], 1)
+    whole = each.sum(1, keepdims=True)
+    right = 2 * each - whole - whole * (2 * n / n.sum() - 1)
+    then = root @ np.linalg.solve(normal + ridge * np.eye(len(normal)), right)
+    if len(names) < table.shape[1]:
+        return Model(names, (table @ then).astype(np.float32))
+    return Model(names, table, then)
+
+
+def margins(values: np.ndarray) -> np.ndarray:
+    """Best value less the second best; infinite with one language."""
+    if values.shape[1] < 2:
+        return np.full(len(values), np.inf)
+    two = np.partition(values, -2, axis=1)
+    return two[:, -1] - two[:, -2]
 
 
 def training_sample(docs: DataFrame, held_out: Column, per_lang: int) -> DataFrame:
-    """(lang, grams): at most ``per_lang`` texts with a letter of each language, of
-    the smallest hashes of their id. The cut is taken within ``SHARES`` hashed shares of
-    a language first, so however many tasks send rows, none gathers a hot language's."""
+    """(lang, doc_id, turn, grams): at most ``per_lang`` texts with a letter of each language, of
+    the smallest hashes of their id, numbered from 1. The cut is taken within hashed shares of
+    a language first, so however many rows it has, no task gathers them."""
     ok = docs.filter(~held_out & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # An id given to several rows of a language is one text: the one of the smallest hash.
-    ids = (ok.groupBy("lang", "doc_id").agg(F.min(F.xxhash64("text")).alias("h"))
-           .withColumn("share", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SHARES))))
-    for by in (["lang", "share"], ["lang"]):
-        order = Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id")
-        ids = ids.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_lang).drop("k")
-    # The languages of most sampled texts, those of equal numbers by name.
-    langs = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).select("lang")
-    ids = ids.join(F.broadcast(langs), "lang", "left_semi").select("lang", "doc_id", "h")
-    # At most per_lang * MAX_LANGS ids: broadcast, so texts are not shuffled.
-    rows = (ok.select("lang", "doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(ids), ["lang", "doc_id", "h"], "left_semi")
-            .groupBy("lang", "doc_id").agg(F.min("text").alias("text")))
+    ids = ok.groupBy("lang", "doc_id").agg(F.min(F.xxhash64("text")).alias("h"))
+    for shares in (*SHARES, 1):
+        order = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shares))).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= per_lang)
+    ids = stored(ids, "lang-ids")
+    # Few ids are broadcast, so texts are not shuffled.
+    few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    rows = (ok.select("lang", "doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(ids) if few else ids, ["lang", "doc_id", "h"])
+            .groupBy("lang", "doc_id").agg(F.min("turn").alias("turn"), F.min("text").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             grams = [presence(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([[g.tolist() for g in t] for t in grams], pa.list_(pa.list_(pa.int32())))],
-                ["lang", "doc_id", "grams"])
+                [b.column(0), b.column(1), b.column(3), pa.array([[g.tolist() for g in t] for t in grams], pa.list_(pa.list_(pa.int32())))],
+                ["lang", "doc_id", "turn", "grams"])
+
+    return stored(rows.select("lang", "doc_id", "text", "turn").mapInArrow(run, "lang string, doc_id long, turn int, grams array<array<int>>"), "lang-sample")
 
-    return rows.mapInArrow(run, "lang string, doc_id long, grams array<array<int>>")
+
+def _texts(column: pa.Array) -> list[list[np.ndarray]]:
+    return [[np.array(g, np.int64) for g in t] for t in column.to_pylist()]
 
 
 def train(docs: DataFrame, held_out: Column, per_lang: int = 300, landmarks: int = 256, ridge: float = 0.1) -> Model:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    # Bounded: per_lang texts of at most MAX_LANGS languages, as n-gram buckets.
-    rows = training_sample(src, held_out, per_lang).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.lang))
-    if not rows:
-        return Model([], np.zeros((len(NGRAMS) * BUCKETS, 0), np.float32))
-    # In turn by language, so evenly spread landmarks take each alike.
-    turn: dict[str, int] = {}
-    keyed = []
-    for r in rows:
-        turn[r.lang] = turn.get(r.lang, 0) + 1
-        keyed.append((turn[r.lang], r.lang, [np.array(g, np.int64) for g in r.grams]))
-    keyed.sort(key=lambda r: r[:2])
-    return fit([k[1] for k in keyed], [k[2] for k in keyed], landmarks, ridge)
+    sample = training_sample(src, held_out, per_lang)
+    # The first texts of all languages in turn.
+    first = sample.orderBy("turn", F.xxhash64("lang"), "lang").limit(landmarks).collect()
+    if not first:
+        return Model([], np.zeros((DIMS, 0), np.float32))
+    marks = [[np.array(g, np.int64) for g in r.grams] for r in first]
+    table = landmark_table(marks)
+    root = nystroem(table, marks)
+    sent = docs.sparkSession.sparkContext.broadcast((table, root))  # bounded: DIMS x landmarks
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, root = sent.value
+        normal, per = np.zeros((root.shape[1],) * 2), {}
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                phi = project(_texts(part.column(1)), table) @ root
+                normal += phi.T @ phi
+                langs = np.array(part.column(0).to_pylist(), object)
+                for lang in set(langs.tolist()):
+                    n, total = per.get(lang, (0, 0.0))
+                    here = phi[langs == lang]
+                    per[lang] = (n + len(here), total + here.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array([None, *per], pa.string()), pa.array([0, *(n for n, _ in per.values())], pa.int64()),
+                                          pa.array([normal.tobytes(), *(t.tobytes() for _, t in per.values())], pa.binary())], ["lang", "n", "sums"])
+
+    tasks = max(1, -(-sample.count() // FIT_TEXTS))
+    normal, per = 0.0, {}
+    for r in sample.select("lang", "grams").coalesce(tasks).mapInArrow(sums, "lang string, n long, sums binary").toLocalIterator():
+        x = np.frombuffer(r.sums)
+        if r.lang is None:
+            normal = normal + x.reshape((root.shape[1],) * 2)
+        else:
+            n, total = per.get(r.lang, (0, 0.0))
+            per[r.lang] = (n + r.n, total + x)
+    model = solve(table, root, normal, per, ridge)
+    model.least_margin = least_margins(sample, model)
+    return model
+
+
+def least_margins(sample: DataFrame, model: Model, share: float = 0.01) -> dict[str, float]:
+    """Per language, half the margin that all but ``share`` of its rightly told training texts reach."""
+    sent = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                values = m.scores(_texts(part.column(1)))
+                right = [m.langs[c] == lang for c, lang in zip(values.argmax(1), part.column(0).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.where(right, margins(values), np.nan), from_pandas=True)], ["lang", "margin"])
+
+    told = sample.select("lang", "grams").mapInArrow(run, "lang string, margin double")
+    return {r.lang: r.m / 2 for r in told.groupBy("lang").agg(F.percentile_approx("margin", share, 1000).alias("m")).collect() if r.m is not None}
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns, lang_pred and score for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: buckets x MAX_LANGS
+    """``keep`` columns, lang_pred, score, and sure: whether the margin is as large as nearly all
+    training texts of that language have it."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: DIMS x landmarks, and landmarks x languages
     src = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("sure", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            pred, score = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
+            pred, score, sure = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
             col = b.column(b.num_columns - 1)
             for at in range(0, b.num_rows if m.langs else 0, 256):
                 texts = [t.as_py() for t in col.slice(at, 256)]
@@ -169,10 +245,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     continue
                 values = m.scores([presence(texts[i]) for i in rows])
                 e = np.exp(4 * (values - values.max(1, keepdims=True)))
-                best = values.argmax(1)
-                for i, c, s in zip(rows, best, (e.max(1) / e.sum(1))):
+                for i, c, s, margin in zip(rows, values.argmax(1), e.max(1) / e.sum(1), margins(values)):
                     pred[at + i], score[at + i] = m.langs[c], s
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+                    sure[at + i] = margin >= m.least_margin.get(m.langs[c], 0.0)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score), pa.array(sure)], [*keep, "lang_pred", "score", "sure"])
 
     return src.mapInArrow(run, schema)
 
