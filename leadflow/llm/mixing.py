@@ -3,8 +3,8 @@
 Sources, in code point order with null last, weigh ``weights`` in turn and share the
 total size; a target stops at ``max_repeats`` times its source's size and the excess is
 reshared by weight. Within a source a document's expected copies are its share of the
-target, in proportion to a document weight: short documents (under ``SHORT`` words)
-weigh half, so inclusion odds are unequal. The whole part of the expected copies is taken
+target, in proportion to a document weight that rises with the document's size (by classes, each
+twice as long as the one before: :func:`class_weight`), so inclusion odds are unequal. The whole part of the expected copies is taken
 for certain. For the fraction p, documents are ranked by the Pareto ratio
 (u / (1 - u)) / (p / (1 - p)), u being a fixed hash of the id and text, and taken in that order up
 to the words still missing (the last one if that comes nearer), so a source's sample
@@ -29,8 +29,6 @@ from pyspark.sql import functions as F
 from leadflow.llm.common import stored
 
 WEIGHTS = (5, 2, 1)
-SHORT = 50
-SHORT_WEIGHT = 0.5
 BINS = 4096
 #: The plan, one row a source, is broadcast up to this many sources.
 MAX_BROADCAST_SOURCES = 100_000
@@ -61,15 +59,27 @@ def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float] =
     return out
 
 
-def _rate(target: float, short: int, long: int, max_repeats: int) -> float:
-    """Expected copies of a document of weight 1, so that the expected words meet the
-    target: short documents get ``SHORT_WEIGHT`` of it, none more than ``max_repeats``."""
-    if short + long == 0:
-        return 0.0
-    rate = target / (SHORT_WEIGHT * short + long)
-    if rate > max_repeats:
-        rate = (target - max_repeats * long) / (SHORT_WEIGHT * short) if short else float(max_repeats)
-    return min(rate, max_repeats / SHORT_WEIGHT)
+def size_class(size: str) -> F.Column:
+    """0 for no word, 1 for one, 2 for two or three, and so on."""
+    return F.length(F.expr(f"trim(LEADING '0' FROM bin({size}))")).cast("int")
+
+
+def class_weight(c):
+    """Weight of a size class: a quarter for an empty document, 1 from 2,048 words on."""
+    return (4 + c) / 16
+
+
+def rate_of(target: float, sizes: dict[int, int], max_repeats: int) -> float:
+    """Expected copies of a document of weight 1, so that the expected words of a source with
+    ``sizes`` words by class meet the target, no document getting more than ``max_repeats`` copies."""
+    words = sorted(((min(1.0, class_weight(c)), n) for c, n in sizes.items() if n), reverse=True)
+    full = 0                                # words of the classes that get max_repeats
+    for k, (w, n) in enumerate(words):
+        rate = (target - max_repeats * full) / sum(v * m for v, m in words[k:])
+        if rate * w <= max_repeats:
+            return rate
+        full += n
+    return max_repeats / words[-1][0] if words else 0.0
 
 
 def mix(docs: DataFrame, keep: list[str] | None = None, weights: Sequence[float] = WEIGHTS, max_repeats: int = 3) -> DataFrame:
@@ -77,20 +87,21 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: Sequence[float]
     spark = docs.sparkSession
     keep = keep or ["doc_id"]
     sized = stored(docs.select(*keep, F.col("source").cast("string").alias("_source"), word_count("text").alias("size"),
-                               F.xxhash64(F.col("doc_id").cast("string"), "text").alias("_h"), F.xxhash64("text").alias("_t")), "mix-sizes")
-    # One row per source; their number, not the documents', bounds what the driver sees.
-    per = (sized.groupBy("_source").agg(F.sum("size").alias("n"), F.sum(F.when(F.col("size") < SHORT, F.col("size")).otherwise(0)).alias("short"))
-           .collect())
-    goal = targets([(r["_source"], r["n"]) for r in per], weights, max_repeats)
-    plan = spark.createDataFrame(
-        [(r["_source"], r["n"], goal[r["_source"]], _rate(goal[r["_source"]], r["short"], r["n"] - r["short"], max_repeats)) for r in per],
-        "s string, source_size long, target double, rate double")
+                               F.xxhash64(F.col("doc_id").cast("string"), "text").alias("_h"), F.xxhash64("text").alias("_t"))
+                   .withColumn("_c", size_class("size")), "mix-sizes")
+    # One row per source and size class (at most 64 of them); the number of sources bounds what the driver sees.
+    per: dict[str | None, dict[int, int]] = {}
+    for r in sized.groupBy("_source", "_c").agg(F.sum("size").alias("n")).collect():
+        per.setdefault(r["_source"], {})[r["_c"]] = r["n"]
+    goal = targets([(s, sum(c.values())) for s, c in per.items()], weights, max_repeats)
+    plan = spark.createDataFrame([(s, sum(c.values()), goal[s], rate_of(goal[s], c, max_repeats)) for s, c in per.items()],
+                                 "s string, source_size long, target double, rate double")
     few = len(per) <= MAX_BROADCAST_SOURCES
 
     def ranked(rows: DataFrame, by_source: DataFrame) -> DataFrame:
         """Rows with their source's plan, the certain copies, the Pareto ratio of the rest and its bin."""
         u = (F.expr("_h & 4503599627370495L").cast("double") + 0.5) / F.lit(float(1 << 52))
-        expected = F.least(F.col("rate") * F.when(F.col("size") < SHORT, SHORT_WEIGHT).otherwise(1.0), F.lit(float(max_repeats)))
+        expected = F.least(F.col("rate") * F.least(class_weight(F.col("_c")), F.lit(1.0)), F.lit(float(max_repeats)))
         return (rows.join(F.broadcast(by_source) if few else by_source, F.col("_source").eqNullSafe(F.col("s")))
                 .withColumn("_sure", F.floor(expected + F.lit(1e-9)))
                 .withColumn("_p", F.greatest(expected - F.col("_sure"), F.lit(0.0)))
@@ -98,7 +109,7 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights: Sequence[float]
                 .withColumn("_bin", F.floor(F.col("_q") / (1 + F.col("_q")) * BINS).cast("int")))
 
     # Words still missing after the certain copies, and where the running sum over bins meets them.
-    per_bin = (ranked(sized.select("_source", "size", "_h"), plan).groupBy("s", "_bin")
+    per_bin = (ranked(sized.select("_source", "size", "_c", "_h"), plan).groupBy("s", "_bin")
                .agg(F.sum(F.when(F.col("_bin").isNotNull(), F.col("size")).otherwise(0)).alias("words"), F.sum(F.col("_sure") * F.col("size")).alias("sure")))
     w = Window.partitionBy("s")
     steps = (per_bin.join(F.broadcast(plan) if few else plan, per_bin["s"].eqNullSafe(plan["s"])).drop(plan["s"])
