@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,24 +131,27 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     return _source(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, model_path: str) -> DataFrame:
+def digests(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the same encoding, made where
-    the ids are, so they need not leave the worker."""
+    the ids are, so they need not leave the worker; ``with_ids``: and the ids, as training data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = prefix_table(model_path)
         for b in batches:
-            n, one, two = [], [], []
+            n, one, two, all_ids = [], [], [], []
             for x in b.column(1):
                 text = t.encode_text(x.as_py())
                 ids = list(map(int, text.split(" ")))
+                if with_ids:
+                    all_ids.append(np.array(ids, np.int32))
                 n.append(len(ids))
                 one.append(hashlib.sha256(text.encode("ascii")).hexdigest())
                 two.append(hashlib.sha256(t.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())],
-                                             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            more = [pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string()), *more],
+                                             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][:4 + len(more)])
 
-    return _source(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _source(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))
 
 
 def _source(docs: DataFrame) -> DataFrame:
