@@ -151,14 +151,13 @@ def test_language_on_held_out(spark, sf_dir):
     assert {odd[i] for i in (0, 1, 2, 6)} == {"und"} and odd[3] == "en"
 
 
-def test_language_sample_takes_an_id_once_and_languages_in_order(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MAX_LANGS", 2)
+def test_language_sample_takes_an_id_once_and_every_language(spark):
     rows = [(1, "same text", "a")] * 30 + [(1, "other text", "a")] + [(i, f"word {i}", "a") for i in (2, 3)]
     rows += [(i, "drei", "d") for i in (20, 21)] + [(i, "zwei", "c") for i in (10, 11)] + [(30, "uno", "b")]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
     got = sorted((r.lang, r.doc_id) for r in langid.training_sample(d, F.lit(False), 3).collect())
-    assert got == [("a", 1), ("a", 2), ("a", 3), ("c", 10), ("c", 11)]
-    assert langid.train(d, F.lit(False), per_lang=3).langs == ["a", "c"]
+    assert got == [("a", 1), ("a", 2), ("a", 3), ("b", 30), ("c", 10), ("c", 11), ("d", 20), ("d", 21)]
+    assert langid.train(d, F.lit(False), per_lang=3).langs == ["a", "b", "c", "d"]
 
 
 def test_mix_targets_and_sizes(spark, some):

@@ -243,3 +243,99 @@ def test_url_list_decides_and_filter_is_sized_from_it(spark):
     hosts = {"spam-farm.example.org": True, "www.casino-win.example.com": True, "adsite.example.net": False, "x.example.net": False, "ads.example.net": True}
     shown = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", F.col("h").rlike(JUNK_HOST).alias("junk")).collect()
     assert {r.h: r.junk for r in shown} == hosts
+
+
+# --- mixing: the ranking itself ---------------------------------------------------
+
+def brute_mix(rows, weights=(5, 2, 1), repeats=3):
+    """Copies of every (id, text, source) row by an ordering of each whole source."""
+    import xxhash
+    from leadflow.llm import mixing
+
+    def row_hash(*parts):
+        seed = 42
+        for p in parts:
+            if p is not None:
+                seed = xxhash.xxh64_intdigest(p.encode(), seed)
+        return seed
+    by_source = collections.defaultdict(list)
+    for i, t, s in rows:
+        by_source[s].append((i, t, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))))
+    goal = mixing.targets([(s, sum(m[2] for m in ms)) for s, ms in by_source.items()], weights, repeats)
+    out = []
+    for s, members in by_source.items():
+        sizes = collections.Counter()
+        for m in members:
+            sizes[m[2].bit_length()] += m[2]
+        lo, hi = 0.0, 64.0                              # the rate by bisection, not by the operator's formula
+        expected = lambda rate, size: min(rate * min(1.0, (4 + size.bit_length()) / 16), repeats)
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(expected(mid, c and (1 << (c - 1))) * n for c, n in sizes.items()) < goal[s] else (lo, mid)
+        ranked, sure = [], 0
+        for i, t, size in members:
+            e = expected(hi, size)
+            whole = math.floor(e + 1e-9)
+            sure += whole * size
+            p, h = max(e - whole, 0.0), row_hash(None if i is None else str(i), t)
+            u = ((h & ((1 << 52) - 1)) + 0.5) / (1 << 52)
+            ranked.append(((u / (1 - u)) * ((1 - p) / p) if p > 1e-9 else math.inf, h, i, size, whole))
+        upto, need = 0, goal[s] - sure
+        for q, h, i, size, whole in sorted(ranked, key=lambda r: (r[0], r[1] - (1 << 64) if r[1] >> 63 else r[1])):
+            upto += size
+            out.append((i, size, whole + (q < math.inf and upto - size / 2 <= need)))
+    return sorted(out, key=repr)
+
+
+def test_mixing_equals_an_ordering_of_each_source(spark, sf_dir):
+    from leadflow.llm import mixing
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 11 != 0, F.concat(F.lit("s"), (F.col("doc_id") % 4).cast("string"))).alias("source"))
+    d = d.unionByName(awkward(spark).select("doc_id", "text", F.lit("s1").alias("source")))
+    got = mixing.mix(d).collect()
+    assert sorted(((r.doc_id, r["size"], r.copies) for r in got), key=repr) == brute_mix([tuple(r) for r in d.collect()])
+    assert len({r.copies for r in got}) > 1 and all(r.taken <= 3 * r["size"] for r in got)
+
+
+# --- language ID: the kernel regression itself ---------------------------------------
+
+def test_language_regression_equals_the_dense_kernel(spark):
+    """Values of the folded model against kernels computed pair by pair and one dense ridge solution, also
+    with more languages than landmarks and with a very long text."""
+    from leadflow.llm import langid as L
+    r = random.Random(4)
+    words = {lang: ["".join(r.choice("abcdefghijklmnop"[k:k + 9]) for _ in range(r.randrange(2, 7))) for _ in range(40)] for k, lang in enumerate(["l1", "l2", "l3", "l4", "l5", "l6"])}
+    texts = [(i, " ".join(r.choice(words[lang]) for _ in range(60)), lang) for i, lang in enumerate(sorted(words) * 12)]
+    d = spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(3)
+    sample = {x.doc_id: x for x in L.training_sample(d, F.lit(False), 8).collect()}
+    assert len(sample) == 48 and sorted(x.turn for x in sample.values()) == sorted(list(range(1, 9)) * 6)
+
+    def kernel(a, b):
+        return sum(len(np.intersect1d(x, y)) / math.sqrt(len(x) * len(y)) for x, y in zip(a, b) if len(x) and len(y)) / len(L.NGRAMS)
+    grams = {i: L.presence(t) for i, t, _ in texts}
+    probe = [grams[i] for i in range(0, 72, 5)] + [L.presence("abc " * 700_000)]
+    names = sorted(words)
+    for landmarks in (24, 4):
+        model = L.train(d, F.lit(False), per_lang=8, landmarks=landmarks)
+        order = spark.createDataFrame([(x.turn, x.lang, x.doc_id) for x in sample.values()], "turn int, lang string, doc_id long").orderBy("turn", F.xxhash64("lang"), "lang")
+        marks = [grams[x.doc_id] for x in order.limit(landmarks).collect()]
+        k_mm = np.array([[kernel(a, b) for b in marks] for a in marks])
+        val, vec = np.linalg.eigh(k_mm)
+        root = vec[:, val > 1e-8 * val.max()] / np.sqrt(val[val > 1e-8 * val.max()])
+        ids = sorted(sample)
+        phi = np.array([[kernel(grams[i], m) for m in marks] for i in ids]) @ root
+        y = np.array([[1.0 if sample[i].lang == lang else -1.0 for lang in names] for i in ids])
+        w = np.linalg.solve(phi.T @ phi + 0.1 * np.eye(phi.shape[1]), phi.T @ (y - y.mean(0)))
+        want = np.array([[kernel(p, m) for m in marks] for p in probe]) @ root @ w
+        assert model.langs == names and (model.then is None) == (landmarks > 6)
+        assert np.allclose(model.scores(probe), want, atol=2e-3)
+        assert set(model.least_margin) <= set(names)
+    told = L.language_id(d).collect()
+    assert sum(x.lang_pred == texts[x.doc_id][2] for x in told) > 68
+
+
+def test_slices_of_long_texts_hold_all_n_grams(monkeypatch):
+    from leadflow.llm import langid as L
+    text = "".join(random.Random(1).choice("abc é中") for _ in range(5000))
+    whole = L.presence(text)
+    monkeypatch.setattr(L, "_SLICE", 64)
+    assert all(np.array_equal(a, b) for a, b in zip(L.presence(text), whole))
