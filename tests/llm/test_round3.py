@@ -339,3 +339,129 @@ def test_slices_of_long_texts_hold_all_n_grams(monkeypatch):
     whole = L.presence(text)
     monkeypatch.setattr(L, "_SLICE", 64)
     assert all(np.array_equal(a, b) for a, b in zip(L.presence(text), whole))
+
+
+# --- quality rules: the verdict itself ---------------------------------------------
+
+def brute_fences(values, spread=4.0):
+    """{ratio: (low, high)} of a list of ratio rows, quantiles read off sorted bucket middles."""
+    from leadflow.llm import quality as Q
+    out = {}
+    for k, (name, width) in enumerate(Q.RATIOS.items()):
+        xs = sorted(0.0 if v[k] == 0 else Q.GAMMA ** math.ceil(math.log(v[k]) / math.log(Q.GAMMA)) * 2 / (Q.GAMMA + 1) for v in values)
+        d1, q1, q3, d9 = (xs[-(-len(xs) * p // 20) - 1] for p in (2, 5, 15, 18))
+        half = q3 - q1
+        reach = lambda tail: max((half if half > 0 else tail) * spread, width)
+        out[name] = (q1 - reach(q1 - d1) if name in Q.TWO_SIDED else -math.inf, q3 + reach(d9 - q3))
+    return out
+
+
+def test_quality_verdicts_equal_sorted_quantiles(spark, sf_dir):
+    from leadflow.llm import quality as Q
+    d = table(spark, sf_dir, "documents").unionByName(awkward(spark).select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit("odd").alias("source"), F.lit(0).cast("long").alias("n_chars")))
+    rows = [(r.doc_id, r.lang, r.source, r.text) for r in d.collect()]
+    judged = []
+    for i, lang, source, text in rows:
+        n, chars, symbols, dup, repeat = Q.features(text)
+        lines = sum(1 for x in (text or "").split("\n") if x.split(" ") and re.search(r"[^\x20\x09-\x0D]", x))
+        ratios = (chars * 1000 // max(n, 1), symbols * 1000 // max(n, 1), dup * 1000 // max(lines, 1), repeat * 1000 // max(n, 1))
+        judged.append((i, lang, source, ratios, n < 50 or 100 * repeat > 50 * n))
+    good = [j for j in judged if not j[4]]
+    whole = brute_fences([j[3] for j in good])
+    per_lang = {lang: ([j for j in good if j[1] == lang]) for lang in {j[1] for j in good}}
+    per_group = {g: [j for j in good if j[1:3] == g] for g in {j[1:3] for j in good}}
+
+    def fence(lang, source, name, side):
+        def blend(members, wider):
+            if not members:
+                return wider
+            own = brute_fences([m[3] for m in members])[name][side]
+            return wider if math.isinf(wider) else (len(members) * own + 200 * wider) / (len(members) + 200)
+        of_lang = blend(per_lang.get(lang), whole[name][side])
+        return (min if side else max)(blend(per_group.get((lang, source)), of_lang), of_lang)
+    memo = {(lang, source): {n: (fence(lang, source, n, 0), fence(lang, source, n, 1)) for n in Q.RATIOS} for _, lang, source, _, _ in judged}
+    want = sorted(((i, not failed and all(memo[lang, s][n][0] <= v <= memo[lang, s][n][1] for n, v in zip(Q.RATIOS, ratios))) for i, lang, s, ratios, failed in judged), key=repr)
+    got = rows_of = sorted(((r.doc_id, r.kept) for r in Q.quality_rules(d).collect()), key=repr)
+    assert got == want and {k for _, k in rows_of} == {True, False}
+
+
+# --- chat: positions and attention ----------------------------------------------------
+
+def test_chat_positions_and_intervals(spark):
+    """A token's position is its place in its own conversation, and a leaf attends to exactly its conversation's text."""
+    from leadflow.llm import chat
+    r = random.Random(8)
+    first = "you help <kindly> \\ always " * 40
+    rows = []
+    for c in range(90):
+        turns = [("system", first)] + [(r.choice(["user", "assistant"]), r.choice(["a", "b", "", "<turn x>", "y" * 50])) for _ in range(r.randrange(6))]
+        rows += [(c, k, role, text) for k, (role, text) in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    said = collections.defaultdict(list)
+    for c, k, role, text in rows:
+        said[c].append((k, chat.format_turn(role, text)))
+    whole = {c: "".join(t for _, t in sorted(v)) for c, v in said.items()}
+    packs = chat.packs(df).collect()
+    seen = {}
+    for p in packs:
+        assert len(set(p.node_start)) == len(p.node_start) and sum(p.node_length) == len(p.text)
+        for conv, leaf in zip(p.conv_ids, p.leaves):
+            spans = [tuple(x) for x in p.node_attends[leaf]] + [(p.node_start[leaf], p.node_start[leaf] + p.node_length[leaf])]
+            assert "".join(p.text[a:b] for a, b in spans) == whole[conv]
+            path = [n for n, s in enumerate(p.node_start) if any(a <= s < b for a, b in spans)]
+            place = 0
+            for n in sorted(path, key=lambda n: p.node_start[n]):
+                assert p.node_position[n] == place
+                place += p.node_length[n]
+            assert place == len(whole[conv])
+            seen[conv] = True
+        assert sum(len(p.text[s:s + n]) for s, n in zip(p.node_start, p.node_length) if p.text[s:s + n].startswith("<turn system>")) == len(chat.format_turn("system", first))
+    assert len(seen) == 90
+
+
+# --- LM: probabilities and gradients -----------------------------------------------
+
+def test_lm_probabilities_and_gradient_step_by_hand():
+    from leadflow.llm import lm
+    rng = np.random.default_rng(3)
+    totals = rng.integers(1, 500, lm.BUCKETS).astype(float)
+    flat = (rng.standard_normal(lm.SIZE) * 0.1).astype(np.float32)
+    toks, lens = rng.integers(0, lm.BUCKETS, 40).astype(np.uint16), np.array([17, 1, 22], np.int32)
+    weights = lm.MaxEnt(totals, flat.copy()).t
+
+    def history(at):
+        start = max(s for s in (0, 17, 18) if s <= at)
+        prev = int(toks[at - 1]) if at > start else lm.START
+        skip = int(toks[at - 2]) if at > start + 1 else lm.START
+        return prev, skip, (prev * 40503 + skip * 30011) % lm.PAIRS
+
+    def softmaxes(at):
+        prev, skip, pair = history(at)
+        cls = int(toks[at]) // lm.MEMBERS
+        t = totals.reshape(lm.CLASSES, lm.MEMBERS)
+        a = [math.log(t[c].sum()) + weights["class_prev"][prev, c] + weights["class_skip"][skip, c] + weights["class_pair"][pair, c] for c in range(lm.CLASSES)]
+        b = [math.log(t[cls, m]) + weights["member_prev"][prev * lm.CLASSES + cls, m] + weights["member_skip"][skip * lm.CLASSES + cls, m] for m in range(lm.MEMBERS)]
+        soft = lambda x: [math.exp(v - max(x)) / sum(math.exp(u - max(x)) for u in x) for v in x]
+        return cls, soft(a), soft(b)
+    got = lm.MaxEnt(totals, flat.copy()).log_prob(toks, lens)
+    want = [math.log(a[c]) + math.log(b[int(toks[i]) % lm.MEMBERS]) for i in range(40) for c, a, b in [softmaxes(i)]]
+    assert np.allclose(got, want, atol=1e-4)
+    # One step: the gradient of a feature's uses, divided by their number plus the damping.
+    learned = lm.MaxEnt(totals, flat.copy())
+    learned.learn(toks, lens)
+    step = {name: collections.defaultdict(lambda: [0, 0.0]) for name, *_ in lm.SHAPES}
+    for i in range(40):
+        prev, skip, pair = history(i)
+        cls, a, b = softmaxes(i)
+        ga, gb = np.array(a), np.array(b)
+        ga[cls] -= 1
+        gb[int(toks[i]) % lm.MEMBERS] -= 1
+        for name, f, g in (("class_prev", prev, ga), ("class_skip", skip, ga), ("class_pair", pair, ga),
+                           ("member_prev", prev * lm.CLASSES + cls, gb), ("member_skip", skip * lm.CLASSES + cls, gb)):
+            step[name][f][0] += 1
+            step[name][f][1] = step[name][f][1] + g
+    for name, *_ in lm.SHAPES:
+        want = weights[name].copy()
+        for f, (uses, g) in step[name].items():
+            want[f] -= lm.STEP * g / (uses + lm.DAMP)
+        assert np.allclose(learned.t[name], want, atol=1e-4)
