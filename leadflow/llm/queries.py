@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import table
+from leadflow.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -130,7 +130,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(1).select(F.inline(F.array(*[
         F.struct(F.lit(chat.PROBE_ID).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(chat.PROBE_TEXT).alias("text"))
         for i, role in enumerate(("user", "assistant"))])))
-    return chat.read_back(chat.packs(rows.unionByName(probe)))
+    return chat.read_back(stored(chat.packs(rows.unionByName(probe)), "chat-packs"))
 
 
 @query
