@@ -387,9 +387,13 @@ def test_quality_verdicts_equal_sorted_quantiles(spark, sf_dir):
 
 # --- chat: positions and attention ----------------------------------------------------
 
-def test_chat_positions_and_intervals(spark):
-    """A token's position is its place in its own conversation, and a leaf attends to exactly its conversation's text."""
+@pytest.mark.parametrize("conversations, chars", [(512, 1 << 18), (7, 1 << 18), (512, 300), (1, 1)])
+def test_chat_positions_and_intervals(spark, monkeypatch, conversations, chars):
+    """A token's position is its place in its own conversation, and a leaf attends to exactly its conversation's
+    text; a turn shared by very many conversations is written once a task, over all packs."""
     from leadflow.llm import chat
+    monkeypatch.setattr(chat, "PACK_CONVERSATIONS", conversations)
+    monkeypatch.setattr(chat, "PACK_CHARS", chars)
     r = random.Random(8)
     first = "you help <kindly> \\ always " * 40
     rows = []
@@ -397,26 +401,42 @@ def test_chat_positions_and_intervals(spark):
         turns = [("system", first)] + [(r.choice(["user", "assistant"]), r.choice(["a", "b", "", "<turn x>", "y" * 50])) for _ in range(r.randrange(6))]
         rows += [(c, k, role, text) for k, (role, text) in enumerate(turns)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
-    said = collections.defaultdict(list)
-    for c, k, role, text in rows:
-        said[c].append((k, chat.format_turn(role, text)))
-    whole = {c: "".join(t for _, t in sorted(v)) for c, v in said.items()}
-    packs = chat.packs(df).collect()
-    seen = {}
-    for p in packs:
+    said, texts = collections.defaultdict(list), collections.defaultdict(list)
+    for c, k, role, text in sorted(rows):
+        said[c].append(chat.format_turn(role, text))
+        texts[c].append((role, text))
+    whole = {c: "".join(v) for c, v in said.items()}
+    packed = chat.packs(df).cache()
+    packs = {p.pack_id: p for p in packed.collect()}
+    tasks = {i >> 32 for i in packs}
+    if (conversations, chars) != (512, 1 << 18):
+        assert len(packs) > 1.5 * len(tasks)
+
+    def turn(p, n):
+        return p.text[p.node_start[n]:p.node_start[n] + p.node_length[n]]
+    seen, written = set(), collections.Counter()
+    for p in packs.values():
         assert len(set(p.node_start)) == len(p.node_start) and sum(p.node_length) == len(p.text)
-        for conv, leaf in zip(p.conv_ids, p.leaves):
-            spans = [tuple(x) for x in p.node_attends[leaf]] + [(p.node_start[leaf], p.node_start[leaf] + p.node_length[leaf])]
-            assert "".join(p.text[a:b] for a, b in spans) == whole[conv]
-            path = [n for n, s in enumerate(p.node_start) if any(a <= s < b for a, b in spans)]
-            place = 0
-            for n in sorted(path, key=lambda n: p.node_start[n]):
-                assert p.node_position[n] == place
+        written.update((p.pack_id >> 32, turn(p, n)) for n in range(len(p.node_start)) if turn(p, n).startswith("<turn system>"))
+        base = [turn(packs[b.pack], b.node) for b in p.base]
+        assert all(b.pack < p.pack_id and b.pack >> 32 == p.pack_id >> 32 for b in p.base)
+        for conv, leaf, depth in zip(p.conv_ids, p.leaves, p.conv_base):
+            spans = [] if leaf < 0 else [tuple(x) for x in p.node_attends[leaf]] + [(p.node_start[leaf], p.node_start[leaf] + p.node_length[leaf])]
+            assert "".join(base[:depth] + [p.text[a:b] for a, b in spans]) == whole[conv]
+            place = sum(map(len, base[:depth]))
+            for n in sorted((n for n, s in enumerate(p.node_start) if any(a <= s < b for a, b in spans)), key=lambda n: p.node_start[n]):
+                assert p.node_position[n] == place and p.node_base[n] == depth
                 place += p.node_length[n]
             assert place == len(whole[conv])
-            seen[conv] = True
-        assert sum(len(p.text[s:s + n]) for s, n in zip(p.node_start, p.node_length) if p.text[s:s + n].startswith("<turn system>")) == len(chat.format_turn("system", first))
-    assert len(seen) == 90
+            seen.add(conv)
+    assert seen == set(range(90)) and len(written) == len(tasks) and set(written.values()) == {1}
+    back = {x.conv_id: x for x in chat.read_back(packed).collect()}
+    for c, turns in texts.items():
+        loss = "".join(t for role, t in turns if role == "assistant")
+        x = back[c]
+        assert (x.n_turns, x.loss_chars, x.formatted_chars) == (len(turns), len(loss), len(whole[c]))
+        assert x.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+        assert x.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
 
 
 # --- LM: probabilities and gradients -----------------------------------------------
