@@ -70,52 +70,66 @@ def has_letter(text: str | None) -> bool:
 DIMS = len(NGRAMS) * BUCKETS
 
 
-def project(texts: list[list[np.ndarray]], table: np.ndarray) -> np.ndarray:
-    """Presence, each n scaled by the root of its size, times ``table`` (DIMS x columns)."""
-    out = np.zeros((len(texts), table.shape[1]), np.float64)
-    for k in range(len(NGRAMS)):
-        sizes = np.array([len(t[k]) for t in texts])
-        rows = np.concatenate([t[k] for t in texts]) + k * BUCKETS
-        full = np.flatnonzero(sizes)
-        if len(full):
-            starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-            out[full] += np.add.reduceat(table[rows], starts, axis=0, dtype=np.float64) / np.sqrt(sizes[full])[:, None]
-    return out
-
-
-def landmark_table(marks: list[list[np.ndarray]]) -> np.ndarray:
-    """DIMS x landmarks: `project` with it gives the kernel of texts and landmarks."""
-    table = np.zeros((DIMS, len(marks)), np.float32)
+@dataclass
+class Table:
+    """A sparse matrix (DIMS x columns) by its rows that are not zero."""
+
+    place: np.ndarray                       # row of each dimension in ``rows``; the last one is zero
+    rows: np.ndarray
+
+    @property
+    def columns(self) -> int:
+        return self.rows.shape[1]
+
+    def project(self, texts: list[list[np.ndarray]]) -> np.ndarray:
+        """Texts' presence, each n scaled by the root of its size, times this matrix; one text's rows
+        at a time."""
+        out = np.zeros((len(texts), self.columns), np.float64)
+        for i, text in enumerate(texts):
+            for k, grams in enumerate(text):
+                if len(grams):
+                    at = self.place[grams + k * BUCKETS]
+                    out[i] += self.rows[at[at < len(self.rows) - 1]].sum(0, dtype=np.float64) / np.sqrt(len(grams))
+        return out
+
+
+def landmark_table(marks: list[list[np.ndarray]]) -> Table:
+    """DIMS x landmarks: texts projected on it are their kernel with the landmarks."""
+    dims = [np.concatenate([g + k * BUCKETS for k, g in enumerate(t)]) for t in marks]
+    used = np.unique(np.concatenate(dims)).astype(np.int64)
+    place = np.full(DIMS, len(used), np.int32)
+    place[used] = np.arange(len(used))
+    rows = np.zeros((len(used) + 1, len(marks)), np.float32)
     for i, t in enumerate(marks):
         for k, g in enumerate(t):
             if len(g):
-                table[g + k * BUCKETS, i] = 1 / (np.sqrt(len(g)) * len(NGRAMS))
-    return table
+                rows[place[g + k * BUCKETS], i] = 1 / (np.sqrt(len(g)) * len(NGRAMS))
+    return Table(place, rows)
 
 
 @dataclass
 class Model:
     langs: list[str]
-    table: np.ndarray                       # DIMS x languages, or DIMS x landmarks before ``then``
+    table: Table | None                     # DIMS x languages, or DIMS x landmarks before ``then``
     then: np.ndarray | None = None          # landmarks x languages
     #: Margins below these are unlike nearly all of the language's training texts.
     least_margin: dict[str, float] = field(default_factory=dict)
 
     def scores(self, texts: list[list[np.ndarray]]) -> np.ndarray:
         """Regression values (texts x languages)."""
-        x = project(texts, self.table)
+        x = self.table.project(texts)
         return x if self.then is None else x @ self.then
 
 
-def nystroem(table: np.ndarray, marks: list[list[np.ndarray]]) -> np.ndarray:
+def nystroem(table: Table, marks: list[list[np.ndarray]]) -> np.ndarray:
     """K_mm^(-1/2), up to a rotation: landmarks x features."""
-    gram = project(marks, table)
+    gram = table.project(marks)
     val, vec = np.linalg.eigh((gram + gram.T) / 2)
     good = val > 1e-8 * max(val.max(), 1e-300)
     return vec[:, good] / np.sqrt(val[good])
 
 
-def solve(table: np.ndarray, root: np.ndarray, normal: np.ndarray, sums: dict[str, tuple[int, np.ndarray]], ridge: float) -> Model:
+def solve(table: Table, root: np.ndarray, normal: np.ndarray, sums: dict[str, tuple[int, np.ndarray]], ridge: float) -> Model:
     """One-versus-rest ridge regressions from the normal matrix and each language's number of
     texts and sum of features; targets +1 and -1, less their mean."""
     names = sorted(sums)
@@ -124,8 +138,8 @@ def solve(table: np.ndarray, root: np.ndarray, normal: np.ndarray, sums: dict[st
     whole = each.sum(1, keepdims=True)
     right = 2 * each - whole - whole * (2 * n / n.sum() - 1)
     then = root @ np.linalg.solve(normal + ridge * np.eye(len(normal)), right)
-    if len(names) < table.shape[1]:
-        return Model(names, (table @ then).astype(np.float32))
+    if len(names) < table.columns:
+        return Model(names, Table(table.place, (table.rows @ then).astype(np.float32)))
     return Model(names, table, then)
 
 
@@ -173,7 +187,7 @@ def train(docs: DataFrame, held_out: Column, per_lang: int = 300, landmarks: int
     # The first texts of all languages in turn.
     first = sample.orderBy("turn", F.xxhash64("lang"), "lang").limit(landmarks).collect()
     if not first:
-        return Model([], np.zeros((DIMS, 0), np.float32))
+        return Model([], None)
     marks = [[np.array(g, np.int64) for g in r.grams] for r in first]
     table = landmark_table(marks)
     root = nystroem(table, marks)
@@ -185,7 +199,7 @@ def train(docs: DataFrame, held_out: Column, per_lang: int = 300, landmarks: int
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                phi = project(_texts(part.column(1)), table) @ root
+                phi = table.project(_texts(part.column(1))) @ root
                 normal += phi.T @ phi
                 langs = np.array(part.column(0).to_pylist(), object)
                 for lang in set(langs.tolist()):
