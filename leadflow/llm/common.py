@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +22,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared scratch folder and read back: work done once,
     lineage cut, and safe against lost executors."""
     path = scratch_path(df.sparkSession, f"llm-{name}")
+    for paths in _NOTED:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_NOTED: list[list[str]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The folders of the tables that `stored` writes meanwhile, in order."""
+    paths: list[str] = []
+    _NOTED.append(paths)
+    try:
+        yield paths
+    finally:
+        _NOTED[:] = [x for x in _NOTED if x is not paths]
+
+
+def release(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Deletes scratch tables that nothing reads any more."""
+    sc = spark.sparkContext
+    for p in paths:
+        folder = sc._jvm.org.apache.hadoop.fs.Path(p)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def words(text: str | None) -> list[bytes]:
     """Words of a text as UTF-8: ``bytes.split()`` splits at exactly 09-0D and 20."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
