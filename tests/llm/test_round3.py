@@ -485,3 +485,18 @@ def test_lm_probabilities_and_gradient_step_by_hand():
         for f, (uses, g) in step[name].items():
             want[f] -= lm.STEP * g / (uses + lm.DAMP)
         assert np.allclose(learned.t[name], want, atol=1e-4)
+
+
+# --- pipeline: what it leaves behind ------------------------------------------------
+
+def test_pipeline_returns_ids_and_leaves_one_scratch_table(spark, sf_dir):
+    import os
+
+    import corpus_pipeline
+    from leadflow.llm.common import noted
+    from leadflow.session import local_path
+    with noted() as paths:
+        out = corpus_pipeline.run(spark, sf_dir)
+    rows_ = out.collect()
+    assert rows_ and all(r.n_tokens == len(r.ids) and hashlib.sha256(" ".join(map(str, r.ids)).encode()).hexdigest() == r.ids_sha256 for r in rows_)
+    assert len(paths) > 8 and [p for p in paths if os.path.exists(local_path(p))] == [p for p in paths if "llm-stage-3" in p]
