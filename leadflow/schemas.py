@@ -82,7 +82,8 @@ LEAD_COLUMN_BY_ID = {cid: snake(t) for cid, t in TITLE_BY_COLUMN_ID.items()}
 LEAD_COLUMNS = ["item_id", "item_name"] + list(LEAD_COLUMN_BY_ID.values())
 
 # ---------------------------------------------------------------------------
-# Landed page schemas (explicit: no inference pass over the files).
+# Landed page schemas (explicit: no inference pass over the files). Their field names,
+# PROFILE_FIELDS and TRACKING_FIELDS included, are those of the API bodies that are read.
 COLUMN_VALUE = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("text", T.StringType()),
