@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -38,7 +39,12 @@ class PrefixTable:
         self.automaton.make_automaton()
         self.fits: dict[tuple[str, str], bool] = {}
         self.stable: dict[str, bool] = {}
-        self.memo = Memo(lambda c: " ".join(map(str, self.encode_chunk(c))))
+        self.memo = Memo(self._both)
+
+    def _both(self, chunk: str) -> tuple[str, list[int]]:
+        """A chunk's ids as decimal text and as numbers."""
+        ids = self.encode_chunk(chunk)
+        return " ".join(map(str, ids)), ids
 
     def merged(self, text: str) -> list[str]:
         """Merges of a short text, best rank first and leftmost among equals."""
@@ -96,15 +102,17 @@ class PrefixTable:
         out.reverse()
         return out
 
-    def encode_text(self, text: str | None) -> str:
-        """All ids of a text and the end id, as decimal text joined by single spaces."""
+    def encode_text(self, text: str | None) -> tuple[str, list[int]]:
+        """All ids of a text and the end id, as decimal text joined by single spaces and as numbers."""
         memo = self.memo
         parts = [memo[c] for c in chunks(text or "")]
-        parts.append(str(self.pieces.end_id))
-        return " ".join(parts)
+        end = self.pieces.end_id
+        ids = list(chain.from_iterable([p[1] for p in parts]))
+        ids.append(end)
+        return " ".join([*[p[0] for p in parts], str(end)]), ids
 
     def encode(self, text: str | None) -> list[int]:
-        return list(map(int, self.encode_text(text).split(" ")))
+        return self.encode_text(text)[1]
 
     def decode(self, ids: list[int]) -> str:
         return self.pieces.model.decode(ids)
@@ -140,8 +148,7 @@ def digests(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFra
         for b in batches:
             n, one, two, all_ids = [], [], [], []
             for x in b.column(1):
-                text = t.encode_text(x.as_py())
-                ids = list(map(int, text.split(" ")))
+                text, ids = t.encode_text(x.as_py())
                 if with_ids:
                     all_ids.append(np.array(ids, np.int32))
                 n.append(len(ids))
