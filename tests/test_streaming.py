@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +155,113 @@ def test_arrival_order_bucket_keeps_its_clock(spark):
     sink = scratch_path(spark, "late-out")
     ST.run_available_now(out, sink, scratch_path(spark, "late-ck"), state_partitions=2)
     assert {r.request_id: r.status for r in spark.read.parquet(sink).collect()} == {1: "ok", 2: "ok", 3: "rate_limited", 4: "ok"}
+
+
+class FakeState:
+    """A state handle that counts the calls made to it."""
+
+    def __init__(self):
+        self.calls, self.value, self.map, self.timers = 0, None, {}, set()
+
+    def getValueState(self, name, schema):
+        return FakeValue(self)
+
+    def getMapState(self, name, key, schema):
+        return FakeMap(self)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class FakeValue:
+    def __init__(self, state):
+        self.state = state
+
+    def exists(self):
+        self.state.calls += 1
+        return self.state.value is not None
+
+    def get(self):
+        self.state.calls += 1
+        return self.state.value
+
+    def update(self, value):
+        self.state.calls += 1
+        self.state.value = value
+
+    def clear(self):
+        self.state.value = None
+
+
+class FakeMap:
+    def __init__(self, state):
+        self.state = state
+
+    def keys(self):
+        self.state.calls += 1
+        return [*self.state.map]
+
+    def containsKey(self, k):
+        self.state.calls += 1
+        return k in self.state.map
+
+    def getValue(self, k):
+        self.state.calls += 1
+        return self.state.map[k]
+
+    def updateValue(self, k, v):
+        self.state.calls += 1
+        self.state.map[k] = v
+
+    def removeKey(self, k):
+        self.state.calls += 1
+        del self.state.map[k]
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_state_calls_follow_slots_not_keys():
+    """A thousand keys in shuffled batches with watermarks in between: the loop's decisions, and calls to the
+    state by slot and batch."""
+    r = random.Random(7)
+    rows = [(i, f"k{r.randrange(1000)}", r.choice([0, 17, 90, 200]) * 1_000_000 + r.randrange(3_000_000)) for i in range(6000)]
+    state, bucket, got = FakeState(), O.OrderedBucket(), {}
+    bucket.init(state)
+    arrival = sorted(rows, key=lambda x: x[2] + r.random() * 50_000_000)
+    for lo in range(0, len(arrival), 1500):
+        part = arrival[lo:lo + 1500]
+        pdf = pd.DataFrame(part, columns=["request_id", "key_hash", "clock_us"]).assign(rate_limit=2, ts_us=0)
+        pdf = pd.concat([pdf, pd.DataFrame({"request_id": [None], "key_hash": [""], "clock_us": [1]})], ignore_index=True)
+        list(bucket.handleInputRows((0,), iter([pdf]), None))
+        now = 10**9 if lo + 1500 >= len(arrival) else (min(x[2] for x in arrival[lo + 1500:]) // 1000)
+        for _ in range(sum(t <= now for t in state.timers)):
+            for out in bucket.handleExpiredTimer((0,), Watermark(now), None):
+                got.update(zip(out["request_id"].tolist(), zip(out["allowed"].tolist(), out["tokens_after"].tolist())))
+        state.timers = {t for t in state.timers if t > now}
+    want = {}
+    for k in {x[1] for x in rows}:
+        mine = sorted((x[2], x[0]) for x in rows if x[1] == k)
+        want.update(zip([i for _, i in mine], loop([c for c, _ in mine], [2] * len(mine), None, 0)))
+    assert got == want and len(got) == 6000
+    assert state.calls < 400
+    assert not state.map and state.value is None
+
+
+def test_micro_batches_follow_the_span_not_the_files(spark, tmp_path):
+    """The log split over many files arrives in as many micro-batches as it has slices."""
+    from leadflow.plans import q_keys as Q
+    at = F.lit(DAY).cast("timestamp") + F.make_interval(secs=(F.col("id") % 700).cast("decimal(18,6)") * Q.CLOCK_DIVISOR)
+    (spark.range(0, 4200, numPartitions=6).select(F.col("id").alias("event_id"), at.alias("ts"), F.lit(1).cast("long").alias("user_id"),
+        F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.lit("").alias("props")).write.parquet(str(tmp_path / "events.parquet")))
+    seen = []
+    q = Q._arriving(spark, str(tmp_path)).writeStream.foreachBatch(lambda df, i: seen.append(df.count())).trigger(availableNow=True).option(
+        "checkpointLocation", scratch_path(spark, "span-ck")).start()
+    q.awaitTermination()
+    assert sum(seen) == 4201 and 2 <= len(seen) <= 6
