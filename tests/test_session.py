@@ -132,3 +132,35 @@ def test_ordered_parts_are_one_document(spark):
     assert sorted(map(repr, back.select("stage", "id", "txt", "m").collect())) == sorted(map(repr, df.filter("stage IS NOT NULL").collect()))
     empty = SS.write_document(df.limit(0), scratch_path(spark, "parts"), ["id"])
     assert json.loads("".join(open(p).read() for p in sorted(files_of(empty, ".txt")))) == {}
+
+
+def test_one_shuffle_feeds_the_three_datasets(spark, monkeypatch):
+    """Combined, stages and grouped are written from one stored deal; its row numbers are in no output."""
+    dealt = []
+    whole = SS.rebalanced
+    monkeypatch.setattr(SS, "rebalanced", lambda df, *by: dealt.append(by) or whole(df, *by))
+    leads = spark.range(500).select(F.col("id").cast("string").alias("item_id"), F.when(F.col("id") % 3 == 0, "won").otherwise("lost").alias("stage"))
+    root = scratch_path(spark, "one-shuffle")
+    run = SS.publish_session(leads, root, AT)
+    assert len(dealt) == 1
+    for name in ("combined", "stages", "grouped"):
+        path = SS.session_path(spark, root, name, run)
+        got = spark.read.json(path) if name == "grouped" else spark.read.option("header", True).csv(path)
+        assert sorted(got.columns) == ["item_id", "stage"]
+        assert sorted((str(r.item_id), r.stage) for r in got.collect()) == sorted((r.item_id, r.stage) for r in leads.collect())
+    text = "".join(r.value for r in spark.read.text(SS.session_path(spark, root, "document", run)).collect())
+    assert SS.ROW_ID not in text and text.count("item_id") == 500
+
+
+def test_landed_board_pages_are_small_and_whole(spark):
+    """Pages hold every item with its column ids, in files well below the size of their text."""
+    from leadflow.plans.landing import BOARD_COLUMNS, land_board_pages
+    from leadflow.sources.pages import read_board_items
+    leads = spark.range(3000).select(F.col("id").alias("seq"), F.col("id").cast("string").alias("item_id"), F.concat(F.lit("Lead "), "id").alias("item_name"),
+                                     F.lit("won").alias("stage"), *[F.concat(F.lit(f"{c}-"), (F.col("id") % 7).cast("string")).alias(c) for c in BOARD_COLUMNS])
+    path = land_board_pages(leads, scratch_path(spark, "small-pages"))
+    items = read_board_items(spark, path)
+    assert {(r.page, r.pos, r.id) for r in items.collect()} == {(i // 50 + 1, i % 50 + 1, str(i)) for i in range(3000)}
+    text = spark.read.text(path).agg(F.sum(F.length("value"))).first()[0]
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    assert size < text / 4
