@@ -3,8 +3,8 @@
 ``read board pages -> items_to_wide -> rename -> tag_stage`` builds the
 lead table; ``scheduled events -> type filter -> origin tag -> first
 invitee`` builds the bookings; ``annotate_origins`` joins them; the lead
-table is cut from its lineage with ``checkpoint()`` (reliable, in the shared
-checkpoint folder) before it feeds the snapshot sinks, so each sink reads
+table is cut from its lineage (written to the shared
+checkpoint folder as Parquet) before it feeds the snapshot sinks, so each sink reads
 the same rows and a lost executor never re-runs the whole ingest.
 """
 
@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from leadflow.operators import joins as J
 from leadflow.operators import transform as T
 from leadflow.schemas import INVITEE_ROW, LEAD_COLUMN_BY_ID, SCHEDULED_EVENT_ROW, STAGE_BY_GROUP
-from leadflow.session import ensure_checkpoint_dir
-from leadflow.sinks.session import publish_session
+from leadflow.sinks.session import ROW_ID, publish_session, session_rows
 from leadflow.sources import pages as S
 
 
@@ -58,13 +57,13 @@ def refresh(spark: SparkSession, board_path: str, events_path: str, invitees_pat
     """
     leads = build_leads(spark, board_path)
     bookings = build_bookings(spark, events_path, invitees_path, type_origins)
-    if require_both and (not leads.take(1) or not bookings.take(1)):
+    # Whether there is a booking does not depend on its invitee: an aggregate of no column spares that join.
+    if require_both and (not leads.take(1) or bookings.agg(F.max(F.lit(1))).first()[0] is None):
         raise ValueError("no leads or no bookings: refusing to refresh")
     tagged = J.annotate_origins(leads, bookings)
     if out_root is None:
         return tagged
-    ensure_checkpoint_dir(spark)
-    tagged = tagged.checkpoint()
+    tagged = session_rows(tagged)
     ts = run_ts or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     publish_session(tagged, out_root, ts)
-    return tagged
+    return tagged.drop(ROW_ID)

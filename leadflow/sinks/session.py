@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leadflow.session import cut_lineage
 from leadflow.sinks.publish import latest_run, publish, run_folder
 from leadflow.sinks.writers import TIMES, _nested_to_json, run_stamp
 
@@ -50,23 +51,53 @@ def rebalanced(df: DataFrame, *by: str) -> DataFrame:
     return df.hint("rebalance", *[F.col(c) for c in by])
 
 
+#: Number of a stored row.
+ROW_ID = "_session_row"
+
+
+def session_rows(leads: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """``leads`` dealt by stage towards files of ``file_bytes`` of text, numbered (``ROW_ID``) and stored: the
+    outputs of a session are written from it without another shuffle, a file for each of its own."""
+    with file_size(leads.sparkSession, file_bytes):
+        return cut_lineage(rebalanced(leads.withColumn(ROW_ID, F.monotonically_increasing_id()), "stage"), "session-rows")
+
+
+@contextmanager
+def file_by_file(spark: SparkSession) -> Iterator[None]:
+    """While open, a scan has a task for each file (files above Spark's split size are split)."""
+    before = spark.conf.get("spark.sql.files.openCostInBytes", None)
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB"))
+        yield
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes") if before is None else spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
+#: First records of at most this many stages are broadcast.
+MAX_BROADCAST_STAGES = 1000
+
+
 def write_document(leads: DataFrame, path: str, order: Sequence[str | Column], stage: str = "stage", partitions: int | None = None) -> str:
     """The rows as one JSON document ``{stage: [records]}`` in ordered parts: the files of ``path``,
     put one after the other by name, are the document (``cat part-* > document.json``), written by as many
     tasks as there are ranges. Stages come in the order of their names, records by ``order``; rows
-    without a stage are left out, as no name can hold them."""
+    without a stage are left out, as no name can hold them. Stored rows bring their own number (``ROW_ID``)."""
     spark = leads.sparkSession
+    numbered = ROW_ID in leads.columns
     rows = leads.filter(F.col(stage).isNotNull())
-    record = F.to_json(F.struct(*[F.col(c) for c in leads.columns if c != stage]), {**TIMES, "ignoreNullFields": "false"})
+    record = F.to_json(F.struct(*[F.col(c) for c in leads.columns if c not in (stage, ROW_ID)]), {**TIMES, "ignoreNullFields": "false"})
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
-    rows = rows.select(F.col(stage).alias("_stage"), record.alias("_record"), F.struct(*keys).alias("_at"), F.monotonically_increasing_id().alias("_id"))
-    rows = rows.checkpoint()                # its numbers are used twice: to find a stage's first record, and to place it
+    rows = rows.select(F.col(stage).alias("_stage"), record.alias("_record"), F.struct(*keys).alias("_at"),
+                       (F.col(ROW_ID) if numbered else F.monotonically_increasing_id()).alias("_id"))
+    if not numbered:
+        rows = cut_lineage(rows, "document-rows")   # its numbers are used twice: to find a stage's first record, and to place it
     first = rows.groupBy("_stage").agg(F.min(F.struct("_at", "_id")).alias("_first"))
     stages = [r[0] for r in first.select("_stage").orderBy("_stage").limit(1).collect()]    # the document's first stage
     name = F.expr("substring(to_json(array(_stage)), 2, length(to_json(array(_stage))) - 2)")
     lead = F.concat(F.when(F.col("_stage") == F.lit(stages[0] if stages else ""), "{").otherwise("],"), name, F.lit(":["))
     is_first = F.struct("_at", "_id") == F.col("_first")
-    lines = rows.join(first, "_stage").select("_stage", "_at", "_id", F.concat(F.when(is_first, lead).otherwise(","), "_record").alias("value"))
+    few = first.limit(MAX_BROADCAST_STAGES + 1).count() <= MAX_BROADCAST_STAGES
+    lines = rows.join(F.broadcast(first) if few else first, "_stage").select("_stage", "_at", "_id", F.concat(F.when(is_first, lead).otherwise(","), "_record").alias("value"))
     end = spark.range(1).select(F.lit(None).cast("string").alias("_stage"), F.lit(None).cast(rows.schema["_at"].dataType).alias("_at"),
                                 F.lit(None).cast("long").alias("_id"), F.lit("]}" if stages else "{}").alias("value"))
     place = [F.col("_stage").asc_nulls_last(), F.col("_at"), F.col("_id")]
@@ -77,16 +108,23 @@ def write_document(leads: DataFrame, path: str, order: Sequence[str | Column], s
 
 
 def publish_session(leads: DataFrame, root: str, ts: _dt.datetime, file_bytes: int = FILE_BYTES, order: Sequence[str] = ("item_id",)) -> str:
-    """Publishes one refresh; returns its run name."""
+    """Publishes one refresh, of rows as they are or of `session_rows`; returns its run name."""
     spark = leads.sparkSession
     run = f"{run_stamp(ts)}-{uuid.uuid4().hex[:8]}"       # a second try is a run of its own
-    flat = _nested_to_json(leads)
-    with file_size(spark, file_bytes):
+    stored = leads if ROW_ID in leads.columns else session_rows(leads, file_bytes)
+    rows = stored.drop(ROW_ID)
+    flat = _nested_to_json(rows)
+
+    def document(path: str) -> None:
+        with file_size(spark, file_bytes):
+            write_document(stored, path, order)
+
+    with file_by_file(spark):
         publish(spark, root, run, {
-            "combined": lambda p: rebalanced(flat).write.options(**TIMES).option("header", True).csv(p),
-            "stages": lambda p: rebalanced(flat, "stage").write.options(**TIMES).option("header", True).partitionBy("stage").csv(p),
-            "grouped": lambda p: rebalanced(leads, "stage").write.options(**TIMES).option("ignoreNullFields", False).partitionBy("stage").json(p),
-            "document": lambda p: write_document(leads, p, order),
+            "combined": lambda p: flat.write.options(**TIMES).option("header", True).csv(p),
+            "stages": lambda p: flat.write.options(**TIMES).option("header", True).partitionBy("stage").csv(p),
+            "grouped": lambda p: rows.write.options(**TIMES).option("ignoreNullFields", False).partitionBy("stage").json(p),
+            "document": document,
         }, ts)
     return run
 
