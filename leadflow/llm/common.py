@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,21 @@ def release(spark: SparkSession, paths: Sequence[str]) -> None:
         folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in slices, so that what is made of it leaves the worker, and reaches the JVM, bit by bit."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def with_text(docs: DataFrame, keep: Sequence[str]) -> tuple[DataFrame, int]:
+    """``keep`` columns and the text as a string, with the text's place: texts that are kept as
+    they are go to the workers once."""
+    keep = list(keep)
+    if "text" in keep and docs.schema["text"].dataType.simpleString() == "string":
+        return docs.select(*keep), keep.index("text")
+    return docs.select(*keep, F.col("text").cast("string").alias("_text")), len(keep)
+
+
 def words(text: str | None) -> list[bytes]:
     """Words of a text as UTF-8: ``bytes.split()`` splits at exactly 09-0D and 20."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import in_fold, stored
+from leadflow.llm.common import in_fold, slices, stored, with_text
 
 NGRAMS = (2, 3, 4)
 BUCKETS = 1 << 15
@@ -168,7 +168,7 @@ def training_sample(docs: DataFrame, held_out: Column, per_lang: int) -> DataFra
             .groupBy("lang", "doc_id").agg(F.min("turn").alias("turn"), F.min("text").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for b in batches for p in slices(b)):
             grams = [presence(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(3), pa.array([[g.tolist() for g in t] for t in grams], pa.list_(pa.list_(pa.int32())))],
@@ -244,25 +244,22 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` columns, lang_pred, score, and sure: whether the margin is as large as nearly all
     training texts of that language have it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: DIMS x landmarks, and landmarks x languages
-    src = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    src, at = with_text(docs, keep)
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("sure", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in (p for b in batches for p in slices(b)):
             pred, score, sure = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
-            col = b.column(b.num_columns - 1)
-            for at in range(0, b.num_rows if m.langs else 0, 256):
-                texts = [t.as_py() for t in col.slice(at, 256)]
-                rows = [i for i, t in enumerate(texts) if has_letter(t)]
-                if not rows:
-                    continue
+            texts = [t.as_py() for t in b.column(at)]
+            rows = [i for i, t in enumerate(texts) if m.langs and has_letter(t)]
+            if rows:
                 values = m.scores([presence(texts[i]) for i in rows])
                 e = np.exp(4 * (values - values.max(1, keepdims=True)))
                 for i, c, s, margin in zip(rows, values.argmax(1), e.max(1) / e.sum(1), margins(values)):
-                    pred[at + i], score[at + i] = m.langs[c], s
-                    sure[at + i] = margin >= m.least_margin.get(m.langs[c], 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score), pa.array(sure)], [*keep, "lang_pred", "score", "sure"])
+                    pred[i], score[i] = m.langs[c], s
+                    sure[i] = margin >= m.least_margin.get(m.langs[c], 0.0)
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(pred, pa.string()), pa.array(score), pa.array(sure)], [*keep, "lang_pred", "score", "sure"])
 
     return src.mapInArrow(run, schema)
 

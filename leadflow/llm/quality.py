@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import stored, words
+from leadflow.llm.common import slices, stored, with_text, words
 
 SYMBOLS = "#*$%&|<>"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -67,18 +67,18 @@ def features(text: str | None) -> tuple[int, int, int, int, int]:
 
 def with_features(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns, then the five counts of ``BASE``, then n_lines (lines with a word)."""
-    src = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    src, at = with_text(docs, keep)
     out = docs.select(*keep).schema.simpleString()[len("struct<"):-1].replace(":", " ")
     schema = f"{out}, " + ", ".join(f"{c} long" for c in [*BASE, "n_lines"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for b in batches for p in slices(b)):
             rows = []
-            for t in b.column(b.num_columns - 1):
+            for t in b.column(at):
                 t = t.as_py()
                 rows.append((*features(t), sum(1 for x in t.split("\n") if words(x)) if t else 0))
             counts = np.array(rows, np.int64).reshape(-1, len(BASE) + 1)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *map(pa.array, counts.T)], [*keep, *BASE, "n_lines"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], *map(pa.array, counts.T)], [*keep, *BASE, "n_lines"])
 
     return src.mapInArrow(run, schema)
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadflow.llm.common import lower_words, stored
+from leadflow.llm.common import lower_words, slices, stored, with_text
 from leadflow.llm.components import components
 
 SEED = 42
@@ -62,13 +62,13 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 def with_fingerprints(docs: DataFrame, keep: list[str], shingle: int = 3) -> DataFrame:
     """``keep`` columns, then fp long: the fingerprint's 64 bits as a signed long."""
-    src = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    src, at = with_text(docs, keep)
     schema = docs.select(*keep).schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(b.num_columns - 1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], [*keep, "fp"])
+        for b in (p for b in batches for p in slices(b)):
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(at)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(fps.view(np.int64))], [*keep, "fp"])
 
     return src.mapInArrow(run, schema)
 

@@ -9,13 +9,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from leadflow.llm import chat, embed_dedup, langid, lm, mixing, piece_codec, piece_count, quality, simhash, url_filter
-from leadflow.llm.common import table
+from leadflow.llm.common import slices, table
 from leadflow.llm.components import components
 from leadflow.llm.queries import URL_RULES, _model
 
@@ -89,6 +90,23 @@ def test_tokens_equal_the_library():
         assert t.encode(x) == ids and c.count(x) == len(ids) - 1 and t.decode(ids) == sp.decode(ids)
 
 
+def test_workers_return_small_batches(spark):
+    """Rows leave a worker in batches far below those it gets, and kept texts are sent once."""
+    n = 1000
+    d = spark.range(0, n, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"),
+                                       F.lit("en").alias("lang"), F.lit("s").alias("source"))
+
+    model = langid.Model([], None)
+    for out in (piece_codec.digests(d, _model(), with_ids=True), piece_codec.encode(d, _model()), quality.with_features(d, d.columns),
+                langid.predict(d, model, d.columns), simhash.with_fingerprints(d, d.columns)):
+        assert out.count() == n and sorted(r.doc_id for r in out.select("doc_id").collect()) == list(range(n))
+    for out in (quality.with_features(d, d.columns), langid.predict(d, model, d.columns), simhash.with_fingerprints(d, d.columns)):
+        assert [r.text for r in out.orderBy("doc_id").collect()] == [r.text for r in d.orderBy("doc_id").collect()]
+        assert "_text" not in out._jdf.queryExecution().optimizedPlan().toString()
+    whole = pa.RecordBatch.from_arrays([pa.array(range(n))], ["x"])
+    assert [b.num_rows for b in slices(whole)] == [256, 256, 256, 232] and pa.Table.from_batches(slices(whole)).column(0).to_pylist() == list(range(n))
+
+
 def brute_fingerprint(text):
     t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = WORD.findall(t)
