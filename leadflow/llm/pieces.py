@@ -52,20 +52,25 @@ def chunks(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """Results per distinct chunk, of bounded size: emptied when full. Long chunks,
+    """Results per distinct chunk, of bounded size: when half full, what it holds is set aside,
+    and of what was set aside before, only chunks that came back meanwhile stay. Long chunks,
     which hardly return, are worked out each time."""
 
     LIMIT = 300_000
     LONGEST = 64
 
-    def __init__(self, make) -> None:
+    def __init__(self, make, limit: int = LIMIT) -> None:
         super().__init__()
         self.make = make
+        self.limit = limit
+        self.aside: dict = {}
 
     def __missing__(self, chunk: str):
-        out = self.make(chunk)
+        if (out := self.aside.get(chunk)) is None:
+            out = self.make(chunk)
         if len(chunk) <= self.LONGEST:
-            if len(self) >= self.LIMIT:
+            if len(self) >= self.limit // 2:
+                self.aside = dict(self)
                 self.clear()
             self[chunk] = out
         return out

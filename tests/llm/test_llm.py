@@ -90,6 +90,33 @@ def test_tokens_equal_the_library():
         assert t.encode(x) == ids and c.count(x) == len(ids) - 1 and t.decode(ids) == sp.decode(ids)
 
 
+def test_pair_tests_equal_merging_again():
+    """Tokens that meet in texts, and others, against merges of their joined text."""
+    t, rnd = piece_codec.PrefixTable(_model()), random.Random(5)
+    used = [i for i in range(t.size) if t.lens[i]]
+    pairs = [(rnd.choice(used), rnd.choice(used)) for _ in range(5000)]
+    for _ in range(2000):
+        word = "▁" * rnd.randint(0, 2) + "".join(t.texts[rnd.choice(used)].strip("▁") for _ in range(3))
+        ids = [t.ids[x] for x in t.merged(word) if x in t.ids]
+        pairs += zip(ids, ids[1:])
+    want = [t.merged(t.texts[a] + t.texts[b]) == [t.texts[a], t.texts[b]] for a, b in pairs]
+    assert [t.compatible(a, b) for a, b in pairs] == want and any(want) and not all(want)
+
+
+def test_memory_of_workers_is_bounded(monkeypatch):
+    """Ids are the same however little is remembered, and what is remembered stays within its bounds."""
+    monkeypatch.setattr(piece_codec.PrefixTable, "CHUNKS", 40)
+    monkeypatch.setattr(piece_codec.PrefixTable, "PAIRS", 30)
+    t, rnd = piece_codec.PrefixTable(_model()), random.Random(6)
+    made = []
+    t.memo.make = lambda c: made.append(c) or t.encode_chunk(c)
+    for k in range(300):
+        text = "the of " + " ".join("".join(rnd.choice("abcdeinorst中é") for _ in range(rnd.randint(1, 9))) for _ in range(8))
+        assert t.encode(text) == t.pieces.model.encode(text, add_eos=True)
+        assert len(t.memo) + len(t.memo.aside) <= 40 and len(t.fits) <= 30
+    assert made.count("▁of") == 1  # what keeps coming back is not worked out again
+
+
 def test_workers_return_small_batches(spark):
     """Rows leave a worker in batches far below those it gets, and kept texts are sent once."""
     n = 1000
