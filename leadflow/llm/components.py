@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from leadflow.llm.common import stored
 
+#: Rows up to which Spark may broadcast a stored table, which it sizes by its compressed files; longer ones are merged.
+FEW = 200_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a long, b long); the
@@ -25,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = cur.select("a", "b").unionAll(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
         # Large-star: neighbours larger than the node go under the node's minimum.
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.filter("b > a").join(low if seen[0] <= FEW else low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").distinct()
         # Small-star: the node and its smaller neighbours go under the smallest of them.
         small_low = large.groupBy("a").agg(F.min("b").alias("m"))

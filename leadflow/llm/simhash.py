@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadflow.llm.common import lower_words, slices, stored, with_text
-from leadflow.llm.components import components
+from leadflow.llm.components import FEW, components
 
 SEED = 42
 BLOCKS = 5
@@ -121,7 +121,8 @@ def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
     dealt = (table.withColumn("bucket", F.explode(F.array(*[_block_key(F.col("fp"), c, i) for i, c in enumerate(choices)])))
              .withColumn("bucket", F.xxhash64("bucket")))
     sizes = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    in_use = dealt.join(sizes, "bucket")
+    # Merged: Spark sizes exploded rows by what they are exploded from, and may broadcast `dealt`.
+    in_use = dealt.hint("merge").join(sizes, "bucket")
 
     cols = ["rep", "fp", *[f"d{i}" for i in range(PIVOTS)]]
     # Hot buckets: tiles (first pivot distance, salt); tiles whose distances are
@@ -174,7 +175,8 @@ def fingerprint_groups(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     """(fp, group) of every distinct ``fp``: the fingerprints themselves are linked, so a
     group needs no ids; it is named by its smallest fingerprint (as a signed long)."""
     distinct = fps.select("fp").distinct()
-    groups = components(links(distinct.withColumn("rep", F.col("fp")), max_bits))
+    # Merged: Spark sizes a stored table by its compressed files. A fingerprint has one row on either side.
+    groups = components(links(distinct.withColumn("rep", F.col("fp")), max_bits)).hint("merge")
     return stored(distinct.join(groups, distinct["fp"] == groups["node"], "left")
                   .select("fp", F.coalesce("component", "fp").alias("group")), "groups")
 
@@ -184,8 +186,10 @@ def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = 3) ->
     reachable through links of at most ``max_bits`` (under ``BLOCKS``) differing bits."""
     fps = stored(fingerprints(docs, shingle), "fingerprints")
     groups = fingerprint_groups(fps, max_bits)
-    least = (fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).join(groups, "fp")
+    # Stored tables are broadcast by their rows alone: merged where a key has one row on either side, else on the
+    # left of a left join (every row finds one). `least` is shuffled first, so Spark measures it.
+    least = (fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).join(groups.hint("merge"), "fp")
              .groupBy("group").agg(F.min("rep").alias("component_id")))
-    label = groups.join(least, "group").select("fp", "component_id")
-    return (fps.join(label, "fp")
+    label = groups.join(least, "group", "left").select("fp", "component_id")
+    return (fps.join(label if groups.count() <= FEW else label.hint("merge"), "fp", "left")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
